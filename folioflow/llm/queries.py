@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, quality_rules
+from . import ngram_join, quality_rules, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,19 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_links", "component_id", "kept")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source`` stands for the owner, a source's language for the repository."""
+    docs = _read(spark, sf_dir, "documents")
+    repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return secret_scan.digest(secret_scan.scan(docs, F.col("source"), repository))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules, "op9_ngram_join": op9_ngram_join}
+    return {
+        "op4_quality_rules": op4_quality_rules,
+        "op7_secret_scan": op7_secret_scan,
+        "op9_ngram_join": op9_ngram_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
