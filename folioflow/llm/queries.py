@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, quality_rules, secret_scan
+from . import mixing, ngram_join, quality_rules, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_links", "component_id", "kept")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix_report(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source`` stands for the owner, a source's language for the repository."""
     docs = _read(spark, sf_dir, "documents")
@@ -33,6 +38,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_quality_rules": op4_quality_rules,
+        "op5_source_mixing": op5_source_mixing,
         "op7_secret_scan": op7_secret_scan,
         "op9_ngram_join": op9_ngram_join,
     }
