@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, quality_rules, secret_scan
+from . import mixing, ngram_join, packing, quality_rules, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+WORD_TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary file is; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def repository() -> Column:
+    """``documents`` has no repositories: the texts of one language of a source stand for one."""
+    return F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.read_and_score(spark, sf_dir)
 
@@ -31,8 +46,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source`` stands for the owner, a source's language for the repository."""
     docs = _read(spark, sf_dir, "documents")
-    repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
-    return secret_scan.digest(secret_scan.scan(docs, F.col("source"), repository))
+    return secret_scan.digest(secret_scan.scan(docs, F.col("source"), repository()))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -41,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_source_mixing": op5_source_mixing,
         "op7_secret_scan": op7_secret_scan,
         "op9_ngram_join": op9_ngram_join,
+        "op10_packing": op10_packing,
     }
 
 
