@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, warc
+from . import chat_format, embedding_dedup, knn_quality, mixing, ngram_join, packing, quality_rules, secret_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source`` stands for the owner, a source's language for the repository."""
     docs = _read(spark, sf_dir, "documents")
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op4_quality_rules": op4_quality_rules,
         "op5_source_mixing": op5_source_mixing,
+        "op6_knn_quality": op6_knn_quality,
         "op7_secret_scan": op7_secret_scan,
         "op8_chat_format": op8_chat_format,
         "op9_ngram_join": op9_ngram_join,
