@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, knn_quality, mixing, ngram_join, packing, quality_rules, secret_scan, warc
+from . import chat_format, embedding_dedup, knn_quality, license_scan, mixing, ngram_join, packing, quality_rules, secret_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ FROM p JOIN k USING (hex)
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(spark, sf_dir)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.read_and_score(spark, sf_dir)
 
@@ -109,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_warc": op2_warc,
+        "op3_license_scan": op3_license_scan,
         "op4_quality_rules": op4_quality_rules,
         "op5_source_mixing": op5_source_mixing,
         "op6_knn_quality": op6_knn_quality,
@@ -120,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op8_chat_format": OP8_SQL}
+    return {"op2_warc": OP2_SQL, "op3_license_scan": license_scan.oracle_sql(), "op8_chat_format": OP8_SQL}
