@@ -28,6 +28,8 @@ from .common import stage
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 LICENSE_FILE = r"(?i)^(?:licen[cs]e|copying|unlicense)(?:[._-][^/]*)?$"
 THRESHOLD = 0.75
+#: Words of everyday prose that make poor anchors.
+COMMON = {"with", "without", "under", "either", "this", "that", "from", "work", "file", "later", "http", "following", "source", "code"}
 
 #: Notices and grants of common licenses, public texts.  The operator takes any other list.
 TEMPLATES = [
@@ -71,7 +73,7 @@ def anchors(rows: list[tuple[int, str, str, float]], threshold: float) -> list[s
     for i in sorted({r[0] for r in rows}):
         weights = {t: w for k, _, t, w in rows if k == i}
         left = 1.0
-        for t in sorted(weights, key=lambda t: (t not in out, len(t) < 4, -weights[t] * min(len(t), 10), t)):
+        for t in sorted(weights, key=lambda t: (t not in out, len(t) < 4 or t in COMMON, -weights[t] * min(len(t), 10), t)):
             if left < (threshold - 1e-6) ** 2:
                 break
             out.add(t)
