@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, map_arrow, runs, stage
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, *, n: int, bands: int, rows: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"]
             )
 
-    source = docs.select("doc_id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("key"), F.col("text").alias("__text"))
+    source = docs.select("doc_id", text_key().alias("key"), F.col("text").alias("__text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_arrow(source, run, f"doc_id {kind}, key binary, bands array<long>")
 
@@ -181,13 +181,17 @@ def spanning(links: np.ndarray) -> np.ndarray:
 
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
-    """(key, cluster) of texts that share a band hash with another text, directly or over others."""
-    banded = classes.where(F.col("bands").isNotNull()).select("key", F.posexplode("bands").alias("band", "value"))
-    leaders = banded.groupBy("band", "value").agg(F.min("key").alias("leader"), F.max("key").alias("last"))
+    """(id, cluster) of texts that share a band hash with another text, directly or over others.
+
+    ``id`` is a 64-bit hash of the key: a collision only adds a candidate, which verification settles.
+    """
+    banded = classes.where(F.col("bands").isNotNull()).select("id", F.posexplode("bands").alias("band", "value"))
+    banded = banded.select("id", F.xxhash64("band", "value").alias("value"))
+    leaders = banded.groupBy("value").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
     leaders = leaders.where(F.col("leader") != F.col("last")).drop("last")
-    links = banded.join(leaders, ["band", "value"]).where(F.col("key") != F.col("leader"))
-    return connected_components(links.select(F.col("key").alias("a"), F.col("leader").alias("b"))).select(
-        F.col("node").alias("key"), F.col("root").alias("cluster")
+    links = banded.join(leaders, "value").where(F.col("id") != F.col("leader"))
+    return connected_components(links.select(F.col("id").alias("a"), F.col("leader").alias("b"))).select(
+        F.col("node").alias("id"), F.col("root").alias("cluster")
     )
 
 
@@ -204,8 +208,8 @@ def verify(docs: DataFrame, members: DataFrame, *, n: int, threshold: float, blo
     spread = spread.select(
         "key", "copies", "cluster", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")
     )
-    texts = docs.select(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("key"), "doc_id", "text")
-    holders = members.select("key", F.col("doc_id").alias("__id"))
+    texts = docs.select(text_key().alias("key"), "doc_id", "text")
+    holders = bounded(members.select("key", F.col("doc_id").alias("__id")))
     texts = texts.join(holders, "key").where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("key", "text")
     keys = ["cluster", "bi", "bj", "key"]
     grouped = spread.join(texts, "key").repartition("cluster", "bi", "bj").sortWithinPartitions(*keys)
@@ -253,6 +257,15 @@ def verify(docs: DataFrame, members: DataFrame, *, n: int, threshold: float, blo
     return map_arrow(grouped.select("cluster", "bi", "bj", "own", "key", "copies", "text"), run, "key binary, links long, root binary")
 
 
+def text_key() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def bounded(small: DataFrame, most_rows: int = 250_000) -> DataFrame:
+    """``small`` (keys and ids) with a broadcast hint if it has at most ``most_rows`` rows; else it is shuffled."""
+    return F.broadcast(small) if small.count() <= most_rows else small.hint("merge")
+
+
 def jaccard_classes(
     docs: DataFrame, *, n: int = 5, threshold: float = 0.8, rows: int = 6, recall: float = 0.9999, block: int = 1024
 ) -> DataFrame:
@@ -266,14 +279,12 @@ def jaccard_classes(
     classes = signed.groupBy("key").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")
     )
-    clusters = candidate_clusters(classes)
-    members = classes.select("key", "doc_id", "copies").join(clusters, "key")
+    classes = stage(classes.withColumn("id", F.xxhash64("key")), "classes")
+    members = classes.select("id", "key", "doc_id", "copies").join(candidate_clusters(classes), "id").drop("id")
     found = stage(verify(docs, stage(members, "members"), n=n, threshold=threshold, block=block), "links")
     components = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
-    summed = signed.groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max(F.col("bands").isNotNull()).alias("worded")
-    )
+    summed = classes.select("key", F.col("doc_id").alias("least"), "copies", F.col("bands").isNotNull().alias("worded"))
     joined = summed.join(counts, "key", "left").join(components.withColumnRenamed("node", "key"), "key", "left")
     joined = joined.withColumn("root", F.coalesce("root", "key"))
     least = joined.where("worded").groupBy("root").agg(F.min("least").alias("component_id"))
@@ -290,11 +301,17 @@ def jaccard_classes(
 def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, all their columns.
 
-    Rows that repeat the chosen document (same id, same text) leave one.  Texts are shuffled once, by id and key.
+    What goes is found by id and text key.  Rows that repeat the chosen document (same id, same text) leave
+    one; only texts of such rows are shuffled, and all texts where too many documents go for a broadcast.
     """
-    chosen = jaccard_classes(docs, **params).where("kept").select(F.col("doc_id").alias("__ff_id"), F.col("key").alias("__ff_key"))
-    chosen = stage(chosen.distinct(), "chosen")
-    keyed = docs.withColumn("__ff_own", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    verdict = stage(jaccard_classes(docs, **params).select(F.col("doc_id").alias("__ff_id"), F.col("key").alias("__ff_key"), "kept"), "verdict")
+    keyed = docs.withColumn("__ff_own", text_key())
     on = (F.col("__ff_own") == F.col("__ff_key")) & F.col("doc_id").eqNullSafe(F.col("__ff_id"))
-    kept = keyed.join(chosen, on, "left_semi")
-    return kept.dropDuplicates(["__ff_own", "doc_id"]).drop("__ff_own")
+    gone = stage(verdict.where(~F.col("kept")).select("__ff_id", "__ff_key").distinct(), "gone")
+    stays = keyed.join(bounded(gone), on, "left_anti")
+    repeated = stage(verdict.where("kept").groupBy("__ff_id", "__ff_key").count().where("count > 1").drop("count"), "repeated")
+    if repeated.isEmpty():
+        return stays.drop("__ff_own")
+    hinted = bounded(repeated)
+    once = stays.join(hinted, on, "left_semi").dropDuplicates(["__ff_own", "doc_id"])
+    return stays.join(hinted, on, "left_anti").unionByName(once).drop("__ff_own")
