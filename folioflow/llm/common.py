@@ -6,80 +6,19 @@ Words everywhere are maximal runs of ``[^\\x20\\x09-\\x0D]+``.  On UTF-8 bytes t
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.graph import connected_components  # noqa: F401
+from ..plans.staging import new_path, stage, unstage  # noqa: F401
+
 #: One word, as a Java / RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-_to_delete: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests, a single machine) a temporary folder is made, once per application.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="folioflow-")
-    return _own_dirs[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; deleted when the driver's process ends."""
-    path = f"{shared_dir(spark)}/folioflow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _to_delete.append((spark, path))
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a path with Hadoop's file system, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _to_delete:
-        try:
-            if spark.sparkContext._jsc is None:
-                return
-            delete(spark, path)
-        except Exception:  # the session may have ended before the process
-            return
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    It cuts the lineage and survives lost executors: nothing of it lives on an executor.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Drop a table made by :func:`stage` that nothing reads any more."""
-    if path := getattr(df, "_staged_at", None):
-        delete(df.sparkSession, path)
-
 
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null; JVM-side."""
@@ -115,53 +54,6 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Components of an undirected graph: ``edges(a, b)`` to ``(node, root)``, root the smallest node.
-
-    Alternating large-star and small-star rounds: every round is a minimum per node and a join, so a hub
-    with millions of links is summed map-side and joined as a splittable skewed key.  Null ends and loops
-    are ignored; nodes without any link do not come out.  Rounds grow with the logarithm of the longest chain.
-    """
-    ok = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    now = stage(ok.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _fingerprint(now)
-    while mark[0]:
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: neighbours above a node link to the least around it
-        large = stage(
-            both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(),
-            "large",
-        )
-        # small star: a node and its neighbours below it link to the least of them
-        down = large.where(F.col("a") != F.col("b"))
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            down.join(lowest, "a")
-            .where(F.col("b") != F.col("m"))
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(lowest.select("a", F.col("m").alias("b")))
-            .distinct()
-        )
-        new = stage(small, "small")
-        new_mark = _fingerprint(new)
-        unstage(now)
-        unstage(large)
-        now = new
-        if new_mark == mark:
-            break
-        mark = new_mark
-    stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def _fingerprint(edges: DataFrame) -> tuple:
-    r = edges.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
-    ).first()
-    return (r["n"], r["s"])
-
-
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Groups of a partition that is sorted by ``keys``, one at a time, over batch borders."""
     held: list[pa.RecordBatch] = []
