@@ -143,8 +143,8 @@ def merge_small(chunks: DataFrame, least: int = 800) -> DataFrame:
 
 def around(lines: DataFrame, anchor: DataFrame, n: int = 10) -> DataFrame:
     """Trimmed, non-blank lines within ``n`` of the first line with each anchor; the anchor's line is left out."""
-    near = anchor.select("doc_id", F.explode(F.sequence(F.col("pos") - n, F.col("pos") + n)).alias("p"), F.col("pos").alias("at"))
-    out = lines.join(near, (lines["doc_id"] == near["doc_id"]) & (lines["pos"] == near["p"])).where("p <> at")
-    return out.where(F.trim("line") != "").groupBy(lines["doc_id"]).agg(
+    near = anchor.select(F.col("doc_id").alias("d"), F.explode(F.sequence(F.col("pos") - n, F.col("pos") + n)).alias("p"), F.col("pos").alias("at"))
+    out = lines.join(near, (F.col("doc_id") == F.col("d")) & (F.col("pos") == F.col("p"))).where("p <> at")
+    return out.where(F.trim("line") != "").groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.trim("line").alias("t")))), lambda x: x["t"]), "\n").alias("context")
     )
