@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -55,7 +56,7 @@ def _first_by_name(rows: DataFrame, side: str) -> DataFrame:
     return rows.groupBy("filename").agg(F.min_by("sha256", order).alias(f"{side}_sha"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of lower-case names."""
     return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)])

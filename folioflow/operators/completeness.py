@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def list_projects(projects: DataFrame, types: DataFrame, statuses: DataFrame, applicants: DataFrame, name: str | None = None) -> DataFrame:
@@ -48,7 +49,7 @@ def document_extractions(documents: DataFrame, extractions: DataFrame) -> DataFr
     return documents.withColumn("path", F.concat(stem, F.lit("/"), base, F.lit("_processed.json"))).join(last, "path")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _running_confidence(values: pd.Series) -> pd.Series:
     def fold(xs):
         out = None

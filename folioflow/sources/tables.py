@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import normal_entry_name
 
@@ -19,7 +18,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 #: Document JSON as the extraction writes it; free-form metadata stays a map.
-DOCUMENT = T.StructType.fromDDL(
+DOCUMENT = (
     "document_name string, markdown string, pages int, chunks array<struct<chunk_id:string, page_content:string, "
     "metadata:map<string,string>, page_numbers:array<int>, "
     "sub_chunks:array<struct<chunk_id:string, page_content:string, metadata:map<string,string>, page_numbers:array<int>>>>>"
