@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vector import dot
 
 
 @dataclass(frozen=True)
@@ -24,33 +25,68 @@ class Spec:
 SPECS = (Spec(4, priority_only=True, skip_local=True), Spec(1, same_document=True), Spec(15, same_document=True, skip_local=True))
 
 
-def neighbours(claims: DataFrame, *, specs: tuple[Spec, ...] = SPECS, lower: float = 0.5, upper: float = 0.95) -> DataFrame:
-    """Nearest claims of each claim by kind: claim_id, spec, rank, other_id, score (cosine).
+def neighbours(claims: DataFrame, *, specs: tuple[Spec, ...] = SPECS, lower: float = 0.5, upper: float = 0.95, block: int = 1024) -> DataFrame:
+    """Nearest claims of each claim by kind: claim_id, spec, rank, other_id, score (cosine, double precision).
 
-    ``claims``: claim_id, project_id, document_id, seq (of its chunk), priority, vector.  Vectors are scaled to unit
-    length once; pairs meet inside a project and, for the kinds that ask for it, inside a document, as
-    an equi-join on those keys.  ``upper`` applies after the limit, so a kind may yield fewer.
+    ``claims``: claim_id, project_id, document_id, seq (of its chunk), priority, vector.  Exact: the claims of a
+    project are cut into blocks of about ``block``; every pair of blocks is one matrix product, which
+    leaves the best of each claim and kind only, and those of all blocks are ranked.  A claim travels once a
+    block of its project; pairs never become rows.  ``upper`` applies after the limit, so a kind may yield fewer.
+    Vectors of no length, or of another length than a block's first, have cosine 0.
     """
-    norm = F.sqrt(dot(F.col("vector"), F.col("vector")))
-    unit = F.when(norm > 0, F.transform("vector", lambda x: x.cast("double") / norm))
-    base = claims.select("claim_id", "project_id", "document_id", "seq", "priority", unit.alias("unit"))
-    other = base.select(*[F.col(c).alias(f"o_{c}") for c in base.columns])
-    local = F.col("document_id").eqNullSafe(F.col("o_document_id")) & (F.abs(F.col("seq") - F.col("o_seq")) <= 1)
-    out = None
-    for number, spec in enumerate(specs, 1):
-        right = other.where("o_priority") if spec.priority_only else other
-        on = (F.col("project_id") == F.col("o_project_id")) & (F.col("claim_id") != F.col("o_claim_id"))
-        if spec.same_document:
-            on = on & (F.col("document_id") == F.col("o_document_id"))
-        pairs = base.join(right, on)
-        if spec.skip_local:
-            pairs = pairs.where(~local)
-        scored = pairs.select("claim_id", F.col("o_claim_id").alias("other_id"), F.coalesce(dot(F.col("unit"), F.col("o_unit")), F.lit(0.0)).alias("score"))
-        best = Window.partitionBy("claim_id").orderBy(F.desc("score"), "other_id")
-        top = scored.where(F.col("score") >= lower).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= spec.limit)
-        top = top.withColumn("spec", F.lit(number))
-        out = top if out is None else out.unionByName(top)
-    return out.where(F.col("score") <= upper).select("claim_id", "spec", "rank", "other_id", "score")
+    keys = ["project_id", "bi", "bj"]
+    sizes = claims.groupBy("project_id").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    rows = claims.select("claim_id", "project_id", "document_id", "seq", "priority", "vector").join(sizes, "project_id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("claim_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("blocks", "other")
+    kind = claims.schema["claim_id"].dataType.simpleString()
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> list[pd.DataFrame]:
+        scores = _unit(left["vector"], right) @ _unit(right["vector"], right).T
+        same = left["document_id"].to_numpy()[:, None] == right["document_id"].to_numpy()[None, :]
+        local = same & (np.abs(left["seq"].to_numpy()[:, None] - right["seq"].to_numpy()[None, :]) <= 1)
+        open_pairs = (left["claim_id"].to_numpy()[:, None] != right["claim_id"].to_numpy()[None, :]) & (scores >= lower)
+        out = []
+        for number, spec in enumerate(specs, 1):
+            ok = open_pairs & (same | (not spec.same_document)) & ~(local & spec.skip_local)
+            if spec.priority_only:
+                ok = ok & right["priority"].to_numpy(bool)[None, :]
+            value = np.where(ok, scores, -np.inf)
+            # right is sorted by claim_id, and the sort is stable: equals go to the smaller id
+            top = np.argsort(-value, axis=1, kind="stable")[:, : spec.limit]
+            row, col = np.repeat(np.arange(len(left)), top.shape[1]), top.ravel()
+            found = ok[row, col]
+            row, col = row[found], col[found]
+            out.append(
+                pd.DataFrame(
+                    {"claim_id": left["claim_id"].to_numpy()[row], "spec": number, "other_id": right["claim_id"].to_numpy()[col], "score": scores[row, col]}
+                )
+            )
+        return out
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("claim_id", kind="stable")
+        a, b = group[group["own"] == key[1]], group[group["own"] == key[2]]
+        return pd.concat(best(a, a) if key[1] == key[2] else best(a, b) + best(b, a))
+
+    candidates = rows.groupBy(*keys).applyInPandas(run, f"claim_id {kind}, spec int, other_id {kind}, score double")
+    order = Window.partitionBy("claim_id", "spec").orderBy(F.desc("score"), "other_id")
+    limits = F.element_at(F.array(*[F.lit(s.limit) for s in specs]), F.col("spec"))
+    ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limits)
+    return ranked.where(F.col("score") <= upper).select("claim_id", "spec", "rank", "other_id", "score")
+
+
+def _unit(vectors: pd.Series, like: pd.DataFrame) -> np.ndarray:
+    """Vectors as rows of length one, or zero."""
+    length = max((len(v) for v in like["vector"] if v is not None), default=0)
+    m = np.zeros((len(vectors), length))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == length:
+            m[i] = v
+    m = np.nan_to_num(m, nan=0.0, posinf=0.0, neginf=0.0)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
 def quota_merge(near: DataFrame, *, most: int = 10) -> DataFrame:

@@ -54,7 +54,7 @@ def _running_confidence(values: pd.Series) -> pd.Series:
     def fold(xs):
         out = None
         for x in xs:
-            out = round(x, 2) if out is None else round(out * x, 2)
+            out = round(float(x), 2) if out is None else round(out * float(x), 2)
         return out
 
     return values.map(fold)

@@ -83,6 +83,22 @@ def test_zone_images_count_once_or_twice(spark):
     assert sorted(r["item"] for r in layout.recurring(items, double_count_zone_images=True).collect()) == [0, 2]
 
 
+def test_neighbours_do_not_depend_on_blocks(spark, sf):
+    c = fixtures.claims(spark, sf)
+    one, many = (claims.neighbours(c, lower=0.2, upper=0.4, block=b).collect() for b in (10_000, 40))
+    key = lambda r: (r["claim_id"], r["spec"], r["rank"], r["other_id"], round(r["score"], 9))
+    assert len(one) > 100 and sorted(map(key, one)) == sorted(map(key, many))
+
+
+def test_neighbour_kinds_and_bounds(spark):
+    rows = [(1, 0, "a", 1, False, [1.0, 0.0]), (2, 0, "a", 2, False, [1.0, 0.01]), (3, 0, "a", 5, False, [1.0, 0.5]), (4, 0, "b", 1, True, [1.0, 0.6]), (5, 9, "b", 1, True, [1.0, 0.0]), (6, 0, "a", 7, False, [0.0, 0.0])]
+    c = spark.createDataFrame(rows, "claim_id int, project_id int, document_id string, seq int, priority boolean, vector array<double>")
+    found = {(r["claim_id"], r["spec"], r["other_id"]) for r in claims.neighbours(c).collect()}
+    # 2 is 1's best of its document but above the bound; 5 is in another project; 6 has no direction
+    assert {f for f in found if f[0] == 1} == {(1, 1, 4), (1, 3, 3)}
+    assert not any(5 in f[::2] or 6 in f[::2] for f in found)
+
+
 def test_clusters_are_cut_and_singletons_stay(spark):
     pairs = spark.createDataFrame([(i, 100 + i, 101 + i) for i in range(7)] + [(50, 1, 2)], "pair int, claim_a_id int, claim_b_id int")
     none = spark.createDataFrame([], "claim_id int, other_id int")
