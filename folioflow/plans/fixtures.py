@@ -88,7 +88,7 @@ def markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 ITEMS = """items AS (
-  SELECT doc_id, pos AS item, pos // 5 AS page, (CASE pos % 4 WHEN 1 THEN 'table' WHEN 2 THEN 'image' ELSE 'text' END) AS type,
+  SELECT doc_id, pos::INT AS item, (pos // 5)::INT AS page, (CASE pos % 4 WHEN 1 THEN 'table' WHEN 2 THEN 'image' ELSE 'text' END) AS type,
     line AS text, line AS table_body, (pos % 3)::BIGINT AS phash, [0.0, ((pos * 97) % 842)::DOUBLE, 100.0, ((pos * 97) % 842)::DOUBLE + 10] AS bbox,
     CASE WHEN pos % 9 = 0 THEN 'Page_Header' ELSE 'text' END AS label, CASE WHEN pos % 13 = 0 THEN 'furniture' END AS layer FROM lines)"""
 
