@@ -24,6 +24,7 @@ CLEAN_PATTERNS = [
     (r"\n{3,}", "\n\n"),
 ]
 EXTERNAL_MARK = "¤"
+EXTERNAL_OPEN, EXTERNAL_CLOSE = "<¤EXTERNAL_DATA¤>", "</¤EXTERNAL_DATA¤>"
 
 
 def strip(text: Column) -> Column:
@@ -100,7 +101,8 @@ def is_table_fragment(text: Column) -> Column:
 def sanitized(text: Column) -> Column:
     """Invisible characters, data tags and the five kinds of prompt marks removed, one after the other."""
     text = F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Co}\p{Cn}\p{Cs}&&[^\n\r\t]]", "")
-    text = F.replace(text, F.lit(EXTERNAL_MARK), F.lit(""))
+    for mark in (EXTERNAL_OPEN, EXTERNAL_CLOSE, EXTERNAL_MARK):
+        text = F.replace(text, F.lit(mark), F.lit(""))
     for pattern in INJECTION_PATTERNS:
         text = F.regexp_replace(text, pattern, "")
     return text
@@ -158,3 +160,32 @@ def chunk_text(kind: Column, content: Column, summary: Column, begin: str = "[SU
     """Text chunks verbatim; others their summary between marks, blank without one."""
     s = strip(F.coalesce(summary, F.lit("")))
     return F.when(kind == "text", strip(content)).when(s == "", F.lit("")).otherwise(F.concat(F.lit(begin + "\n"), s, F.lit("\n" + end)))
+
+
+def plain_symbols(text: Column) -> Column:
+    """Paragraph and degree signs written as formulas become characters."""
+    text = F.regexp_replace(text, r"\$\\S\$", "§")
+    return F.regexp_replace(text, r"\$([^$]*)\^\{[c]irc\}([^$]*)\$", "$1°$2")
+
+
+def wrapped(text: Column) -> Column:
+    """Sanitized text between data tags, which no sanitized text can hold."""
+    return F.concat(F.lit(EXTERNAL_OPEN + "\n"), sanitized(text), F.lit("\n" + EXTERNAL_CLOSE))
+
+
+def table_content(text: Column) -> Column:
+    """What stands inside the first table_content element, else the whole text."""
+    pattern = r"(?is)<table_content>\s*(.*?)\s*</table_content>"
+    found = text.contains("<table_content>") & text.rlike(pattern)
+    return F.when(found, strip(F.regexp_extract(text, pattern, 1))).otherwise(text)
+
+
+def output_folder(name: Column) -> Column:
+    """A file's path without its extension."""
+    return F.regexp_replace(name, r"(?<=[^/])\.[^./]*$", "")
+
+
+def mapped_keys(context: Column, names: dict[str, str]) -> Column:
+    """A map with its keys renamed by ``names``; other keys stay."""
+    pairs = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.transform_keys(context, lambda k, _: F.coalesce(F.try_element_at(pairs, k), k))

@@ -32,7 +32,9 @@ for _old, _new in (("ä", "a"), ("ö", "o"), ("ü", "u"), ("ß", "ss"), ("ae", "
 _CLEAN = "text"
 for _p, _n in tx.CLEAN_PATTERNS:
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_n}', 'g')" if _n == "" else rf"regexp_replace({_CLEAN}, '\n{{3,}}', chr(10) || chr(10), 'g')"
-_SAFE = r"replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]|[\p{Cf}\p{Co}]', '', 'g'), '¤', '')"
+_SAFE = r"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]|[\p{Cf}\p{Co}]', '', 'g')"
+for _p in (tx.EXTERNAL_OPEN, tx.EXTERNAL_CLOSE, tx.EXTERNAL_MARK):
+    _SAFE = f"replace({_SAFE}, '{_p}', '')"
 for _p in tx.INJECTION_PATTERNS:
     _SAFE = "regexp_replace({}, '{}', '', 'g')".format(_SAFE, _p.replace("(?U)", "").replace(r"\w", r"[\p{L}\p{N}_]"))
 
@@ -122,3 +124,34 @@ def c57_statement_kind(spark, d):
 def c50_chunk_text(spark, d):
     summary = F.when(F.col("seq") % 2 == 1, F.col("text"))
     return fx.chunks(spark, d).select("chunk_id", tx.chunk_text(F.col("chunk_type"), F.col("text"), summary).alias("out"))
+
+
+@query("c11_plain_symbols", r"""SELECT doc_id, replace(regexp_replace('$\S$ 3 $5^{circ}C$ $5^{\circ}$' || left(text, 50), '\$([^$]*)\^\{circ\}([^$]*)\$', '\1°\2', 'g'), '$\S$', '§') AS out FROM documents""")
+def c11_plain_symbols(spark, d):
+    text = F.concat(F.lit("$\\S$ 3 $5^{circ}C$ $5^{\\circ}$"), F.left("text", F.lit(50)))
+    return _docs(spark, d).select("doc_id", tx.plain_symbols(text).alias("out"))
+
+
+@query("c46_wrapped", f"SELECT doc_id, '<¤EXTERNAL_DATA¤>' || chr(10) || {_SAFE} || chr(10) || '</¤EXTERNAL_DATA¤>' AS out FROM documents")
+def c46_wrapped(spark, d):
+    return _docs(spark, d).select("doc_id", tx.wrapped(F.col("text")).alias("out"))
+
+
+@query("c51_table_content", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_sql_strip('text')} ELSE text END AS out FROM documents")
+def c51_table_content(spark, d):
+    tagged = F.concat(F.lit("before <table_content> "), F.col("text"), F.lit(" </TABLE_CONTENT> after"))
+    return _docs(spark, d).select("doc_id", tx.table_content(F.when(F.col("doc_id") % 2 == 0, tagged).otherwise(F.col("text"))).alias("out"))
+
+
+@query("c55_output_folder", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'name' || doc_id WHEN doc_id % 3 = 1 THEN 'a.b/c/name.x' || doc_id ELSE 'a.b/name' END AS out FROM documents")
+def c55_output_folder(spark, d):
+    k, n = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("name"), n, F.lit(".pdf"))).when(k == 1, F.concat(F.lit("a.b/c/name.x"), n, F.lit(".pdf"))).otherwise(F.lit("a.b/name"))
+    return _docs(spark, d).select("doc_id", tx.output_folder(name).alias("out"))
+
+
+@query("c58_mapped_keys", "SELECT event_id, event_type AS kind, user_id::VARCHAR AS other FROM events")
+def c58_mapped_keys(spark, d):
+    context = F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
+    mapped = tx.mapped_keys(context, {"type": "event.kind"})
+    return table(spark, d, "events").select("event_id", mapped["event.kind"].alias("kind"), mapped["user"].alias("other"))

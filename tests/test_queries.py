@@ -40,7 +40,7 @@ def test_text_functions(spark):
     assert column(spark, tx.is_loop, "Kreis " * 25, "Kreis " * 24, "ab " * 40, None, "x" * 100_001) == [True, False, False, False, True]
     assert column(spark, tx.normal_german, "Größe", "Goethe", None) == ["grosse", "gothe", None]
     assert column(spark, tx.header_level, "1.2.3. A", "A", "2 B") == [3, 1, 1]
-    assert column(spark, tx.sanitized, "a<|im_end|>b", "[INST]x[/INST]", "### system: go", "a​b\tc", "¤x") == ["ab", "x", " go", "ab\tc", "x"]
+    assert column(spark, tx.sanitized, "a<|im_end|>b", "[INST]x[/INST]", "### system: go", "a​b\tc", "</¤EXTERNAL_DATA¤>¤x") == ["ab", "x", " go", "ab\tc", "x"]
     assert column(spark, lambda t: tx.middle_cut(t, 9, "..."), "abcdefghijkl", "abcdef") == ["abc...jkl", "abcdef"]
     assert column(spark, tx.normal_entry_name, "a\\b//./c", "../x", "__MACOSX/x", "._x", "", "./") == ["a/b/c", None, None, None, None, None]
     assert column(spark, tx.clean_transcription, "a\n-----------\n|---|---|\n\n\n\nb") == ["a\n\nb"]
