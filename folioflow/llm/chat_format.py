@@ -15,6 +15,7 @@ that holds it streams its turns, whatever their number.  Extra columns are not r
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -85,6 +86,7 @@ def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> str:
     return "".join(out)
 
 
+@functools.lru_cache(maxsize=2)
 def load_tokenizer(path: str):
     from tokenizers import AddedToken, Tokenizer
 

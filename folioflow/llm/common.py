@@ -6,6 +6,8 @@ Words everywhere are maximal runs of ``[^\\x20\\x09-\\x0D]+``.  On UTF-8 bytes t
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -76,8 +78,33 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
         yield last, pa.Table.from_batches(held)
 
 
+#: Rows hold whole texts: batches of more rows than this would hold too much at once.
+BATCH_ROWS = 2000
+
+
+def release() -> None:
+    """Give memory that a finished task's Arrow buffers and caches held back to the system, as workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows, for the session from then on."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -14,12 +14,14 @@ Cases: a null text is an empty one and has the end id alone.  Repeated rows are
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,45 +29,90 @@ from .common import map_arrow, runs
 
 CAPACITY = 4096
 END_ID = 2
-_BLANK = regex.compile(r"[\p{White_Space}]+")
+#: The structure of tokenizers that the quick path is exact for, with the same split as a
+#: pattern for ``re``, and the characters for which case mapping and normalization are those of the library.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_PLAIN = re.compile(r"[\x00-\x1b\x20-\x7e\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\u012f\u0132-\u017f\u2010-\u2027\u2030-\u205e\u20ac]*")
+
+
+@functools.lru_cache(maxsize=2)
+def _load(path: str) -> tuple:
+    """The tokenizer, one for single units (None where the quick path is not exact), end-of-word flags, special tokens."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    whole = Tokenizer.from_file(path)
+    made = json.loads(whole.to_str())
+    marks = [t["content"] for t in made["added_tokens"]]
+    split = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+    suffix = made["model"].get("end_of_word_suffix")
+    known = (made["normalizer"] or {}).get("normalizers") == _NORMALIZER and split.get("pattern") == {"Regex": _SPLIT}
+    if not (suffix and known and made["post_processor"] is None):
+        return whole, None, None, marks
+    units = Tokenizer.from_file(path)
+    units.normalizer = normalizers.Sequence([])
+    units.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    vocabulary = whole.get_vocab()
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    for token, i in vocabulary.items():
+        last[i] = token.endswith(suffix)
+    return whole, units, last, marks
 
 
 class WordEncoder:
-    """Ids of a text, word by word, for a tokenizer whose tokens never cross white space.
+    """Ids of texts, as little-endian 32-bit integers, by a tokenizer file of the ``tokenizers`` library.
 
-    Distinct words are encoded once and remembered, as little-endian 32-bit ids; the memory is emptied when
-    it holds ``most`` words.
+    For tokenizers that lower-case and split into runs of letters, digits and the rest, plain texts are split
+    here and each distinct unit is encoded once and remembered; other texts, and all texts for other
+    tokenizers, are encoded whole.  Units are remembered in two generations of ``most`` each.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, most: int = 80_000):
+        self.whole, self.units, self.last, self.marks = _load(path)
+        self.quick = self.units is not None
         self.most = most
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _plain(self, text: str) -> bool:
+        return self.quick and _PLAIN.fullmatch(text) is not None and not any(m in text for m in self.marks)
+
+    def _learn(self, units: set[str]) -> None:
+        if len(self.known) > self.most:
+            self.old, self.known = self.known, {}
+        known, old, new = self.known, self.old, []
+        for u in units.difference(known):
+            found = old.get(u)
+            if found is None:
+                new.append(u)
+            else:
+                known[u] = found
+        for at in range(0, len(new), 2_000):
+            part = new[at : at + 2_000]
+            ids = np.array(self.units.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("a unit of the tokenizer does not end with its end-of-word token")
+            raw, start = ids.tobytes(), 0
+            for u, end in zip(part, (4 * ends).tolist(), strict=True):
+                known[u] = raw[start:end]
+                start = end
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
-            split = [(t or "").split() if (t or "").isascii() and not _odd(t or "") else _BLANK.split(t or "") for t in texts[at : at + 64]]
-            if len(self.known) > self.most:
-                self.known = {"": b""}
-            self.learn(set().union(*split))
+            block = [t or "" for t in texts[at : at + 64]]
+            split = [_UNITS.findall(t.lower()) if self._plain(t) else None for t in block]
+            if self.quick:
+                self._learn(set().union(*[s for s in split if s]))
             known = self.known
-            for words in split:
-                yield b"".join(map(known.__getitem__, words))
-
-
-def _odd(text: str) -> bool:
-    """Whether ``str.split`` sees separators that are no white space to the tokenizer."""
-    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+            for text, units in zip(block, split, strict=True):
+                if units is None:
+                    yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    yield b"".join(map(known.__getitem__, units))
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -76,8 +123,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id:
         encode = WordEncoder(tokenizer)
         end, width = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
                 row, start, ids, total = [], [], [], []
                 for i, raw in enumerate(encode(batch.column(1).to_pylist())):
                     raw += end
