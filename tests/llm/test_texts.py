@@ -98,6 +98,10 @@ def test_secret_base_spans(spark, sf):
         assert set(named(spans).split(",")) - {""} <= set(got["spans"].split(","))
 
 
+def test_secrets_match_sql(spark, sf, duck):
+    same_rows(queries.op7_secret_scan(spark, sf), duck.sql(queries.op7_sql()))
+
+
 def test_ownership_separates_examples(spark):
     live, example = "Zx9QwLm82KdPq7Vt5RyB3", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7"
     rows = [(i, f"see {example} here", f"owner{i}", "r") for i in range(5)] + [(9, f"my {live} here", "owner9", "r"), (9, f"my {live} here", "owner9", "r")]
