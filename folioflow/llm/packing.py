@@ -29,11 +29,12 @@ from .common import map_arrow, runs
 
 CAPACITY = 4096
 END_ID = 2
-#: The structure of tokenizers that the quick path is exact for, with the same split as a
-#: pattern for ``re``, and the characters for which case mapping and normalization are those of the library.
+#: The structure of tokenizers that the quick path is exact for, with the same split of
+#: lower-case plain text as a pattern for ``re``, and the characters for which case mapping and normalization are those of the library.
 _NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_LETTER = "a-z\\xdf-\\xf6\\xf8-\\u012f\\u0132-\\u017f"
+_UNITS = re.compile(rf"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s0-9{_LETTER}]+")
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7e\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\u012f\u0132-\u017f\u2010-\u2027\u2030-\u205e\u20ac]*")
 
 
@@ -70,7 +71,7 @@ class WordEncoder:
     tokenizers, are encoded whole.  Units are remembered in two generations of ``most`` each.
     """
 
-    def __init__(self, path: str, most: int = 80_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.whole, self.units, self.last, self.marks = _load(path)
         self.quick = self.units is not None
         self.most = most
@@ -102,8 +103,8 @@ class WordEncoder:
                 start = end
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 64):
-            block = [t or "" for t in texts[at : at + 64]]
+        for at in range(0, len(texts), 128):
+            block = [t or "" for t in texts[at : at + 128]]
             split = [_UNITS.findall(t.lower()) if self._plain(t) else None for t in block]
             if self.quick:
                 self._learn(set().union(*[s for s in split if s]))
@@ -205,7 +206,7 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, groups: int = 1) -> DataFr
     names = cut.columns
     hashed = F.xxhash64("doc_id", "start", "doc_tokens", "ids")
     dealt = cut.withColumn("__group", F.pmod(hashed, F.lit(groups)).cast("long")).withColumn("__hash", hashed)
-    dealt = dealt.repartition(max(1, groups // 4), "__group").sortWithinPartitions("__group", F.desc("length"), "__hash", "doc_id")
+    dealt = dealt.repartition(groups, "__group").sortWithinPartitions("__group", F.desc("length"), "__hash", "doc_id")
 
     def emit(table: pa.Table, sequence: list[int], offset: list[int]) -> Iterator[pa.RecordBatch]:
         out = table.select(names).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
