@@ -1,8 +1,9 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-DataFrame functions only.  Units are the lines of a file (headers and notices) and the file as a whole.  Terms
+DataFrame functions only.  Units are the lines of a file (notices), header blocks and the file as a whole.  A
+block starts at a line and holds as many terms as a template has, over line breaks and comment marks.  Terms
 are weighted ``(1 + ln tf) * idf``, with document frequencies counted over the templates; terms that no
-template has weigh most.  The best template at or above the threshold names a file's own license.  Files
+template has weigh most.  ``BLOCKS`` adds texts, titles and tags; they leave those frequencies alone.  The best template at or above the threshold names a file's own license.  Files
 without one take that of the nearest ancestor directory (their own first) that holds a license file with
 a match; directories are joined by path.
 
@@ -29,7 +30,7 @@ TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 LICENSE_FILE = r"(?i)^(?:licen[cs]e|copying|unlicense)(?:[._-][^/]*)?$"
 THRESHOLD = 0.75
 #: Words of everyday prose that make poor anchors.
-COMMON = {"with", "without", "under", "either", "this", "that", "from", "work", "file", "later", "http", "following", "source", "code"}
+COMMON = {"with", "without", "under", "either", "this", "that", "from", "work", "file", "later", "http", "following", "source", "code", "only", "identifier"}
 
 #: Notices and grants of common licenses, public texts.  The operator takes any other list.
 TEMPLATES = [
@@ -53,18 +54,67 @@ TEMPLATES = [
 ]
 
 
-def template_weights(templates: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
-    """(number, license, term, unit weight) rows, idf by term, and the idf of a term that no template has."""
-    counted = [Counter(re.findall(TERM, text.lower())) for _, text in templates]
-    frequency = Counter(t for c in counted for t in c)
+_BSD = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_MIT_END = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_END = "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_UNLICENSE_END = "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+_GNU = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version."
+#: Identifiers of SPDX tags; a version that ``TEMPLATES`` lacks is listed, as it would pass for its neighbour.
+SPDX = ["Apache-1.1", "Apache-2.0", "MIT", "MIT-0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "AGPL-1.0", "AGPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "MPL-1.1", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense"]
+
+#: Full texts of short licenses, version titles and openings of long ones, headers by version, SPDX tags.
+BLOCKS = [
+    ("MIT", dict(TEMPLATES)["MIT"] + ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: " + _MIT_END),
+    ("ISC", dict(TEMPLATES)["ISC"] + " " + _ISC_END),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_3}"),
+    ("BSD-3-Clause", f"{dict(TEMPLATES)['BSD-3-Clause']}: {_BSD} {_BSD_3} {_BSD_END}"),
+    ("Unlicense", dict(TEMPLATES)["Unlicense"] + " " + _UNLICENSE_END),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    *[(f"{n}-{v if '.' in v else v + '.0'}", _GNU.format(w, c, k, v))
+      for n, k, versions in (("GPL", "", ("1", "2", "3")), ("LGPL", "Library ", ("2",)), ("LGPL", "Lesser ", ("2.1", "3")), ("AGPL", "Affero ", ("3",)))
+      for v in versions for w, c in (("program", ":"), ("library", ";"))],
+    *[(n, f"SPDX-License-Identifier: {n}{end}") for n in SPDX for end in (("", "-only", "-or-later") if "GPL" in n else ("",))],
+]
+#: Shorter templates are those of single lines.
+BLOCK_TERMS = 5
+#: Templates with this term are tags, which stand in one line.
+TAG = "spdx"
+
+
+def template_weights(
+    templates: list[tuple[str, str]], blocks: list[tuple[str, str]] = ()
+) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+    """(number, license, term, unit weight) rows, idf by term, and the idf of a term that no template has.
+
+    ``blocks`` are numbered after the templates; frequencies are those of the templates.
+    """
+    listed = [*templates, *blocks]
+    counted = [Counter(re.findall(TERM, text.lower())) for _, text in listed]
+    frequency = Counter(t for c in counted[: len(templates)] for t in c)
     n = len(templates)
     idf = {t: math.log((1 + n) / (1 + f)) + 1 for t, f in frequency.items()}
+    rare = math.log(1 + n) + 1
     rows = []
-    for i, ((name, _), c) in enumerate(zip(templates, counted, strict=True)):
-        raw = {t: (1 + math.log(k)) * idf[t] for t, k in c.items()}
+    for i, ((name, _), c) in enumerate(zip(listed, counted, strict=True)):
+        raw = {t: (1 + math.log(k)) * idf.get(t, rare) for t, k in c.items()}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         rows += [(i, name, t, w / norm) for t, w in sorted(raw.items())]
-    return rows, idf, math.log(1 + n) + 1
+    return rows, idf, rare
 
 
 def anchors(rows: list[tuple[int, str, str, float]], threshold: float) -> list[str]:
@@ -81,11 +131,52 @@ def anchors(rows: list[tuple[int, str, str, float]], threshold: float) -> list[s
     return sorted(out)
 
 
-def score_units(units: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+def any_term(terms: list[str]) -> str:
+    """A pattern for texts with one of the terms; terms are gathered by first letter, which is quicker."""
+    heads: dict[str, list[str]] = {}
+    for t in sorted(terms):
+        heads.setdefault(t[0], []).append(re.escape(t[1:]))
+    return "(?i)(?<![a-z0-9])(?:" + "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in heads.items()) + ")(?![a-z0-9])"
+
+
+def block_units(texts: DataFrame, rows: list[tuple[int, str, str, float]], lengths: list[int], threshold: float) -> DataFrame:
+    """``texts`` (text_key, text) to (text_key, unit): blocks of adjacent lines that may reach the threshold.
+
+    For a template of n terms a block is the first n terms from the start of a line on.  Left out are blocks
+    without an anchor of the template and those that share too little of its weight: both bounds are exact.
+    """
+    shapes, tests = [], []
+    for i, n in enumerate(lengths):
+        own = [r for r in rows if r[0] == i]
+        if n < BLOCK_TERMS or TAG in {t for _, _, t, _ in own}:
+            continue
+        found = anchors(own, threshold)
+        shapes.append((i, n, found, [(t, w * w) for _, _, t, w in own]))
+        tests.append(F.when(F.col("text").rlike(any_term(found)), F.lit(i)))
+    if not shapes:
+        return texts.select("text_key", F.col("text").alias("unit")).limit(0)
+    kinds = "block int, n int, anchors array<string>, weights array<struct<term: string, w: double>>"
+    shape = texts.sparkSession.createDataFrame(shapes, kinds)
+    hit = texts.select("text_key", "text", F.explode(F.array_compact(F.array(*tests))).alias("block")).join(F.broadcast(shape), "block")
+    bare = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(F.lower(x), r"^\s*(?:rem|dnl)\b", ""))
+    terms = F.transform(F.filter(bare, lambda x: x.rlike("[a-z0-9]")), lambda x: F.slice(F.regexp_extract_all(x, F.lit(TERM), F.lit(0)), F.lit(1), F.col("n")))
+
+    def blocks_of(held: Column) -> Column:
+        hot = F.array_compact(F.transform(held, lambda x, i: F.when(F.arrays_overlap(x, "anchors"), i + 1)))
+        starts = F.array_distinct(F.flatten(F.transform(hot, lambda i: F.sequence(F.greatest(F.lit(1), i - F.col("n") + 1), i))))
+        return F.transform(starts, lambda i: F.slice(F.flatten(F.slice(held, i, F.col("n"))), F.lit(1), F.col("n")))
+
+    # inside a lambda the terms are a value: as a column they would be found again for every line
+    found = hit.select("text_key", "weights", F.explode(F.flatten(F.transform(F.array(terms), blocks_of))).alias("held"))
+    shared = F.aggregate("weights", F.lit(0.0), lambda s, x: s + F.when(F.array_contains("held", x["term"]), x["w"]).otherwise(0.0))
+    return found.where(shared >= (threshold - 1e-6) ** 2).select("text_key", F.array_join("held", " ").alias("unit"))
+
+
+def score_units(units: DataFrame, templates: list[tuple[str, str]], threshold: float, blocks: list[tuple[str, str]] = ()) -> DataFrame:
     """``units`` (key, unit; distinct keys) to (key, license, score) of those at or above the threshold."""
     spark = units.sparkSession
-    rows, idf, rare = template_weights(templates)
-    weights = spark.createDataFrame([(i, n, t, w, idf[t]) for i, n, t, w in rows], "template int, license string, term string, weight double, idf double")
+    rows, idf, rare = template_weights(templates, blocks)
+    weights = spark.createDataFrame([(i, n, t, w, idf.get(t, rare)) for i, n, t, w in rows], "template int, license string, term string, weight double, idf double")
     idfs = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     terms = units.select("key", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(TERM), F.lit(0))).alias("term"))
     tf = terms.groupBy("key", "term").agg((1 + F.log(F.count("*").cast("double"))).alias("tf"))
@@ -105,15 +196,16 @@ def best(scored: DataFrame, key: str) -> DataFrame:
 
 
 def scan(
-    files: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD
+    files: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, blocks: list[tuple[str, str]] = BLOCKS, threshold: float = THRESHOLD
 ) -> DataFrame:
     """One row per row of ``files`` (doc_id, path, text): doc_id, path, license, score, method, origin.
 
     ``method`` is own (a unit of the file matched) or inherited; ``origin`` is the directory inherited from.
     The templates are a list of the driver's, so their broadcast is as small as that list.
     """
-    found = anchors(template_weights(templates)[0], threshold)
-    pattern = "(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in found) + ")(?![a-z0-9])"
+    rows = template_weights(templates, blocks)[0]
+    pattern = any_term(anchors(rows, threshold))
+    lengths = [len(re.findall(TERM, t.lower())) for _, t in [*templates, *blocks]]
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.unhex(F.md5(text))
     marked = files.select("doc_id", "path", F.when(text.rlike(pattern), key).alias("text_key"))
@@ -124,9 +216,9 @@ def scan(
     gated = files.where(text.rlike(pattern)).select(key.alias("text_key"), "text")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
     units = gated.select("text_key", F.explode(F.array_distinct(F.concat(lines, F.array("text")))).alias("unit"))
-    units = units.withColumn("key", F.unhex(F.md5("unit")))
+    units = units.unionByName(block_units(gated, rows, lengths, threshold)).withColumn("key", F.unhex(F.md5("unit")))
     distinct = stage(units.groupBy("key").agg(F.any_value("unit").alias("unit")), "units")
-    per_text = units.select("text_key", "key").distinct().join(score_units(distinct, templates, threshold), "key")
+    per_text = units.select("text_key", "key").distinct().join(score_units(distinct, templates, threshold, blocks), "key")
     own = best(per_text.select("text_key", "license", "score"), "text_key")
     told = stage(marked.join(own, "text_key", "left").drop("text_key"), "own")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -142,6 +143,30 @@ def test_licence_inheritance(spark):
     assert license_scan.scan(files.limit(0)).count() == 0
 
 
+def comment(text, mark, width=70):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_licence_blocks(spark):
+    named = {n: [t for m, t in license_scan.TEMPLATES + license_scan.BLOCKS if m == n] for n, _ in license_scan.TEMPLATES + license_scan.BLOCKS}
+    gpl3, gpl2 = (next(t for t in named[n] if t.startswith("This program")) for n in ("GPL-3.0", "GPL-2.0"))
+    full = {n: max(named[n], key=len) for n in ("MIT", "ISC", "BSD-3-Clause")}
+    clauses = full["BSD-3-Clause"].split("met: ")[1].split(" THIS SOFTWARE")[0]
+    code = "import os\n\nprint(os.name)\nvalue = compute(other)\n" * 20
+    head = "#!/usr/bin/python\n# tool.py: prints names\n# Copyright (C) 2020 Somebody\n#\n"
+    cases = [
+        ("GPL-3.0", head + comment(gpl3, "# ") + "\n" + code), ("GPL-2.0", head + comment(gpl2, " * ") + "\n" + code), ("GPL-3.0", comment(gpl3, "dnl ", 40) + "\n" + code),
+        ("ISC", comment(full["ISC"], "// ") + "\n" + code), ("BSD-3-Clause", comment(clauses, "  ", 60)), ("MIT", "Copyright (c) 2020 Somebody\n\n" + comment(full["MIT"], "")),
+        ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\n" + code), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */\n" + code), (None, "# SPDX-License-Identifier: Zlib\n" + code),
+        ("Apache-2.0", "   Apache License\n   Version 2.0, January 2004\n" + "terms and conditions\n" * 50), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n" + "preamble words\n" * 50),
+        ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n" + "words\n" * 50),
+        ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n" + "words\n" * 50), (None, code), (None, "\n\n"),
+    ]
+    files = spark.createDataFrame([(i, f"d{i}/x.py", t) for i, (_, t) in enumerate(cases)], "doc_id long, path string, text string")
+    found = {r["doc_id"]: r["license"] for r in license_scan.scan(files).collect()}
+    assert [found[i] for i in range(len(cases))] == [n for n, _ in cases]
+
+
 def test_anchors_cover_every_match():
     rows = license_scan.template_weights(license_scan.TEMPLATES)[0]
     chosen = set(license_scan.anchors(rows, license_scan.THRESHOLD))
