@@ -10,7 +10,7 @@ from ..operators import graph as gr
 from ..operators import layout as la
 from ..sources.tables import table
 from . import fixtures as fx
-from .registry import query
+from .registry import SQL, query
 
 
 def _flat(df, *arrays):
@@ -20,6 +20,11 @@ def _flat(df, *arrays):
     return df
 
 
+def _whole(name: str) -> str:
+    """The SQL of a query, over whole headings."""
+    return SQL[name].replace(fx.MARKDOWN, fx.WHOLE_MARKDOWN)
+
+
 @query("w1_links", f"""WITH {fx.CHUNKS} SELECT chunk_id, lag(chunk_id) OVER w AS previous_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM chunks
   WINDOW w AS (PARTITION BY document_id ORDER BY seq)""")
 def w1_links(spark, d):
@@ -84,17 +89,32 @@ def c29_header_nodes(spark, d):
     return ch.header_nodes(fx.markdown(spark, d))
 
 
+@query("c29_header_nodes_whole", _whole("c29_header_nodes"))
+def c29_header_nodes_whole(spark, d):
+    return ch.header_nodes(fx.whole_markdown(spark, d))
+
+
 @query("w12_heading_parents", f"""WITH {_HEADS} SELECT doc_id, line::INT AS line, (SELECT max(o.line) FROM heads o WHERE o.doc_id = h.doc_id AND o.line < h.line AND o.level < h.level
     )::INT AS parent FROM heads h""")
 def w12_heading_parents(spark, d):
     return ch.heading_parents(ch.header_nodes(fx.markdown(spark, d))).select("doc_id", "line", "parent")
 
 
+@query("w12_heading_parents_whole", _whole("w12_heading_parents"))
+def w12_heading_parents_whole(spark, d):
+    return ch.heading_parents(ch.header_nodes(fx.whole_markdown(spark, d))).select("doc_id", "line", "parent")
+
+
 @query("w15_node_ids", f"WITH {_HEADS} SELECT doc_id, line::INT AS line, lpad((row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1)::VARCHAR, 4, '0') AS node_id FROM heads")
 def w15_node_ids(spark, d):
     return gr.pre_order(ch.header_nodes(fx.markdown(spark, d)).withColumn("ord", F.col("line"))).select("doc_id", "line", "node_id")
 
 
+@query("w15_node_ids_whole", _whole("w15_node_ids"))
+def w15_node_ids_whole(spark, d):
+    return gr.pre_order(ch.header_nodes(fx.whole_markdown(spark, d)).withColumn("ord", F.col("line"))).select("doc_id", "line", "node_id")
+
+
 @query("w6_section_ranges", f"""WITH {_HEADS} SELECT h.doc_id, h.line::INT AS line, coalesce(lead(h.line) OVER (PARTITION BY h.doc_id ORDER BY h.line) - 1, len(md.lines))::INT AS last_line
   FROM heads h JOIN md USING (doc_id)""")
 def w6_section_ranges(spark, d):
@@ -103,6 +123,13 @@ def w6_section_ranges(spark, d):
     return ch.node_text_ranges(ch.header_nodes(docs).join(n, "doc_id"), F.col("n")).select("doc_id", "line", "last_line")
 
 
+@query("w6_section_ranges_whole", _whole("w6_section_ranges"))
+def w6_section_ranges_whole(spark, d):
+    docs = fx.whole_markdown(spark, d)
+    n = docs.select("doc_id", F.size(F.split("markdown", "\n")).alias("n"))
+    return ch.node_text_ranges(ch.header_nodes(docs).join(n, "doc_id"), F.col("n")).select("doc_id", "line", "last_line")
+
+
 @query("w14_sections", rf"""WITH {fx.MARKDOWN}, l AS (SELECT doc_id, unnest(range(0, len(lines))) AS pos, unnest(lines) AS line FROM md),
   h AS (SELECT *, regexp_extract(line, '^(##?)\s+(.*)$', 1) AS mark, trim(regexp_extract(line, '^(##?)\s+(.*)$', 2)) AS title FROM l),
   s AS (SELECT *, sum((mark <> '')::INT) OVER w AS section, last_value(CASE WHEN mark = '#' THEN title END IGNORE NULLS) OVER w AS h1,
@@ -112,6 +139,11 @@ def w14_sections(spark, d):
     return ch.sections(fx.markdown(spark, d))
 
 
+@query("w14_sections_whole", _whole("w14_sections"))
+def w14_sections_whole(spark, d):
+    return ch.sections(fx.whole_markdown(spark, d))
+
+
 @query("c10_page_parts", f"""WITH {fx.LINES}, p AS (SELECT doc_id, (pos - 1) // 5 AS part, string_agg('<seite nummer="' || pos || '" />' || line || chr(10), '' ORDER BY pos) AS text FROM lines WHERE pos > 0 GROUP BY ALL)
   SELECT doc_id, part::INT AS part, text FROM p""")
 def c10_page_parts(spark, d):

@@ -11,7 +11,7 @@ from ..operators import enrich as en
 from ..operators import folds
 from ..sources.tables import table
 from . import fixtures as fx
-from .registry import query
+from .registry import SQL, query
 
 
 @query("j13_merge_metadata", f"""WITH {fx.CHUNKS} SELECT chunk_id, CASE WHEN seq % 2 = 0 THEN 'topic-' || seq ELSE toc_path END AS toc_path, CASE WHEN seq % 3 = 0 THEN seq END AS scale FROM chunks""")
@@ -90,6 +90,14 @@ def a11_subtree_tokens(spark, d):
     return en.subtree_tokens(nodes).select("doc_id", "line", "total_tokens")
 
 
+@query("a11_subtree_tokens_whole", SQL["a11_subtree_tokens"].replace(fx.MARKDOWN, fx.WHOLE_MARKDOWN))
+def a11_subtree_tokens_whole(spark, d):
+    docs = fx.whole_markdown(spark, d)
+    text = F.element_at(F.split("markdown", "\n"), F.col("line"))
+    nodes = ch.header_nodes(docs).join(docs, "doc_id").select("doc_id", "line", "level", F.length(text).alias("tokens"))
+    return en.subtree_tokens(nodes).select("doc_id", "line", "total_tokens")
+
+
 @query("c34_grid_html", """WITH c AS (SELECT o_custkey AS table_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row, o_orderpriority AS a, o_orderstatus AS b FROM orders)
   SELECT table_id, '<table>' || string_agg('<tr>' || CASE WHEN row % 3 = 0 THEN '<th colspan="2">' || a || '</th>' ELSE '<td>' || a || '</td>' || CASE WHEN row % 3 = 1 THEN '<td>&lt;' || b || '&amp;</td>' ELSE '<td></td>' END END || '</tr>', '' ORDER BY row) || '</table>' AS html
   FROM c WHERE table_id IN (SELECT table_id FROM c WHERE row > 0) GROUP BY table_id""")

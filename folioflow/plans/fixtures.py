@@ -87,6 +87,17 @@ def markdown(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(marked, "\n").alias("markdown"))
 
 
+WHOLE_MARKDOWN = """md AS (
+  SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 4 WHEN 0 THEN '# ' || x
+    WHEN 2 THEN '## ' || x ELSE x END) AS lines FROM documents)"""
+
+
+def whole_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """As ``markdown``, with the whole line in each heading."""
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 4 == 0, "# ").when(i % 4 == 2, "## ").otherwise(""), x))
+    return table(spark, d, "documents").select("doc_id", F.array_join(marked, "\n").alias("markdown"))
+
+
 ITEMS = """items AS (
   SELECT doc_id, pos::INT AS item, (pos // 5)::INT AS page, (CASE pos % 4 WHEN 1 THEN 'table' WHEN 2 THEN 'image' ELSE 'text' END) AS type,
     line AS text, line AS table_body, (pos % 3)::BIGINT AS phash, [0.0, ((pos * 97) % 842)::DOUBLE, 100.0, ((pos * 97) % 842)::DOUBLE + 10] AS bbox,

@@ -169,3 +169,14 @@ def test_library_does_not_need_the_training_operators():
     code = "import sys; sys.modules['folioflow.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=re.sub(r"/tests/.*", "", __file__), check=True)
     assert int(out.stdout) == len(QUERIES)
+
+
+def test_whole_headings_keep_every_character(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in tables.table(spark, sf, "documents").collect() if r["text"] is not None}
+    parts = {}
+    for r in QUERIES["w14_sections_whole"](spark, sf).collect():
+        parts.setdefault(r["doc_id"], []).append((r["section"], r["text"]))
+    for k, text in texts.items():
+        marked = [("# ", "", "## ", "")[i % 4] + x for i, x in enumerate(text.split("\n"))]
+        assert "\n".join(t for _, t in sorted(parts[k])) == "\n".join(marked)
+    assert any(len(x) > 20 for t in texts.values() for x in t.split("\n")[::4])
