@@ -132,6 +132,13 @@ def c11_plain_symbols(spark, d):
     return _docs(spark, d).select("doc_id", tx.plain_symbols(text).alias("out"))
 
 
+@query("c11_plain_symbols_whole", r"""WITH m AS (SELECT doc_id, '$\S$ 3 $5^{circ}C$ $5^{\circ}$' || text || ' $\S$ $7^{circ}F$' AS t FROM documents)
+  SELECT doc_id, replace(regexp_replace(t, '\$([^$]*)\^\{circ\}([^$]*)\$', '\1°\2', 'g'), '$\S$', '§') AS out FROM m""")
+def c11_plain_symbols_whole(spark, d):
+    text = F.concat(F.lit("$\\S$ 3 $5^{circ}C$ $5^{\\circ}$"), F.col("text"), F.lit(" $\\S$ $7^{circ}F$"))
+    return _docs(spark, d).select("doc_id", tx.plain_symbols(text).alias("out"))
+
+
 @query("c46_wrapped", f"SELECT doc_id, '<¤EXTERNAL_DATA¤>' || chr(10) || {_SAFE} || chr(10) || '</¤EXTERNAL_DATA¤>' AS out FROM documents")
 def c46_wrapped(spark, d):
     return _docs(spark, d).select("doc_id", tx.wrapped(F.col("text")).alias("out"))

@@ -180,3 +180,10 @@ def test_whole_headings_keep_every_character(spark, sf):
         marked = [("# ", "", "## ", "")[i % 4] + x for i, x in enumerate(text.split("\n"))]
         assert "\n".join(t for _, t in sorted(parts[k])) == "\n".join(marked)
     assert any(len(x) > 20 for t in texts.values() for x in t.split("\n")[::4])
+
+
+def test_whole_symbols_reach_the_end(spark, sf):
+    out = {r["doc_id"]: r["out"] for r in QUERIES["c11_plain_symbols_whole"](spark, sf).collect()}
+    plain = [r for r in tables.table(spark, sf, "documents").collect() if r["text"] and "$" not in r["text"]]
+    assert any(len(r["text"]) > 50 for r in plain)
+    assert all(out[r["doc_id"]].endswith(r["text"] + " § 7°F") for r in plain)
