@@ -87,6 +87,13 @@ def _pairs(spark, d):
     )
 
 
+def _clusters(pairs, claims):
+    other = claims.select(F.col("claim_id").alias("other_id"), "document_id", F.col("vector").alias("o"))
+    similar = claims.join(other, "document_id").where((F.col("claim_id") != F.col("other_id")) & (cosine(F.col("vector"), F.col("o")) >= MERGE))
+    found = connected_components(cl.pair_edges(pairs, similar.select("claim_id", "other_id")))
+    return cl.clusters(pairs, found).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
 @query("j20_pair_payloads", f"""WITH {_PAIRS} SELECT pair, a.document_id AS document_a, b.document_id AS document_b, a.claim_id IS NOT NULL AND b.claim_id IS NOT NULL AS complete
   FROM pairs LEFT JOIN claims a ON a.claim_id = claim_a_id LEFT JOIN claims b ON b.claim_id = claim_b_id""")
 def j20_pair_payloads(spark, d):
@@ -100,12 +107,30 @@ def j20_pair_payloads(spark, d):
   roots AS (SELECT a AS pair, min(b) AS cluster FROM reach GROUP BY a)
   SELECT cluster, array_to_string(list_sort(list(pair))[1:5], ',') AS members, greatest(count(*) - 5, 0)::BIGINT AS n_dropped FROM roots GROUP BY cluster""")
 def a14_clusters(spark, d):
-    claims = fx.claims(spark, d)
-    other = claims.select(F.col("claim_id").alias("other_id"), "document_id", F.col("vector").alias("o"))
-    similar = claims.join(other, "document_id").where((F.col("claim_id") != F.col("other_id")) & (cosine(F.col("vector"), F.col("o")) >= MERGE))
-    pairs = _pairs(spark, d)
-    found = connected_components(cl.pair_edges(pairs, similar.select("claim_id", "other_id")))
-    return cl.clusters(pairs, found).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    return _clusters(_pairs(spark, d), fx.claims(spark, d))
+
+
+_ALL_PAIRS = f"""{fx.CLAIMS}, n AS (SELECT count(*) AS n FROM claims), pairs AS (SELECT claim_id AS pair, claim_id AS claim_a_id, (claim_id * 7 + 1) % n AS claim_b_id FROM claims, n)"""
+
+
+def _all_pairs(spark, d):
+    c = fx.claims(spark, d).select("claim_id")
+    n = c.agg(F.count("*").alias("n"))
+    return c.join(F.broadcast(n)).select(
+        F.col("claim_id").alias("pair"), F.col("claim_id").alias("claim_a_id"), ((F.col("claim_id") * 7 + 1) % F.col("n")).alias("claim_b_id")
+    )
+
+
+@query("j20_pair_payloads_whole", f"""WITH {_ALL_PAIRS} SELECT pair, a.document_id AS document_a, b.document_id AS document_b, a.claim_id IS NOT NULL AND b.claim_id IS NOT NULL AS complete
+  FROM pairs LEFT JOIN claims a ON a.claim_id = claim_a_id LEFT JOIN claims b ON b.claim_id = claim_b_id""")
+def j20_pair_payloads_whole(spark, d):
+    return cl.pair_payloads(_all_pairs(spark, d), fx.claims(spark, d)).select("pair", "document_a", "document_b", "complete")
+
+
+@query("a14_clusters_whole")
+def a14_clusters_whole(spark, d):
+    """A pair begins at every claim; a recursive SQL would be too slow, so the tests hold it against brute force."""
+    return _clusters(_all_pairs(spark, d), fx.claims(spark, d))
 
 
 @query("a15_local_numbers", """WITH e AS (SELECT o_custkey % 10 AS cluster, o_orderkey AS ord, o_custkey % 37 AS a, o_orderkey % 41 AS b FROM orders),

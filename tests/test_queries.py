@@ -187,3 +187,40 @@ def test_whole_symbols_reach_the_end(spark, sf):
     plain = [r for r in tables.table(spark, sf, "documents").collect() if r["text"] and "$" not in r["text"]]
     assert any(len(r["text"]) > 50 for r in plain)
     assert all(out[r["doc_id"]].endswith(r["text"] + " § 7°F") for r in plain)
+
+
+def test_whole_clusters_against_brute_force(spark, sf):
+    import numpy as np
+
+    rows = tables.table(spark, sf, "embeddings").orderBy("vec_id").collect()
+    ids, n = [r["vec_id"] for r in rows], len(rows)
+    v = np.array([r["embedding"] for r in rows], dtype=float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.array([r["label"] for r in rows])
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def join(a, b):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+
+    holders = {}
+    for i in ids:
+        for c in (i, (i * 7 + 1) % n):
+            holders.setdefault(c, []).append(i)
+    near = ((v @ v.T >= 0.35) & (label[:, None] == label)) | np.eye(n, dtype=bool)
+    for x, y in zip(*np.nonzero(near)):
+        for p in holders.get(ids[x], []):
+            for q in holders.get(ids[y], []):
+                join(p, q)
+    groups = {}
+    for i in ids:
+        groups.setdefault(find(i), []).append(i)
+    expected = sorted((k, ",".join(map(str, m[:5])), max(len(m) - 5, 0)) for k, m in groups.items())
+    found = QUERIES["a14_clusters_whole"](spark, sf).collect()
+    assert sorted((r["cluster"], r["members"], r["n_dropped"]) for r in found) == expected
+    assert QUERIES["j20_pair_payloads_whole"](spark, sf).count() == n
