@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import models
+from ..functions.vector import bit_signature
 from ..operators import chunks as ch
 from ..operators import enrich as en
 from ..operators import folds
@@ -126,7 +127,15 @@ def c9_split_oversized(spark, d):
 
 @query("a2_image_leaders")
 def a2_image_leaders(spark, d):
-    return folds.image_leaders(fx.items(spark, d).where("type = 'image'"), 0)
+    """Sign bits of the vectors are the hashes, a label is the document; the production distance of 8.
+
+    No two vectors of a label are that near, so each image has a copy with 0 to 12 bits flipped.
+    """
+    k = F.col("vec_id")
+    hashes = table(spark, d, "embeddings").select(F.col("label").alias("doc_id"), k, bit_signature(F.col("embedding")).alias("h"))
+    copy = F.struct((k * 2 + 1).alias("item"), F.col("h").bitwiseXOR(F.expr("shiftleft(1L, int(vec_id % 13)) - 1")).alias("phash"))
+    images = hashes.select("doc_id", F.explode(F.array(F.struct((k * 2).alias("item"), F.col("h").alias("phash")), copy)).alias("i"))
+    return folds.image_leaders(images.select("doc_id", "i.item", "i.phash"))
 
 
 @query("j15_match_enrichment")

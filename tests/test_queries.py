@@ -224,3 +224,19 @@ def test_whole_clusters_against_brute_force(spark, sf):
     found = QUERIES["a14_clusters_whole"](spark, sf).collect()
     assert sorted((r["cluster"], r["members"], r["n_dropped"]) for r in found) == expected
     assert QUERIES["j20_pair_payloads_whole"](spark, sf).count() == n
+
+
+def test_image_leaders_join_near_hashes(spark, sf):
+    hashes, leaders, expected, distances = {}, {}, {}, set()
+    for r in tables.table(spark, sf, "embeddings").orderBy("vec_id").collect():
+        first = int("".join("01"[x > 0] for x in r["embedding"][:64]), 2)
+        for item, h in ((2 * r["vec_id"], first), (2 * r["vec_id"] + 1, first ^ ((1 << r["vec_id"] % 13) - 1))):
+            held = leaders.setdefault(r["label"], [])
+            own = next((i for i in held if (h ^ hashes[i]).bit_count() <= 8), item)
+            if own == item:
+                held.append(own)
+            else:
+                distances.add((h ^ hashes[own]).bit_count())
+            hashes[item], expected[item] = h, (r["label"], own)
+    found = {r["item"]: (r["doc_id"], r["leader"]) for r in QUERIES["a2_image_leaders"](spark, sf).collect()}
+    assert found == expected and distances == set(range(9))
