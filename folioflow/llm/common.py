@@ -11,7 +11,7 @@ import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -92,11 +92,15 @@ def release() -> None:
         return
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Batches of at most ``BATCH_ROWS`` rows, for the session from then on: Spark reads the setting when a plan runs."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows, for the session from then on."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows (see :func:`limit_batches`)."""
+    limit_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -107,6 +111,16 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+def value_of(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once: inside a lambda it is no expression any more."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def bounded(small: DataFrame, most_rows: int = 250_000) -> DataFrame:
+    """``small`` (keys and ids) with a broadcast hint if it has at most ``most_rows`` rows; else it is shuffled."""
+    return F.broadcast(small) if small.count() <= most_rows else small.hint("merge")
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on ``keys`` with null equal to null; the right side's keys are dropped."""
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
