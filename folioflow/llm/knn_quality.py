@@ -1,13 +1,15 @@
 """Quality classifier: nearest-neighbour voting among latent-semantic vectors.
 
 Method: TF-IDF features of a bounded sample of labelled texts are factorized (truncated SVD); the labelled
-latent vectors are broadcast.  Every document is projected, its cosines with all labelled vectors are
+latent vectors are broadcast.  The sample's texts stay in Spark: what comes to the driver is the ``terms`` most
+frequent features and their counts in at most ``sample_rows`` texts.  Every document is projected, its cosines with all labelled vectors are
 computed exactly as blocked matrix products, and the labels of its nearest neighbours vote with weights that
 grow with similarity.  The vote's share becomes a probability through the labelled rows' own
 leave-one-out votes.
 
-Features of a text: words (lower case, cut of outer punctuation) that occur in the sample, and pseudo-words
-for the shape of words (case, digits, punctuation at their ends) and for bins of length and repetition.
+Features of a text: whole words (Unicode lower case, cut of outer punctuation) that occur in the sample, and
+pseudo-words for the shape of words (case, digits, punctuation) and for bins of length and repetition.  A word
+or shape of more than ``LONG`` bytes is known by its hash.
 
 Nothing but ``text`` enters a score.  Cases: null and empty texts have the single feature "empty" and get the
 share of good labels among texts like them, or the overall share.  A null label is no label; labels that
@@ -17,6 +19,7 @@ scored, never learned from.  Extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_utf8, map_arrow
+from .common import crc32_utf8, map_arrow, stage
 
-_OUTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
+#: Longer words and shapes are kept as 128-bit hashes, so that memory does not grow with their length.
+LONG = 64
+_OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 _LETTERS = bytes(c if not (chr(c).isascii() and chr(c).isalpha()) else (65 if chr(c).isupper() else 97) for c in range(256))
 
 
@@ -44,7 +49,17 @@ def shape(word: bytes) -> bytes:
         c = 97 if c >= 128 else 48 if 48 <= c < 58 else c
         if not out or out[-1] != c:
             out.append(c)
-    return bytes(out[:8])
+    return bytes(out)
+
+
+def short(feature: bytes) -> bytes:
+    return feature if len(feature) <= LONG else b"\x00h" + hashlib.blake2b(feature, digest_size=16).digest()
+
+
+def word_features(word: bytes) -> tuple[bytes, bytes]:
+    """The feature of a raw word (empty if nothing but punctuation) and that of its shape."""
+    plain = word.decode("utf-8", "surrogatepass").lower().strip(_OUTER).encode("utf-8", "surrogatepass")
+    return short(plain), short(b"\x00s" + shape(word))
 
 
 class Features:
@@ -66,7 +81,9 @@ class Features:
         for w, n in raw.items():
             pair = self.known.get(w)
             if pair is None:
-                pair = self.known[w] = (w[:48].lower().strip(_OUTER), b"\x00s" + shape(w[:48]))
+                pair = word_features(w)
+                if len(w) <= LONG:
+                    self.known[w] = pair
             out[pair[0]] += n
             shapes[pair[1]] += n
         total = len(words)
@@ -96,14 +113,16 @@ class LatentVotes:
     values: np.ndarray
 
     def project(self, counted: list[Counter]) -> np.ndarray:
-        out = np.zeros((len(counted), self.projection.shape[1]), np.float32)
         get = self.vocabulary.get
-        for i, c in enumerate(counted):
-            found = [(k, n) for k, n in ((get(w), n) for w, n in c.items()) if k is not None]
-            if found:
-                ids, counts = zip(*found, strict=True)
-                weights = 1 + np.log(np.array(counts, np.float32))
-                out[i] = weights @ self.projection[list(ids)]
+        found = [[(k, n) for k, n in ((get(w), n) for w, n in c.items()) if k is not None] for c in counted]
+        return self.embed([tuple(np.array(x) for x in zip(*f, strict=True)) if f else None for f in found])
+
+    def embed(self, rows: list[tuple[np.ndarray, np.ndarray] | None]) -> np.ndarray:
+        """Latent unit vectors of (ids, counts) rows; zero without any."""
+        out = np.zeros((len(rows), self.projection.shape[1]), np.float32)
+        for i, row in enumerate(rows):
+            if row is not None:
+                out[i] = (1 + np.log(row[1].astype(np.float32))) @ self.projection[row[0]]
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 
@@ -133,38 +152,38 @@ class LatentVotes:
         return np.interp(self.vote(self.project([features(t) for t in texts])), self.bins, self.values)
 
 
-def fit(texts: list[str | None], labels: np.ndarray, *, terms: int = 20_000, rank: int = 96, neighbours: int = 15, sharpness: float = 12.0, seed: int = 13) -> LatentVotes:
-    """Factorize the TF-IDF matrix of labelled texts and calibrate votes on it, leaving each text's own label out."""
-    empty = LatentVotes({}, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5, neighbours, sharpness, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    if not len(labels):
-        return empty
-    features = Features()
-    frequency: Counter = Counter()
-    for t in texts:
-        frequency.update(features(t).keys())
-    kept = sorted((w for w, n in frequency.items() if n > 1), key=lambda w: (-frequency[w], w))[:terms]
-    kept = kept or sorted(frequency)[:terms]
-    vocabulary = {w: i for i, w in enumerate(kept)}
-    idf = np.log((1 + len(texts)) / (1 + np.array([frequency[w] for w in kept]))) + 1
-    rows, cols, values = [], [], []
-    for i, t in enumerate(texts):
-        found = [(vocabulary[w], n) for w, n in features(t).items() if w in vocabulary]
-        if found:
-            ids, counts = (np.array(x) for x in zip(*found, strict=True))
-            rows.append(np.full(len(ids), i, np.int32))
-            cols.append(ids.astype(np.int32))
-            values.append(((1 + np.log(counts)) * idf[ids]).astype(np.float32))
-    none = [np.empty(0, np.int32)]
-    rows, cols, values = np.concatenate(rows or none), np.concatenate(cols or none), np.concatenate(values or none)
-    length = np.sqrt(np.bincount(rows, values.astype(np.float64) ** 2, minlength=len(texts)))
-    values = values / np.maximum(length[rows], 1e-9).astype(np.float32)
-    rank = max(1, min(rank, len(kept), len(texts)))
-    basis = _range_finder(rows, cols, values, len(texts), len(kept), rank, seed)
+def fit(
+    rows: list[tuple[np.ndarray, np.ndarray] | None],
+    vocabulary: list[bytes],
+    frequency: np.ndarray,
+    labels: np.ndarray,
+    *,
+    rank: int = 96,
+    neighbours: int = 15,
+    sharpness: float = 12.0,
+    seed: int = 13,
+) -> LatentVotes:
+    """Factorize the TF-IDF matrix of labelled texts and calibrate votes on it, leaving each text's own label out.
+
+    ``rows``: ids in the vocabulary and counts of each text; ``frequency``: texts that hold each feature.
+    """
+    line = np.array([0.0, 1.0])
+    if not len(labels) or not vocabulary:
+        none = np.zeros((0, 1), np.float32)
+        return LatentVotes({}, none, none, labels, 0.5, neighbours, sharpness, line, line)
+    idf = np.log((1 + len(rows)) / (1 + frequency)) + 1
+    at = np.concatenate([np.full(len(r[0]), i, np.int32) for i, r in enumerate(rows) if r is not None])
+    cols = np.concatenate([r[0] for r in rows if r is not None]).astype(np.int32)
+    values = ((1 + np.log(np.concatenate([r[1] for r in rows if r is not None]))) * idf[cols]).astype(np.float32)
+    length = np.sqrt(np.bincount(at, values.astype(np.float64) ** 2, minlength=len(rows)))
+    values = values / np.maximum(length[at], 1e-9).astype(np.float32)
+    rank = max(1, min(rank, len(vocabulary), len(rows)))
+    basis = _range_finder(at, cols, values, len(rows), len(vocabulary), rank, seed)
     projection = (idf[:, None] * basis).astype(np.float32)
-    model = LatentVotes(vocabulary, projection, np.zeros((0, basis.shape[1]), np.float32), labels, float(labels.mean()), neighbours, sharpness, empty.bins, empty.values)
-    model.vectors = np.concatenate([model.project([features(t)]) for t in texts])
-    votes = model.vote(model.vectors, skip_self=True)
-    model.bins, model.values = _monotone(votes, labels)
+    known = {w: i for i, w in enumerate(vocabulary)}
+    model = LatentVotes(known, projection, np.zeros((0, basis.shape[1]), np.float32), labels, float(labels.mean()), neighbours, sharpness, line, line)
+    model.vectors = model.embed(rows)
+    model.bins, model.values = _monotone(model.vote(model.vectors, skip_self=True), labels)
     return model
 
 
@@ -213,27 +232,60 @@ def _monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
     return grid, 0.98 * np.interp(grid, xs, ys[at]) + 0.02 * grid
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, seed: int) -> tuple[list[str | None], np.ndarray]:
-    """At most ``sample_rows`` labelled texts outside the held-out fifth, half of them of each label where there are enough."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, seed: int) -> DataFrame:
+    """doc_id, quality, text of at most ``sample_rows`` labelled texts outside the held-out fifth, half of each label where there are enough."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     mark = [F.xxhash64("doc_id", F.lit(seed)), "doc_id"]
     chosen = [usable.where(c).orderBy(*mark).limit(sample_rows // 2) for c in ("quality < 0.5", "quality >= 0.5")]
     picked = chosen[0].unionByName(chosen[1])
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    found = found.groupBy("doc_id").agg(F.any_value("quality").alias("quality"), F.min("text").alias("text"))
-    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
-    return [r["text"] for r in rows], np.array([float(r["quality"]) for r in rows])
+    return found.groupBy("doc_id").agg(F.any_value("quality").alias("quality"), F.min("text").alias("text"))
+
 
+def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4096, terms: int = 20_000, seed: int = 13, **params) -> LatentVotes:
+    """Fit on the sample: features are counted in tasks, the ``terms`` most frequent ones that two texts share are kept."""
 
-def classify(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4096, threshold: float = 0.3, seed: int = 13, **params) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in batches:
+            counted = [features(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:2],
+                    pa.array([list(c.keys()) for c in counted], pa.list_(pa.binary())),
+                    pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "quality", "features", "counts"],
+            )
+
+    rows = training_rows(docs, labels, sample_rows, seed)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    counted = stage(map_arrow(rows, run, f"doc_id {kind}, quality double, features array<binary>, counts array<int>"), "features")
+    each = counted.select("doc_id", F.explode(F.arrays_zip("features", "counts")).alias("f")).select("doc_id", F.col("f.features").alias("feature"), F.col("f.counts").alias("n"))
+    frequency = each.groupBy("feature").agg(F.count("*").alias("texts"))
+    kept = frequency.where("texts > 1").orderBy(F.desc("texts"), "feature").limit(terms).collect()
+    kept = kept or frequency.orderBy("feature").limit(terms).collect()
+    vocabulary = [bytes(r["feature"]) for r in kept]
+    ids = docs.sparkSession.createDataFrame([(w, i) for i, w in enumerate(vocabulary)], "feature binary, id int")
+    held = each.join(F.broadcast(ids), "feature").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("f"))
+    held = counted.select("doc_id", "quality").join(held, "doc_id", "left").select("doc_id", "quality", F.col("f.id").alias("ids"), F.col("f.n").alias("counts"))
+    table = held.toArrow().sort_by("doc_id")
+    pairs = zip(table.column("ids").to_pylist(), table.column("counts").to_pylist(), strict=True)
+    sparse = [(np.array(i, np.int64), np.array(n, np.int64)) if i else None for i, n in pairs]
+    qualities = np.array(table.column("quality").to_pylist(), dtype=np.float64)
+    return fit(sparse, vocabulary, np.array([r["texts"] for r in kept], dtype=np.float64), qualities, seed=seed, **params)
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **params) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    ``sample_rows`` bounds the labelled texts that are learned from and broadcast (as vectors).  Every
-    document is scored, with its whole text, in one pass without a shuffle.
+    ``sample_rows`` (4,096) bounds the labelled texts that are learned from and broadcast (as vectors), ``terms``
+    (20,000) the features that are kept of them.  Every document is scored, with its whole text, in one pass
+    without a shuffle.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(*training_rows(docs, labels, sample_rows, seed), seed=seed, **params))
+    model = spark.sparkContext.broadcast(learn(docs, labels, **params))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
