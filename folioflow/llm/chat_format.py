@@ -8,9 +8,12 @@ Template: ``<|im_start|>role<|im_sep|>text<|im_end|>`` per turn.  Inside roles a
 number of backslashes, ``|`` gets one backslash more, so no text holds a mark; :func:`unescape` takes it away.
 
 Cases: a null text or role is an empty one.  Turns are ordered by turn (null first), then role, then text,
-so repeated rows and ties have one order.  A null ``conv_id`` is a conversation of its own.  A conversation
-longer than ``part_chars`` is cut between turns into parts, each rendered and encoded by itself; the task
-that holds it streams its turns, whatever their number.  Extra columns are not read.
+so repeated rows and ties have one order.  A null ``conv_id`` is a conversation of its own; ids may be of any
+type.  Extra columns are not read.
+
+A conversation of any length is encoded once, as a stream: what leaves the encoder are parts of whole turns.
+Tokenizers cut at special tokens before all else, so the parts' ids in order are those of the whole string;
+:func:`load_tokenizer` refuses a tokenizer for which that fails.  The task that holds a conversation keeps one part.
 """
 
 from __future__ import annotations
@@ -92,14 +95,19 @@ def load_tokenizer(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in (START, SEP, END)])
+    turn = render([("user", " One a\n"), ("assistant", "b ")])[0]
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    if ids(turn + turn) != ids(turn) * 2:
+        raise ValueError("the tokenizer does not cut at the marks of turns")
     return tokenizer
 
 
 def format_conversations(turns: DataFrame, tokenizer: str, *, part_chars: int = 1 << 20) -> DataFrame:
     """One row per part of a conversation: conv_id, part, formatted, ids, starts, ends, mask.
 
-    ``starts`` and ``ends`` are the tokens' character offsets, ``mask`` is true where a token is learned.
-    Rows stay sorted by conv_id and part inside their partition, each conversation in one partition.
+    ``starts`` and ``ends`` are the tokens' character offsets in the part, ``mask`` is true where a token is
+    learned.  A part ends with the turn that brings it to ``part_chars`` characters.  Rows stay sorted by conv_id
+    and part inside their partition, each conversation in one partition.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
@@ -107,9 +115,12 @@ def format_conversations(turns: DataFrame, tokenizer: str, *, part_chars: int =
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     ints, names = pa.list_(pa.int32()), ["conv_id", "part", "formatted", "ids", "starts", "ends", "mask"]
 
+    id_type: list[pa.DataType] = []
+
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, list[tuple[str, str]]]]:
         conv, part, held, chars = None, 0, [], 0
         for batch in batches:
+            id_type[:] = [batch.column(0).type]
             for c, r, t in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
                 if held and (c != conv or chars + len(t) > part_chars):
                     yield conv, part, held
@@ -134,9 +145,8 @@ def format_conversations(turns: DataFrame, tokenizer: str, *, part_chars: int =
                 mask = mask_tokens(offsets, spans)
                 for c, v in zip(columns, (conv, part, formatted, e.ids, offsets[:, 0], offsets[:, 1], mask), strict=True):
                     c.append(v)
-            conv_type = pa.int64() if kind == "bigint" else None
             return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], conv_type), pa.array(columns[1], pa.int32()), pa.array(columns[2])]
+                [pa.array(columns[0], id_type[0]), pa.array(columns[1], pa.int32()), pa.array(columns[2])]
                 + [pa.array(c, ints) for c in columns[3:6]]
                 + [pa.array(columns[6], pa.list_(pa.bool_()))],
                 names=names,
@@ -158,19 +168,25 @@ def format_conversations(turns: DataFrame, tokenizer: str, *, part_chars: int =
 def digest(formatted: DataFrame) -> DataFrame:
     """What can be read back from :func:`format_conversations`: turn and loss digests per conversation.
 
-    It follows the order that the formatter leaves in each partition, so it must be applied to its result directly.
+    It is applied to the formatter's result as it stands: parts that do not come in order raise an error.
     """
     kind = formatted.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, out = None, []
+        state, out, id_type = None, [], None
 
         def close() -> tuple:
-            conv, turns, n, loss, chars, length, tokens = state
+            conv, turns, n, loss, chars, length, tokens, _ = state
             return (conv, n, turns.hexdigest(), chars, loss.hexdigest(), length, tokens)
 
+        def rows() -> pa.RecordBatch:
+            types = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
         for batch in batches:
+            id_type = batch.column(0).type
             columns = [c.to_pylist() for c in batch.columns[:3]] + [batch.column(i) for i in (4, 5, 6)]
             for i in range(batch.num_rows):
                 conv, part, text = (columns[k][i] for k in range(3))
@@ -179,7 +195,9 @@ def digest(formatted: DataFrame) -> DataFrame:
                 if part == 0:
                     if state is not None:
                         out.append(close())
-                    state = [conv, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
+                    state = [conv, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0, 0]
+                elif state is None or (conv, part) != (state[0], state[7]):
+                    raise ValueError(f"part {part} of conversation {conv} does not follow its predecessor")
                 turns = parse(text)
                 for role, said in turns:
                     state[1].update(f"{role}\n{said}\n".encode())
@@ -189,19 +207,13 @@ def digest(formatted: DataFrame) -> DataFrame:
                 state[4] += len(learned)
                 state[5] += len(text)
                 state[6] += len(starts)
-            yield pa.RecordBatch.from_pydict(dict(zip(names, _columns(out, len(names)), strict=True)), schema)
+                state[7] = part + 1
+            yield rows()
             out = []
         if state is not None:
-            yield pa.RecordBatch.from_pydict(dict(zip(names, _columns([close()], len(names)), strict=True)), schema)
+            out = [close()]
+            yield rows()
 
-    schema = pa.schema(
-        [("conv_id", pa.int64() if kind == "bigint" else pa.string()), ("n_turns", pa.int64()), ("turns_sha256", pa.string())]
-        + [("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64())]
-    )
     return map_arrow(
         formatted, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
     )
-
-
-def _columns(rows: list[tuple], n: int) -> list[list]:
-    return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(n)]
