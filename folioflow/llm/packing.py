@@ -3,8 +3,9 @@
 A document becomes the ids of its text and one end id.  Windows of full capacity are sequences of their own;
 what remains of each document is packed: a window starts with the longest remaining piece, and a subset-sum
 over bit sets picks the multiset of remaining lengths that fills it closest to capacity; the picked counts
-are read back from the bit sets of the single steps.  Groups of pieces are packed independently, each by
-one task that streams full windows and holds only the ends of documents.
+are read back from the bit sets of the single steps.  Groups of pieces are packed independently, one after
+the other in a task that streams full windows and holds only the ends of a group's documents.  Equal rows are
+told apart by how often a task has met them, so they spread over all groups.
 
 Sequences are padded to the capacity, except that a sequence whose length is a power of two stays as it is.
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 import functools
 import json
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,23 +120,31 @@ class WordEncoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, ids (binary, little-endian 32-bit), doc_tokens: full windows, then the rest."""
+    """doc_id, start, length, ids (binary, little-endian 32-bit), doc_tokens, repeat: full windows, then the rest.
+
+    ``repeat`` counts the rows of the same id and ids that the task met before: equal rows get 0, 1, 2, … in whatever order.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordEncoder(tokenizer)
         end, width = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        met: Counter[tuple[int, int]] = Counter()
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                row, start, ids, total = [], [], [], []
+                row, start, ids, total, repeat = [], [], [], [], []
+                doc = batch.column(0).to_pylist()
                 for i, raw in enumerate(encode(batch.column(1).to_pylist())):
                     raw += end
+                    same = (hash(doc[i]), zlib.crc32(raw))
+                    met[same] += 1
                     for a in range(0, len(raw), width):
                         row.append(i)
                         start.append(a // 4)
                         ids.append(raw[a : a + width])
                         total.append(len(raw) // 4)
+                        repeat.append(met[same] - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(row, pa.int32())),
@@ -141,11 +152,12 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id:
                         pa.array([len(x) // 4 for x in ids], pa.int64()),
                         pa.array(ids, pa.binary()),
                         pa.array(total, pa.int64()),
+                        pa.array(repeat, pa.int64()),
                     ],
-                    names=["doc_id", "start", "length", "ids", "doc_tokens"],
+                    names=["doc_id", "start", "length", "ids", "doc_tokens", "repeat"],
                 )
 
-    return map_arrow(docs.select("doc_id", F.col("text").alias("__text")), run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
+    return map_arrow(docs.select("doc_id", F.col("text").alias("__text")), run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, repeat long")
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -196,17 +208,22 @@ def _take(counts: dict[int, int], n: int, k: int) -> None:
         del counts[n]
 
 
-def pack(cut: DataFrame, *, capacity: int = CAPACITY, groups: int = 1) -> DataFrame:
-    """``cut`` (see :func:`pieces`) with sequence_id and offset.
+def pack(cut: DataFrame, *, capacity: int = CAPACITY, groups: int = 1, partition_groups: int = 4, most_partitions: int = 20_000) -> DataFrame:
+    """``cut`` (see :func:`pieces`) with sequence_id and offset, without repeat.
 
     Groups are dealt by the hash of a piece's id and contents; sequence ids are the group times 2^32 plus a
-    running number.
+    running number.  A partition takes a run of about ``partition_groups`` groups, more where there would be
+    over ``most_partitions``.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
-    names = cut.columns
-    hashed = F.xxhash64("doc_id", "start", "doc_tokens", "ids")
-    dealt = cut.withColumn("__group", F.pmod(hashed, F.lit(groups)).cast("long")).withColumn("__hash", hashed)
-    dealt = dealt.repartition(groups, "__group").sortWithinPartitions("__group", F.desc("length"), "__hash", "doc_id")
+    names = [c for c in cut.columns if c != "repeat"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name in names)
+    width = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = min(most_partitions, groups, max(width, -(-groups // partition_groups)))
+    hashed = F.xxhash64("doc_id", "start", "doc_tokens", "repeat", "ids")
+    dealt = cut.withColumn("__group", F.pmod(hashed, F.lit(groups)).cast("long")).withColumn("__hash", hashed).drop("repeat")
+    part = F.floor(F.col("__group") * width / groups).cast("int")
+    dealt = dealt.withColumn("__part", part).repartitionById(width, "__part").drop("__part")
+    dealt = dealt.sortWithinPartitions("__group", F.desc("length"), "__hash", "doc_id")
 
     def emit(table: pa.Table, sequence: list[int], offset: list[int]) -> Iterator[pa.RecordBatch]:
         out = table.select(names).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
