@@ -18,11 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage
+from .common import limit_batches, map_arrow, stage
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_punct"]
 _SPACE = b" \t\n\v\f\r"
@@ -60,13 +61,14 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 def features(stats: np.ndarray) -> np.ndarray:
     """Rates that do not depend on the length of a text; ``stats``: rows of STATS.
 
-    Repetition below the base rule's half counts as nothing unless it covers a quarter of the words: a line
-    that a short text quotes twice is no anomaly.
+    Repetition below the base rule's half counts as nothing unless it covers a quarter of the words, and one
+    repeated line is free: a line that a short text quotes twice is no anomaly.
     """
     s = np.asarray(stats, dtype=np.float64).reshape(-1, len(STATS))
     n, chars = np.maximum(s[:, 0], 1), np.maximum(s[:, 1], 1)
     repeats = np.maximum(s[:, 4] / n - 0.25, 0)
-    return np.column_stack([s[:, 1] / n, s[:, 2] / chars, s[:, 5] / chars, s[:, 6] / chars, repeats])
+    lines = np.maximum(s[:, 3] - 1, 0) / n
+    return np.column_stack([s[:, 1] / n, s[:, 2] / chars, s[:, 5] / chars, s[:, 6] / chars, repeats, lines])
 
 
 @dataclass
@@ -177,15 +179,14 @@ def fit(
     rows_per_tree: int = 256,
     sample_rows: int = 25_600,
     keep_good: float = 0.999,
-    calibration_rows: int = 200_000,
     seed: int = 7,
 ) -> RulesModel:
     """Grow the forest and calibrate its threshold.
 
     ``stats``: doc_id and STATS.  The forest learns from at most ``sample_rows`` rows that pass the base rule
     (the lowest hashes of their ids), as its trees read ``rows_per_tree`` rows each anyway.  The threshold
-    is the score up to which the share ``keep_good`` of good labelled rows lie, moved to the middle of the gap
-    above it.  At most ``calibration_rows`` labelled rows are read for it.
+    is the score up to which the share ``keep_good`` of all good labelled rows lie, moved to the middle of the
+    gap above it among all labelled rows; they are scored in Spark, and two numbers come back.
     """
     passing = stats.where((F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words")))
     order = [F.xxhash64(F.col("doc_id"), F.lit(seed)), *STATS]
@@ -193,14 +194,12 @@ def fit(
     forest = grow_forest(features(sample[STATS].to_numpy()), trees, rows_per_tree, seed)
     marked = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = passing.join(marked, "doc_id").select("quality", *STATS)
-    known = known.orderBy(F.xxhash64(*STATS), *STATS, "quality").limit(calibration_rows).toPandas()
-    good = known["quality"].to_numpy() == 1
-    if not good.any():
+    known = stage(score_stats(known, RulesModel(forest, math.inf)).select("quality", "anomaly"), "known")
+    floor = known.where("quality = 1").agg(F.percentile_approx("anomaly", keep_good, 100_000)).first()[0]
+    if floor is None:
         return RulesModel(forest, math.inf)
-    scores = forest.score(features(known[STATS].to_numpy()))
-    floor = float(np.quantile(scores[good], keep_good, method="higher"))
-    above = scores[scores > floor]
-    return RulesModel(forest, (floor + float(above.min())) / 2 if len(above) else floor)
+    above = known.where(F.col("anomaly") > floor).agg(F.min("anomaly")).first()[0]
+    return RulesModel(forest, floor if above is None else (floor + above) / 2)
 
 
 def score_stats(stats: DataFrame, model: RulesModel) -> DataFrame:
@@ -230,19 +229,23 @@ def score_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 def apply_rules(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    The verdict is computed beside the text, so texts are never shuffled; the statistics that the fit reads
-    are written once, without texts.
+    Statistics are counted once, beside the text, and written with the row: the fit and the verdict read the
+    narrow column alone, and texts are never shuffled.
     """
-    stats = stage(stats_table(docs, ["doc_id"]), "stats")
-    model = fit(stats, labels, **params)
+    limit_batches(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def keeps(texts):
-        import pandas as pd
+    @F.pandas_udf(", ".join(f"{c} long" for c in STATS))
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_stats(t) for t in texts], columns=STATS)
 
-        return pd.Series(model.kept(np.array([text_stats(t) for t in texts], dtype=np.int64)))
+    rows = stage(docs.withColumn("__ff_stats", counted(F.col("text"))), "rows")
+    model = fit(rows.select("doc_id", "__ff_stats.*"), labels, **params)
+
+    @F.pandas_udf("boolean")
+    def keeps(stats: pd.DataFrame) -> pd.Series:
+        return pd.Series(model.kept(stats[STATS].to_numpy()))
 
-    return docs.where(keeps(F.col("text")))
+    return rows.where(keeps(F.col("__ff_stats"))).select(*docs.columns)
 
 
 def read_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
