@@ -1,10 +1,11 @@
 """N-gram Jaccard join: documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
 
 Method: MinHash banding.  The number of bands follows from the rows of a band, the threshold and the target
-recall.  Band hashes are shuffled with nothing but a 16-byte text key; texts that share one are gathered into
-candidate clusters by graph components, and every pair of different texts of a cluster is verified on full
-n-gram sets: each text meets each other once, in blocks, as a product of incidence matrices.  Only counts
-and spanning links leave a block, never pairs, so a group of thousands of near copies stays linear in rows.
+recall.  Band hashes are shuffled with nothing but a 64-bit id; pairs of different texts that share a band
+hash are the candidates, and only they are verified, on full n-gram sets.  Components of the candidate graph
+serve to bring texts together: a component is cut into blocks, bounded in rows and bytes, and a text travels
+to those blocks in which it has a candidate.  Every pair has one block pair, so it is verified once.  Only
+counts and spanning links leave a block, never pairs, so a group of thousands of near copies stays linear in rows.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` as they stand.  A text of fewer than n words has one n-gram, all of it.
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_arrow, runs, stage
+from .common import bounded, connected_components, map_arrow, runs, stage
 
 _CACHE = 200_000
 
@@ -73,7 +74,7 @@ def min_hashes(shingles: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -
 
 
 def signatures(docs: DataFrame, *, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key (binary MD5 of the text), bands (array of 64-bit hashes; null without words)."""
+    """doc_id, key (binary MD5 of the text), bytes of the text, bands (array of 64-bit hashes; null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
@@ -83,7 +84,7 @@ def signatures(docs: DataFrame, *, n: int, bands: int, rows: int) -> DataFrame:
         mix = rng.integers(1, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
             out = []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 found = shingle(text)
                 if not len(found):
                     out.append(None)
@@ -95,12 +96,13 @@ def signatures(docs: DataFrame, *, n: int, bands: int, rows: int) -> DataFrame:
                     h ^= h >> np.uint64(31)
                 out.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"]
+                [*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "key", "bytes", "bands"]
             )
 
-    source = docs.select("doc_id", text_key().alias("key"), F.col("text").alias("__text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    source = docs.select("doc_id", text_key().alias("key"), size.alias("bytes"), F.col("text").alias("__text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(source, run, f"doc_id {kind}, key binary, bands array<long>")
+    return map_arrow(source, run, f"doc_id {kind}, key binary, bytes long, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], threshold: float, others: list[np.ndarray] | None = None, width: int = 4096) -> np.ndarray:
@@ -180,94 +182,135 @@ def spanning(links: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
-def candidate_clusters(classes: DataFrame) -> DataFrame:
-    """(id, cluster) of texts that share a band hash with another text, directly or over others.
+def shared_bands(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Boolean matrix of the pairs of rows that share a band; columns are bands."""
+    out = np.zeros((len(left), len(right)), bool)
+    for band in range(left.shape[1]):
+        out |= left[:, band, None] == right[None, :, band]
+    return out
 
-    ``id`` is a 64-bit hash of the key: a collision only adds a candidate, which verification settles.
+
+def verified(left: list[np.ndarray], right: list[np.ndarray], candidates: np.ndarray, threshold: float) -> np.ndarray:
+    """The candidate pairs at or above the threshold; few pairs are intersected one by one, many as a matrix product."""
+    if candidates.sum() * 16 > candidates.size:
+        return candidates & linked(left, threshold, right)
+    out = np.zeros_like(candidates)
+    for i, j in zip(*np.nonzero(candidates), strict=True):
+        common = len(np.intersect1d(left[i], right[j], assume_unique=True))
+        out[i, j] = common >= threshold * (len(left[i]) + len(right[j]) - common) - 1e-6
+    return out
+
+
+def buckets(classes: DataFrame) -> DataFrame:
+    """(id, value) of the band hashes that two or more texts share.
+
+    ``id`` is a 64-bit hash of the key, ``value`` one of band and hash: a collision only adds a candidate,
+    which the comparison of bands and then verification settle.
     """
     banded = classes.where(F.col("bands").isNotNull()).select("id", F.posexplode("bands").alias("band", "value"))
     banded = banded.select("id", F.xxhash64("band", "value").alias("value"))
     leaders = banded.groupBy("value").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
-    leaders = leaders.where(F.col("leader") != F.col("last")).drop("last")
-    links = banded.join(leaders, "value").where(F.col("id") != F.col("leader"))
-    return connected_components(links.select(F.col("id").alias("a"), F.col("leader").alias("b"))).select(
-        F.col("node").alias("id"), F.col("root").alias("cluster")
-    )
+    return banded.join(leaders.where(F.col("leader") != F.col("last")).drop("last"), "value")
 
 
-def verify(docs: DataFrame, members: DataFrame, *, n: int, threshold: float, block: int) -> DataFrame:
-    """Links inside candidate clusters: (key, links, root) per text and block pair.
+def block_pairs(classes: DataFrame, *, block: int, block_bytes: int) -> DataFrame:
+    """``classes`` of texts with a candidate, once for each block pair they are verified in: cluster, own, bi, bj.
 
-    ``members``: key, copies, cluster, doc_id of one row that holds the text.  A cluster of more than ``block``
-    texts is cut into blocks by the key's hash, and each pair of blocks is one group.
+    A component of the candidate graph is cut into blocks of about ``block`` texts and ``block_bytes`` bytes by
+    the hash of the id.  A text goes to the pairs of its own block with blocks that hold a candidate of it.
+    """
+    shared = stage(buckets(classes), "buckets")
+    links = shared.where(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    clusters = connected_components(links).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    members = stage(classes.join(clusters, "id"), "members")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("bytes") / F.lit(block_bytes))).cast("int")
+    large = bounded(stage(sizes.select("cluster", blocks.alias("blocks")).where("blocks > 1"), "large"))
+    small = members.join(large, "cluster", "left_anti").withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
+    cut = members.join(large, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    owns = shared.select("id", "value").join(bounded(cut.select("id", "own")), "id")
+    held = bounded(owns.groupBy("value").agg(F.sort_array(F.collect_set("own")).alias("others")))
+    mates = owns.join(held, "value").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    spread = small.unionByName(cut.join(mates, "id").withColumn("other", F.explode("others")).drop("others"))
+    return spread.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other", "id", "bytes")
+
+
+def verify(docs: DataFrame, placed: DataFrame, *, n: int, threshold: float) -> DataFrame:
+    """Links inside block pairs: key and doc_id of a text, its links, key and doc_id of one text it hangs together with.
+
+    ``placed``: see :func:`block_pairs`; doc_id is that of one row that holds the text.
     """
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    placed = members.join(sizes.where("size > 1"), "cluster").withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select(
-        "key", "copies", "cluster", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")
-    )
     texts = docs.select(text_key().alias("key"), "doc_id", "text")
-    holders = bounded(members.select("key", F.col("doc_id").alias("__id")))
+    holders = bounded(placed.select("key", F.col("doc_id").alias("__id")).distinct())
     texts = texts.join(holders, "key").where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("key", "text")
-    keys = ["cluster", "bi", "bj", "key"]
-    grouped = spread.join(texts, "key").repartition("cluster", "bi", "bj").sortWithinPartitions(*keys)
+    # block pairs of one cluster go to partitions one after the other, so none takes several of them
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pair = F.col("bj").cast("long") * (F.col("bj") + 1) / 2 + F.col("bi")
+    part = F.pmod(F.pmod(F.xxhash64("cluster"), F.lit(width)) + pair.cast("long"), F.lit(width)).cast("int")
+    grouped = placed.join(texts, "key").withColumn("__part", part).repartitionById(width, "__part")
+    grouped = grouped.sortWithinPartitions("cluster", "bi", "bj", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
-        for _, table in runs(batches, ["cluster", "bi", "bj"]):
-            own, key, copies = (table.column(c).to_pylist() for c in ("own", "key", "copies"))
-            bi = table.column("bi")[0].as_py()
-            same = bi == table.column("bj")[0].as_py()
+        for (_, bi, bj), table in runs(batches, ["cluster", "bi", "bj"]):
+            key = table.column("key").to_pylist()
             # repeated rows of the chosen document bring the text more than once
             first = [i for i in range(len(key)) if not i or key[i] != key[i - 1]]
-            left = [i for i in first if own[i] == bi]
-            right = left if same else [i for i in first if own[i] != bi]
+            if len(first) < 2:
+                continue
+            own = table.column("own").to_numpy()
+            bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(len(key), -1)
+            left = np.array([i for i in first if own[i] == bi], dtype=np.int64)
+            right = left if bi == bj else np.array([i for i in first if own[i] != bi], dtype=np.int64)
+            candidates = shared_bands(bands[left], bands[right])
+            if bi == bj:
+                np.fill_diagonal(candidates, False)
+            rows, cols = candidates.any(1), candidates.any(0)
+            if not rows.any():
+                continue
+            candidates, left, right = candidates[rows][:, cols], left[rows], right[cols]
             text = table.column("text")
-            sets = {i: shingle(text[i].as_py()) for i in first}
-            links = linked([sets[i] for i in left], threshold, None if same else [sets[i] for i in right])
-            if same:
-                np.fill_diagonal(links, False)
+            sets = {i: shingle(text[i].as_py()) for i in sorted({*left.tolist(), *right.tolist()})}
+            links = verified([sets[i] for i in left.tolist()], [sets[i] for i in right.tolist()], candidates, threshold)
             if not links.any():
                 continue
-            weight = np.array(copies, dtype=np.int64)
-            both = left if same else left + right
+            weight = table.column("copies").to_numpy()
+            both = left if bi == bj else np.concatenate([left, right])
             counts = links @ weight[right]
-            if not same:
-                counts = np.concatenate([counts, links.T @ weight[left]])
             pairs = spanning(links)
-            if not same:
+            if bi != bj:
+                counts = np.concatenate([counts, links.T @ weight[left]])
                 pairs = pairs + np.array([0, len(left)])
             roots = local_roots(len(both), pairs)
-            least = {}
-            for i in range(len(both)):
-                r = roots[i]
-                least[r] = min(least.get(r, key[both[i]]), key[both[i]])
             out = np.flatnonzero(counts)
+            node, root = pa.array(both[out]), pa.array(both[roots[out]])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([key[both[i]] for i in out], pa.binary()),
+                    table.column("key").take(node).combine_chunks(),
+                    table.column("doc_id").take(node).combine_chunks(),
                     pa.array(counts[out], pa.int64()),
-                    pa.array([least[roots[i]] for i in out], pa.binary()),
+                    table.column("key").take(root).combine_chunks(),
+                    table.column("doc_id").take(root).combine_chunks(),
                 ],
-                names=["key", "links", "root"],
+                names=["key", "doc_id", "links", "root_key", "root_id"],
             )
 
-    return map_arrow(grouped.select("cluster", "bi", "bj", "own", "key", "copies", "text"), run, "key binary, links long, root binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    columns = ["cluster", "bi", "bj", "own", "key", "doc_id", "copies", "bands", "text"]
+    return map_arrow(grouped.select(*columns), run, f"key binary, doc_id {kind}, links long, root_key binary, root_id {kind}")
+
+
+def class_node(doc_id: Column | str, key: Column | str) -> Column:
+    """A node for graph components whose smallest is the one of the smallest id, null last: the root names its class."""
+    return F.struct(F.isnull(doc_id).alias("none"), F.col(doc_id).alias("id"), F.col(key).alias("key"))
 
 
 def text_key() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def bounded(small: DataFrame, most_rows: int = 250_000) -> DataFrame:
-    """``small`` (keys and ids) with a broadcast hint if it has at most ``most_rows`` rows; else it is shuffled."""
-    return F.broadcast(small) if small.count() <= most_rows else small.hint("merge")
-
-
 def jaccard_classes(
-    docs: DataFrame, *, n: int = 5, threshold: float = 0.8, rows: int = 6, recall: float = 0.9999, block: int = 1024
+    docs: DataFrame, *, n: int = 5, threshold: float = 0.8, rows: int = 6, recall: float = 0.9999, block: int = 512, block_bytes: int = 1 << 25
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, key, n_links, component_id (smallest doc_id), kept.
 
@@ -277,18 +320,17 @@ def jaccard_classes(
     bands = band_count(threshold, rows, recall)
     signed = stage(signatures(docs, n=n, bands=bands, rows=rows), "signatures")
     classes = signed.groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("bytes").alias("bytes"), F.any_value("bands").alias("bands")
     )
     classes = stage(classes.withColumn("id", F.xxhash64("key")), "classes")
-    members = classes.select("id", "key", "doc_id", "copies").join(candidate_clusters(classes), "id").drop("id")
-    found = stage(verify(docs, stage(members, "members"), n=n, threshold=threshold, block=block), "links")
-    components = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    placed = stage(block_pairs(classes, block=block, block_bytes=block_bytes), "placed")
+    found = stage(verify(docs, placed, n=n, threshold=threshold), "links")
+    components = connected_components(found.select(class_node("doc_id", "key").alias("a"), class_node("root_id", "root_key").alias("b")))
+    components = components.select(F.col("node.key").alias("key"), F.col("root.id").alias("root_id"), F.lit(True).alias("linked"))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     summed = classes.select("key", F.col("doc_id").alias("least"), "copies", F.col("bands").isNotNull().alias("worded"))
-    joined = summed.join(counts, "key", "left").join(components.withColumnRenamed("node", "key"), "key", "left")
-    joined = joined.withColumn("root", F.coalesce("root", "key"))
-    least = joined.where("worded").groupBy("root").agg(F.min("least").alias("component_id"))
-    verdicts = joined.join(least, "root", "left").select("key", "worded", "copies", "links", "component_id")
+    verdicts = summed.join(counts, "key", "left").join(components, "key", "left")
+    verdicts = verdicts.withColumn("component_id", F.when(F.col("linked"), F.col("root_id")).otherwise(F.col("least")))
     out = signed.select("doc_id", "key").join(verdicts, "key")
     return out.select(
         "doc_id",
