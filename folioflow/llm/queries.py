@@ -56,7 +56,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.read_and_score(spark, sf_dir)
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules.read_and_score(spark, sf_dir).select("doc_id", *base, "n_upper", "n_punct", "anomaly")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,23 +84,26 @@ def _either_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 
 
-def op7_sql(max_owners: int = 2) -> str:
+def op7_sql(max_owners: int = 2, max_repositories: int = 3) -> str:
     """The secret scan of ``documents`` in DuckDB's SQL; positions come from the lengths between matches."""
     names = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
     assign = f"({names})" + secret_scan.ASSIGN.split(")", 2)[2].replace("'", "''")
-    kinds = [(0, "assign", assign, 2), (1, "access", secret_scan.ACCESS, 0), (2, "hex", secret_scan.HEX, 0), (3, "token", secret_scan.TOKEN, 0)]
+    kinds = [(0, "assign", assign, 2), (1, "access", secret_scan.ACCESS, 0), (2, "hex", secret_scan.HEX, 0), (3, "token", secret_scan.SLASHED, 0), (4, "token", secret_scan.TOKEN, 0)]
     found = " UNION ALL ".join(
-        f"""SELECT doc_id, source, {r} AS rank, '{n}' AS kind, list_transform(range(1, len(regexp_extract_all(t, '{p}')) + 1), lambda i: {{
+        f"""SELECT doc_id, source, lang, {r} AS rank, '{n}' AS kind, list_transform(range(1, len(regexp_extract_all(t, '{p}')) + 1), lambda i: {{
       's': (list_sum(list_transform(regexp_split_to_array(t, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i - 1], lambda x: length(x))), 0))::BIGINT,
       'h': regexp_extract_all(t, '{p}')[i], 'v': regexp_extract_all(t, '{p}', {g})[i]}}) AS m FROM d WHERE regexp_matches(t, '{p}')""" for r, n, p, g in kinds
     )
+    has = lambda tests: " AND ".join(f"regexp_matches(v, '{x}')" for x in tests)
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-f AS (SELECT doc_id, source, rank, kind, unnest(m) AS m FROM ({found})),
-s AS (SELECT doc_id, source, rank, kind, m.s AS a, m.s + length(m.h) AS b, m.v AS v FROM f WHERE rank <> 0 OR length(m.v) >= {secret_scan.ASSIGN_VALUE}),
-c AS (SELECT * FROM s WHERE rank < 3 UNION ALL SELECT * FROM s t WHERE rank = 3 AND regexp_matches(v, '[0-9].*[0-9].*[0-9]') AND regexp_matches(v, '[A-Za-z].*[A-Za-z]')
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, source, lang, rank, kind, unnest(m) AS m FROM ({found})),
+s AS (SELECT doc_id, source, lang, rank, kind, m.s AS a, m.s + length(m.h) AS b, m.v AS v FROM f WHERE rank <> 0 OR length(m.v) >= {secret_scan.ASSIGN_VALUE}),
+l AS (SELECT * FROM s t WHERE rank < 3 OR rank = 3 AND {has(secret_scan.SLASHED_HAS)} AND NOT regexp_matches(v, '{secret_scan.SLASHED_LACKS}')
   AND NOT EXISTS (SELECT 1 FROM s o WHERE o.rank < 3 AND o.doc_id = t.doc_id AND o.a < t.b AND t.a < o.b)),
-o AS (SELECT v, count(DISTINCT coalesce(source, '')) <= {max_owners} AS live FROM c GROUP BY v),
+c AS (SELECT * FROM l UNION ALL SELECT * FROM s t WHERE rank = 4 AND {has(secret_scan.TOKEN_HAS)}
+  AND NOT EXISTS (SELECT 1 FROM l o WHERE o.doc_id = t.doc_id AND o.a < t.b AND t.a < o.b)),
+o AS (SELECT v, count(DISTINCT coalesce(source, '')) <= {max_owners} AND count(DISTINCT coalesce(source, '') || '/' || coalesce(lang, '')) <= {max_repositories} AS live FROM c GROUP BY v),
 k AS (SELECT c.*, live, kind || ':' || a || ':' || b AS span FROM c JOIN o USING (v) WHERE rank < 3 OR live),
 g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   string_agg(span, ',' ORDER BY a, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY a, rank) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM k GROUP BY doc_id)
