@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, map_arrow, runs, stage
-from .ngram_join import local_roots, spanning
+from .ngram_join import class_node, local_roots, spanning
 
 
 def multi_sequence(first: np.ndarray, second: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
@@ -62,19 +62,14 @@ def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Grid:
-    """Codebooks of both halves and how much further than its own cell a vector looks."""
+    """Codebooks of both halves, for vectors of one length, and how much further than its own cell a vector looks."""
 
-    length: int
     first: np.ndarray
     second: np.ndarray
     reach: float
 
     def cells(self, unit: np.ndarray) -> Iterator[tuple[int, list[int]]]:
         """Own cell and visited cells of each row."""
-        if unit.shape[1] != self.length:
-            for _ in range(len(unit)):
-                yield 0, [0]
-            return
         cut, k = self.first.shape[1], len(self.second)
         a, b = _squared(unit[:, :cut], self.first), _squared(unit[:, cut:], self.second)
         order_a, order_b = a.argsort(1, kind="stable"), b.argsort(1, kind="stable")
@@ -91,7 +86,7 @@ def fit_grid(sample: np.ndarray, k: int, threshold: float, target_recall: float,
     n, length = sample.shape
     k = max(1, min(k, n))
     cut = max(1, length // 2)
-    grid = Grid(length, k_means(sample[:, :cut], k, rng), k_means(sample[:, cut:], k, rng), 0.0)
+    grid = Grid(k_means(sample[:, :cut], k, rng), k_means(sample[:, cut:], k, rng), 0.0)
     x = sample[rng.integers(0, n, 20_000)]
     u = rng.standard_normal(x.shape)
     u -= (u * x).sum(1)[:, None] * x
@@ -121,21 +116,23 @@ def matrix(column: pa.Array) -> np.ndarray:
     return m / np.abs(m).max(1)[:, None] if m.size else m
 
 
-def _spread(classes: DataFrame, grid: Grid) -> DataFrame:
-    """Each class in its own cell and as a probe in visited cells above it."""
-    kind = classes.schema["label"].dataType.simpleString()
+def _spread(classes: DataFrame, grids: dict[int, Grid]) -> DataFrame:
+    """Each class in its own cell and as a probe in visited cells above it, in the grid of its length."""
+    kind, least = (classes.schema[c].dataType.simpleString() for c in ("label", "least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                lengths = np.array(pc.list_value_length(batch.column(3)).to_numpy())
+                lengths = np.array(pc.list_value_length(batch.column(4)).to_numpy())
                 row, cell, own = [], [], []
                 for length in np.unique(lengths):
                     these = np.flatnonzero(lengths == length)
-                    m = matrix(batch.column(3).take(pa.array(these)))
+                    m = matrix(batch.column(4).take(pa.array(these)))
                     unit = m / np.linalg.norm(m, axis=1)[:, None]
-                    for i, (mine, visited) in zip(these, grid.cells(unit), strict=True):
+                    grid = grids.get(int(length))
+                    cells = grid.cells(unit) if grid else ((0, [0]) for _ in these)
+                    for i, (mine, visited) in zip(these, cells, strict=True):
                         for c in visited:
                             if c >= mine:
                                 row.append(int(i))
@@ -143,29 +140,28 @@ def _spread(classes: DataFrame, grid: Grid) -> DataFrame:
                                 own.append(c == mine)
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(i).take(take) for i in range(4)]
+                    [batch.column(i).take(take) for i in range(5)]
                     + [pa.array(lengths[row] if row else [], pa.int32()), pa.array(cell, pa.int32()), pa.array(own, pa.bool_())],
-                    names=["key", "label", "copies", "vector", "length", "cell", "own"],
+                    names=["key", "least", "label", "copies", "vector", "length", "cell", "own"],
                 )
 
-
     item = classes.schema["vector"].dataType.simpleString()
     return map_arrow(
-        classes.select("key", "label", "copies", "vector"),
+        classes.select("key", "least", "label", "copies", "vector"),
         run,
-        f"key binary, label {kind}, copies long, vector {item}, length int, cell int, own boolean",
+        f"key binary, least {least}, label {kind}, copies long, vector {item}, length int, cell int, own boolean",
     )
 
 
 def _verify(placed: DataFrame, threshold: float) -> DataFrame:
-    """Links of one block pair of a cell at a time: (key, links, root)."""
+    """Links of one block pair of a cell at a time: key and least of a class, its links, key and least of one it hangs together with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, _, _, bi, bj), t in runs(batches, ["label", "length", "cell", "bi", "bj"]):
             x = matrix(t.column("vector"))
             norm = np.linalg.norm(x, axis=1)
             block, own = t.column("block").to_numpy(), t.column("own").to_numpy()
-            weight, key = t.column("copies").to_numpy(), t.column("key").to_pylist()
+            weight = t.column("copies").to_numpy()
             counts = np.zeros(len(x), np.int64)
             pairs = []
             jobs = [(np.flatnonzero(own), np.arange(len(x)))]
@@ -188,20 +184,14 @@ def _verify(placed: DataFrame, threshold: float) -> DataFrame:
             if not len(out):
                 continue
             roots = local_roots(len(x), np.concatenate(pairs))
-            least: dict[int, bytes] = {}
-            for i in out:
-                r = int(roots[i])
-                least[r] = min(least.get(r, key[i]), key[i])
+            node, root = pa.array(out), pa.array(roots[out])
+            columns = [t.column(c).take(at).combine_chunks() for at in (node, root) for c in ("key", "least")]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([key[i] for i in out], pa.binary()),
-                    pa.array(counts[out], pa.int64()),
-                    pa.array([least[int(roots[i])] for i in out], pa.binary()),
-                ],
-                names=["key", "links", "root"],
+                [*columns[:2], pa.array(counts[out], pa.int64()), *columns[2:]], names=["key", "least", "links", "root_key", "root_least"]
             )
 
-    return map_arrow(placed, run, "key binary, links long, root binary")
+    least = placed.schema["least"].dataType.simpleString()
+    return map_arrow(placed, run, f"key binary, least {least}, links long, root_key binary, root_least {least}")
 
 
 def near_duplicates(
@@ -217,7 +207,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, label, embedding): vec_id, n_links, component_id, kept.
 
-    Codebooks are fit on at most ``sample_rows`` classes (lowest hashes); every vector is indexed.  A cell of
+    Codebooks are fit on at most ``sample_rows`` classes (lowest hashes), for each length of vector in it;
+    lengths that the sample lacks are so rare that one cell holds them.  Every vector is indexed.  A cell of
     a label holds about ``cell_rows`` vectors until a half has ``most_centres`` centres; fuller cells are cut
     into blocks of about ``block`` rows, each pair of which is a group of its own.
     """
@@ -237,28 +228,32 @@ def near_duplicates(
     sample = [r[0] for r in classes.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(sample_rows).select("vector").collect()]
     if not sample:
         return none
-    lengths = [len(v) for v in sample]
-    length = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    m = matrix(pa.array([[float(c) for c in v] for v in sample if len(v) == length], pa.list_(pa.float64())))
-    unit = m / np.linalg.norm(m, axis=1)[:, None]
     fullest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    centres = int(min(most_centres, max(1, math.ceil(math.sqrt(fullest / cell_rows)))))
-    grid = fit_grid(unit, centres, threshold, target_recall, seed)
+    grids = {}
+    for length in sorted({len(v) for v in sample}):
+        m = matrix(pa.array([[float(c) for c in v] for v in sample if len(v) == length], pa.list_(pa.float64())))
+        centres = int(min(most_centres, max(1, math.ceil(math.sqrt(fullest * len(m) / len(sample) / cell_rows)))))
+        grids[length] = fit_grid(m / np.linalg.norm(m, axis=1)[:, None], centres, threshold, target_recall, seed)
 
-    spread = stage(_spread(classes, grid), "spread")
+    spread = stage(_spread(classes, grids), "spread")
     cell = ["label", "length", "cell"]
     sizes = spread.groupBy(*cell).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
     placed = spread.join(sizes.drop("n"), cell).withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("blocks", "other")
     group = [*cell, "bi", "bj"]
-    found = stage(_verify(placed.repartition(*group).sortWithinPartitions(*group), threshold), "links")
-
-    components = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("key"), "root")
+    # block pairs of one cell go to partitions one after the other, so none takes several of them
+    width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pair = (F.col("bj").cast("long") * (F.col("bj") + 1) / 2 + F.col("bi")).cast("long")
+    part = F.pmod(F.pmod(F.xxhash64(*cell), F.lit(width)) + pair, F.lit(width)).cast("int")
+    dealt = placed.withColumn("__part", part).repartitionById(width, "__part").drop("__part").sortWithinPartitions(*group)
+    found = stage(_verify(dealt, threshold), "links")
+
+    components = connected_components(found.select(class_node("least", "key").alias("a"), class_node("root_least", "root_key").alias("b")))
+    components = components.select(F.col("node.key").alias("key"), F.col("root.id").alias("root_least"), F.lit(True).alias("linked"))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     joined = classes.select("key", "least", "copies").join(counts, "key", "left").join(components, "key", "left")
-    joined = joined.withColumn("root", F.coalesce("root", "key"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    verdicts = joined.join(least, "root").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    component = F.when(F.col("linked"), F.col("root_least")).otherwise(F.col("least")).alias("component_id")
+    verdicts = joined.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), component)
     out = good.select("vec_id", "key").join(verdicts, "key").select("vec_id", "n_links", "component_id")
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).unionByName(none)
