@@ -65,8 +65,8 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def renames(staged: DataFrame, catalog: DataFrame, *, least: float = 0.65, same_folder: bool = True) -> DataFrame:
     """old_name, filename, sha of pairs with one content and similar names; each unordered pair once.
 
-    The equi-join on the hash leaves few pairs for the name comparison; a pair that swaps its names keeps
-    the one whose staged name sorts first.
+    The equi-join on the hash leaves few pairs for the name comparison, which is not symmetric: the staged name
+    comes first.  Of two files that swap their names the one whose staged name sorts first stays.
     """
     old = catalog.select(F.col("filename").alias("old_name"), F.col("sha256").alias("sha")).distinct()
     new = staged.select("filename", F.col("sha256").alias("sha")).distinct()
@@ -74,8 +74,8 @@ def renames(staged: DataFrame, catalog: DataFrame, *, least: float = 0.65, same_
     pairs = new.join(old, "sha").where(F.col("old_name") != F.col("filename"))
     if same_folder:
         pairs = pairs.where(folder(F.col("old_name")) == folder(F.col("filename")))
-    pairs = pairs.where(name_similarity("old_name", "filename") >= least)
-    once = Window.partitionBy(F.least("old_name", "filename"), F.greatest("old_name", "filename"), "sha").orderBy("filename")
+    pairs = pairs.where(name_similarity("filename", "old_name") >= least)
+    once = Window.partitionBy(F.least("old_name", "filename"), F.greatest("old_name", "filename")).orderBy("filename", "sha")
     return pairs.withColumn("rn", F.row_number().over(once)).where("rn = 1").select("old_name", "filename", "sha")
 
 

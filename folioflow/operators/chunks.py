@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import PAGE_MARK, page_numbers
+from ..functions.text import PAGE_MARK, PAGE_TAG, page_numbers
+from .folds import oversized_parts
 
 
 def links(chunks: DataFrame) -> DataFrame:
@@ -84,13 +85,16 @@ def fill_forward(chunks: DataFrame, column: str) -> DataFrame:
     return chunks.withColumn("resolved", F.last(column, ignorenulls=True).over(w))
 
 
-def page_parts(markdown: Column, group: int = 5) -> Column:
-    """Texts of ``group`` pages each, marks included; what stands before the first mark is dropped, no mark gives none."""
-    pages = F.slice(F.split(markdown, rf"(?={PAGE_MARK.replace('(', '(?:')})"), 1, 1 << 30)
-    pages = F.filter(pages, lambda p: p.rlike("^" + PAGE_MARK))
+def page_parts(markdown: Column, group: int = 5, most: int = 80_000) -> Column:
+    """Texts of ``group`` pages each, marks included, cut where they exceed ``most`` characters.
+
+    What stands before the first mark is dropped, no mark gives none.
+    """
+    pages = F.split(markdown, f"(?={PAGE_TAG})", -1)
+    pages = F.filter(pages, lambda p: p.rlike("^" + PAGE_TAG))
     n = F.ceil(F.size(pages) / F.lit(group)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(pages, i * group + 1, F.lit(group)), ""))
-    return F.when(F.size(pages) > 0, parts).otherwise(F.array().cast("array<string>"))
+    return oversized_parts(most)(F.when(F.size(pages) > 0, parts).otherwise(F.array().cast("array<string>")))
 
 
 def page_of_chunks(chunks: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import chunk_text
 
 
 @dataclass(frozen=True)
@@ -114,6 +115,40 @@ def translate_hits(hits: DataFrame, bundles: DataFrame) -> DataFrame:
     return hits.join(bundles.select("claim_id", F.col("pos").alias("index"), "other_id"), ["claim_id", "index"])
 
 
+def similar_claims(claims: DataFrame, *, least: float = 0.95, block: int = 1024) -> DataFrame:
+    """claim_id, other_id: links that connect all claims of a project with a cosine of at least ``least``.
+
+    Exact, in pairs of blocks as in :func:`neighbours`.  What leaves a pair of blocks is one link a claim, to the
+    first claim of its component there, so a dense group stays linear in rows.  Pass only claims that occur in pairs.
+    """
+    keys = ["project_id", "bi", "bj"]
+    sizes = claims.groupBy("project_id").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    rows = claims.select("claim_id", "project_id", "vector").join(sizes, "project_id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("claim_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("blocks", "other", "own")
+    kind = claims.schema["claim_id"].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("claim_id", kind="stable")
+        unit = _unit(group["vector"], group)
+        near = unit @ unit.T >= least
+        np.fill_diagonal(near, True)
+        root = np.arange(len(group))
+        while True:
+            # the least root among neighbours, then the root of that root
+            new = np.where(near, root[None, :], len(root)).min(1)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        ids = group["claim_id"].to_numpy()
+        return pd.DataFrame({"claim_id": ids[moved], "other_id": ids[root[moved]]})
+
+    return rows.groupBy(*keys).applyInPandas(run, f"claim_id {kind}, other_id {kind}").distinct()
+
+
 def pair_payloads(pairs: DataFrame, claims: DataFrame) -> DataFrame:
     """Both claims of each pair; pairs with an unknown claim have nulls and ``complete`` false."""
     side = lambda s: claims.select(F.col("claim_id").alias(f"claim_{s}_id"), F.col("document_id").alias(f"document_{s}"))
@@ -165,15 +200,23 @@ def neighbour_window(chunks: DataFrame, before: int = 10, after: int = 1) -> Dat
     )
 
 
+#: Fixed value: what stands for the middle of a long prefix.
+CUT_MARK = "\n...[TRUNCATED]...\n"
+
+
 def context_text(chunks: DataFrame, *, before: int = 10, after: int = 1, most_before: int = 5000, most_after: int = 500, head: float = 0.2) -> DataFrame:
-    """Text around each chunk from chunks of the same heading; a long prefix keeps its first fifth and its end."""
+    """Text around each chunk from chunks of the same heading; a long prefix keeps its first fifth and its end.
+
+    ``chunks``: document_id, seq, chunk_id, toc_path, chunk_type, text, summary; each speaks as ``chunk_text`` has it.
+    """
+    chunks = chunks.withColumn("text", chunk_text(F.col("chunk_type"), F.col("text"), F.col("summary")))
     w = Window.partitionBy("document_id").orderBy("seq")
     near = F.struct("toc_path", "text")
     joined = lambda c: F.array_join(F.transform(F.filter(c, lambda x: x["toc_path"].eqNullSafe(F.col("toc_path"))), lambda x: x["text"]), "\n")
     out = chunks.withColumn("__b", F.collect_list(near).over(w.rowsBetween(-before, -1))).withColumn("__a", F.collect_list(near).over(w.rowsBetween(1, after)))
     first = int(most_before * head)
     prefix = joined(F.col("__b"))
-    cut = F.concat(F.substring(prefix, 1, first), F.lit("\n[...]\n"), F.right(prefix, F.lit(most_before - first)))
+    cut = F.concat(F.substring(prefix, 1, first), F.lit(CUT_MARK), F.right(prefix, F.lit(most_before - first)))
     return out.select(
         "document_id",
         "chunk_id",

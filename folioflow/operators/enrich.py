@@ -133,7 +133,8 @@ def subtree_tokens(nodes: DataFrame) -> DataFrame:
     ``nodes``: doc_id, line, level, tokens.  Running sums and, per level, the next line that ends it; no self join.
     """
     order = Window.partitionBy("doc_id").orderBy("line")
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    # what follows is what precedes in falling order: a frame that ends with the document would be read anew for every row
+    after = Window.partitionBy("doc_id").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
     out = nodes.withColumn("__before", F.sum("tokens").over(order) - F.col("tokens")).withColumn("__all", F.sum("tokens").over(Window.partitionBy("doc_id")))
     ends = [F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.struct("line", "__before"))).over(after)) for k in range(1, 7)]
     out = out.withColumn("__end", F.least(*ends))

@@ -14,47 +14,63 @@ SEPARATORS = ("\n\n", "\n", " ", "")
 
 
 def split_text(text: str, size: int, overlap: int = 0, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces shorter than ``size``, cut at the strongest separator that occurs; weaker ones cut what stays too long.
+    """Pieces of about ``size`` characters, cut at the strongest separator that occurs; weaker ones cut what stays too long.
 
-    Neighbouring short pieces are joined again while they stay below ``size``; whole pieces of up to ``overlap``
-    characters are repeated at the start of the next.  Empty pieces are dropped, nothing is trimmed.
+    A unit shorter than ``size`` is joined to its predecessors while the sum stays within ``size``.  A piece that
+    is closed hands its last units on, as many as ``overlap`` allows, but always one.  Empty units are dropped,
+    nothing is trimmed.
     """
     at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
     mark, weaker = separators[at], separators[at + 1 :]
-    units = [u for u in (text.split(mark) if mark else list(text)) if u]
     out: list[str] = []
-    open_units: list[str] = []
-
-    def length(units: list[str]) -> int:
-        return sum(map(len, units)) + len(mark) * max(0, len(units) - 1)
+    held: list[str] = []
+    used = 0
 
     def close() -> None:
-        if open_units:
-            out.append(mark.join(open_units))
+        nonlocal held, used
+        if held:
+            out.append(mark.join(held))
+        held, used = [], 0
 
-    for u in units:
-        if len(u) >= size and mark:
-            close()
-            open_units = []
-            out.extend(split_text(u, size, overlap, weaker) if weaker else [u])
+    for unit in text.split(mark) if mark else text:
+        if not unit:
             continue
-        if open_units and length([*open_units, u]) >= size:
+        if len(unit) >= size:
             close()
-            while open_units and (length(open_units) > overlap or length([*open_units, u]) >= size):
-                open_units.pop(0)
-        open_units.append(u)
+            out.extend(split_text(unit, size, overlap, weaker) if weaker else [unit])
+            continue
+        gap = len(mark) if held else 0
+        if held and used + gap + len(unit) > size:
+            out.append(mark.join(held))
+            first = 0
+            while used > overlap and len(held) - first > 1:
+                used -= len(held[first]) + len(mark)
+                first += 1
+            held = held[first:]
+        used += len(unit) + (len(mark) if held else 0)
+        held.append(unit)
     close()
     return out
 
 
 def split_oversized(text: str, most: int) -> list[str]:
-    """Parts of at most ``most`` characters, cut at the last blank line, else line end, beyond a quarter; else hard."""
-    out = []
-    while most > 0 and len(text) > most:
-        cut = next((c for c in (text.rfind(m, 0, most) for m in ("\n\n", "\n")) if c > most // 4), most)
-        out.append(text[:cut])
-        text = text[cut:]
-    return [*out, text] if text else out
+    """Parts of at most ``most`` characters, cut after the last blank line, else line end, beyond a quarter; else hard.
+
+    A text that fits, an empty one too, is one part.
+    """
+    out, start = [], 0
+    while len(text) - start > most > 0:
+        cut = start + most
+        for mark in ("\n\n", "\n"):
+            found = text.rfind(mark, start, start + most)
+            if found - start > most // 4:
+                cut = found + len(mark)
+                break
+        out.append(text[start:cut])
+        start = cut
+    if start < len(text) or not out:
+        out.append(text[start:])
+    return out
 
 
 def split_column(size: int, overlap: int = 0):
@@ -75,6 +91,16 @@ def oversized_column(most: int):
     return pieces
 
 
+def oversized_parts(most: int):
+    """:func:`split_oversized` of each text of a list, in one list."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def pieces(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda texts: None if texts is None else [p for t in texts for p in split_oversized(t, most)])
+
+    return pieces
+
+
 def leaders(hashes: list[int], most: int) -> list[int]:
     """Index of the leader that each 64-bit hash joins: the first within ``most`` bits, else itself."""
     found: list[int] = []
@@ -100,28 +126,23 @@ def image_leaders(images: DataFrame, most: int = 8) -> DataFrame:
 
 
 def ordered_matches(before: list[tuple], after: list[tuple], window: int = 10) -> list[int]:
-    """For each (toc_path, pages) of ``after`` the index of the best of the next ``window`` of ``before``.
+    """For each (toc_path, pages) of ``after`` the index of the best of the next ``window`` of ``before``; -1 if that is empty.
 
-    The pointer never moves back; an equal path counts 1000, each common page 1; the first of equals wins.
+    The pointer never moves back; an equal path counts 1000, each common page 1; the first of equals wins, so
+    where nothing scores the pointer stays and its chunk is the match.
     """
+    if not before:
+        return [-1] * len(after)
     pointer, out = 0, []
     for path, pages in after:
-        stop = min(len(before), pointer + window)
-        scores = [1000 * (before[i][0] == path) + len(set(before[i][1] or []) & set(pages or [])) for i in range(pointer, stop)]
-        if not scores:
-            out.append(-1)
-            continue
-        best = max(range(len(scores)), key=lambda i: (scores[i], -i))
-        if scores[best] > 0:
-            pointer += best
-            out.append(pointer)
-        else:
-            out.append(-1)
+        near = range(pointer, min(len(before), pointer + window))
+        pointer = max(near, key=lambda i: (1000 * (before[i][0] == path) + len(set(before[i][1] or []) & set(pages or [])), -i))
+        out.append(pointer)
     return out
 
 
 def match_enrichment(enriched: DataFrame, target: DataFrame) -> DataFrame:
-    """document_id, seq, matched_seq of chunks whose metadata carries over to chunks cut anew; null without a match."""
+    """document_id, seq, matched_seq of chunks whose metadata carries over to chunks cut anew; null where no chunk was enriched."""
 
     columns = ["document_id", "seq", "toc_path", "pages"]
 
@@ -136,16 +157,3 @@ def match_enrichment(enriched: DataFrame, target: DataFrame) -> DataFrame:
     kind = target.schema["document_id"].dataType.simpleString()
     left, right = enriched.select(*columns).groupBy("document_id"), target.select(*columns).groupBy("document_id")
     return left.cogroup(right).applyInPandas(run, f"document_id {kind}, seq int, matched_seq int")
-
-
-def pack_rows(rows: list[str], size: int) -> list[list[str]]:
-    """Table rows in order, as many in a part as stay within ``size`` characters; a longer row is a part of its own."""
-    out: list[list[str]] = []
-    used = 0
-    for r in rows:
-        if not out or used + len(r) > size:
-            out.append([])
-            used = 0
-        out[-1].append(r)
-        used += len(r)
-    return out

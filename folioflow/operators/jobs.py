@@ -62,6 +62,11 @@ def allowed_failures(n: Column, share: float = 0.15, least: int = 2) -> Column:
     return F.greatest(F.bround(n * share), F.lit(float(least))).cast("int")
 
 
+def allowed_visual_failures(n: Column, share: float = 0.2) -> Column:
+    """Figures and tables that may fail: a share cut to a whole number, at least one."""
+    return F.greatest(F.lit(1), F.floor(n * share).cast("int"))
+
+
 def backoff_seconds(round_number: Column, base: int = 30, most: int = 300) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2), round_number - 1), F.lit(most)).cast("int")
 

@@ -268,6 +268,30 @@ def r4_approvals(spark, d):
     return jo.approvals(e.groupBy("workflow_id").agg(F.min("ts").alias("started")), signals, F.lit("2024-01-20").cast("timestamp_ntz"))
 
 
+@query("f25_allowed_visual_failures", "SELECT p_partkey, greatest(1, floor(p_size * 0.2))::INT AS allowed FROM part")
+def f25_allowed_visual_failures(spark, d):
+    return table(spark, d, "part").select("p_partkey", jo.allowed_visual_failures(F.col("p_size").cast("double")).alias("allowed"))
+
+
+@query("r5_backoff", "SELECT l_orderkey, l_linenumber, least(30 * 2 ** (l_linenumber - 1), 300)::INT AS seconds FROM lineitem")
+def r5_backoff(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", jo.backoff_seconds(F.col("l_linenumber")).alias("seconds"))
+
+
+@query("f21_source_reference", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 AND p_size % 4 = 0 THEN NULL WHEN p_size % 3 = 0 THEN 'file' WHEN p_size % 3 = 1 THEN 'manual' END AS kind FROM part")
+def f21_source_reference(spark, d):
+    size = F.col("p_size")
+    kind = F.when(size % 3 == 0, "file").when(size % 3 == 1, "manual")
+    return table(spark, d, "part").select("p_partkey", co.source_reference(kind, F.when(size % 4 > 0, F.col("p_name")))["type"].alias("kind"))
+
+
+@query("c54_contents_to_types", "SELECT p_type || ' > ' || p_brand AS category, p_name AS document_type, CASE WHEN p_size % 2 = 0 THEN p_size || ': ' ELSE '' END || p_name AS description FROM part")
+def c54_contents_to_types(spark, d):
+    number = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("")
+    entries = table(spark, d, "part").select(F.array("p_type", "p_brand").alias("path"), F.col("p_name").alias("title"), number.alias("number"))
+    return co.contents_to_types(entries)
+
+
 @query("f24_allowed_failures", "SELECT p_partkey, greatest(round_even(p_size * 0.15, 0), 2)::INT AS allowed FROM part")
 def f24_allowed_failures(spark, d):
     return table(spark, d, "part").select("p_partkey", jo.allowed_failures(F.col("p_size").cast("double")).alias("allowed"))
@@ -281,6 +305,6 @@ def s16_split_plan(spark, d):
     return jo.split_plan(f)
 
 
-@query("s27_log_records")
+@query("s27_log_records", """SELECT event_id, '{' || array_to_string(list_filter(['"event_type":' || to_json(event_type)::VARCHAR, '"user_id":' || to_json(user_id)::VARCHAR, '"props":' || to_json(props)::VARCHAR], lambda x: x IS NOT NULL), ',') || '}' AS record FROM events""")
 def s27_log_records(spark, d):
     return table(spark, d, "events").select("event_id", jo.log_record(["event_type", "user_id", "props"]).alias("record"))

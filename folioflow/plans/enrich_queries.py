@@ -12,7 +12,7 @@ from ..operators import enrich as en
 from ..operators import folds
 from ..sources.tables import table
 from . import fixtures as fx
-from .registry import SQL, query
+from .registry import QUERIES, SQL, query
 
 
 @query("j13_merge_metadata", f"""WITH {fx.CHUNKS} SELECT chunk_id, CASE WHEN seq % 2 = 0 THEN 'topic-' || seq ELSE toc_path END AS toc_path, CASE WHEN seq % 3 = 0 THEN seq END AS scale FROM chunks""")
@@ -53,11 +53,11 @@ def a12_join_in_blocks(spark, d):
     return en.join_in_blocks(lines, most=3000)
 
 
-@query("j21_furniture_tables", f"""WITH {fx.LINES}, f AS (SELECT doc_id, line FROM lines WHERE pos % 3 = 0 AND line <> ''), c AS (SELECT doc_id, pos // 4 AS table_id, left(line, CASE WHEN pos % 2 = 0 THEN 6 ELSE 200 END) AS cell FROM lines)
+@query("j21_furniture_tables", f"""WITH {fx.LINES}, f AS (SELECT doc_id, line FROM lines WHERE pos % 3 = 0 AND line <> ''), c AS (SELECT doc_id, pos // 4 AS table_id, line || CASE WHEN pos % 2 = 0 THEN '' ELSE ' #' END AS cell FROM lines)
   SELECT doc_id, table_id::INT AS table_id FROM c WHERE trim(cell) <> '' AND doc_id IN (SELECT doc_id FROM f) GROUP BY ALL HAVING avg((EXISTS (SELECT 1 FROM f WHERE f.doc_id = c.doc_id AND contains(f.line, c.cell)))::INT) > 0.5""")
 def j21_furniture_tables(spark, d):
     lines = fx.lines(spark, d)
-    cells = lines.select("doc_id", F.floor(F.col("pos") / 4).cast("int").alias("table_id"), F.when(F.col("pos") % 2 == 0, F.left("line", F.lit(6))).otherwise(F.left("line", F.lit(200))).alias("cell"))
+    cells = lines.select("doc_id", F.floor(F.col("pos") / 4).cast("int").alias("table_id"), F.concat("line", F.when(F.col("pos") % 2 == 0, "").otherwise(" #")).alias("cell"))
     return en.furniture_tables(cells, lines.where("pos % 3 = 0").select("doc_id", F.col("line").alias("text")))
 
 
@@ -91,12 +91,7 @@ def a11_subtree_tokens(spark, d):
     return en.subtree_tokens(nodes).select("doc_id", "line", "total_tokens")
 
 
-@query("a11_subtree_tokens_whole", SQL["a11_subtree_tokens"].replace(fx.MARKDOWN, fx.WHOLE_MARKDOWN))
-def a11_subtree_tokens_whole(spark, d):
-    docs = fx.whole_markdown(spark, d)
-    text = F.element_at(F.split("markdown", "\n"), F.col("line"))
-    nodes = ch.header_nodes(docs).join(docs, "doc_id").select("doc_id", "line", "level", F.length(text).alias("tokens"))
-    return en.subtree_tokens(nodes).select("doc_id", "line", "total_tokens")
+QUERIES["a11_subtree_tokens_whole"], SQL["a11_subtree_tokens_whole"] = QUERIES["a11_subtree_tokens"], SQL["a11_subtree_tokens"]
 
 
 @query("c34_grid_html", """WITH c AS (SELECT o_custkey AS table_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row, o_orderpriority AS a, o_orderstatus AS b FROM orders)
@@ -120,7 +115,7 @@ def c19_split_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(folds.split_column(2000)(F.col("text"))).alias("part", "text"))
 
 
-@query("c9_split_oversized")
+@query("c9_split_oversized", f"""WITH RECURSIVE {fx.cut_sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL", "doc_id", 3000)} SELECT doc_id, n::INT AS part, piece AS text FROM cut WHERE n >= 0""")
 def c9_split_oversized(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(folds.oversized_column(3000)(F.col("text"))).alias("part", "text"))
 

@@ -70,8 +70,8 @@ LINES = """lines AS (
   SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"""
 
 MARKDOWN = """md AS (
-  SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 4 WHEN 0 THEN '# ' || left(x, 20)
-    WHEN 2 THEN '## ' || left(x, 10) ELSE x END) AS lines FROM documents)"""
+  SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 4 WHEN 0 THEN '# ' || x
+    WHEN 2 THEN '## ' || x ELSE x END) AS lines FROM documents)"""
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -80,24 +80,33 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 def markdown(spark: SparkSession, d: str) -> DataFrame:
     """Every fourth line a heading, the second after it a subheading."""
-    marked = F.transform(
-        F.split("text", "\n"),
-        lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("# "), F.left(x, F.lit(20)))).when(i % 4 == 2, F.concat(F.lit("## "), F.left(x, F.lit(10)))).otherwise(x),
-    )
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 4 == 0, "# ").when(i % 4 == 2, "## ").otherwise(""), x))
     return table(spark, d, "documents").select("doc_id", F.array_join(marked, "\n").alias("markdown"))
 
 
-WHOLE_MARKDOWN = """md AS (
-  SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 4 WHEN 0 THEN '# ' || x
-    WHEN 2 THEN '## ' || x ELSE x END) AS lines FROM documents)"""
+PAGED = """paged AS (
+  SELECT doc_id, string_agg(CASE WHEN (pos - 1) % 3 = 2 THEN '<seite nummer="' || ((pos + 2) // 3) || '" />' || chr(10) ELSE '' END
+    || CASE (pos - 1) % 4 WHEN 0 THEN '# ' || line WHEN 2 THEN '## ' || line ELSE line END, chr(10) ORDER BY pos) AS markdown
+  FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id)"""
 
 
-def whole_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """As ``markdown``, with the whole line in each heading."""
-    marked = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 4 == 0, "# ").when(i % 4 == 2, "## ").otherwise(""), x))
+def paged(spark: SparkSession, d: str) -> DataFrame:
+    """As ``markdown``, with a page mark before every third line from the third on."""
+    mark = lambda i: F.when(i % 3 == 2, F.concat(F.lit('<seite nummer="'), F.floor((i + 3) / 3).cast("string"), F.lit('" />\n'))).otherwise("")
+    head = lambda i: F.when(i % 4 == 0, "# ").when(i % 4 == 2, "## ").otherwise("")
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.concat(mark(i), head(i), x))
     return table(spark, d, "documents").select("doc_id", F.array_join(marked, "\n").alias("markdown"))
 
 
+def cut_sql(rows: str, keys: str, most: int) -> str:
+    """Recursive table ``cut`` (keys, n, piece): texts of ``rows`` (keys, text) in parts of ``most``, cut after blank lines or line ends beyond a quarter."""
+    last = lambda mark: f"CASE WHEN instr(reverse(left(rest, {most})), {mark}) = 0 THEN -1 ELSE {most} - instr(reverse(left(rest, {most})), {mark}) - length({mark}) + 1 END"
+    two, one = last("chr(10) || chr(10)"), last("chr(10)")
+    at = f"CASE WHEN length(rest) <= {most} THEN length(rest) WHEN {two} > {most // 4} THEN {two} + 2 WHEN {one} > {most // 4} THEN {one} + 1 ELSE {most} END"
+    return f"""cut AS (SELECT {keys}, -1 AS n, text AS rest, NULL::VARCHAR AS piece FROM ({rows})
+  UNION ALL SELECT {keys}, n + 1, CASE WHEN length(rest) <= {most} THEN NULL ELSE substr(rest, ({at}) + 1) END, left(rest, {at}) FROM cut WHERE rest IS NOT NULL AND (n < 0 OR rest <> ''))"""
+
+
 ITEMS = """items AS (
   SELECT doc_id, pos::INT AS item, (pos // 5)::INT AS page, (CASE pos % 4 WHEN 1 THEN 'table' WHEN 2 THEN 'image' ELSE 'text' END) AS type,
     line AS text, line AS table_body, (pos % 3)::BIGINT AS phash, [0.0, ((pos * 97) % 842)::DOUBLE, 100.0, ((pos * 97) % 842)::DOUBLE + 10] AS bbox,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..sources.tables import table
 from . import fixtures as fx
-from .registry import query
+from .registry import QUERIES, SQL, query
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -64,9 +64,12 @@ def c40_table_text(spark, d):
     return table(spark, d, "pages").select("page_id", tx.table_text(F.col("html")).alias("out"))
 
 
-@query("c21_table_fragment", r"SELECT page_id, len(regexp_extract_all(html, '(?i)</?(?:tr|td|th)\b')) >= 2 OR regexp_matches(html, '(?i)^\s*<(?:tr|td|th)') AS out FROM pages")
+@query("c21_table_fragment", r"""WITH h AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN '<thead>' || html WHEN 2 THEN 'a</td></td></tr> b' ELSE ' <TR>' || html END AS html FROM pages)
+  SELECT page_id, len(regexp_extract_all(html, '(?i)<tr|<td|<th')) >= 2 OR regexp_matches(html, '(?i)^\s*<(?:tr|td|th)') AS out FROM h""")
 def c21_table_fragment(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.is_table_fragment(F.col("html")).alias("out"))
+    k, html = F.col("page_id") % 4, F.col("html")
+    text = F.when(k == 0, html).when(k == 1, F.concat(F.lit("<thead>"), html)).when(k == 2, "a</td></td></tr> b").otherwise(F.concat(F.lit(" <TR>"), html))
+    return table(spark, d, "pages").select("page_id", tx.is_table_fragment(text).alias("out"))
 
 
 @query(
@@ -80,20 +83,79 @@ def s12_object_path(spark, d):
 
 @query(
     "s10_entry_name",
-    r"""WITH e AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '__MACOSX/' || url WHEN 1 THEN '..\' || url WHEN 2 THEN '.\a\\' || url ELSE '/' || url || '/.' END AS name FROM pages),
-    s AS (SELECT page_id, list_filter(string_split(replace(name, '\', '/'), '/'), lambda p: p NOT IN ('', '.')) AS parts FROM e)
-    SELECT page_id, CASE WHEN len(parts) > 0 AND NOT list_contains(parts, '..') AND parts[1] <> '__MACOSX' AND NOT starts_with(array_to_string(parts, '/'), '._')
+    r"""WITH e AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN url || CASE WHEN page_id % 2 = 0 THEN '/' ELSE '\' END WHEN page_id % 4 = 0 THEN '__MACOSX/' || url WHEN page_id % 4 = 1 THEN '..\' || url WHEN page_id % 4 = 2 THEN '.\a\\' || url ELSE '/' || url || '/.' END AS name FROM pages),
+    s AS (SELECT page_id, right(name, 1) IN ('/', '\') AS folder, list_filter(string_split(replace(name, '\', '/'), '/'), lambda p: p NOT IN ('', '.')) AS parts FROM e)
+    SELECT page_id, CASE WHEN NOT folder AND len(parts) > 0 AND NOT list_contains(parts, '..') AND parts[1] <> '__MACOSX' AND NOT starts_with(array_to_string(parts, '/'), '._')
       THEN array_to_string(parts, '/') END AS out FROM s""",
 )
 def s10_entry_name(spark, d):
     k, url = F.col("page_id") % 4, F.col("url")
-    name = F.when(k == 0, F.concat(F.lit("__MACOSX/"), url)).when(k == 1, F.concat(F.lit("..\\"), url)).when(k == 2, F.concat(F.lit(".\\a\\\\"), url))
+    folder = F.concat(url, F.when(F.col("page_id") % 2 == 0, "/").otherwise("\\"))
+    name = F.when(F.col("page_id") % 5 == 0, folder).when(k == 0, F.concat(F.lit("__MACOSX/"), url)).when(k == 1, F.concat(F.lit("..\\"), url)).when(k == 2, F.concat(F.lit(".\\a\\\\"), url))
     return table(spark, d, "pages").select("page_id", tx.normal_entry_name(name.otherwise(F.concat(F.lit("/"), url, F.lit("/.")))).alias("out"))
 
 
-@query("f7_keywords", "SELECT page_id, contains(lower(url), 'utm') OR contains(lower(url), 'ref=x') AS out FROM pages")
+_NAMES = """n AS (SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Erläuterung.pdf' WHEN 2 THEN 'ERLA' || chr(776) || 'UTERUNG.PDF' WHEN 3 THEN 'Erla€uterung.pdf' ELSE 'Erlterung.docx' END AS name FROM pages)"""
+
+
+def _names(spark, d):
+    k = F.col("page_id") % 5
+    ending = F.when(k == 0, "").when(k == 1, "Erläuterung.pdf").when(k == 2, "ERLA\u0308UTERUNG.PDF").when(k == 3, "Erla€uterung.pdf").otherwise("Erlterung.docx")
+    return table(spark, d, "pages").select("page_id", F.concat("url", ending).alias("name"))
+
+
+def _keyword_sql(*words: str) -> str:
+    """Each word in the composed lower-case name, or its base letters in the name's ASCII characters."""
+    low = "nfc_normalize(lower(name))"
+    return "(" + " OR ".join(f"contains({low}, '{w}') OR contains(regexp_replace({low}, '[^\\x00-\\x7F]', '', 'g'), strip_accents('{w}'))" for w in words) + ")"
+
+
+@query("f7_keywords", f"WITH {_NAMES} SELECT page_id, {_keyword_sql('utm', 'erläuterung')} AS out FROM n")
 def f7_keywords(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.has_keyword(F.col("url"), ["UTM", "ref=x"]).alias("out"))
+    return _names(spark, d).select("page_id", tx.has_keyword(F.col("name"), ["UTM", "Erläuterung"]).alias("out"))
+
+
+@query("f6_triage", f"""WITH {_NAMES} SELECT page_id, CASE WHEN {_keyword_sql('utm')} THEN 'skipped' WHEN NOT regexp_matches(lower(name), '[^/.][^/]*\\.pdf$') THEN 'unsupported' WHEN {_keyword_sql('erläuterung')} THEN 'priority' ELSE 'regular' END AS kind FROM n""")
+def f6_triage(spark, d):
+    return _names(spark, d).select("page_id", tx.triage(F.col("name"), skipped=["utm"], extensions=[".pdf"], priority=["Erläuterung"]).alias("kind"))
+
+
+@query("s11_upload_errors", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'extension' WHEN 2 THEN 'type' WHEN 3 THEN 'script' WHEN 4 THEN 'content' ELSE NULL END AS error FROM pages""")
+def s11_upload_errors(spark, d):
+    """Six kinds of files: a PDF, an unknown extension, a type not allowed, a script behind a byte order mark, HTML named PDF, no content."""
+    k = F.col("page_id") % 6
+    name = F.concat(F.col("page_id").cast("string"), F.when(k == 1, ".exe").when(k == 2, ".TXT").otherwise(".PDF"))
+    head = F.when(k == 3, F.unhex(F.lit("EFBBBF23212F62"))).when(k == 4, F.encode("html", "UTF-8")).when(k < 3, F.encode(F.concat(F.lit("%PDF-1.7 "), "html"), "UTF-8"))
+    types = {".pdf": "application/pdf", ".txt": "text/plain"}
+    return table(spark, d, "pages").select("page_id", tx.upload_error(name, head, types, ["application/pdf"]).alias("error"))
+
+
+@query("c36_safe_stem", """SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(text || chr(8232) || 'u' || chr(776) || '?' || chr(9)), '[\\x00-\\x08\\x0a-\\x1f\\x7f-\\x9f]|[\\p{Cf}\\p{Zl}\\p{Zp}]', '', 'g'), '[<>:"|?*]', '_', 'g') AS out FROM documents""")
+def c36_safe_stem(spark, d):
+    name = F.concat("text", F.lit("\u2028u\u0308?\t"))
+    return _docs(spark, d).select("doc_id", tx.safe_stem(name).alias("out"))
+
+
+@query("c39_summaries_only", """SELECT doc_id, 'a ' || CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END || ' b ' || CASE WHEN doc_id % 3 = 0 THEN text ELSE 'cell' END || ' c' AS out FROM documents WHERE text IS NOT NULL""")
+def c39_summaries_only(spark, d):
+    """A figure with and without a summary, a table with a summary or else its text."""
+    k, text = F.col("doc_id"), F.col("text")
+    figure = F.concat(F.lit("<BILD x><content>z</content>"), F.when(k % 2 == 0, F.concat(F.lit("<summary>"), text, F.lit("</summary>"))).otherwise(""), F.lit("</BILD>"))
+    table_ = F.concat(F.lit("<TABELLE>"), F.when(k % 3 == 0, F.concat(F.lit("<summary>"), text, F.lit("</summary>"))).otherwise("<td> cell </td>"), F.lit("</TABELLE>"))
+    return _docs(spark, d).where("text is not null").select("doc_id", tx.summaries_only(F.concat(F.lit("a "), figure, F.lit(" b "), table_, F.lit(" c"))).alias("out"))
+
+
+@query("c47_rendered", f"SELECT doc_id, 'Text: ' || {_SAFE} || ' {{end}} <¤EXTERNAL_DATA¤>' AS out FROM documents WHERE text IS NOT NULL")
+def c47_rendered(spark, d):
+    out = tx.rendered("Text: {text} {{end}} {external_data_tag_open}", text=F.col("text"))
+    return _docs(spark, d).where("text is not null").select("doc_id", out.alias("out"))
+
+
+@query("t6_windows", "SELECT doc_id, i::INT AS part, substr(text, i * 1000 + 1, 1000) AS text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 999) // 1000)) AS i FROM documents)")
+def t6_windows(spark, d):
+    from ..operators.services import windows
+
+    return _docs(spark, d).select("doc_id", F.posexplode(windows(F.col("text"), 1000)).alias("part", "text"))
 
 
 @query("c28_pages_of_text", r"""WITH m AS (SELECT doc_id, '<seite nummer="' || (doc_id % 9) || '" />' || text || '<seite  nummer="12"/>' AS t FROM documents)
@@ -126,17 +188,14 @@ def c50_chunk_text(spark, d):
     return fx.chunks(spark, d).select("chunk_id", tx.chunk_text(F.col("chunk_type"), F.col("text"), summary).alias("out"))
 
 
-@query("c11_plain_symbols", r"""SELECT doc_id, replace(regexp_replace('$\S$ 3 $5^{circ}C$ $5^{\circ}$' || left(text, 50), '\$([^$]*)\^\{circ\}([^$]*)\$', '\1°\2', 'g'), '$\S$', '§') AS out FROM documents""")
+@query("c11_plain_symbols", r"""WITH m AS (SELECT doc_id, '$\S$ 3 $5^{circ}C$ $5^{\circ}$' || text || ' $\S$ $7^{circ}F$' AS t FROM documents)
+  SELECT doc_id, replace(regexp_replace(t, '\$([^$]*)\^\{circ\}([^$]*)\$', '\1°\2', 'g'), '$\S$', '§') AS out FROM m""")
 def c11_plain_symbols(spark, d):
-    text = F.concat(F.lit("$\\S$ 3 $5^{circ}C$ $5^{\\circ}$"), F.left("text", F.lit(50)))
+    text = F.concat(F.lit("$\\S$ 3 $5^{circ}C$ $5^{\\circ}$"), F.col("text"), F.lit(" $\\S$ $7^{circ}F$"))
     return _docs(spark, d).select("doc_id", tx.plain_symbols(text).alias("out"))
 
 
-@query("c11_plain_symbols_whole", r"""WITH m AS (SELECT doc_id, '$\S$ 3 $5^{circ}C$ $5^{\circ}$' || text || ' $\S$ $7^{circ}F$' AS t FROM documents)
-  SELECT doc_id, replace(regexp_replace(t, '\$([^$]*)\^\{circ\}([^$]*)\$', '\1°\2', 'g'), '$\S$', '§') AS out FROM m""")
-def c11_plain_symbols_whole(spark, d):
-    text = F.concat(F.lit("$\\S$ 3 $5^{circ}C$ $5^{\\circ}$"), F.col("text"), F.lit(" $\\S$ $7^{circ}F$"))
-    return _docs(spark, d).select("doc_id", tx.plain_symbols(text).alias("out"))
+QUERIES["c11_plain_symbols_whole"], SQL["c11_plain_symbols_whole"] = QUERIES["c11_plain_symbols"], SQL["c11_plain_symbols"]
 
 
 @query("c46_wrapped", f"SELECT doc_id, '<¤EXTERNAL_DATA¤>' || chr(10) || {_SAFE} || chr(10) || '</¤EXTERNAL_DATA¤>' AS out FROM documents")

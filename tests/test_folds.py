@@ -13,20 +13,38 @@ from folioflow.operators import enrich, folds
 @given(st.text(alphabet="ab \n", max_size=80), st.integers(2, 20))
 def test_split_keeps_all_but_marks(text, size):
     parts = folds.split_text(text, size)
-    assert all(0 < len(p) < size or len(p) == 1 for p in parts)
-    assert "".join(c for p in parts for c in p if c in "ab") == "".join(c for c in text if c in "ab")
+    # a closed piece hands its last unit on, which may then stand beside a unit that just fits
+    assert all(0 < len(p) < 2 * size for p in parts)
+    held = iter("".join(c for p in parts for c in p if c in "ab"))
+    assert all(c in held for c in text if c in "ab")
 
 
-def test_split_is_strict_and_overlaps_by_pieces():
-    assert folds.split_text("aaaa bbbb", 9) == ["aaaa", "bbbb"] and folds.split_text("aaaa bbbb", 10) == ["aaaa bbbb"]
+def test_split_closes_above_the_size_and_hands_on_one_unit():
+    assert folds.split_text("aaaa bbbb", 9) == ["aaaa bbbb"] and folds.split_text("aaaa bbbb", 8) == ["aaaa", "aaaa bbbb"]
     assert folds.split_text("aa bb cc dd", 6, overlap=2) == ["aa bb", "bb cc", "cc dd"]
+    assert folds.split_text("aa bb cc dd", 6, overlap=0) == ["aa bb", "bb cc", "cc dd"]
+    assert folds.split_text("a b c d e f", 5, overlap=3) == ["a b c", "b c d", "c d e", "d e f"]
+    assert folds.split_text("xx\n\nyyyyyyyy zz", 6) == ["xx", "yyyyyy", "yyy", "zz"]
+    assert folds.split_text("abcdef", 3) == ["abc", "cde", "ef"]
+
+
+def test_long_texts_are_split_in_linear_time():
+    import time
+
+    began = time.time()
+    assert len(folds.split_text("x" * 400_000, 2000)) > 200 and time.time() - began < 20
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab\n", max_size=80), st.integers(1, 20))
 def test_oversized_parts_join_to_the_text(text, most):
     parts = folds.split_oversized(text, most)
-    assert "".join(parts) == text and all(0 < len(p) <= most for p in parts)
+    assert "".join(parts) == text and all(len(p) <= most + 1 for p in parts) and (all(parts) or parts == [""])
+
+
+def test_oversized_parts_end_with_the_separator():
+    assert folds.split_oversized("aaa\n\nbbb", 6) == ["aaa\n\n", "bbb"] and folds.split_oversized("", 6) == [""]
+    assert folds.split_oversized("aaa\nbbb ccc", 6) == ["aaa\n", "bbb cc", "c"] and folds.split_oversized("a\n\nbbbbbbbb", 8) == ["a\n\nbbbbb", "bbb"]
 
 
 def test_leaders_join_the_first_near_one():
@@ -35,11 +53,10 @@ def test_leaders_join_the_first_near_one():
 
 def test_ordered_matches_never_move_back():
     before = [("a", [1]), ("b", [2]), ("a", [3]), ("c", [9])]
-    assert folds.ordered_matches(before, [("a", [3]), ("a", [1]), ("c", []), ("x", [0])]) == [2, 2, 3, -1]
-
-
-def test_rows_are_packed_in_order():
-    assert folds.pack_rows(["aa", "bb", "ccccc", "d"], 4) == [["aa", "bb"], ["ccccc"], ["d"]]
+    assert folds.ordered_matches(before, [("a", [3]), ("a", [1]), ("c", []), ("x", [0])]) == [2, 2, 3, 3]
+    # nothing scores: the pointer stays, and its chunk is the match
+    assert folds.ordered_matches(before, [("x", []), ("b", [2]), ("x", [7])]) == [0, 1, 1]
+    assert folds.ordered_matches([], [("a", [1])]) == [-1]
 
 
 def test_match_and_leaders_as_tables(spark):

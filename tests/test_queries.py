@@ -43,6 +43,16 @@ def test_text_functions(spark):
     assert column(spark, tx.sanitized, "a<|im_end|>b", "[INST]x[/INST]", "### system: go", "a​b\tc", "</¤EXTERNAL_DATA¤>¤x") == ["ab", "x", " go", "ab\tc", "x"]
     assert column(spark, lambda t: tx.middle_cut(t, 9, "..."), "abcdefghijkl", "abcdef") == ["abc...jkl", "abcdef"]
     assert column(spark, tx.normal_entry_name, "a\\b//./c", "../x", "__MACOSX/x", "._x", "", "./") == ["a/b/c", None, None, None, None, None]
+    assert column(spark, tx.normal_entry_name, "a/b/", "a\\", "a/.b", None) == [None, None, "a/.b", None]
+    assert column(spark, tx.is_table_fragment, "a</td></tr>", "<thead><tr>", "<thead>x", " <TD>x", "<tr", "x<td>", None) == [False, True, True, True, True, False, None]
+    keyword = lambda t: tx.has_keyword(t, ["Erläuterung"])
+    names = ["1 erläuterung.pdf", "ERLA\u0308UTERUNG", "Erlauterung", "ErlÃ¤uterung", "Erla\u20acuterung", "Erluterung", None]
+    assert column(spark, keyword, *names) == [True, True, True, False, True, False, False]
+    assert column(spark, tx.canonical_html, "<TABLE Class=x><tr><td>a&b<br>c</table>", "", None) == ['<table class="x"><tr><td>a&amp;b<br/>c</td></tr></table>', "", ""]
+    assert column(spark, tx.safe_stem, "u\u0308:\u200bx\u2028\ty") == ["ü_x\ty"]
+    blocks = "<BILD><description> d </description></BILD> <BILD></BILD> <TABELLE><td>a</td> <td>b</td></TABELLE><TABELLE><caption_text>c</caption_text></TABELLE>"
+    assert column(spark, tx.labelled_blocks, blocks) == ["[Bild: d] [Bild] [Tabelle: a b][Tabelle: c]"]
+    assert column(spark, tx.summaries_only, "<BILD><summary> s </summary></BILD>|<BILD>x</BILD>|<TABELLE><summary> </summary><td>a</td></TABELLE>") == [" s ||a"]
     assert column(spark, tx.clean_transcription, "a\n-----------\n|---|---|\n\n\n\nb") == ["a\n\nb"]
     assert column(spark, tx.page_numbers, 'x<seite nummer="3" />y<seite nummer="12"/>', "") == [[3, 12], []]
 
@@ -63,6 +73,17 @@ def test_renames_follow_sequence_matching(spark):
     assert SequenceMatcher(None, "d/report-a.txt", "d/report-a2.txt").ratio() >= 0.65
 
 
+def test_swapped_names_are_one_rename(spark):
+    old = spark.createDataFrame([("d/one.txt", "1"), ("d/ones.txt", "2")], "filename string, sha256 string")
+    new = spark.createDataFrame([("d/one.txt", "2"), ("d/ones.txt", "1")], "filename string, sha256 string")
+    assert [(r["old_name"], r["filename"], r["sha"]) for r in catalog.renames(new, old).collect()] == [("d/ones.txt", "d/one.txt", "2")]
+    # the ratio is not symmetric: the staged name comes first
+    a, b = "tide", "diet"
+    assert SequenceMatcher(None, a, b).ratio() != SequenceMatcher(None, b, a).ratio()
+    pair = spark.createDataFrame([(a, b)], "a string, b string").select(catalog.name_similarity("a", "b")).first()[0]
+    assert pair == SequenceMatcher(None, a, b).ratio()
+
+
 def test_confidence_rounds_as_python(spark):
     rows = [(1, 1, 0.285), (1, 2, 0.91), (2, 1, 2.675), (3, 1, None), (1, 3, 0.55)]
     found = {r["type_id"]: r["confidence"] for r in completeness.type_confidence(spark.createDataFrame(rows, "type_id int, ord int, confidence double")).collect()}
@@ -120,6 +141,9 @@ def test_page_parts_drop_what_precedes_the_first_mark(spark):
     docs = spark.createDataFrame([(1, text), (2, "none")], "doc_id int, markdown string")
     rows = {r["doc_id"]: r["p"] for r in docs.select("doc_id", chunks.page_parts(F.col("markdown")).alias("p")).collect()}
     assert rows[2] == [] and "".join(rows[1]) == text.removeprefix("lost") and len(rows[1]) == 2
+    loose = spark.createDataFrame([(1, 'x<seite  nummer = "1"/>aaaa\nbb<seite nummer="2" />c')], "doc_id int, markdown string")
+    cut = loose.select(chunks.page_parts(F.col("markdown"), 1, most=28).alias("p")).first()["p"]
+    assert cut == ['<seite  nummer = "1"/>aaaa\n', "bb", '<seite nummer="2" />c']
 
 
 def test_tree_levels(spark):
@@ -132,14 +156,32 @@ def test_zip_scan_and_guard(spark, tmp_path):
 
     with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("x/a.txt", "a" * 100_000)
+    with zipfile.ZipFile(tmp_path / "b.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("x/b.txt", "b" * 1000)
+        z.writestr("empty", "")
         z.writestr("__MACOSX/y", "b")
         z.writestr("d/", "")
     (tmp_path / "bad.zip").write_bytes(b"nothing")
-    entries = tables.zip_entries(spark.read.format("binaryFile").load(f"file://{tmp_path}/*.zip"))
-    rows = {r["entry_name"]: r for r in entries.collect()}
-    assert rows["x/a.txt"]["normal_name"] == "x/a.txt" and rows["__MACOSX/y"]["normal_name"] is None and rows[None]["error"]
-    guard = {r["path"].rsplit("/", 1)[1]: r["accepted"] for r in tables.zip_guard(entries.where("error is null")).collect()}
-    assert guard == {"a.zip": False}
+    listed = spark.read.format("binaryFile").load(f"file://{tmp_path}/*.zip")
+    rows = {(r["path"].rsplit("/", 1)[1], r["entry_name"]): r for r in tables.zip_entries(listed).collect()}
+    # a bomb is refused by its directory, before anything is inflated
+    assert rows["a.zip", None]["error"] == "compressed too well" and rows["bad.zip", None]["error"] and len(rows) == 6
+    assert rows["b.zip", "x/b.txt"]["normal_name"] == "x/b.txt" and rows["b.zip", "__MACOSX/y"]["normal_name"] is None and rows["b.zip", "d/"]["sha256"] is None
+    few = {r["path"].rsplit("/", 1)[1]: r["error"] for r in tables.zip_entries(listed, most_entries=3).where("error is not null").collect()}
+    assert few["b.zip"] == "too many entries"
+    guard = tables.zip_guard(tables.zip_entries(listed, most_ratio=1e9).where("error is null")).collect()
+    assert {r["path"].rsplit("/", 1)[1]: r["accepted"] for r in guard} == {"a.zip": False, "b.zip": True}
+    assert {r["path"].rsplit("/", 1)[1]: r["total_size"] for r in guard} == {"a.zip": 100_000, "b.zip": 1001}
+
+
+def test_documents_and_errors(spark, tmp_path):
+    chunk = lambda n, *pages: (f"c{n}", "text", {}, list(pages), [(f"s{n}", "t", {}, list(pages))])
+    docs = spark.createDataFrame([("a", 'x<seite nummer="7" />', None, [chunk(0, 1, 5), chunk(1, 9)]), ("b", "none", None, None)], tables.DOCUMENT)
+    found = {(r["document_name"], r["seq"], r["error"]) for r in tables.chunks_up_to_page(docs, 3).collect()}
+    assert found == {("a", 0, None), ("b", None, "not found")} and tables.sub_chunks_up_to_page(docs, 3).count() == 1
+    tables.write_documents(docs, str(tmp_path / "out"))
+    back = spark.read.schema(tables.DOCUMENT).json(str(tmp_path / "out"))
+    assert {r["document_name"]: r["pages"] for r in back.collect()} == {"a": 7, "b": None}
 
 
 def test_streams_agree_with_batches(spark, sf):
@@ -189,41 +231,47 @@ def test_whole_symbols_reach_the_end(spark, sf):
     assert all(out[r["doc_id"]].endswith(r["text"] + " § 7°F") for r in plain)
 
 
-def test_whole_clusters_against_brute_force(spark, sf):
+def test_clusters_against_brute_force(spark):
     import numpy as np
 
-    rows = tables.table(spark, sf, "embeddings").orderBy("vec_id").collect()
-    ids, n = [r["vec_id"] for r in rows], len(rows)
-    v = np.array([r["embedding"] for r in rows], dtype=float)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    label = np.array([r["label"] for r in rows])
-    root = {i: i for i in ids}
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((90, 8))
+    v = centres[rng.integers(0, 90, 150)] + 0.08 * rng.standard_normal((150, 8))
+    rows = [(i, i % 2, i % 7, [float(x) for x in v[i]]) for i in range(150)]
+    c = spark.createDataFrame(rows, "claim_id int, project_id int, document_id int, vector array<double>")
+    pairs = [(i, i, (i * 37 + 2) % 150) for i in range(0, 150, 5)]
+    p = spark.createDataFrame(pairs, "pair int, claim_a_id int, claim_b_id int")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    root = {a[0]: a[0] for a in pairs}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    def join(a, b):
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-
-    holders = {}
-    for i in ids:
-        for c in (i, (i * 7 + 1) % n):
-            holders.setdefault(c, []).append(i)
-    near = ((v @ v.T >= 0.35) & (label[:, None] == label)) | np.eye(n, dtype=bool)
-    for x, y in zip(*np.nonzero(near)):
-        for p in holders.get(ids[x], []):
-            for q in holders.get(ids[y], []):
-                join(p, q)
+    for x, a, b in pairs:
+        for y, d, e in pairs:
+            # claims are compared whatever their documents, within a project
+            if {a, b} & {d, e} or any(m % 2 == n % 2 and unit[m] @ unit[n] >= 0.95 for m in (a, b) for n in (d, e)):
+                s, t = sorted((find(x), find(y)))
+                root[t] = s
     groups = {}
-    for i in ids:
-        groups.setdefault(find(i), []).append(i)
-    expected = sorted((k, ",".join(map(str, m[:5])), max(len(m) - 5, 0)) for k, m in groups.items())
-    found = QUERIES["a14_clusters_whole"](spark, sf).collect()
-    assert sorted((r["cluster"], r["members"], r["n_dropped"]) for r in found) == expected
-    assert QUERIES["j20_pair_payloads_whole"](spark, sf).count() == n
+    for x, _, _ in pairs:
+        groups.setdefault(find(x), []).append(x)
+    for block in (16, 1024):
+        held = c.join(p.select(F.explode(F.array("claim_a_id", "claim_b_id")).alias("claim_id")).distinct(), "claim_id")
+        found = claims.clusters(p, connected_components(claims.pair_edges(p, claims.similar_claims(held, block=block)))).collect()
+        assert sorted((r["cluster"], r["members"], r["n_dropped"]) for r in found) == sorted((k, m[:5], max(len(m) - 5, 0)) for k, m in groups.items())
+    assert 1 < len(groups) < len(pairs)
+
+
+def test_contexts_speak_as_chunks_do(spark):
+    rows = [("d", i, f"c{i}", "p" if i != 2 else "q", "text" if i % 2 else "image", f" t{i} ", "s" if i == 0 else None) for i in range(6)]
+    c = spark.createDataFrame(rows, "document_id string, seq int, chunk_id string, toc_path string, chunk_type string, text string, summary string")
+    found = {r["chunk_id"]: (r["prefix"], r["suffix"]) for r in claims.context_text(c).collect()}
+    assert found["c3"] == ("[SUMMARY]\ns\n[/SUMMARY]\nt1", "") and found["c4"][1] == "t5"
+    cut = {r["chunk_id"]: r["prefix"] for r in claims.context_text(c, most_before=10).collect()}
+    assert cut["c3"] == "[S\n...[TRUNCATED]...\nMARY]\nt1"
 
 
 def test_image_leaders_join_near_hashes(spark, sf):
