@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import PAGE_MARK, PAGE_TAG, page_numbers
@@ -117,32 +119,36 @@ def first_positive(rows: DataFrame, flag: str) -> DataFrame:
     return rows.where(F.col(flag)).groupBy("document_id").agg(F.min("seq").alias("seq"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _full_runs(lengths: pd.Series, least: pd.Series) -> pd.Series:
+    """How many items each run holds: a run ends where its sum reaches ``least``; what is left over joins the last run."""
+
+    def one(sizes, least: int) -> list[int]:
+        out, held, total = [], 0, 0
+        for n in sizes:
+            held, total = held + 1, total + n
+            if total >= least:
+                out.append(held)
+                held, total = 0, 0
+        if held and out:
+            out[-1] += held
+        return out or ([held] if held else [])
+
+    return pd.Series([one(s, k) for s, k in zip(lengths, least, strict=True)])
+
+
 def merge_small(chunks: DataFrame, least: int = 800) -> DataFrame:
     """document_id, part, text, n_chunks: chunks joined in order until ``least`` characters; the rest joins the last.
 
-    A fold over a document's ordered chunks, as the sum starts anew at every cut.
+    The sum starts anew at every cut, so the lengths of a document's chunks (not the texts) go through a fold.
     """
-    ordered = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("all"))
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size"))
-
-    def step(a: Column, x: Column) -> Column:
-        opened, size = F.concat(a["open"], F.array(x["text"])), a["size"] + F.length(x["text"])
-        full = size >= least
-        return F.struct(
-            F.when(full, F.concat(a["done"], F.array(opened))).otherwise(a["done"]).alias("done"),
-            F.when(full, F.array().cast("array<string>")).otherwise(opened).alias("open"),
-            F.when(full, F.lit(0)).otherwise(size).alias("size"),
-        )
-
-    folded = ordered.select("document_id", F.aggregate("all", start, step).alias("f"))
-    done, rest = F.col("f.done"), F.col("f.open")
-    n = F.size(done)
-    parts = F.when(F.size(rest) == 0, done).when(n == 0, F.array(rest)).otherwise(
-        F.concat(F.slice(done, F.lit(1), n - 1), F.array(F.concat(F.get(done, n - 1), rest)))
-    )
-    return folded.select("document_id", F.posexplode(parts).alias("part", "texts")).select(
-        "document_id", "part", F.array_join("texts", "\n").alias("text"), F.size("texts").alias("n_chunks")
-    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
+    rows = chunks.groupBy("document_id").agg(ordered.alias("texts"))
+    sizes = F.transform("texts", lambda t: F.coalesce(F.length(t), F.lit(0)))
+    rows = rows.withColumn("runs", _full_runs(sizes, F.lit(least)))
+    out = rows.select("document_id", "texts", "runs", F.posexplode("runs").alias("part", "n_chunks"))
+    start = F.aggregate(F.slice("runs", F.lit(1), F.col("part")), F.lit(0), lambda s, n: s + n)
+    return out.select("document_id", "part", F.array_join(F.slice("texts", start + 1, F.col("n_chunks")), "\n").alias("text"), "n_chunks")
 
 
 def around(lines: DataFrame, anchor: DataFrame, n: int = 10) -> DataFrame:

@@ -82,9 +82,9 @@ def _unit(vectors: pd.Series, like: pd.DataFrame) -> np.ndarray:
     """Vectors as rows of length one, or zero."""
     length = max((len(v) for v in like["vector"] if v is not None), default=0)
     m = np.zeros((len(vectors), length))
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == length:
-            m[i] = v
+    usable = np.array([v is not None and len(v) == length for v in vectors], dtype=bool)
+    if length and usable.any():
+        m[usable] = np.stack(vectors[usable].to_list()).astype(np.float64)
     m = np.nan_to_num(m, nan=0.0, posinf=0.0, neginf=0.0)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)

@@ -5,42 +5,18 @@ The windows are this engine's own addition; the fold gives what the batch fold g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.jobs import STATUS_OF_EVENT
-
-STATE = "event_id long, status string, message string, n_events long"
-OUTPUT = "workflow_id string, ref string, status string, message string, n_events long"
 
+from ..operators.jobs import fold_status
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, status, message, n = state.get if state.exists else (-1, None, None, 0)
-    for batch in batches:
-        for r in batch.itertuples():
-            new = STATUS_OF_EVENT.get(r.event_type)
-            if new is None:
-                continue
-            n += 1
-            if r.event_id > last:
-                last, status, message = r.event_id, new, None if pd.isna(r.message) else r.message
-    if n:
-        state.update((last, status, message, n))
-        yield pd.DataFrame([(*key, status, message, n)], columns=["workflow_id", "ref", "status", "message", "n_events"])
-
-
 def fold_status_stream(events: DataFrame) -> DataFrame:
-    """The batch fold's rows, updated as events arrive; events out of order are no problem."""
-    keyed = events.select("workflow_id", "ref", "event_id", "event_type", "message")
-    return keyed.groupBy("workflow_id", "ref").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """The batch fold over a stream, in update mode: one running maximum a job, whatever the order of the events."""
+    return fold_status(events.select("workflow_id", "ref", "event_id", "event_type", "message"))
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:
