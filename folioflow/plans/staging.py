@@ -53,6 +53,11 @@ def _clean() -> None:
             return
 
 
+def made() -> list[str]:
+    """Paths handed out so far, in order."""
+    return [path for _, path in _to_delete]
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
