@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm import embedding_dedup, ngram_join
 from folioflow.llm.common import connected_components
@@ -73,6 +74,39 @@ def test_jaccard_large_group_in_blocks(spark):
     check_jaccard(spark, dict(enumerate(texts)), block=8)
 
 
+def test_windows_verify_candidates_alone(spark):
+    """Overlapping windows, none at 0.8: chained collisions make one component, but only pairs with a common band count."""
+    words = [f"w{i}" for i in np.random.default_rng(4).permutation(2000)]
+    docs = {i: " ".join(words[i * 3 : i * 3 + 60]) for i in range(300)} | {1000 + i: t for i, t in enumerate(near_copies(30))}
+    check_jaccard(spark, docs, block=16, block_bytes=4000)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    classes = ngram_join.signatures(df, n=5, bands=30, rows=6).withColumn("id", F.xxhash64("key"))
+    bands = {r["id"]: set(enumerate(r["bands"])) for r in classes.collect()}
+    sharing = {(a, b) for a in bands for b in bands if a < b and bands[a] & bands[b]}
+    placed = ngram_join.block_pairs(classes.withColumn("copies", F.lit(1)), block=16, block_bytes=1 << 25).withColumn("id", F.xxhash64("key"))
+    groups = defaultdict(list)
+    for r in placed.collect():
+        groups[r["cluster"], r["bi"], r["bj"]].append((r["id"], r["own"]))
+    met = Counter(
+        (min(a, b), max(a, b)) for (_, bi, bj), m in groups.items() for i, (a, x) in enumerate(m) for b, y in m[:i] if (bi == bj or x != y)
+    )
+    assert sharing <= set(met) and all(met[p] == 1 for p in sharing)
+    left = np.array([[1, 2], [3, 4], [5, 6]])
+    assert ngram_join.shared_bands(left, np.array([[9, 2], [4, 3]])).tolist() == [[True, False], [False, False], [False, False]]
+
+
+def test_verified_pairs_are_exact():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(40)]
+    for share in (0.02, 0.5):
+        mask = rng.random((25, 15)) < share
+        found = ngram_join.verified(sets[:25], sets[25:], mask, 0.4)
+        for i in range(25):
+            for j in range(15):
+                a, b = sets[i], sets[25 + j]
+                assert found[i, j] == (mask[i, j] and len(np.intersect1d(a, b)) >= 0.4 * len(np.union1d(a, b)))
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame(
         [(None, "a b c d e f", 1), (None, "a b c d e f", 2), (3, "a b c d e f", 3), (3, "a b c d e f", 3), (4, None, 4)],
@@ -142,6 +176,11 @@ def test_embedding_recall_on_table(spark, sf):
     check_embeddings(spark, rows)
 
 
+def test_embeddings_of_two_lengths(spark):
+    rows = vectors(300, 30) + [(1000 + i, label, v) for i, label, v in vectors(200, 20, dims=9)]
+    check_embeddings(spark, rows, cell_rows=8, target_recall=0.9999)
+
+
 def test_embedding_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

@@ -1,6 +1,5 @@
 """Archives, chat masks, packing, mixing and the pipeline."""
 
-import io
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioflow.llm import chat_format, mixing, packing, queries, warc
@@ -34,21 +34,26 @@ def test_warc_round_trip_and_edges(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
-def test_warc_records_are_readable_alone():
-    import pyarrow.fs as pafs
-
-    fs = pafs._MockFileSystem() if hasattr(pafs, "_MockFileSystem") else None
-    if fs is None:
-        pytest.skip("no mock file system")
-    records = [warc.page_record(i, "u", f"<html>{i} shared words in every page".encode() * 20, None) for i in range(50)]
-    archive = warc.Archive(fs, "x.warc.zst", 10_000, 2048, 3)
-    for r in records:
-        archive.add(r)
-    archive.close()
-    data = fs.open_input_stream("x.warc.zst", compression=None).read()
-    assert data[:4] == warc.SKIPPABLE and archive.used
-    found = list(warc.read_records(io.BytesIO(data)))
-    assert [f["WARC-Record-ID"] for f, _ in found] == [f"<urn:page:{i}>" for i in range(50)]
+def test_warc_records_are_readable_alone(spark, tmp_path):
+    """Each frame is cut out by its offset and decompressed by itself, with nothing but the leading dictionary."""
+    import zstandard
+
+    pages = spark.createDataFrame([(i, f"u{i}", f"<html>{i} shared words in every page" * 20) for i in range(50)], "page_id long, url string, html string")
+    made = warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/a", sample_bytes=20_000, dictionary_bytes=2048).collect()
+    found = []
+    for m in made:
+        data = open(m["path"].removeprefix("file://"), "rb").read()
+        assert data[:4] == warc.SKIPPABLE and m["dictionary_bytes"] > 0
+        at = 8 + int.from_bytes(data[4:8], "little")
+        dictionary = zstandard.ZstdCompressionDict(data[8:at])
+        while at < len(data):
+            one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
+            record = one.decompress(data[at:])
+            at = len(data) - len(one.unused_data)
+            assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+            found.append(record)
+    assert sum(b"WARC-Type: warcinfo" in r for r in found) == len(made) and len(found) == 50 + len(made)
+    assert {int(r.split(b"<urn:page:")[1].split(b">")[0]) for r in found if b"<urn:page:" in r} == set(range(50))
 
 
 @settings(max_examples=300, deadline=None)
@@ -85,6 +90,41 @@ def test_chat_edges(spark):
     assert chat_format.digest(chat_format.format_conversations(df.limit(0), BYTES)).count() == 0
 
 
+def test_streamed_encoding_equals_one_encoding(spark):
+    """Ids, offsets and masks of the parts of a long conversation are those of one encoding of the whole string."""
+    said = ["Grüße <|im_end|> an alle", " two  spaces\n\n", "", "🎉 x" * 50, "tail\u0301 of words"]
+    turns = [(i, "assistant" if i % 2 else "user", said[i % 5] + str(i)) for i in range(200)]
+    df = spark.createDataFrame([(7, *t) for t in turns], "conv_id long, turn long, role string, text string")
+    parts = sorted(chat_format.format_conversations(df, BYTES, part_chars=500).collect(), key=lambda r: r["part"])
+    assert len(parts) > 10
+    formatted, spans = chat_format.render([t[1:] for t in turns])
+    e = chat_format.load_tokenizer(BYTES).encode(formatted, add_special_tokens=False)
+    offsets = np.array(e.offsets)
+    assert "".join(r["formatted"] for r in parts) == formatted and [i for r in parts for i in r["ids"]] == e.ids
+    at, found, mask = 0, [], []
+    for r in parts:
+        found += [(a + at, b + at) for a, b in zip(r["starts"], r["ends"], strict=True)]
+        mask += r["mask"]
+        at += len(r["formatted"])
+    assert found == [tuple(o) for o in offsets.tolist()] and mask == chat_format.mask_tokens(offsets, spans).tolist()
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(10,2)", "date"])
+def test_chat_ids_of_any_type(spark, kind):
+    df = spark.createDataFrame([(i % 3, i, "assistant", f"t{i}") for i in range(9)], "conv_id int, turn long, role string, text string")
+    made = F.date_add(F.lit("2024-01-01").cast("date"), F.col("conv_id")) if kind == "date" else F.col("conv_id").cast(kind)
+    out = chat_format.digest(chat_format.format_conversations(df.withColumn("conv_id", made), BYTES))
+    assert out.schema["conv_id"].dataType.simpleString() == kind
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in out.collect()) == [(3, 6)] * 3 and len({r["conv_id"] for r in out.collect()}) == 3
+
+
+def test_digest_refuses_parts_out_of_order(spark):
+    df = spark.createDataFrame([(1, i, "user", "x" * 20) for i in range(9)], "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_conversations(df, BYTES, part_chars=10).coalesce(1).sortWithinPartitions(F.desc("part"))
+    with pytest.raises(Exception, match="does not follow"):
+        chat_format.digest(formatted).collect()
+
+
 ENCODER = packing.WordEncoder(WORDS)
 
 
@@ -153,6 +193,14 @@ def test_packing_edges(spark):
     assert packing.pack_documents(docs.limit(0), WORDS).count() == 0
 
 
+def test_equal_rows_spread_over_groups(spark):
+    docs = spark.createDataFrame([(1, "same words")] * 3000 + [(i, f"other {i}") for i in range(2, 50)], "doc_id long, text string").repartition(3)
+    found = packing.pack_documents(docs, WORDS, group_rows=300).collect()
+    of_group = Counter(r["sequence_id"] >> 32 for r in found if r["doc_id"] == 1)
+    assert sum(of_group.values()) == 3000 and len(of_group) == 11 and max(of_group.values()) < 600
+    check_packed(found)
+
+
 def levels(sizes, weights, cap=3.0):
     """Water filling by bisection."""
     low, high, total = 0.0, 1e12, sum(sizes)

@@ -4,6 +4,7 @@ import hashlib
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -52,6 +53,40 @@ def test_forest_isolates_outliers():
     assert scores.argmax() == 500
 
 
+def slow_depth(forest, at, row):
+    """Path length of a row below a node."""
+    if forest.feature[at] < 0:
+        return forest.value[at]
+    below = row[forest.feature[at]] < forest.value[at]
+    return slow_depth(forest, forest.left[at] if below else forest.right[at], row)
+
+
+def test_verdicts_match_brute_force(spark, sf):
+    """Anomaly, threshold and verdict of every document of the table, computed row by row from the grown trees."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    params = {"trees": 20, "rows_per_tree": 64, "keep_good": 0.9}
+    model = quality_rules.fit(quality_rules.stats_table(docs, ["doc_id"]), labels, **params)
+    rows = {r["doc_id"]: r for r in quality_rules.score_documents(docs, labels, **params).collect()}
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    score, failed = {}, {}
+    for r in docs.collect():
+        stats = quality_rules.text_stats(r["text"])
+        x = quality_rules.features(np.array([stats]))[0]
+        path = np.mean([slow_depth(model.forest, root, x) for root in model.forest.roots])
+        score[r["doc_id"]], failed[r["doc_id"]] = 2 ** (-path / model.forest.norm), quality_rules.base_failed(stats[0], stats[4])
+    known = sorted(score[d] for d in quality if d in score and not failed[d])
+    good = sorted(score[d] for d, q in quality.items() if q == 1 and d in score and not failed[d])
+    floor = good[-(-9 * len(good) // 10) - 1]
+    above = [s for s in known if s > floor + 1e-12]
+    threshold = (floor + above[0]) / 2 if above else floor
+    assert abs(model.threshold - threshold) < 1e-9
+    for d, s in score.items():
+        assert abs(rows[d]["anomaly"] - s) < 1e-9 and rows[d]["kept"] == (not failed[d] and s <= threshold)
+    kept = {r["doc_id"] for r in quality_rules.apply_rules(docs, labels, **params).collect()}
+    assert kept == {d for d in rows if rows[d]["kept"]}
+    assert 0 < len(kept) < sum(not f for f in failed.values())
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame(
         [(1, None, "x"), (None, "", "y"), (2, "word " * 60, "z"), (2, "w%d " * 60 % tuple(range(60)), "z")], "doc_id long, text string, kept string"
@@ -115,6 +150,60 @@ def test_ownership_separates_examples(spark):
     assert {r["text"] for r in clean.where("doc_id < 9").collect()} == {f"see {example} here"}
 
 
+def test_repositories_count_too(spark):
+    """An example copied through every repository of one owner is no credential."""
+    value = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7"
+    rows = [(i, f"see {value} here", "owner", f"r{i % n}") for n in (3, 4) for i in range(8 * n)]
+    for n in (3, 4):
+        docs = spark.createDataFrame(rows[: 24] if n == 3 else rows[24:], "doc_id long, text string, source string, lang string")
+        found = secret_scan.digest(secret_scan.scan(docs, F.col("source"), F.col("lang"))).collect()
+        assert {r["spans"] for r in found} == ({"token:4:25"} if n == 3 else {""})
+
+
+def test_tokens_with_slashes(spark):
+    key = "wJ9lrXUt7FEMI/K7MDENG/bPxRfiCYzE3XAMPLEK"
+    texts = [f"key {key} end", "see /usr/share/local/Lib/Python3x11/Site2", "http://a.com/watch/Zx9QwLm82KdPq7Vt5RyB3", f"secret={key}", f"{key}/deadbeefdeadbeef00 x"]
+    docs = spark.createDataFrame([(i, t, f"o{i}", "r") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.digest(secret_scan.scan(docs, F.col("source"), F.col("lang"), max_owners=5)).collect()}
+    assert found == {0: "token:4:44", 1: "", 2: "token:19:40", 3: "assign:0:47", 4: "hex:41:59"}
+
+
+def test_many_hits_in_one_text(spark):
+    """A hundred thousand hits in one text: starts, overlaps and replacements stay near linear."""
+    import time
+
+    n = 100_000
+    text = "".join(f"ä{i:016x} " for i in range(n))
+    docs = spark.createDataFrame([(1, text, "o", "r"), (2, "Zx9QwLm82KdPq7Vt5RyB3 " * 3, "o", "r")], "doc_id long, text string, source string, lang string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.scan(docs, F.col("source"), F.col("lang"))).collect()}
+    assert got[1]["n_hex"] == n and got[1]["spans"].endswith(f"hex:{18 * (n - 1) + 1}:{18 * n - 1}") and got[2]["spans"] == "token:0:21,token:22:43,token:44:65"
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(docs, F.col("source"), F.col("lang")).collect()}
+    assert out[1] == f"ä{secret_scan.PLACEHOLDER} " * n
+    assert time.time() - began < 120
+
+
+def test_tokens_outside_other_spans(spark):
+    """Tokens that overlap a span of a kind before theirs go, in random cases."""
+    rng = np.random.default_rng(2)
+
+    def disjoint(n):
+        ends = np.sort(rng.choice(60, 2 * n, replace=False)).tolist()
+        return list(zip(ends[::2], ends[1::2], strict=True))
+
+    rows = []
+    for i in range(60):
+        base = [(a, int(rng.integers(3)), a + n, "") for a, n in zip(rng.integers(0, 55, 3).tolist(), rng.integers(1, 6, 3).tolist(), strict=True)]
+        rows.append((bytes([i]), base, [(a, 3, b, "") for a, b in disjoint(3)] + [(a, 4, b, "") for a, b in disjoint(4)]))
+    df = spark.createDataFrame(rows, f"key binary, base {secret_scan.SPAN}, tokens {secret_scan.SPAN}")
+    got = {(bytes(r["key"]), r["start"], r["rank"], r["end"]) for r in secret_scan.text_spans(df.union(df)).collect()}
+    for key, base, tokens in rows:
+        held = set(base)
+        for rank in (3, 4):
+            held |= {t for t in tokens if t[1] == rank and not any(o[0] < t[2] and t[0] < o[2] for o in held)}
+        assert {g[1:] for g in got if g[0] == key} == {s[:3] for s in held}
+
+
 def test_redaction_merges_overlaps_and_counts(spark):
     docs = spark.createDataFrame([(1, TRICKY[0], "s", 99), (2, None, None, 0), (None, "", "s", 0)], "doc_id long, text string, source string, n_chars long")
     out = {r["doc_id"]: r for r in secret_scan.redact_secrets(docs, F.col("source"), F.col("source")).collect()}
@@ -167,6 +256,27 @@ def test_licence_blocks(spark):
     assert [found[i] for i in range(len(cases))] == [n for n, _ in cases]
 
 
+def test_whole_texts_are_dropped_only_below_the_threshold(spark):
+    """The bound on a whole text's weight lets through every text that a plain cosine would name."""
+    rows, idf, rare = license_scan.template_weights(license_scan.TEMPLATES, license_scan.BLOCKS)
+    weights = {}
+    for i, _, t, w in rows:
+        weights.setdefault(i, {})[t] = w
+    rng = np.random.default_rng(6)
+    listed = [t for _, t in license_scan.TEMPLATES + license_scan.BLOCKS]
+    texts = [t + " " + " ".join(f"x{rng.integers(99)}" for _ in range(k)) for t in listed for k in (0, 3, 10, 40)] + ["", "the " * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    known = {t: idf.get(t, rare) for _, _, t, _ in rows}
+    passed = {r["i"] for r in df.where(license_scan.may_match(F.col("t"), known, rare, 0.75)).collect()}
+    high = set()
+    for i, t in enumerate(texts):
+        tf = {w: 1 + np.log(n) for w, n in Counter(re.findall(license_scan.TERM, t.lower())).items()}
+        norm = np.sqrt(sum((n * idf.get(w, rare)) ** 2 for w, n in tf.items())) or 1
+        if any(sum(n * idf.get(w, rare) * own.get(w, 0) for w, n in tf.items()) / norm >= 0.75 for own in weights.values()):
+            high.add(i)
+    assert high <= passed and len(passed) < len(texts)
+
+
 def test_anchors_cover_every_match():
     rows = license_scan.template_weights(license_scan.TEMPLATES)[0]
     chosen = set(license_scan.anchors(rows, license_scan.THRESHOLD))
@@ -192,6 +302,37 @@ def test_classifier_held_out(spark):
     assert np.allclose(found.sort_values("doc_id").score, again.sort_values("doc_id").score)
 
 
+def test_votes_match_brute_force(spark):
+    """Every score is the plain similarity-weighted vote of the nearest of all labelled vectors."""
+    base = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    params = {"sample_rows": 60, "rank": 12, "neighbours": 5}
+    model = knn_quality.learn(docs, labels, **params)
+    assert len(model.vectors) > 30 and np.allclose(np.linalg.norm(model.vectors, axis=1), 1, atol=1e-5)
+    scores = sorted((r["doc_id"], r["score"]) for r in knn_quality.classify(docs, labels, **params).collect())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    features = knn_quality.Features()
+    for d, score in scores:
+        vector = np.zeros(model.projection.shape[1])
+        for w, n in features(texts[d]).items():
+            if w in model.vocabulary:
+                vector += (1 + np.log(n)) * model.projection[model.vocabulary[w]]
+        vector /= np.linalg.norm(vector) or 1
+        near = sorted(((float(vector @ v), y) for v, y in zip(model.vectors, model.labels, strict=True)), key=lambda x: -x[0])[:5]
+        weights = [np.exp(12.0 * (c - 1)) if c > 0 else 0.0 for c, _ in near]
+        vote = sum(w * y for w, (_, y) in zip(weights, near, strict=True)) / sum(weights) if sum(weights) else model.share
+        assert abs(score - np.interp(vote, model.bins, model.values)) < 1e-4
+
+
+def test_features_read_whole_words():
+    features = knn_quality.Features()
+    long = "x" * 5000
+    assert features(long + "a") != features(long + "b")
+    assert features("ÄPFEL!") .keys() & features("äpfel").keys() >= {"äpfel".encode()}
+    assert all(len(k) <= 70 for k in features("ab!" * 3000))
+    assert features("a-" * 30 + "B") != features("a-" * 31 + "B")
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None, 5), (None, "", 6), (2, "a b", 7), (2, "a b", 7)], "doc_id long, text string, quality int")
     none = spark.createDataFrame([], "doc_id long, quality int")
