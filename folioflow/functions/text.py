@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -151,6 +152,23 @@ def object_path(kind: Column, project: Column, version: Column, name: Column) ->
     return F.concat_ws("/", kind, project.cast("string"), F.concat(F.lit("v"), version.cast("string")), safe_name(name))
 
 
+#: Builders of object paths by kind of file; any number may be registered.
+PATH_BUILDERS: dict[str, Callable[[Column, Column, Column], Column]] = {}
+
+
+def register_path(kind: str, builder: Callable[[Column, Column, Column], Column]) -> None:
+    """A builder of (project, version, name) for a kind of file; the last one registered counts."""
+    PATH_BUILDERS[kind] = builder
+
+
+def path_by_kind(kind: Column, project: Column, version: Column, name: Column) -> Column:
+    """The path that a file's kind has a builder for, else the general one."""
+    out = object_path(kind, project, version, name)
+    for known, builder in PATH_BUILDERS.items():
+        out = F.when(kind == known, builder(project, version, name)).otherwise(out)
+    return out
+
+
 def has_keyword(name: Column, keywords: list[str]) -> Column:
     """Any keyword inside the composed lower-case name, or its base letters inside the name's ASCII characters.
 

@@ -10,13 +10,16 @@ from ..functions.text import page_numbers, strip
 from ..plans.staging import stage
 
 
-def merge_metadata(chunks: DataFrame, *sources: DataFrame) -> DataFrame:
-    """Adds each source's columns by chunk_id; a value that is there wins over what the chunk had."""
+def merge_metadata(chunks: DataFrame, *sources: DataFrame, keys: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """Adds each source's columns by chunk_id; a value that is there wins over what the chunk had.
+
+    With ``keys`` of a document and a place in it, sources are merged by position.
+    """
     out = chunks
     for s in sources:
-        names = [c for c in s.columns if c != "chunk_id"]
-        renamed = s.select("chunk_id", *[F.col(c).alias(f"__{c}") for c in names])
-        out = out.join(renamed, "chunk_id", "left")
+        names = [c for c in s.columns if c not in keys]
+        renamed = s.select(*keys, *[F.col(c).alias(f"__{c}") for c in names])
+        out = out.join(renamed, list(keys), "left")
         for c in names:
             out = out.withColumn(c, F.coalesce(f"__{c}", c) if c in out.columns else F.col(f"__{c}"))
         out = out.drop(*[f"__{c}" for c in names])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What an event of a kind makes of its job.
 STATUS_OF_EVENT = {
@@ -67,6 +68,19 @@ def allowed_visual_failures(n: Column, share: float = 0.2) -> Column:
     return F.greatest(F.lit(1), F.floor(n * share).cast("int"))
 
 
+def part_actions(parts: DataFrame, most_mb: float = 25) -> DataFrame:
+    """``parts`` (document_id, part, page_offset, ok, timed_out, size_mb) with their order by offset, what becomes of each, and a document's error.
+
+    A failed part is read again as images, unless it timed out or is too large; a document without any part that is kept
+    or read again has failed.
+    """
+    action = F.when(F.col("ok"), "keep").when(F.col("timed_out") | (F.col("size_mb") > most_mb), "drop").otherwise("rasterize")
+    whole = Window.partitionBy("document_id")
+    rows = parts.withColumn("action", action).withColumn("pos", F.row_number().over(whole.orderBy("page_offset")) - 1)
+    left = F.count_if(F.col("action") != "drop").over(whole)
+    return rows.withColumn("error", F.when(left == 0, "no part could be read"))
+
+
 def backoff_seconds(round_number: Column, base: int = 30, most: int = 300) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2), round_number - 1), F.lit(most)).cast("int")
 

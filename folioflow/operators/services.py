@@ -122,9 +122,22 @@ def representative_matches(documents: DataFrame, matches: DataFrame, keys: list[
     return grouped.join(matches.select(F.col("document_id").alias("representative"), "type_id"), "representative", "left").select("document_id", "type_id")
 
 
+def filtered_points(points: DataFrame, project, *, kinds: list[str] | None = None, without: DataFrame | None = None) -> DataFrame:
+    """Points of a project, of some kinds if given, but for the ids in ``without`` (id)."""
+    out = points.where(F.col("project_id") == project)
+    if kinds is not None:
+        out = out.where(F.col("point_type").isin(kinds))
+    return out if without is None else out.join(without.select("id"), "id", "left_anti")
+
+
 # Changes
 
 
+def delete_all(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows deleted, and one row with how many were not yet."""
+    return rows.withColumn("deleted", F.lit(True)), rows.agg(F.count_if(~F.col("deleted")).alias("n_deleted"))
+
+
 def delete_project(types: DataFrame, documents: DataFrame, project) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Types and documents without a project's, and one row with how many of each went: documents without a type, and types."""
     mine = F.col("project_id") == project

@@ -273,6 +273,16 @@ def f25_allowed_visual_failures(spark, d):
     return table(spark, d, "part").select("p_partkey", jo.allowed_visual_failures(F.col("p_size").cast("double")).alias("allowed"))
 
 
+@query("s29_part_actions", """WITH p AS (SELECT o_custkey AS document_id, o_orderkey AS page_offset, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 4 > 0 THEN 'keep' WHEN o_orderkey % 5 = 0 OR o_totalprice > 100000 OR o_custkey % 4 = 0 THEN 'drop' ELSE 'rasterize' END AS action FROM orders)
+  SELECT document_id, page_offset, (row_number() OVER (PARTITION BY document_id ORDER BY page_offset) - 1)::INT AS pos, action, CASE WHEN count(*) FILTER (action <> 'drop') OVER (PARTITION BY document_id) = 0 THEN 'no part could be read' END AS error FROM p""")
+def s29_part_actions(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 4
+    parts = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("document_id"), k.alias("page_offset"), ((k % 3 == 0) & (c > 0)).alias("ok"), ((k % 5 == 0) | (c == 0)).alias("timed_out"), (F.col("o_totalprice") / 4000).alias("size_mb")
+    )
+    return jo.part_actions(parts).select("document_id", "page_offset", "pos", "action", "error")
+
+
 @query("r5_backoff", "SELECT l_orderkey, l_linenumber, least(30 * 2 ** (l_linenumber - 1), 300)::INT AS seconds FROM lineitem")
 def r5_backoff(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", jo.backoff_seconds(F.col("l_linenumber")).alias("seconds"))

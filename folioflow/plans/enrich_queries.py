@@ -23,6 +23,13 @@ def j13_merge_metadata(spark, d):
     return en.merge_metadata(c.select("chunk_id", "toc_path"), topics, scales).select("chunk_id", "toc_path", "scale")
 
 
+@query("j14_merge_by_position", f"WITH {fx.CHUNKS} SELECT document_id, seq, CASE WHEN seq % 2 = 0 THEN 'topic-' || seq ELSE toc_path END AS toc_path FROM chunks")
+def j14_merge_by_position(spark, d):
+    c = fx.chunks(spark, d)
+    topics = c.where("seq % 2 = 0").select("document_id", "seq", F.concat(F.lit("topic-"), F.col("seq").cast("string")).alias("toc_path"))
+    return en.merge_metadata(c.select("document_id", "seq", "toc_path"), topics, keys=("document_id", "seq")).select("document_id", "seq", "toc_path")
+
+
 @query("c56_index_points", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)
   SELECT 'chunk' AS point_type, doc_id::VARCHAR AS id, array_to_string(p, chr(10)) AS text FROM l WHERE len(p) = 1
   UNION ALL SELECT 'chunk', doc_id || '/' || unnest(range(0, len(p))), unnest(p) FROM l WHERE len(p) > 1

@@ -287,3 +287,14 @@ def s9_zip_guard(spark, d):
         F.col("l_orderkey").alias("path"), (F.col("l_linenumber") == 1).alias("is_dir"), F.lit(0).alias("unix_mode"), F.col("l_partkey").cast("long").alias("file_size"), (F.col("l_suppkey") % 3).cast("long").alias("compress_size")
     )
     return tb.zip_guard(rows, most_entries=6).select("path", "n_entries", "total_size", "accepted")
+
+
+@query("f11_filtered_points", "SELECT event_id AS id FROM events WHERE user_id % 5 = 1 AND event_type IN ('click', 'view') AND event_id NOT IN (SELECT o_orderkey FROM orders)")
+def f11_filtered_points(spark, d):
+    points = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("project_id"), F.col("event_type").alias("point_type"))
+    return sv.filtered_points(points, 1, kinds=["click", "view"], without=table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))).select("id")
+
+
+@query("x6_delete_all", f"WITH {fx.TYPES} SELECT count(*) FILTER (NOT deleted) AS n_deleted FROM types")
+def x6_delete_all(spark, d):
+    return sv.delete_all(fx.types(spark, d))[1]

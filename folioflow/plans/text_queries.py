@@ -81,6 +81,23 @@ def s12_object_path(spark, d):
     return table(spark, d, "pages").select("page_id", path.alias("out"))
 
 
+def _archive_path(project, version, name):
+    return F.concat_ws("/", F.lit("archives"), project.cast("string"), tx.safe_name(name))
+
+
+tx.register_path("archive", _archive_path)
+
+
+@query(
+    "u7_path_by_kind",
+    r"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[<>:"\\|?*\x00-\x1F ]', '_', 'g'), '\.{2,}', '.', 'g'), '^[ .]+|[ .]+$', '', 'g') AS n FROM pages)
+    SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'archives/' || (page_id % 7) || '/' || n ELSE 'document/' || (page_id % 7) || '/v1/' || n END AS out FROM s""",
+)
+def u7_path_by_kind(spark, d):
+    kind = F.when(F.col("page_id") % 2 == 0, "archive").otherwise("document")
+    return table(spark, d, "pages").select("page_id", tx.path_by_kind(kind, F.col("page_id") % 7, F.lit(1), F.col("url")).alias("out"))
+
+
 @query(
     "s10_entry_name",
     r"""WITH e AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN url || CASE WHEN page_id % 2 = 0 THEN '/' ELSE '\' END WHEN page_id % 4 = 0 THEN '__MACOSX/' || url WHEN page_id % 4 = 1 THEN '..\' || url WHEN page_id % 4 = 2 THEN '.\a\\' || url ELSE '/' || url || '/.' END AS name FROM pages),
