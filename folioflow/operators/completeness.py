@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def list_projects(projects: DataFrame, types: DataFrame, statuses: DataFrame, applicants: DataFrame, name: str | None = None) -> DataFrame:
@@ -49,21 +50,35 @@ def document_extractions(documents: DataFrame, extractions: DataFrame) -> DataFr
     return documents.withColumn("path", F.concat(stem, F.lit("/"), base, F.lit("_processed.json"))).join(last, "path")
 
 
-@F.pandas_udf(T.DoubleType())
-def _running_confidence(values: pd.Series) -> pd.Series:
-    def fold(xs):
-        out = None
-        for x in xs:
-            out = round(float(x), 2) if out is None else round(out * float(x), 2)
-        return out
-
-    return values.map(fold)
-
-
 def type_confidence(matches: DataFrame) -> DataFrame:
-    """type_id, confidence: products in result order, rounded to two places after every step, as Python rounds."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "confidence"))), lambda x: x["confidence"])
-    return matches.where(F.col("confidence").isNotNull()).groupBy("type_id").agg(ordered.alias("c")).select("type_id", _running_confidence("c").alias("confidence"))
+    """type_id, confidence: products in result order, rounded to two places after every step, as Python rounds.
+
+    The fold has no shorter way, so a type's matches pass through one task, sorted, a batch at a time.
+    """
+    rows = matches.where(F.col("confidence").isNotNull()).select("type_id", F.col("confidence").cast("double").alias("confidence"), "ord")
+    rows = rows.repartition("type_id").sortWithinPartitions("type_id", "ord", "confidence")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, last, value = None, None, None
+
+        def done(found: list[tuple]) -> pa.RecordBatch:
+            ids, values = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(values, pa.float64())], names=["type_id", "confidence"])
+
+        for batch in batches:
+            kind, found = batch.column(0).type, []
+            for type_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if value is None or type_id != last:
+                    if value is not None:
+                        found.append((last, value))
+                    last, value = type_id, round(x, 2)
+                else:
+                    value = round(value * x, 2)
+            yield done(found)
+        if value is not None:
+            yield done([(last, value)])
+
+    return rows.mapInArrow(run, f"type_id {matches.schema['type_id'].dataType.simpleString()}, confidence double")
 
 
 def counters(types: DataFrame, documents: DataFrame) -> DataFrame:

@@ -120,13 +120,13 @@ def contents_parents(headings: DataFrame) -> DataFrame:
 
 
 def contents_paths(parents: DataFrame, most_depth: int = 32) -> DataFrame:
-    """doc_id, title, ord, path (titles from the top down to this one); a join per level of the tree."""
-    step = stage(parents.where(F.col("parent") == ROOT).select("doc_id", "title", "ord", F.array("title").alias("path")), "toc")
+    """doc_id, title, ord, path (titles from the top down to this one) and key (their places); a join per level of the tree."""
+    step = stage(parents.where(F.col("parent") == ROOT).select("doc_id", "title", "ord", F.array("title").alias("path"), F.array("ord").alias("key")), "toc")
     out = step
     for _ in range(most_depth):
-        above = step.select("doc_id", F.col("title").alias("parent"), F.col("path").alias("__above"))
+        above = step.select("doc_id", F.col("title").alias("parent"), F.col("path").alias("__above"), F.col("key").alias("__key"))
         below = parents.join(above, ["doc_id", "parent"])
-        step = stage(below.select("doc_id", "title", "ord", F.concat("__above", F.array("title")).alias("path")), "toc")
+        step = stage(below.select("doc_id", "title", "ord", F.concat("__above", F.array("title")).alias("path"), F.concat("__key", F.array("ord")).alias("key")), "toc")
         if step.isEmpty():
             break
         out = out.unionByName(step)
@@ -144,11 +144,8 @@ def chunk_paths(chunks: DataFrame, paths: DataFrame) -> DataFrame:
     raw = F.regexp_replace("line", r"\s+$", "")
     named = lines.select("doc_id", "chunk", F.explode(F.array_distinct(F.array(title, raw))).alias("title")).where("title <> ''").distinct()
     hit = named.join(paths, ["doc_id", "title"]).groupBy("doc_id", "chunk").agg(F.max_by("path", "ord").alias("own"))
-    place = paths.select("doc_id", "title", "ord", "path").join(paths.select("doc_id", F.col("title").alias("__t"), F.col("ord").alias("__o")), "doc_id")
-    place = place.where(F.array_contains("path", F.col("__t"))).groupBy("doc_id", "title", "path")
-    place = place.agg(F.array_sort(F.collect_list(F.struct(F.array_position("path", F.col("__t")).alias("at"), F.col("__o").alias("o")))).alias("k"))
-    ranked = place.select("doc_id", "title", F.get("path", F.lit(0)).alias("top"), F.transform("k", lambda x: x["o"]).alias("key"))
-    below = ranked.groupBy("doc_id", "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "title"))), lambda x: x["title"]).alias("subs"))
+    below = paths.select("doc_id", "title", "key", F.get("path", F.lit(0)).alias("top"))
+    below = below.groupBy("doc_id", "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "title"))), lambda x: x["title"]).alias("subs"))
     rows = chunks.select("doc_id", "chunk").join(hit, ["doc_id", "chunk"], "left")
     order = Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("toc_path", F.coalesce(F.last("own", ignorenulls=True).over(order), F.array().cast("array<string>")))
