@@ -1,14 +1,16 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 DataFrame functions only.  Units are the lines of a file (notices), header blocks and the file as a whole.  A
-block starts at a line and holds as many terms as a template has, over line breaks and comment marks.  Terms
-are weighted ``(1 + ln tf) * idf``, with document frequencies counted over the templates; terms that no
-template has weigh most.  ``BLOCKS`` adds texts, titles and tags; they leave those frequencies alone.  The best template at or above the threshold names a file's own license.  Files
-without one take that of the nearest ancestor directory (their own first) that holds a license file with
-a match; directories are joined by path.
+block starts where one of the first ``OPENINGS`` telling pairs of terms of a template stands and holds as many
+terms as the template has from there on, over line breaks and comment marks.  Terms are weighted ``(1 + ln tf) * idf``,
+with document frequencies counted over the templates; terms that no template has weigh most.  ``BLOCKS`` adds
+texts, titles and tags; they leave those frequencies alone.  The best template at or above the threshold names
+a file's own license.  Files without one take that of the nearest ancestor directory (their own first) that
+holds a license file with a match; directories are joined by path.
 
-Only units that hold an anchor term are scored.  Anchors are chosen so that a unit without any stays below
-the threshold by the Cauchy-Schwarz inequality: the test skips no match.
+Only units that may reach the threshold are scored: lines must hold an anchor term, and the terms of a whole
+file that templates know must weigh enough against the others.  Both tests follow from the Cauchy-Schwarz
+inequality and skip no match.
 
 Cases: a null text matches nothing; a null path has no directory and inherits nothing.  Equal texts and equal
 lines are scored once.  Ties go to the higher score, then to the license's name; several license files of a
@@ -24,13 +26,14 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bounded, stage, value_of
 
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 LICENSE_FILE = r"(?i)^(?:licen[cs]e|copying|unlicense)(?:[._-][^/]*)?$"
 THRESHOLD = 0.75
-#: Words of everyday prose that make poor anchors.
-COMMON = {"with", "without", "under", "either", "this", "that", "from", "work", "file", "later", "http", "following", "source", "code", "only", "identifier"}
+#: Little words, and words of everyday prose (mit is German for with), that make poor anchors.
+LITTLE = {"a", "and", "any", "are", "as", "at", "be", "by", "for", "in", "is", "it", "no", "of", "on", "or", "the", "this", "to", "with", "you"}
+COMMON = LITTLE | {"mit", "without", "under", "either", "that", "from", "work", "file", "later", "http", "following", "source", "code", "only", "identifier", "its", "may", "other", "your", "all", "not", "shall", "if"}
 
 #: Notices and grants of common licenses, public texts.  The operator takes any other list.
 TEMPLATES = [
@@ -94,6 +97,8 @@ BLOCKS = [
 BLOCK_TERMS = 5
 #: Templates with this term are tags, which stand in one line.
 TAG = "spdx"
+#: A block may start at any of so many pairs of adjacent terms, the first of its template without a little word.
+OPENINGS, KEPT = 4, 0.8
 
 
 def template_weights(
@@ -123,7 +128,7 @@ def anchors(rows: list[tuple[int, str, str, float]], threshold: float) -> list[s
     for i in sorted({r[0] for r in rows}):
         weights = {t: w for k, _, t, w in rows if k == i}
         left = 1.0
-        for t in sorted(weights, key=lambda t: (t not in out, len(t) < 4 or t in COMMON, -weights[t] * min(len(t), 10), t)):
+        for t in sorted(weights, key=lambda t: (t not in out, t in COMMON, len(t) < 4, -weights[t] * min(len(t), 10), t)):
             if left < (threshold - 1e-6) ** 2:
                 break
             out.add(t)
@@ -139,37 +144,63 @@ def any_term(terms: list[str]) -> str:
     return "(?i)(?<![a-z0-9])(?:" + "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in heads.items()) + ")(?![a-z0-9])"
 
 
-def block_units(texts: DataFrame, rows: list[tuple[int, str, str, float]], lengths: list[int], threshold: float) -> DataFrame:
-    """``texts`` (text_key, text) to (text_key, unit): blocks of adjacent lines that may reach the threshold.
+def openings(listed: list[tuple[str, str]], rows: list[tuple[int, str, str, float]]) -> list[tuple[str, int]]:
+    """(pair of terms, terms of the block that starts there) of the templates that may stand over several lines.
 
-    For a template of n terms a block is the first n terms from the start of a line on.  Left out are blocks
-    without an anchor of the template and those that share too little of its weight: both bounds are exact.
+    Pairs hold no little word, as long as the block from there on keeps ``KEPT`` of the template's squared weight.
     """
-    shapes, tests = [], []
-    for i, n in enumerate(lengths):
-        own = [r for r in rows if r[0] == i]
-        if n < BLOCK_TERMS or TAG in {t for _, _, t, _ in own}:
+    weights: dict[int, dict[str, float]] = {}
+    for i, _, t, w in rows:
+        weights.setdefault(i, {})[t] = w
+    out = set()
+    for i, (_, text) in enumerate(listed):
+        terms = re.findall(TERM, text.lower())
+        if len(terms) < BLOCK_TERMS or TAG in terms:
             continue
-        found = anchors(own, threshold)
-        shapes.append((i, n, found, [(t, w * w) for _, _, t, w in own]))
-        tests.append(F.when(F.col("text").rlike(any_term(found)), F.lit(i)))
-    if not shapes:
-        return texts.select("text_key", F.col("text").alias("unit")).limit(0)
-    kinds = "block int, n int, anchors array<string>, weights array<struct<term: string, w: double>>"
-    shape = texts.sparkSession.createDataFrame(shapes, kinds)
-    hit = texts.select("text_key", "text", F.explode(F.array_compact(F.array(*tests))).alias("block")).join(F.broadcast(shape), "block")
-    bare = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(F.lower(x), r"^\s*(?:rem|dnl)\b", ""))
-    terms = F.transform(F.filter(bare, lambda x: x.rlike("[a-z0-9]")), lambda x: F.slice(F.regexp_extract_all(x, F.lit(TERM), F.lit(0)), F.lit(1), F.col("n")))
-
-    def blocks_of(held: Column) -> Column:
-        hot = F.array_compact(F.transform(held, lambda x, i: F.when(F.arrays_overlap(x, "anchors"), i + 1)))
-        starts = F.array_distinct(F.flatten(F.transform(hot, lambda i: F.sequence(F.greatest(F.lit(1), i - F.col("n") + 1), i))))
-        return F.transform(starts, lambda i: F.slice(F.flatten(F.slice(held, i, F.col("n"))), F.lit(1), F.col("n")))
-
-    # inside a lambda the terms are a value: as a column they would be found again for every line
-    found = hit.select("text_key", "weights", F.explode(F.flatten(F.transform(F.array(terms), blocks_of))).alias("held"))
-    shared = F.aggregate("weights", F.lit(0.0), lambda s, x: s + F.when(F.array_contains("held", x["term"]), x["w"]).otherwise(0.0))
-    return found.where(shared >= (threshold - 1e-6) ** 2).select("text_key", F.array_join("held", " ").alias("unit"))
+        kept = [sum(weights[i][t] ** 2 for t in set(terms[j:])) >= KEPT for j in range(len(terms) - 1)]
+        starts = [j for j, ok in enumerate(kept) if ok and not LITTLE & set(terms[j : j + 2])] or [0]
+        out |= {(" ".join(terms[j : j + 2]), len(terms) - j) for j in starts[:OPENINGS]}
+    return sorted(out)
+
+
+def header_blocks(text: Column, pairs: list[tuple[str, int]]) -> Column:
+    """The blocks of a text: its terms, over lines and comment marks, from each opening on."""
+    bare = F.regexp_replace(F.lower(text), r"(?m)^\s*(?:rem|dnl)\b", "")
+    flat = F.array_join(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)), " ")
+
+    def found(flat: Column) -> Column:
+        # a look ahead, so that blocks may overlap
+        take = lambda pair, n: F.regexp_extract_all(flat, F.lit(rf"(?<![^ ])(?=({re.escape(pair)}(?![^ ])(?: [^ ]+){{0,{n - 2}}}))"), F.lit(1))
+        none = F.array().cast("array<string>")
+        return F.flatten(F.array(none, *[F.when(flat.contains(pair), take(pair, n)).otherwise(none) for pair, n in pairs]))
+
+    return value_of(flat, found)
+
+
+def may_match(text: Column, idf: dict[str, float], rare: float, threshold: float) -> Column:
+    """Whether a whole text may reach the threshold: the share of its squared weight in terms that ``idf`` names."""
+    known = F.array(*[F.lit(t) for t in sorted(idf)])
+    weight = F.create_map(*[x for t, w in sorted(idf.items()) for x in (F.lit(t), F.lit(w))])
+
+    def test(terms: Column) -> Column:
+        distinct = F.array_distinct(terms)
+        inner = F.array_intersect(distinct, known)
+        square = lambda t: F.pow((1 + F.log(F.size(terms) - F.size(F.array_remove(terms, t)))) * F.element_at(weight, t), F.lit(2.0))
+        mass = F.aggregate(inner, F.lit(0.0), lambda s, t: s + square(t))
+        other = (F.size(distinct) - F.size(inner)) * rare**2
+        return value_of(mass, lambda m: m >= (threshold - 1e-6) ** 2 * (m + other))
+
+    return value_of(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), test)
+
+
+def units_of(text: Column, templates: list[tuple[str, str]], blocks: list[tuple[str, str]], threshold: float) -> Column:
+    """The units of a text that may reach the threshold; null for a text without any."""
+    rows, idf, rare = template_weights(templates, blocks)
+    pattern = any_term(anchors(rows, threshold))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(pattern))
+    whole = F.when(may_match(text, {t: idf.get(t, rare) for _, _, t, _ in rows}, rare, threshold), F.array(text)).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(lines, header_blocks(text, openings([*templates, *blocks], rows)), whole))
+    return F.when(text.rlike(pattern), value_of(every, lambda u: F.when(F.size(u) > 0, u)))
 
 
 def score_units(units: DataFrame, templates: list[tuple[str, str]], threshold: float, blocks: list[tuple[str, str]] = ()) -> DataFrame:
@@ -203,31 +234,27 @@ def scan(
     ``method`` is own (a unit of the file matched) or inherited; ``origin`` is the directory inherited from.
     The templates are a list of the driver's, so their broadcast is as small as that list.
     """
-    rows = template_weights(templates, blocks)[0]
-    pattern = any_term(anchors(rows, threshold))
-    lengths = [len(re.findall(TERM, t.lower())) for _, t in [*templates, *blocks]]
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.unhex(F.md5(text))
-    marked = files.select("doc_id", "path", F.when(text.rlike(pattern), key).alias("text_key"))
+    marked = files.select("doc_id", "path", F.unhex(F.md5(text)).alias("text_key"), units_of(text, templates, blocks, threshold).alias("units"))
     marked = stage(
         marked.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")).withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1)),
         "files",
     )
-    gated = files.where(text.rlike(pattern)).select(key.alias("text_key"), "text")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
-    units = gated.select("text_key", F.explode(F.array_distinct(F.concat(lines, F.array("text")))).alias("unit"))
-    units = units.unionByName(block_units(gated, rows, lengths, threshold)).withColumn("key", F.unhex(F.md5("unit")))
+    units = marked.where("units is not null").select("text_key", F.explode("units").alias("unit")).withColumn("key", F.unhex(F.md5("unit")))
     distinct = stage(units.groupBy("key").agg(F.any_value("unit").alias("unit")), "units")
     per_text = units.select("text_key", "key").distinct().join(score_units(distinct, templates, threshold, blocks), "key")
-    own = best(per_text.select("text_key", "license", "score"), "text_key")
-    told = stage(marked.join(own, "text_key", "left").drop("text_key"), "own")
+    own = bounded(stage(best(per_text.select("text_key", "license", "score"), "text_key"), "own"))
+    columns = ["doc_id", "path", "dir", "name", "license", "score"]
+    told = marked.where("units is not null").join(own, "text_key", "left").select(*columns)
+    none = marked.where("units is null").withColumn("license", F.lit(None).cast("string")).withColumn("score", F.lit(None).cast("double"))
+    told = stage(told.unionByName(none.select(*columns)), "told")
 
     holders = told.where(F.col("license").isNotNull() & F.col("name").rlike(LICENSE_FILE) & F.col("dir").isNotNull())
     holders = best(holders.select("dir", "license", "score"), "dir").select(F.col("dir").alias("origin"), F.col("license").alias("l"), F.col("score").alias("s"))
     dirs = told.where(F.col("license").isNull() & F.col("dir").isNotNull()).select("dir").distinct()
-    steps = dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias("origin")).join(holders, "origin")
+    steps = dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias("origin")).join(bounded(stage(holders, "holders")), "origin")
     nearest = steps.groupBy("dir").agg(F.max_by(F.struct("origin", "l", "s"), F.length("origin")).alias("n"))
-    out = told.join(nearest, "dir", "left")
+    out = told.join(bounded(stage(nearest, "nearest")), "dir", "left")
     own_license = F.col("license").isNotNull()
     return out.select(
         "doc_id",
