@@ -298,3 +298,22 @@ def f11_filtered_points(spark, d):
 @query("x6_delete_all", f"WITH {fx.TYPES} SELECT count(*) FILTER (NOT deleted) AS n_deleted FROM types")
 def x6_delete_all(spark, d):
     return sv.delete_all(fx.types(spark, d))[1]
+
+
+def _processed(spark, d):
+    """Conversations as processed documents: a turn is a chunk on its page and the one after next, with one sub-chunk; every seventh could not be read."""
+    none, turn = F.create_map().cast("map<string,string>"), F.col("turn").cast("int")
+    sub = F.struct(F.col("chunk_id"), F.col("text").alias("page_content"), none.alias("metadata"), F.array(turn + 1).alias("page_numbers"))
+    chunk = F.struct(F.col("chunk_id"), F.col("text").alias("page_content"), none.alias("metadata"), F.array(turn, turn + 2).alias("page_numbers"), F.array(sub).alias("sub_chunks"))
+    rows = fx.chunks(spark, d).withColumn("turn", F.col("seq")).groupBy("document_id").agg(F.collect_list(chunk).alias("chunks"))
+    return rows.select(F.col("document_id").cast("string").alias("document_name"), F.when(F.col("document_id") % 7 > 0, F.col("chunks")).alias("chunks"))
+
+
+@query("s4_chunks_up_to_page", f"WITH {fx.CHUNKS} SELECT document_id::VARCHAR AS document_name, chunk_id, NULL::VARCHAR AS error FROM chunks WHERE seq <= 3 AND document_id % 7 > 0 UNION ALL SELECT DISTINCT document_id::VARCHAR, NULL, 'not found' FROM chunks WHERE document_id % 7 = 0")
+def s4_chunks_up_to_page(spark, d):
+    return tb.chunks_up_to_page(_processed(spark, d), 3).select("document_name", F.col("chunk.chunk_id").alias("chunk_id"), "error")
+
+
+@query("s5_sub_chunks_up_to_page", f"WITH {fx.CHUNKS} SELECT document_id::VARCHAR AS document_name, chunk_id FROM chunks WHERE seq <= 2 AND document_id % 7 > 0")
+def s5_sub_chunks_up_to_page(spark, d):
+    return tb.sub_chunks_up_to_page(_processed(spark, d), 3).select("document_name", F.col("sub_chunk.chunk_id").alias("chunk_id"))
