@@ -121,6 +121,18 @@ def bounded(small: DataFrame, most_rows: int = 250_000) -> DataFrame:
     return F.broadcast(small) if small.count() <= most_rows else small.hint("merge")
 
 
+def lowest(rows: DataFrame, mark: Column, n: int) -> DataFrame:
+    """``rows`` without most of those that are not among the ``n`` of the lowest 64-bit hashes ``mark``.
+
+    Sorting with a limit brings ``n`` rows of every partition to the driver; after this cut about 2 n rows are left of all.
+    """
+    total = rows.count()
+    if total <= 2 * n:
+        return rows
+    few = rows.where(mark < F.lit(int(-(2.0**63) + 2.0**64 * min(1.0, 2 * n / total) * (1 - 1e-12))))
+    return few if few.count() >= n else rows
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on ``keys`` with null equal to null; the right side's keys are dropped."""
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])

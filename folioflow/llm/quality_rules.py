@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import limit_batches, map_arrow, stage
+from .common import limit_batches, lowest, map_arrow, stage
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_punct"]
 _SPACE = b" \t\n\v\f\r"
@@ -189,8 +189,8 @@ def fit(
     gap above it among all labelled rows; they are scored in Spark, and two numbers come back.
     """
     passing = stats.where((F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words")))
-    order = [F.xxhash64(F.col("doc_id"), F.lit(seed)), *STATS]
-    sample = passing.select("doc_id", *STATS).orderBy(*order).limit(sample_rows).toPandas()
+    mark = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    sample = lowest(passing.select("doc_id", *STATS), mark, sample_rows).orderBy(mark, *STATS).limit(sample_rows).toPandas()
     forest = grow_forest(features(sample[STATS].to_numpy()), trees, rows_per_tree, seed)
     marked = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = passing.join(marked, "doc_id").select("quality", *STATS)

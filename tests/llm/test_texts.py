@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioflow.llm import knn_quality, license_scan, quality_rules, queries, secret_scan
+from folioflow.llm import common, knn_quality, license_scan, quality_rules, queries, secret_scan
 from tests.conftest import same_rows
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,6 +53,15 @@ def test_forest_isolates_outliers():
     assert scores.argmax() == 500
 
 
+def test_lowest_keeps_the_lowest_hashes(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    mark = F.xxhash64("doc_id", F.lit(3))
+    few = common.lowest(df, mark, 300)
+    expect = [r[0] for r in df.orderBy(mark).limit(300).collect()]
+    assert [r[0] for r in few.orderBy(mark).limit(300).collect()] == expect and few.count() < 900
+    assert common.lowest(df, mark, 15_000).count() == 20_000 and common.lowest(df.limit(0), mark, 5).count() == 0
+
+
 def slow_depth(forest, at, row):
     """Path length of a row below a node."""
     if forest.feature[at] < 0:
