@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_arrow, runs, stage
+from .common import connected_components, lowest, map_arrow, runs, stage
 from .ngram_join import class_node, local_roots, spanning
 
 
@@ -225,7 +225,8 @@ def near_duplicates(
     none = keyed.where(F.col("key").isNull()).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
     )
-    sample = [r[0] for r in classes.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(sample_rows).select("vector").collect()]
+    mark = F.xxhash64("key", F.lit(seed))
+    sample = [r[0] for r in lowest(classes, mark, sample_rows).orderBy(mark, "key").limit(sample_rows).select("vector").collect()]
     if not sample:
         return none
     fullest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
