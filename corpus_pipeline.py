@@ -6,12 +6,40 @@ Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import mixing, ngram_join, packing, quality_rules, secret_scan
 from folioflow.llm.common import stage
 from folioflow.llm.queries import WORD_TOKENIZER, repository, tokenizer_path
+from folioflow.plans import staging
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def _frees(function: Stage) -> Stage:
+    """What a stage staged for itself goes when the next stage begins: its result has been written by then.
+
+    Tables that the next stage's input still reads stay.
+    """
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left:
+            read = docs.inputFiles()
+            for path in [p for p in _left if not any(p.split(":", 1)[-1].lstrip("/") in f for f in read)]:
+                staging.delete(spark, path)
+        _left.clear()
+        before = len(staging.made())
+        out = function(spark, docs, sf_dir)
+        _left.extend(staging.made()[before:])
+        return out
+
+    return run
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +69,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("quality rules", drop_low_quality),
-    ("n-gram Jaccard join", drop_near_copies),
-    ("secret scan", redact_secrets),
-    ("source mixing", mix_sources),
-    ("packing", pack_sequences),
+    ("quality rules", _frees(drop_low_quality)),
+    ("n-gram Jaccard join", _frees(drop_near_copies)),
+    ("secret scan", _frees(redact_secrets)),
+    ("source mixing", _frees(mix_sources)),
+    ("packing", _frees(pack_sequences)),
 ]
 
 #: Trees, MinHash and tokenizers are not expressible in SQL; tests hold the stages against brute force.
