@@ -56,6 +56,25 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     )
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Number the rows of each group 0.. by ``order``, without a window and without a task that holds a whole group.
+
+    Rows are range partitioned by ``group`` and ``order``, so a large group lies in many partitions; a row's place in its
+    partition is in the number that Spark gives it.  One row for each group of each partition (at most groups plus
+    partitions) is added up and joined back.  Rows that tie in everything get their numbers at will.
+    """
+    by = [*group, *order, "__tie"]
+    mine = ["__part", *group]
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())  # spreads equal rows; their places do not matter
+    placed = tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("__tie").withColumn("__at", F.monotonically_increasing_id())
+    placed = stage(placed, "ranked").withColumn("__part", F.shiftright("__at", 33))
+    heads = placed.groupBy(*mine).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")
+    heads = stage(heads.select(*mine, shift.alias("__shift")), "heads")
+    return null_safe(placed, bounded(heads), mine, "inner").withColumn(out, F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
+
+
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Groups of a partition that is sorted by ``keys``, one at a time, over batch borders."""
     held: list[pa.RecordBatch] = []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, knn_quality, license_scan, mixing, ngram_join, packing, quality_rules, secret_scan, warc
+from . import chat_format, embedding_dedup, fim, fingerprint, knn_quality, license_scan, merkle, mixing, ngram_join, packing, quality_rules, secret_scan, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +142,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(_read(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(_read(spark, sf_dir, "documents")))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -154,8 +166,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_ngram_join": op9_ngram_join,
         "op10_packing": op10_packing,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_fingerprints": op13_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_license_scan": license_scan.oracle_sql(), "op7_secret_scan": op7_sql(), "op8_chat_format": OP8_SQL}
+    return {
+        "op2_warc": OP2_SQL,
+        "op3_license_scan": license_scan.oracle_sql(),
+        "op7_secret_scan": op7_sql(),
+        "op8_chat_format": OP8_SQL,
+        "op11_merkle_manifest": merkle.oracle_sql(),
+        "op12_fill_in_middle": fim.ORACLE_SQL,
+        "op13_fingerprints": fingerprint.oracle_sql(),
+    }
