@@ -55,24 +55,50 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return (r["n"], r["s"])
 
 
-def descend(nodes: DataFrame, most_depth: int = 10) -> DataFrame:
+def descend(nodes: DataFrame, most_depth: int | None = None) -> DataFrame:
     """ancestor, node, depth of all nodes below each node, down to ``most_depth`` levels; ``nodes``: node, parent.
 
-    Level by level: a join per level of the tree, not per node; it ends with the deepest level there is.
+    Pairs double their reach in every round: those that span it are joined to all pairs known so far, so a tree of depth
+    d takes log2(d) joins.  Without a limit a cycle has no end: it is an error that names one of its nodes.
     """
-    step = nodes.where(F.col("parent").isNotNull()).select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth"))
-    step = stage(step, "descend")
-    out, depth = step, 1
-    below = nodes.where(F.col("parent").isNotNull()).select(F.col("parent").alias("__p"), F.col("node").alias("__n"))
-    while depth < most_depth:
-        depth += 1
-        step = stage(
-            step.join(below, F.col("node") == F.col("__p")).select("ancestor", F.col("__n").alias("node"), F.lit(depth).alias("depth")), "descend"
-        )
-        if step.isEmpty():
+    pairs = nodes.where(F.col("parent").isNotNull()).select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth"))
+    pairs, reach = stage(pairs, "descend"), 1
+    while most_depth is None or reach < most_depth:
+        longest = pairs.where(F.col("depth") == reach).select(F.col("ancestor").alias("__top"), F.col("node").alias("ancestor"))
+        further = pairs.join(longest, "ancestor").select(F.col("__top").alias("ancestor"), "node", (F.col("depth") + reach).alias("depth"))
+        if most_depth is not None:
+            further = further.where(F.col("depth") <= most_depth)
+        further = stage(further, "descend")
+        if further.isEmpty():
+            break
+        if most_depth is None and (round_trip := further.where(F.col("ancestor") == F.col("node")).first()):
+            raise ValueError(f"node {round_trip['node']} is below itself")
+        pairs, reach = pairs.unionByName(further), reach * 2
+    return pairs
+
+
+def root_paths(links: DataFrame, keys: list[str], paths: list[str], *, on_cycle: str = "drop") -> DataFrame:
+    """``links`` (keys, node, up, paths: arrays) with ``paths`` from the root down; a root's ``up`` is null.
+
+    Every round a row's arrays are put behind those of the node it points to, and it points where that one points: the
+    reach doubles, so depth d takes log2(d) joins whatever the shape.  Rows that lead to no root (their chain ends in a
+    node that is not there, or in a cycle) have no path and are dropped; with ``on_cycle="error"`` a cycle is an error.
+    A node that occurs more than once has a row for each of its paths.
+    """
+    others = [c for c in links.columns if c not in (*keys, "up", *paths)]
+    now = stage(links, "paths")
+    most = now.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    reach = 1
+    while not (far := now.where(F.col("up").isNotNull())).isEmpty():
+        if reach > most:
+            if on_cycle == "error":
+                raise ValueError(f"node {far.first()['node']} is below itself")
             break
-        out = out.unionByName(step)
-    return out
+        above = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("__up"), *[F.col(p).alias(f"__{p}") for p in paths])
+        joined = far.join(above, [*keys, "up"]).select(*keys, *others, F.col("__up").alias("up"), *[F.concat(f"__{p}", p).alias(p) for p in paths])
+        now = stage(now.where("up is null").select(joined.columns).unionByName(joined), "paths")
+        reach *= 2
+    return now.where("up is null").drop("up")
 
 
 def pre_order(nodes: DataFrame) -> DataFrame:

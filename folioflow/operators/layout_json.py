@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
-from ..plans.staging import stage
+from .graph import root_paths
 from .layout import PAGE_HEIGHT, flip_box, is_furniture, reading_order
 
 #: Captions that say nothing, labels and how their texts are written.
@@ -47,27 +47,22 @@ def with_metadata(items: DataFrame, metadata: DataFrame) -> DataFrame:
     return out.select(*items.columns, *[best[c].alias(c) for c in columns])
 
 
-def walk(layouts: DataFrame, items: DataFrame, skipped_tables: DataFrame | None = None, most_depth: int = 32) -> DataFrame:
+def walk(layouts: DataFrame, items: DataFrame, skipped_tables: DataFrame | None = None) -> DataFrame:
     """``items`` that are shown, with ``place``: their path of positions from the body down.
 
     ``layouts``: doc_id, body (references in order).  Texts inside pictures, furniture and ``skipped_tables`` (doc_id, ref)
-    go with all below them; captions below anything but a group are shown with their owner.  A join per level.
+    go with all below them; captions below anything but a group are shown with their owner.  Paths double their reach
+    with each join, so elements may lie at any depth; an element that is below itself is an error.
     """
     shown = items.where(~is_furniture(F.col("label"), F.col("content_layer")) & ~((F.col("kind") == "texts") & F.coalesce(F.col("parent").contains("/pictures/"), F.lit(False))))
     if skipped_tables is not None:
         shown = shown.join(skipped_tables.select("doc_id", "ref"), ["doc_id", "ref"], "left_anti")
-    step = layouts.select("doc_id", F.posexplode("body").alias("at", "ref")).select("doc_id", "ref", F.array("at").alias("place"))
-    out = None
-    for _ in range(most_depth):
-        step = stage(step.join(shown, ["doc_id", "ref"]), "walk")
-        if step.isEmpty():
-            break
-        out = step if out is None else out.unionByName(step)
-        below = step.select("doc_id", "place", F.col("kind").alias("__owner"), F.posexplode("children").alias("at", "ref"))
-        below = below.join(items.select("doc_id", "ref", F.col("label").alias("__label")), ["doc_id", "ref"])
-        below = below.where((F.col("__owner") == "groups") | (F.coalesce(F.lower("__label"), F.lit("")) != "caption"))
-        step = below.select("doc_id", "ref", F.concat("place", F.array("at")).alias("place"))
-    return out if out is not None else step.join(shown, ["doc_id", "ref"])
+    top = layouts.select("doc_id", F.posexplode("body").alias("at", "ref"), F.lit(None).cast("string").alias("up"), F.lit("groups").alias("__owner"))
+    below = shown.select("doc_id", F.posexplode("children").alias("at", "child"), F.col("ref").alias("up"), F.col("kind").alias("__owner"))
+    listed = top.unionByName(below.withColumnRenamed("child", "ref")).join(shown.select("doc_id", "ref", "label"), ["doc_id", "ref"])
+    listed = listed.where((F.col("__owner") == "groups") | (F.coalesce(F.lower("label"), F.lit("")) != "caption"))
+    links = listed.select("doc_id", F.col("ref").alias("node"), "up", F.array("at").alias("place"))
+    return root_paths(links, ["doc_id"], ["place"], on_cycle="error").withColumnRenamed("node", "ref").join(shown, ["doc_id", "ref"])
 
 
 def _text_form(label: Column, text: Column, marker: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +13,7 @@ from ..functions.text import strip
 from ..plans.staging import stage
 from .chunks import page_parts
 from .enrich import join_in_blocks
+from .graph import root_paths
 
 #: Marks of pages as nodes and chunks know them; a numbered heading.
 NODE_PAGE = r'<seite\s+nummer="(\d+)"\s*/?>'
@@ -107,30 +109,38 @@ def numbered_headings(items: DataFrame) -> DataFrame:
 
 
 def contents_parents(headings: DataFrame) -> DataFrame:
-    """doc_id, title, ord, parent: the nearest earlier heading of a smaller depth; a title that repeats has its first place and last parent."""
-    deepest = headings.agg(F.max("level")).first()[0] or 1
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = headings
-    for k in range(1, deepest):
-        rows = rows.withColumn(f"__l{k}", F.max(F.when(F.col("level") == k, F.struct("pos", "title"))).over(before))
-    smaller = [F.when(F.col("level") > k, F.col(f"__l{k}")) for k in range(1, deepest)]
-    parent = F.greatest(*smaller)["title"] if len(smaller) > 1 else smaller[0]["title"] if smaller else F.lit(None).cast("string")
-    rows = rows.withColumn("parent", F.coalesce(parent, F.lit(ROOT)))
-    return rows.groupBy("doc_id", "title").agg(F.min("pos").alias("ord"), F.max_by("parent", "pos").alias("parent"))
-
-
-def contents_paths(parents: DataFrame, most_depth: int = 32) -> DataFrame:
-    """doc_id, title, ord, path (titles from the top down to this one) and key (their places); a join per level of the tree."""
-    step = stage(parents.where(F.col("parent") == ROOT).select("doc_id", "title", "ord", F.array("title").alias("path"), F.array("ord").alias("key")), "toc")
-    out = step
-    for _ in range(most_depth):
-        above = step.select("doc_id", F.col("title").alias("parent"), F.col("path").alias("__above"), F.col("key").alias("__key"))
-        below = parents.join(above, ["doc_id", "parent"])
-        step = stage(below.select("doc_id", "title", "ord", F.concat("__above", F.array("title")).alias("path"), F.concat("__key", F.array("ord")).alias("key")), "toc")
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
-    return out
+    """doc_id, title, ord, parent: the nearest earlier heading of a smaller depth; a title that repeats has its first place and last parent.
+
+    A document's headings pass once, in order, over a stack of those still open; numbers may be of any depth.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in headings.schema}
+    rows = headings.select("doc_id", "pos", "level", "title").repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, open_ = None, []
+        for batch in batches:
+            found = []
+            for d, level, title in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if d != doc:
+                    doc, open_ = d, []
+                while open_ and open_[-1][0] >= level:
+                    open_.pop()
+                found.append(open_[-1][1] if open_ else ROOT)
+                open_.append((level, title))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(found, pa.string())], names=["doc_id", "pos", "title", "parent"])
+
+    found = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, pos {kinds['pos']}, title string, parent string")
+    return found.groupBy("doc_id", "title").agg(F.min("pos").alias("ord"), F.max_by("parent", "pos").alias("parent"))
+
+
+def contents_paths(parents: DataFrame) -> DataFrame:
+    """doc_id, title, ord, path (titles from the top down to this one) and key (their places), for trees of any depth.
+
+    Titles whose parents lead in a circle (repeated titles can do that) are not below the root and have no path.
+    """
+    up = F.when(F.col("parent") != ROOT, F.col("parent"))
+    links = parents.select("doc_id", F.col("title").alias("node"), up.alias("up"), "ord", F.array("title").alias("path"), F.array("ord").alias("key"))
+    return root_paths(links, ["doc_id"], ["path", "key"]).select("doc_id", F.col("node").alias("title"), "ord", "path", "key")
 
 
 def chunk_paths(chunks: DataFrame, paths: DataFrame) -> DataFrame:
@@ -153,6 +163,50 @@ def chunk_paths(chunks: DataFrame, paths: DataFrame) -> DataFrame:
     return rows.select("doc_id", "chunk", "toc_path", F.coalesce("subs", F.array().cast("array<string>")).alias("all_subchapters"))
 
 
+# Nested trees
+
+
+def nested_tree(nodes: DataFrame, fields: list[str]) -> DataFrame:
+    """doc_id, tree of ``nodes`` (doc_id, line, parent, fields): each document's tree as JSON, children inside ``nodes`` in order of their lines.
+
+    An object has its ``fields`` in that order, null ones left out, and ``nodes`` if it has any children.  Every row knows its
+    path of lines from the root, so a document's objects are sorted once in pre-order, and what stands between two of them
+    follows from the depths of both: the tree is one string for each document without a join for each level.  Nodes whose
+    parent is not there have no place and are dropped.
+    """
+    links = nodes.select("doc_id", F.col("line").alias("node"), F.col("parent").alias("up"), F.array("line").alias("place"), F.to_json(F.struct(*fields)).alias("__object"))
+    placed = root_paths(links, ["doc_id"], ["place"])
+    order = Window.partitionBy("doc_id").orderBy("place")
+    depth, after = F.size("place"), F.lead(F.size("place")).over(order)
+    bare = F.col("__object") == "{}"
+    head = F.expr("substring(__object, 1, length(__object) - 1)")
+    opened = F.concat(head, F.when(bare, "").otherwise(","), F.lit('"nodes":['))
+    closed = F.concat(F.col("__object"), F.repeat(F.lit("]}"), depth - F.coalesce(after, F.lit(1))), F.when(after.isNotNull(), ",").otherwise(""))
+    written = placed.select("doc_id", "place", F.when(after > depth, opened).otherwise(closed).alias("part"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"])
+    return written.groupBy("doc_id").agg(F.concat(F.lit("["), F.array_join(listed, ""), F.lit("]")).alias("tree"))
+
+
+def flat_tree(trees: DataFrame, fields: str) -> DataFrame:
+    """doc_id, place and ``fields`` (a DDL list) of every object of ``trees`` (doc_id, tree), depth first: the reverse of :func:`nested_tree`.
+
+    ``place`` is the path of positions among siblings.  A step goes down one level for all documents, as a level's objects
+    must be read to know the next one's; it ends with the deepest tree.
+    """
+    names = [f.split()[0] for f in fields.split(", ")]
+    parse = lambda c: F.from_json(c, f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))}, nodes:string>>")
+    step = trees.select("doc_id", F.array().cast("array<int>").alias("place"), F.col("tree").alias("nodes"))
+    out = None
+    while True:
+        below = step.where("nodes is not null").select("doc_id", "place", F.posexplode(parse(F.col("nodes"))).alias("at", "o"))
+        step = stage(below.select("doc_id", F.concat("place", F.array("at")).alias("place"), *[f"o.{n}" for n in names], "o.nodes"), "flat")
+        if step.isEmpty():
+            break
+        found = step.drop("nodes")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else step.drop("nodes")
+
+
 # Summaries over pages
 
 

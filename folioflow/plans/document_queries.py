@@ -10,7 +10,7 @@ from ..operators import graph as gr
 from ..operators import layout as la
 from ..sources.tables import table
 from . import fixtures as fx
-from .registry import QUERIES, SQL, query
+from .registry import query
 
 
 def _flat(df, *arrays):
@@ -194,6 +194,9 @@ def r3_descendants(spark, d):
     return gr.descend(table(spark, d, "orders").select(key.alias("node"), F.when(key >= 3, F.floor(key / 3)).cast(T.LongType()).alias("parent")), 4)
 
 
-# headings hold whole lines: the names under which that once was an extra are kept
-for _name in ("c29_header_nodes", "w12_heading_parents", "w15_node_ids", "w6_section_ranges", "w14_sections"):
-    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
+@query("c27_all_descendants", """WITH RECURSIVE n AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey >= 3 THEN o_orderkey // 3 END AS parent FROM orders),
+  t AS (SELECT parent AS ancestor, node, 1 AS depth FROM n WHERE parent IS NOT NULL UNION ALL SELECT t.ancestor, n.node, depth + 1 FROM t JOIN n ON n.parent = t.node)
+  SELECT ancestor, node, depth FROM t""")
+def c27_all_descendants(spark, d):
+    key = F.col("o_orderkey")
+    return gr.descend(table(spark, d, "orders").select(key.alias("node"), F.when(key >= 3, F.floor(key / 3)).cast(T.LongType()).alias("parent")))

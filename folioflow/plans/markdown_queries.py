@@ -122,6 +122,38 @@ def w13_contents_parents(spark, d):
     return tr.contents_parents(tr.numbered_headings(_toc(spark, d)))
 
 
+@query("w13_contents_paths", rf"""WITH RECURSIVE {_TOC}, h AS (SELECT doc_id, pos, text AS title, len(string_split(regexp_replace(regexp_extract(text, '^([\d.]+)\s+(.*)', 1), '^\.+|\.+$', '', 'g'), '.')) AS level FROM toc WHERE regexp_matches(text, '^([\d.]+)\s+(.*)')),
+  p AS (SELECT h.*, coalesce((SELECT arg_max(o.title, o.pos) FROM h o WHERE o.doc_id = h.doc_id AND o.pos < h.pos AND o.level < h.level), '_DOCUMENT_ROOT_') AS parent FROM h),
+  q AS (SELECT doc_id, title, arg_max(parent, pos) AS parent FROM p GROUP BY doc_id, title),
+  w AS (SELECT doc_id, title, title AS path, 1 AS depth FROM q WHERE parent = '_DOCUMENT_ROOT_' UNION ALL SELECT q.doc_id, q.title, w.path || ' > ' || q.title, depth + 1 FROM q JOIN w ON w.doc_id = q.doc_id AND q.parent = w.title)
+  SELECT doc_id, title, path, depth FROM w""")
+def w13_contents_paths(spark, d):
+    paths = tr.contents_paths(tr.contents_parents(tr.numbered_headings(_toc(spark, d))))
+    return paths.select("doc_id", "title", F.array_join("path", " > ").alias("path"), F.size("path").alias("depth"))
+
+
+_TREE = f"""{_NODES}, th AS (SELECT doc_id, line, length(regexp_extract(row, '^(#{{1,6}})\\s', 1)) AS level, regexp_replace(row, '^#{{1,6}}\\s+|\\s+$', '', 'g') AS title FROM pl WHERE (doc_id, line) IN (SELECT doc_id, line FROM nodes)),
+  tp AS (SELECT doc_id, line, title, 1 + (level > 1 AND EXISTS (SELECT 1 FROM th o WHERE o.doc_id = h.doc_id AND o.line < h.line AND o.level < h.level))::INT AS depth FROM th h)"""
+
+
+def _tree(spark, d):
+    """Headings with titles in reading order, as nested JSON."""
+    nodes = ch.heading_parents(ch.header_nodes(fx.paged(spark, d)))
+    return tr.nested_tree(nodes, ["line", "title"])
+
+
+@query("c31_nested_trees", f"""WITH {_TREE}, nx AS (SELECT *, lead(depth) OVER (PARTITION BY doc_id ORDER BY line) AS after, to_json({{'line': line::INT, 'title': title}})::VARCHAR AS o FROM tp)
+  SELECT doc_id, '[' || string_agg(CASE WHEN after > depth THEN left(o, length(o) - 1) || ',"nodes":[' ELSE o || repeat(']}}', (depth - coalesce(after, 1))::INT) || CASE WHEN after IS NULL THEN '' ELSE ',' END END, '' ORDER BY line) || ']' AS tree FROM nx GROUP BY doc_id""")
+def c31_nested_trees(spark, d):
+    return _tree(spark, d)
+
+
+@query("c31_flat_trees", f"WITH {_TREE} SELECT doc_id, line::INT AS line, title, depth::INT AS depth FROM tp")
+def c31_flat_trees(spark, d):
+    """From the nested JSON back to rows."""
+    return tr.flat_tree(_tree(spark, d), "line int, title string").select("doc_id", "line", "title", F.size("place").alias("depth"))
+
+
 @query("a22_document_summaries", f"""WITH {fx.LINES}, p AS (SELECT doc_id, (pos - 1) // 25 AS b, string_agg('<seite nummer="' || pos || '" />' || line, chr(10) ORDER BY pos) AS text FROM lines WHERE pos > 0 GROUP BY ALL),
   s AS (SELECT doc_id, count(*) AS n, string_agg('S' || text, chr(10) ORDER BY b) AS text FROM p GROUP BY doc_id)
   SELECT d.doc_id AS document_id, CASE WHEN s.doc_id IS NULL THEN '' WHEN n > 1 AND length(s.text) > 3000 THEN 'C' || s.text ELSE s.text END AS summary FROM documents d LEFT JOIN s USING (doc_id)""")

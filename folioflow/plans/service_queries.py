@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import services as sv
+from ..sources import archives as ar
 from ..sources import tables as tb
 from ..sources.tables import table
 from . import fixtures as fx
 from .registry import query
+from .staging import new_path, stage
 
 COMMENTS = """comments AS (SELECT event_id AS id, user_id % 5 AS project_id, event_type AS process_step, CASE event_id % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'file' ELSE 'note' END AS source_type, ts AS created_at FROM events)"""
 
@@ -286,7 +288,31 @@ def s9_zip_guard(spark, d):
     rows = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("path"), (F.col("l_linenumber") == 1).alias("is_dir"), F.lit(0).alias("unix_mode"), F.col("l_partkey").cast("long").alias("file_size"), (F.col("l_suppkey") % 3).cast("long").alias("compress_size")
     )
-    return tb.zip_guard(rows, most_entries=6).select("path", "n_entries", "total_size", "accepted")
+    return ar.zip_guard(rows, most_entries=6).select("path", "n_entries", "total_size", "accepted")
+
+
+_PACKED = "SELECT doc_id, 'd/' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.exe' ELSE '.pdf' END AS name, '%PDF-1.7 ' || coalesce(text, '') AS text FROM documents"
+
+
+def _staged_files(spark, d):
+    """The documents as files, every seventh of a kind that is not allowed: written as archives, read back, validated and staged."""
+    folder = new_path(spark, "archives")
+    name = F.concat(F.lit("./d//"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".exe").otherwise(".pdf"))
+    content = F.encode(F.concat(F.lit("%PDF-1.7 "), F.coalesce("text", F.lit(""))), "UTF-8")
+    archives = stage(ar.write_archives(table(spark, d, "documents").select(name.alias("name"), content.alias("content")), f"{folder}/in"), "archive-paths")
+    return ar.stage_archives(archives, f"{folder}/out", {".pdf": "application/pdf"}, ["application/pdf"], range_bytes=1 << 20)
+
+
+@query("s8_stage_archives", f"SELECT name AS filename, doc_id % 7 > 0 AS success, sha256(text) AS sha256, CASE WHEN doc_id % 7 = 0 THEN 'VALIDATION_FAILED' END AS error_code FROM ({_PACKED})")
+def s8_stage_archives(spark, d):
+    return _staged_files(spark, d).select("filename", "success", "sha256", "error_code")
+
+
+@query("s14_digests", f"SELECT name AS filename, sha256(text) AS sha256, strlen(text)::BIGINT AS size FROM ({_PACKED}) WHERE doc_id % 7 > 0")
+def s14_digests(spark, d):
+    """Digests of the staged files, read from where they were staged."""
+    paths = stage(_staged_files(spark, d).where("success").select(F.col("bucket_path").alias("path")), "staged-paths")
+    return ar.file_digests(paths).select(F.regexp_extract("path", r"(d/[^/]*)$", 1).alias("filename"), "sha256", "size")
 
 
 @query("f11_filtered_points", "SELECT event_id AS id FROM events WHERE user_id % 5 = 1 AND event_type IN ('click', 'view') AND event_id NOT IN (SELECT o_orderkey FROM orders)")

@@ -1,15 +1,11 @@
-"""Reading tables, JSON documents and archives; the batch sinks."""
+"""Reading tables and JSON documents; the batch sinks."""
 
 from __future__ import annotations
 
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_entry_name, page_numbers
+from ..functions.text import page_numbers
 
 
 def files_ending(files: DataFrame, ending: str, project=None) -> DataFrame:
@@ -52,91 +48,6 @@ def sub_chunks_up_to_page(documents: DataFrame, n: int) -> DataFrame:
     return subs.where(F.exists("sub_chunk.page_numbers", lambda p: p <= n))
 
 
-#: Limits of an archive.
-MOST_ENTRIES, MOST_BYTES, MOST_RATIO = 5000, 10 * 1024**3, 100.0
-_ENTRY = (
-    "path string, entry_name string, is_dir boolean, unix_mode int, file_size long, compress_size long, sha256 string, error string"
-)
-
-
-def _is_link(mode: int) -> bool:
-    return mode & 0o170000 == 0o120000
-
-
-def _violation(listed: list[zipfile.ZipInfo], most_entries: int, most_bytes: int, most_ratio: float) -> str | None:
-    """Why an archive is refused, from its directory alone; folders and links do not count as size."""
-    if len(listed) > most_entries:
-        return "too many entries"
-    files = [i for i in listed if not i.is_dir() and not _is_link(i.external_attr >> 16)]
-    if any(i.file_size > most_bytes for i in files) or sum(i.file_size for i in files) > most_bytes:
-        return "too large"
-    if any(i.compress_size > 0 and i.file_size / i.compress_size > most_ratio for i in files):
-        return "compressed too well"
-    return None
-
-
-def zip_entries(archives: DataFrame, *, most_entries: int = MOST_ENTRIES, most_bytes: int = MOST_BYTES, most_ratio: float = MOST_RATIO) -> DataFrame:
-    """Entries of ZIP files (``path``, as Arrow's file systems open it), hashed; one row an entry.
-
-    The directory of an archive is read and judged before anything is inflated; entries then pass through in
-    parts.  A broken or refused archive is one row with ``error``.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        import pyarrow.fs as pafs
-
-        names = [c.split()[0] for c in _ENTRY.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
-        def rows(path: str) -> Iterator[tuple]:
-            # one slash after "file:" is what Spark writes
-            fs, inner = pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-            with fs.open_input_file(inner) as f, zipfile.ZipFile(f) as z:
-                listed = z.infolist()
-                if problem := _violation(listed, most_entries, most_bytes, most_ratio):
-                    yield (path, *[None] * 6, problem)
-                    return
-                for i in listed:
-                    digest = hashlib.sha256()
-                    if not i.is_dir():
-                        with z.open(i) as entry:
-                            while part := entry.read(1 << 20):
-                                digest.update(part)
-                    yield (path, i.filename, i.is_dir(), i.external_attr >> 16, i.file_size, i.compress_size, None if i.is_dir() else digest.hexdigest(), None)
-
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                found = []
-                try:
-                    found.extend(rows(path))
-                except (OSError, ValueError, zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
-                    found = [(path, *[None] * 6, str(e))]
-                columns = list(zip(*found, strict=True)) if found else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    return archives.select("path").mapInArrow(run, _ENTRY).withColumn("normal_name", normal_entry_name(F.col("entry_name")))
-
-
-def zip_guard(entries: DataFrame, *, most_entries: int = MOST_ENTRIES, most_bytes: int = MOST_BYTES, most_ratio: float = MOST_RATIO) -> DataFrame:
-    """Per archive of a table of entries: n_entries, total_size, largest, ratio and whether the limits hold.
-
-    Folders and links do not count as size; an entry packed into no bytes has no ratio.
-    """
-    link = (F.col("unix_mode").bitwiseAND(0o170000)) == 0o120000
-    counts = ~F.coalesce(F.col("is_dir"), F.lit(False)) & ~F.coalesce(link, F.lit(False))
-    size, packed = F.when(counts, F.col("file_size")), F.when(counts, F.col("compress_size"))
-    out = entries.groupBy("path").agg(
-        F.count("*").alias("n_entries"),
-        F.coalesce(F.sum(size), F.lit(0)).alias("total_size"),
-        F.coalesce(F.max(size), F.lit(0)).alias("largest"),
-        F.max(F.when(packed > 0, size / packed)).alias("ratio"),
-    )
-    ok = (F.col("n_entries") <= most_entries) & (F.col("largest") <= most_bytes) & (F.col("total_size") <= most_bytes)
-    return out.withColumn("accepted", ok & (F.coalesce("ratio", F.lit(0.0)) <= most_ratio))
-
-
 def write_documents(documents: DataFrame, path: str) -> None:
     """Sink: one JSON object a line; ``pages`` is the highest page mark of the markdown, absent without one."""
     documents.withColumn("pages", F.array_max(page_numbers(F.col("markdown")))).write.mode("overwrite").json(path)

@@ -1,5 +1,6 @@
 """The chunker, heading trees, page marks, replacements and layout documents on hand-made cases."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import layout_json, markdown, tree
@@ -151,3 +152,48 @@ def test_layout_walk(spark):
     found = layout_json.to_markdown(layout_json.walk(body, layout_json.with_metadata(items, meta)), captions).first()["markdown"]
     parts = ['\n<seite nummer="1" />\n', "\n## Head\n", '\n<seite nummer="2" />\n', "1. item", "\n![Image 1](images/p.png)\n", "\nTable one\n", "\n<TABELLE>\n<caption_text>Table one</caption_text>\n<table/>\n</TABELLE>\n"]
     assert found == "\n".join(parts)
+
+
+def test_contents_of_any_depth(spark):
+    """A chain of a hundred levels, a junk line of a thousand dots, and titles whose parents go in a circle."""
+    deep = [(1, i, ".".join(["1"] * (i + 1)) + f" t{i}") for i in range(100)]
+    junk = [(2, 0, "1 a"), (2, 1, "1" + "." * 1000 + "5 x"), (2, 2, "1.1 b")]
+    ring = [(3, 0, "1 a"), (3, 1, "1.1 b"), (3, 2, "1 c"), (3, 3, "1 b"), (3, 4, "1.1 a"), (3, 5, "1 a"), (3, 6, "1.1 1.1 b")]
+    rows = [(d, p, "text", 1, t) for d, p, t in deep + junk + ring]
+    items = spark.createDataFrame(rows, "doc_id int, pos int, type string, text_level int, text string")
+    paths = {(r["doc_id"], r["title"]): r["path"] for r in tree.contents_paths(tree.contents_parents(tree.numbered_headings(items))).collect()}
+    titles = [t for _, _, t in deep]
+    assert all(paths[1, t] == titles[: i + 1] for i, t in enumerate(titles))
+    assert paths[2, "1" + "." * 1000 + "5 x"] == ["1 a", "1" + "." * 1000 + "5 x"] and paths[2, "1.1 b"] == ["1 a", "1.1 b"]
+    assert paths[3, "1 a"] == ["1 a"]
+    round_ = spark.createDataFrame([(1, "x", "y", 0, ["x"]), (1, "y", "x", 1, ["y"]), (1, "z", tree.ROOT, 2, ["z"])], "doc_id int, title string, parent string, ord int, p array<string>")
+    assert [r["title"] for r in tree.contents_paths(round_.drop("p")).collect()] == ["z"]
+
+
+def test_layout_of_any_depth(spark):
+    columns = "doc_id int, item int, ref string, kind string, parent string, label string, content_layer string, text string, children array<string>"
+    rows = [(d, i, f"#/groups/{i}", "groups", "", "list", "body", None, [f"#/groups/{i + 1}", f"#/texts/{i}"]) for d in (1, 2) for i in range(99)]
+    rows += [(1, 99, "#/groups/99", "groups", "", "list", "body", None, ["#/texts/99"]), (2, 99, "#/groups/99", "groups", "", "list", "body", None, ["#/groups/50"])]
+    rows += [(1, i, f"#/texts/{i}", "texts", "", "text", "body", f"t{i}", []) for i in range(100)]
+    items = spark.createDataFrame(rows, columns)
+    body = spark.createDataFrame([(1, ["#/groups/0"])], "doc_id int, body array<string>")
+    found = layout_json.walk(body, items.where("doc_id = 1")).where("kind = 'texts'").orderBy("place").collect()
+    assert [r["text"] for r in found] == [f"t{i}" for i in reversed(range(100))] and len(found[0]["place"]) == 101
+    with pytest.raises(ValueError, match="below itself"):
+        layout_json.walk(spark.createDataFrame([(2, ["#/groups/0"])], "doc_id int, body array<string>"), items.where("doc_id = 2"))
+
+
+def test_nested_trees_round_trip(spark):
+    import json
+
+    rows = [(1, 1, None, 'A "q"', None), (1, 2, 1, "B", 5), (1, 3, 2, "C", None), (1, 9, 1, "D", 1), (1, 12, None, "E", 0), (2, 4, None, None, None), (2, 5, 4, "x", 2)]
+    rows += [(3, i, i - 1 if i else None, f"t{i}", i) for i in range(60)] + [(4, 7, 6, "no parent", 1)]
+    nodes = spark.createDataFrame(rows, "doc_id int, line int, parent int, title string, n int")
+    trees = tree.nested_tree(nodes, ["title", "line", "n"])
+    found = {r["doc_id"]: json.loads(r["tree"]) for r in trees.collect()}
+    assert found[1] == [{"title": 'A "q"', "line": 1, "nodes": [{"title": "B", "line": 2, "n": 5, "nodes": [{"title": "C", "line": 3}]}, {"title": "D", "line": 9, "n": 1}]}, {"title": "E", "line": 12, "n": 0}]
+    assert set(found) == {1, 2, 3} and list(found[1][0]) == ["title", "line", "nodes"]
+    back = {(r["doc_id"], r["line"]): (r["title"], r["n"], len(r["place"])) for r in tree.flat_tree(trees, "title string, line int, n int").collect()}
+    assert {k: v[:2] for k, v in back.items()} == {(r[0], r[1]): (r[3], r[4]) for r in rows if r[0] != 4}
+    assert back[3, 59][2] == 60 and back[1, 3][2] == 3
+    assert json.loads(tree.nested_tree(nodes.where("doc_id = 2"), ["n"]).first()["tree"]) == [{"nodes": [{"n": 2}]}]
