@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -196,63 +195,6 @@ def safe_stem(name: Column) -> Column:
     return F.regexp_replace(kept, UNSAFE_IN_STEMS, "_")
 
 
-class _Canonical(HTMLParser):
-    """Writes what it reads in one form: lower-case tags, quoted attributes, closed elements."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.open: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]], closed: bool = False) -> None:
-        shown = "".join(f' {k}="{_escaped(v or "").replace(chr(34), "&quot;")}"' for k, v in attrs)
-        void = closed or tag in VOID_TAGS
-        self.out.append(f"<{tag}{shown}{'/' if void else ''}>")
-        if not void:
-            self.open.append(tag)
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs, closed=tag in VOID_TAGS)
-        if tag not in VOID_TAGS:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        while tag in self.open:
-            last = self.open.pop()
-            self.out.append(f"</{last}>")
-            if last == tag:
-                break
-
-    def handle_data(self, data: str) -> None:
-        self.out.append(_escaped(data))
-
-    def handle_comment(self, data: str) -> None:
-        self.out.append(f"<!--{data}-->")
-
-
-#: Elements without content.
-VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-
-
-def _escaped(text: str) -> str:
-    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-
-
-@F.pandas_udf(T.StringType())
-def canonical_html(html: pd.Series) -> pd.Series:
-    """HTML read and written again, so that equal tables compare equal; null is empty."""
-
-    def one(text: str | None) -> str:
-        reader = _Canonical()
-        reader.feed(text or "")
-        reader.close()
-        while reader.open:
-            reader.out.append(f"</{reader.open.pop()}>")
-        return "".join(reader.out)
-
-    return html.map(one)
-
-
 def child_text(block: Column, tag: str) -> Column:
     """Trimmed content of the first element of a name, blank without one."""
     return strip(F.regexp_extract(block, rf"(?s)<{tag}>(.*?)</{tag}>", 1))

@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.html import parsed
 from ..functions.text import fix_mojibake, strip, without_numbering
+from ..plans.staging import stage
 from .folds import split_column, split_text
+from .tree import chunk_paths, contents_parents, contents_paths, numbered_headings
 
 #: Elements that no cut may go through, marks of pages, placeholders, limits in characters.
 ISOLATED = r"(?is)(<BILD.*?/BILD>|<TABELLE.*?/TABELLE>|<table\b[^>]*>.*?</table>)"
-ELEMENT = r'(?is)<BILD\s+img_path="([^"]*)">(.*?)</BILD>|<TABELLE\s+img_path="([^"]*)">(.*?)</TABELLE>|<table\b[^>]*>.*?</table>'
+ELEMENT = r'(?is)<BILD\s+img_path="[^"]*">.*?</BILD>|<TABELLE\s+img_path="[^"]*">.*?</TABELLE>|<table\b[^>]*>.*?</table>'
+FIELDS = {"caption": "caption_text", "summary": "summary", "description": "description", "footnote": "footnote_text"}
+TABLE_BODY, TABLE_MARK = r"(?is)<tbody[^>]*>(.*)</tbody>", r"(?is)</?table[^>]*>"
 PAGE = r'<seite nummer="(\d+)"\s*/>'
 PART_PAGE = r'<seite nummer="(\d+)" />'
 PLACEHOLDER = "__SPECIAL_ELEMENT_PLACEHOLDER_%s__"
@@ -130,30 +135,40 @@ for _name in ("asset_path", "caption", "summary", "description", "body", "footno
     SUB = SUB.add(_name, "string")
 
 
-def _child(block: str, tag: str, markup: bool = False) -> str:
-    found = re.search(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", block)
-    inside = found[1] if found else ""
-    return (inside if markup else re.sub(r"<[^>]+>", "", inside)).strip()
-
-
 def _tagged(tag: str, text: str) -> str:
     return f"<{tag}>{text}</{tag}>"
 
 
+def element_fields(block: str) -> tuple[str, dict]:
+    """Kind (bild, tabelle or "" for a bare table) and fields of an element; fields are its direct children."""
+    tree = parsed(block)
+    kind, owner = next(((k, e) for k in ("bild", "tabelle") if (e := tree.first(k))), ("", None))
+    if owner is None:
+        return kind, {"body": block.strip()}
+    said = {k: owner.child(t) for k, t in FIELDS.items()}
+    fields = {k: e.text().strip() if e else "" for k, e in said.items()}
+    body = owner.child("content")
+    return kind, fields | {"asset_path": owner.attributes.get("img_path", ""), "body": body.inner().strip() if body else ""}
+
+
 def table_parts(html: str, most: int) -> list[str]:
-    """A table's rows packed in order into tables of about ``most`` characters; one table where it has no rows."""
-    body = re.search(r"(?is)<tbody[^>]*>(.*)</tbody>", html)
-    inside = body[1] if body else re.sub(r"(?i)</?table[^>]*>", "", html).strip()
-    packed: list[str] = []
-    held = ""
-    for row in re.findall(r"(?is)<tr\b.*?</tr>", inside):
-        if held and len(held) + len(row) > most:
-            packed.append(held)
-            held = row
-        else:
-            held += "\n" + row
-    packed.append(held.strip() if held else inside)
-    return [f"<table>\n{p}\n</table>" for p in packed]
+    """A table's rows, as they are read, packed in order into tables of about ``most`` characters; one table where it has no rows."""
+    body = re.search(TABLE_BODY, html)
+    inside = body[1] if body else re.sub(TABLE_MARK, "", html).strip()
+    groups: list[list[str]] = [[]]
+    used = 0
+    for row in (str(e) for e in parsed(inside).below() if e.name == "tr"):
+        if used and used + len(row) > most:
+            groups.append([])
+            used = -1  # a new table begins without the line end that the first row has
+        groups[-1].append(row)
+        used += len(row) + 1
+    texts = ["\n".join(g) for g in groups]
+    # the first of several tables keeps the line end before its first row, the last one has none around it
+    texts = ["\n" * (i == 0 and len(texts) > 1) + t for i, t in enumerate(texts)] if groups[0] else [inside]
+    if groups[0]:
+        texts[-1] = texts[-1].strip()
+    return [f"<table>\n{t}\n</table>" for t in texts]
 
 
 def _is_fragment(text: str) -> bool:
@@ -181,26 +196,16 @@ def sub_chunks(text: str, size: int, overlap: int = 0) -> list[dict]:
     for m in re.finditer(ELEMENT, text):
         segment(text[end : m.start()], end)
         end = m.end()
-        image, named = m[1] is not None, m[2] if m[2] is not None else m[4]
-        if named is None:
-            known = {"body": m[0].strip()}
-        else:
-            outer = re.sub(r"(?is)<content\b[^>]*>.*?</content>", "", named)
-            known = {"asset_path": m[1] if image else m[3], "body": _child(named, "content", markup=True)}
-            known |= {k: _child(outer, t) for k, t in (("caption", "caption_text"), ("summary", "summary"), ("description", "description"), ("footnote", "footnote_text"))}
-        parts = [_tagged(t, known[k]) for k, t in (("caption", "caption_text"), ("summary", "summary"), ("description", "description")) if known.get(k)]
+        kind, known = element_fields(m[0])
+        image = kind == "bild"
+        tagged = {k: _tagged(t, known.get(k) or "") for k, t in (*FIELDS.items(), ("body", "content"))}
+        parts = [x for k in ("caption", "summary", "description") if known.get(k) for x in split_text(tagged[k], size, overlap)]
         if image:
-            shown = [_tagged("caption_text", known["caption"])] if known["caption"] else []
-            shown += [_tagged(t, known[k]) for k, t in (("summary", "summary"), ("description", "description"), ("body", "content"))]
-            shown += [_tagged("footnote_text", known["footnote"])] if known["footnote"] else []
-            whole = "\n".join(shown)
-            if known["body"]:
-                parts.append(_tagged("content", known["body"]))
-            pieces = [whole] if len(whole) <= size else [x for p in parts for x in split_text(p, size, overlap)]
-        elif len(m[0]) <= size:
-            pieces = [m[0]]
+            optional = lambda k: [tagged[k]] if known[k] else []
+            whole = "\n".join([*optional("caption"), tagged["summary"], tagged["description"], tagged["body"], *optional("footnote")])
+            pieces = [whole] if len(whole) <= size else parts + [x for x in (split_text(tagged["body"], size, overlap) if known["body"] else [])]
         else:
-            pieces = [x for p in parts for x in split_text(p, size, overlap)] + table_parts(known["body"], size)
+            pieces = [m[0]] if len(m[0]) <= size else parts + table_parts(known["body"], size)
         for piece in pieces:
             add(piece, "image" if image else "table", m.start(), known)
     segment(text[end:], end)
@@ -217,37 +222,53 @@ def sub_chunk_column(size: int = SUB_CHUNK, overlap: int = 0):
     return parts
 
 
-def chunk_documents(docs: DataFrame, *, size: int = SUB_CHUNK, most: int = PARENT_CHUNK, overlap: int = 0) -> DataFrame:
-    """The whole chunker: doc_id, chunk, header, text, page_numbers, sub, sub_text, chunk_type, sub_page_numbers and an element's fields.
+def chunk_documents(docs: DataFrame, items: DataFrame | None = None, *, size: int = SUB_CHUNK, most: int = PARENT_CHUNK, overlap: int = 0) -> DataFrame:
+    """The whole chunker: doc_id, chunk, header, text, page_numbers, toc_path, all_subchapters, sub, sub_text, chunk_type, sub_page_numbers, an element's fields, sub_id, related_assets, related_text.
 
     ``docs``: doc_id, markdown.  One row a sub-chunk.  A sub-chunk that repeats the parent's heading joins the next; a
-    parent without sub-chunks is its own.  Paths of image files leave the parent's text.
+    parent without sub-chunks is its own.  Paths of image files leave the parent's text.  ``items`` (doc_id, pos, type,
+    text_level, text) are the documents' content lists: their numbered headings give the paths; without them paths are
+    empty.  related_assets of a text are the sub_ids of the figures and tables beside it in the parent, related_text of
+    those the sub_ids of the texts, both as they were before headings joined.
     """
-    parents = starting_pages(parent_chunks(docs, most=most, overlap=overlap))
-    cut = parents.withColumn("__subs", sub_chunk_column(size, overlap)(F.col("text")))
-    fields = ["asset_path", "caption", "summary", "description", "body", "footnote"]
     keys = ["doc_id", "chunk"]
+    fields = ["asset_path", "caption", "summary", "description", "body", "footnote"]
+    parents = starting_pages(parent_chunks(docs, most=most, overlap=overlap))
+    # parents feed both sides of a join, sub-chunks three windows: they are cut once
+    cut = stage(parents.withColumn("__subs", sub_chunk_column(size, overlap)(F.col("text"))), "chunks")
     subs = cut.select(*keys, "h1", "h2", "start_page", F.posexplode("__subs").alias("sub", "s")).select(*keys, "h1", "h2", "start_page", "sub", "s.*")
     title = F.coalesce("h2", "h1")
     repeats = (F.col("chunk_type") == "text") & F.coalesce(strip(F.regexp_replace("content", r"#+\s*", "")) == strip(title), F.lit(False))
     order = Window.partitionBy(*keys).orderBy("sub")
-    subs = subs.withColumn("__repeats", repeats)
+    beside = [F.when((F.col("chunk_type") == "text") != (near["t"] == "text"), near["sub"]) for near in (move(F.struct("sub", F.col("chunk_type").alias("t"))).over(order) for move in (F.lag, F.lead))]
+    subs = subs.withColumn("__repeats", repeats).withColumn("sub_id", F.col("sub")).withColumn("__beside", F.array_compact(F.array(*beside)))
     # of repeating neighbours every other one joins its successor, which then repeats no more
     stop = F.coalesce(F.last(F.when(~F.col("__repeats"), F.col("sub")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1))
     moves = F.col("__repeats") & ((F.col("sub") - stop) % 2 == 1) & F.lead("sub").over(order).isNotNull()
     page = F.coalesce("page", "start_page")
     subs = subs.withColumn("__moves", moves).withColumn("__page", page).withColumn("text", F.col("content"))
-    merged = joined_to_next(subs, keys, "sub", F.col("__moves"), ["chunk_type", "__page", "content", *fields])
+    merged = joined_to_next(subs, keys, "sub", F.col("__moves"), ["chunk_type", "__page", "content", "sub_id", "__beside", *fields])
     marks = F.transform(F.regexp_extract_all("content", F.lit(PAGE), F.lit(1)), lambda x: x.cast("int"))
     merged = merged.withColumn("sub_page_numbers", F.array_sort(F.array_distinct(F.concat(F.array("__page"), marks))))
-    merged = merged.select(*keys, "sub", F.col("text").alias("sub_text"), "chunk_type", "sub_page_numbers", *fields)
+    none = F.array().cast("array<int>")
+    is_text = F.col("chunk_type") == "text"
+    related = [F.when(is_text, F.col("__beside")).otherwise(none).alias("related_assets"), F.when(~is_text, F.col("__beside")).otherwise(none).alias("related_text")]
+    merged = merged.select(*keys, "sub", F.col("text").alias("sub_text"), "chunk_type", "sub_page_numbers", *fields, "sub_id", *related)
     shown = cut.select(*keys, "header", "text", "page_numbers")
+    if items is None:
+        shown = shown.withColumn("toc_path", F.array().cast("array<string>")).withColumn("all_subchapters", F.array().cast("array<string>"))
+    else:
+        shown = shown.join(chunk_paths(shown, contents_paths(contents_parents(numbered_headings(items)))), keys)
     out = shown.join(merged, keys, "left")
     alone = F.col("sub_text").isNull()
     out = out.withColumn("sub_page_numbers", F.when(alone, F.col("page_numbers")).otherwise(F.col("sub_page_numbers")))
     out = out.withColumn("chunk_type", F.coalesce("chunk_type", F.lit("text"))).withColumn("sub_text", F.coalesce("sub_text", "text"))
-    out = out.withColumn("sub", F.coalesce("sub", F.lit(0))).withColumn("text", F.regexp_replace("text", IMAGE_PATH, "$1"))
-    return out.select(*keys, "header", "text", "page_numbers", "sub", "sub_text", "chunk_type", "sub_page_numbers", *fields)
+    for name in ("sub", "sub_id"):
+        out = out.withColumn(name, F.coalesce(name, F.lit(0)))
+    for name in ("related_assets", "related_text"):
+        out = out.withColumn(name, F.coalesce(name, none))
+    out = out.withColumn("text", F.regexp_replace("text", IMAGE_PATH, "$1"))
+    return out.select(*keys, "header", "text", "page_numbers", "toc_path", "all_subchapters", "sub", "sub_text", "chunk_type", "sub_page_numbers", *fields, "sub_id", "related_assets", "related_text")
 
 
 # Page marks

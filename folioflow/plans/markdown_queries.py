@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.html import canonical_html
 from ..operators import chunks as ch
 from ..operators import enrich as en
 from ..operators import layout_json as lj
@@ -25,7 +26,13 @@ def _elements(spark, d):
 
 @query("c18_chunker")
 def c18_chunker(spark, d):
-    return md.chunk_documents(_elements(spark, d))
+    """With contents paths: the texts' first lines, numbered, are in the content list and in the markdown."""
+    numbered = F.concat(F.lit("# 1.1 "), F.col("markdown"), F.lit("\n# 2 "), F.col("markdown"))
+    docs = _elements(spark, d).withColumn("markdown", numbered)
+    first = F.regexp_replace(F.get(F.split("text", "\n"), F.lit(0)), r"\s+$", "")
+    listed = F.array(F.lit("1 Start"), F.concat(F.lit("1.1 # "), first), F.concat(F.lit("2 # "), first))
+    items = table(spark, d, "documents").select("doc_id", F.posexplode(listed).alias("pos", "text")).select("doc_id", "pos", F.lit("text").alias("type"), F.lit(1).alias("text_level"), "text")
+    return md.chunk_documents(docs, items)
 
 
 @query("c13_isolated", """WITH m AS (SELECT doc_id, 'a ' || CASE WHEN doc_id % 2 = 0 THEN '<BILD x>' || chr(10) || 'z</BILD>' ELSE '' END || coalesce(text, '') || '<Table class="q">t</TABLE> b' AS markdown FROM documents)
@@ -167,7 +174,7 @@ def a22_document_summaries(spark, d):
 
 @query("c8_canonical_html")
 def c8_canonical_html(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.canonical_html(F.col("html")).alias("out"))
+    return table(spark, d, "pages").select("page_id", canonical_html(F.col("html")).alias("out"))
 
 
 @query("c43_visual_blocks", r"""SELECT doc_id, chr(10) || chr(10) || '<' || CASE WHEN doc_id % 2 = 0 THEN 'TABELLE' ELSE 'BILD' END || ' img_path="i.png">' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '<caption_text>cap</caption_text>' ELSE '' END || chr(10)

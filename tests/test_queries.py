@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from folioflow.functions import html
 from folioflow.functions import text as tx
 from folioflow.functions.vector import cosine, hamming
 from folioflow.operators import catalog, chunks, claims, completeness, jobs, layout
@@ -48,7 +49,7 @@ def test_text_functions(spark):
     keyword = lambda t: tx.has_keyword(t, ["Erläuterung"])
     names = ["1 erläuterung.pdf", "ERLA\u0308UTERUNG", "Erlauterung", "ErlÃ¤uterung", "Erla\u20acuterung", "Erluterung", None]
     assert column(spark, keyword, *names) == [True, True, True, False, True, False, False]
-    assert column(spark, tx.canonical_html, "<TABLE Class=x><tr><td>a&b<br>c</table>", "", None) == ['<table class="x"><tr><td>a&amp;b<br/>c</td></tr></table>', "", ""]
+    assert column(spark, html.canonical_html, "<TABLE Class=x><tr><td>a&b<br>c</table>", "", None) == ['<table class="x"><tr><td>a&amp;b<br/>c</td></tr></table>', "", ""]
     assert column(spark, tx.safe_stem, "u\u0308:\u200bx\u2028\ty") == ["ü_x\ty"]
     blocks = "<BILD><description> d </description></BILD> <BILD></BILD> <TABELLE><td>a</td> <td>b</td></TABELLE><TABELLE><caption_text>c</caption_text></TABELLE>"
     assert column(spark, tx.labelled_blocks, blocks) == ["[Bild: d] [Bild] [Tabelle: a b][Tabelle: c]"]
