@@ -1,15 +1,16 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 DataFrame functions only.  Units are the lines of a file (notices), header blocks and the file as a whole.  A
-block starts where one of the first ``OPENINGS`` telling pairs of terms of a template stands and holds as many
-terms as the template has from there on, over line breaks and comment marks.  Terms are weighted ``(1 + ln tf) * idf``,
+block starts at every telling pair of adjacent terms of a template (one without a little word) from which on the
+template could still reach the threshold, and holds as many terms as the template has from there on, over line
+breaks and comment marks.  Terms are weighted ``(1 + ln tf) * idf``,
 with document frequencies counted over the templates; terms that no template has weigh most.  ``BLOCKS`` adds
 texts, titles and tags; they leave those frequencies alone.  The best template at or above the threshold names
-a file's own license.  Files without one take that of the nearest ancestor directory (their own first) that
+a file's own license; one whose text is part of another's (``CONTAINED``) gives way to that if both match.  Files without one take that of the nearest ancestor directory (their own first) that
 holds a license file with a match; directories are joined by path.
 
-Only units that may reach the threshold are scored: lines must hold an anchor term, and the terms of a whole
-file that templates know must weigh enough against the others.  Both tests follow from the Cauchy-Schwarz
+Only units that may reach the threshold are scored: lines must hold an anchor term, and the terms of a block or a
+whole file that templates know must weigh enough against the others.  Both tests follow from the Cauchy-Schwarz
 inequality and skip no match.
 
 Cases: a null text matches nothing; a null path has no directory and inherits nothing.  Equal texts and equal
@@ -22,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,12 +53,12 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0 Universal, dedicated to the public domain."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
 
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
 _BSD = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
@@ -71,8 +73,9 @@ SPDX = ["Apache-1.1", "Apache-2.0", "MIT", "MIT-0", "GPL-1.0", "GPL-2.0", "GPL-3
 BLOCKS = [
     ("MIT", dict(TEMPLATES)["MIT"] + ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: " + _MIT_END),
     ("ISC", dict(TEMPLATES)["ISC"] + " " + _ISC_END),
-    ("BSD-3-Clause", f"{_BSD} {_BSD_3}"),
-    ("BSD-3-Clause", f"{dict(TEMPLATES)['BSD-3-Clause']}: {_BSD} {_BSD_3} {_BSD_END}"),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-2-Clause", f"{_BSD_HEAD}: {_BSD} {_BSD_END}"),
+    ("BSD-3-Clause", _BSD_3),
     ("Unlicense", dict(TEMPLATES)["Unlicense"] + " " + _UNLICENSE_END),
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
@@ -93,12 +96,12 @@ BLOCKS = [
       for v in versions for w, c in (("program", ":"), ("library", ";"))],
     *[(n, f"SPDX-License-Identifier: {n}{end}") for n in SPDX for end in (("", "-only", "-or-later") if "GPL" in n else ("",))],
 ]
+#: The first license's text is part of the second's: the third clause alone tells BSD-3 from BSD-2.
+CONTAINED = [("BSD-2-Clause", "BSD-3-Clause")]
 #: Shorter templates are those of single lines.
 BLOCK_TERMS = 5
 #: Templates with this term are tags, which stand in one line.
 TAG = "spdx"
-#: A block may start at any of so many pairs of adjacent terms, the first of its template without a little word.
-OPENINGS, KEPT = 4, 0.8
 
 
 def template_weights(
@@ -144,10 +147,11 @@ def any_term(terms: list[str]) -> str:
     return "(?i)(?<![a-z0-9])(?:" + "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in heads.items()) + ")(?![a-z0-9])"
 
 
-def openings(listed: list[tuple[str, str]], rows: list[tuple[int, str, str, float]]) -> list[tuple[str, int]]:
+def openings(listed: list[tuple[str, str]], rows: list[tuple[int, str, str, float]], threshold: float) -> list[tuple[str, int]]:
     """(pair of terms, terms of the block that starts there) of the templates that may stand over several lines.
 
-    Pairs hold no little word, as long as the block from there on keeps ``KEPT`` of the template's squared weight.
+    All pairs without a little word from which on the template keeps weight enough: what follows a later one cannot reach
+    the threshold with this template (Cauchy-Schwarz).  A template without such a pair has its first.
     """
     weights: dict[int, dict[str, float]] = {}
     for i, _, t, w in rows:
@@ -157,49 +161,53 @@ def openings(listed: list[tuple[str, str]], rows: list[tuple[int, str, str, floa
         terms = re.findall(TERM, text.lower())
         if len(terms) < BLOCK_TERMS or TAG in terms:
             continue
-        kept = [sum(weights[i][t] ** 2 for t in set(terms[j:])) >= KEPT for j in range(len(terms) - 1)]
-        starts = [j for j, ok in enumerate(kept) if ok and not LITTLE & set(terms[j : j + 2])] or [0]
-        out |= {(" ".join(terms[j : j + 2]), len(terms) - j) for j in starts[:OPENINGS]}
+        able = [j for j in range(len(terms) - 1) if sum(weights[i][t] ** 2 for t in set(terms[j:])) >= (threshold - 1e-6) ** 2]
+        starts = [j for j in able if not LITTLE & set(terms[j : j + 2])] or [0]
+        out |= {(" ".join(terms[j : j + 2]), len(terms) - j) for j in starts}
     return sorted(out)
 
 
-def header_blocks(text: Column, pairs: list[tuple[str, int]]) -> Column:
-    """The blocks of a text: its terms, over lines and comment marks, from each opening on."""
-    bare = F.regexp_replace(F.lower(text), r"(?m)^\s*(?:rem|dnl)\b", "")
-    flat = F.array_join(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)), " ")
+def header_terms(text: Column) -> Column:
+    """The terms of a text, over lines and comment marks."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"(?m)^\s*(?:rem|dnl)\b", ""), F.lit(TERM), F.lit(0))
 
-    def found(flat: Column) -> Column:
-        # a look ahead, so that blocks may overlap
-        take = lambda pair, n: F.regexp_extract_all(flat, F.lit(rf"(?<![^ ])(?=({re.escape(pair)}(?![^ ])(?: [^ ]+){{0,{n - 2}}}))"), F.lit(1))
-        none = F.array().cast("array<string>")
-        return F.flatten(F.array(none, *[F.when(flat.contains(pair), take(pair, n)).otherwise(none) for pair, n in pairs]))
 
-    return value_of(flat, found)
+def header_blocks(terms: Column, pairs: list[tuple[str, int]], able: Callable[[Column], Column]) -> Column:
+    """The blocks of a text's ``terms`` that are ``able`` to match: from each opening on, joined by spaces."""
+    lengths: dict[str, list[int]] = {}
+    for pair, n in pairs:
+        lengths.setdefault(pair, []).append(n)
+    listed = F.create_map(*[x for pair, ns in lengths.items() for x in (F.lit(pair), F.array(*map(F.lit, ns)))])
+    pair_at = lambda i: F.concat_ws(" ", F.element_at(terms, i), F.element_at(terms, i + 1))
+    starts = F.filter(F.sequence(F.lit(1), F.size(terms) - 1), lambda i: pair_at(i).isin(*lengths))
+    windows = F.flatten(F.transform(starts, lambda i: F.transform(F.element_at(listed, pair_at(i)), lambda n: F.slice(terms, i, n))))
+    blocks = F.transform(F.filter(F.array_distinct(windows), able), lambda w: F.array_join(w, " "))
+    return F.when(F.size(terms) > 1, blocks).otherwise(F.array().cast("array<string>"))
 
 
-def may_match(text: Column, idf: dict[str, float], rare: float, threshold: float) -> Column:
-    """Whether a whole text may reach the threshold: the share of its squared weight in terms that ``idf`` names."""
+def may_match(terms: Column, idf: dict[str, float], rare: float, threshold: float) -> Column:
+    """Whether a unit's ``terms`` may reach the threshold: the share of their squared weight in terms that ``idf`` names."""
     known = F.array(*[F.lit(t) for t in sorted(idf)])
     weight = F.create_map(*[x for t, w in sorted(idf.items()) for x in (F.lit(t), F.lit(w))])
-
-    def test(terms: Column) -> Column:
-        distinct = F.array_distinct(terms)
-        inner = F.array_intersect(distinct, known)
-        square = lambda t: F.pow((1 + F.log(F.size(terms) - F.size(F.array_remove(terms, t)))) * F.element_at(weight, t), F.lit(2.0))
-        mass = F.aggregate(inner, F.lit(0.0), lambda s, t: s + square(t))
-        other = (F.size(distinct) - F.size(inner)) * rare**2
-        return value_of(mass, lambda m: m >= (threshold - 1e-6) ** 2 * (m + other))
-
-    return value_of(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), test)
+    distinct = F.array_distinct(terms)
+    inner = F.array_intersect(distinct, known)
+    square = lambda t: F.pow((1 + F.log(F.size(terms) - F.size(F.array_remove(terms, t)))) * F.element_at(weight, t), F.lit(2.0))
+    mass = F.aggregate(inner, F.lit(0.0), lambda s, t: s + square(t))
+    other = (F.size(distinct) - F.size(inner)) * rare**2
+    return value_of(mass, lambda m: m >= (threshold - 1e-6) ** 2 * (m + other))
 
 
 def units_of(text: Column, templates: list[tuple[str, str]], blocks: list[tuple[str, str]], threshold: float) -> Column:
     """The units of a text that may reach the threshold; null for a text without any."""
     rows, idf, rare = template_weights(templates, blocks)
     pattern = any_term(anchors(rows, threshold))
+    weights = {t: idf.get(t, rare) for _, _, t, _ in rows}
+    able = lambda terms: may_match(terms, weights, rare, threshold)
+    none = F.array().cast("array<string>")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(pattern))
-    whole = F.when(may_match(text, {t: idf.get(t, rare) for _, _, t, _ in rows}, rare, threshold), F.array(text)).otherwise(F.array().cast("array<string>"))
-    every = F.array_distinct(F.concat(lines, header_blocks(text, openings([*templates, *blocks], rows)), whole))
+    heads = value_of(header_terms(text), lambda terms: header_blocks(terms, openings([*templates, *blocks], rows, threshold), able))
+    whole = value_of(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda terms: F.when(able(terms), F.array(text)).otherwise(none))
+    every = F.array_distinct(F.concat(lines, heads, whole))
     return F.when(text.rlike(pattern), value_of(every, lambda u: F.when(F.size(u) > 0, u)))
 
 
@@ -217,7 +225,18 @@ def score_units(units: DataFrame, templates: list[tuple[str, str]], threshold: f
     dots = tf.join(F.broadcast(weights), "term").groupBy("key", "template", "license")
     dots = dots.agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    return best(scored.where(F.col("score") >= threshold), "key")
+    return scored.where(F.col("score") >= threshold).groupBy("key", "license").agg(F.max("score").alias("score"))
+
+
+def named(scored: DataFrame, key: str) -> DataFrame:
+    """The license of each key's text: the best of those that reached the threshold and are not part of another that did."""
+    listed = scored.groupBy(key, "license").agg(F.max("score").alias("score"))
+    texts = listed.groupBy(key).agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "license")).alias("all"))
+    names = F.transform("all", lambda x: x["license"])
+    part = lambda x: F.array_contains(F.array(*[F.lit(a) for a, _ in CONTAINED]), x["license"])
+    whole = lambda x: F.exists(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in CONTAINED]), lambda c: (c["a"] == x["license"]) & F.array_contains(names, c["b"]))
+    top = texts.select(key, F.array_min(F.filter("all", lambda x: ~(part(x) & whole(x)))).alias("b"))
+    return top.select(key, F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def best(scored: DataFrame, key: str) -> DataFrame:
@@ -243,7 +262,7 @@ def scan(
     units = marked.where("units is not null").select("text_key", F.explode("units").alias("unit")).withColumn("key", F.unhex(F.md5("unit")))
     distinct = stage(units.groupBy("key").agg(F.any_value("unit").alias("unit")), "units")
     per_text = units.select("text_key", "key").distinct().join(score_units(distinct, templates, threshold, blocks), "key")
-    own = bounded(stage(best(per_text.select("text_key", "license", "score"), "text_key"), "own"))
+    own = bounded(stage(named(per_text, "text_key"), "own"))
     columns = ["doc_id", "path", "dir", "name", "license", "score"]
     told = marked.where("units is not null").join(own, "text_key", "left").select(*columns)
     none = marked.where("units is null").withColumn("license", F.lit(None).cast("string")).withColumn("score", F.lit(None).cast("double"))
@@ -287,25 +306,32 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs.select("doc_id", document_path(F.col("doc_id"), F.col("source")).alias("path"), "text"))
 
 
-def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same scan of ``documents`` in DuckDB's SQL, scoring every unit of every text without anchors."""
-    quoted = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(templates))
+def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, blocks: list[tuple[str, str]] = BLOCKS, threshold: float = THRESHOLD) -> str:
+    """The same scan of ``documents`` in DuckDB's SQL, scoring every line, block and text, without anchors or bounds."""
+    listed = [*templates, *blocks]
+    quoted = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(listed))
+    opened = ", ".join(f"('{pair}', {k})" for pair, k in openings(listed, template_weights(templates, blocks)[0], threshold))
+    parts = ", ".join(f"('{a}', '{b}')" for a, b in CONTAINED)
     n = len(templates)
     return rf"""
-WITH tpl(template, license, body) AS (VALUES {quoted}),
+WITH tpl(template, license, body) AS (VALUES {quoted}), op(pair, k) AS (VALUES {opened}), part(a, b) AS (VALUES {parts}),
 tt AS (SELECT template, license, term, 1 + ln(count(*)) AS tf FROM
   (SELECT template, license, unnest(regexp_extract_all(lower(body), '{TERM}')) AS term FROM tpl) GROUP BY ALL),
-idf AS (SELECT term, ln({n + 1}.0 / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
+idf AS (SELECT term, ln({n + 1}.0 / (1 + count(*) FILTER (template < {n}))) + 1 AS idf FROM tt GROUP BY term),
 tn AS (SELECT template, sqrt(sum((tf * idf) ** 2)) AS norm FROM tt JOIN idf USING (term) GROUP BY template),
 tw AS (SELECT template, license, term, idf, tf * idf / norm AS weight FROM tt JOIN idf USING (term) JOIN tn USING (template)),
 d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, 'none'), (doc_id // 1000)::VARCHAR, CASE WHEN doc_id % 20 <> 0 THEN (doc_id // 100)::VARCHAR END) AS dir,
   CASE WHEN doc_id % 10 = 0 THEN 'LICENSE-' ELSE 'text-' END || doc_id AS name FROM documents),
-du AS (SELECT DISTINCT doc_id, unit FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM d UNION ALL SELECT doc_id, text FROM d)),
+dt AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '(?m)^\s*(?:rem|dnl)\b', '', 'g'), '{TERM}') AS terms FROM d),
+dp AS (SELECT doc_id, terms, unnest(range(1, len(terms))) AS i FROM dt),
+hb AS (SELECT doc_id, array_to_string(terms[i:i + k - 1], ' ') AS unit FROM dp JOIN op ON op.pair = terms[i] || ' ' || terms[i + 1]),
+du AS (SELECT DISTINCT doc_id, unit FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM d UNION ALL SELECT doc_id, text FROM d UNION ALL SELECT doc_id, unit FROM hb)),
 u AS (SELECT DISTINCT unit FROM du),
 ut AS (SELECT unit, term, 1 + ln(count(*)) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM u) GROUP BY ALL),
 un AS (SELECT unit, sqrt(sum((tf * coalesce(idf, ln({n + 1}.0) + 1)) ** 2)) AS norm FROM ut LEFT JOIN idf USING (term) GROUP BY unit),
 s AS (SELECT unit, license, round(sum(tf * idf * weight) / any_value(norm), 6) AS score FROM ut JOIN tw USING (term) JOIN un USING (unit) GROUP BY unit, template, license),
-own AS (SELECT doc_id, license, score FROM du JOIN s USING (unit) WHERE score >= {threshold}
+al AS (SELECT doc_id, license, max(score) AS score FROM du JOIN s USING (unit) WHERE score >= {threshold} GROUP BY ALL),
+own AS (SELECT doc_id, license, score FROM al x WHERE NOT EXISTS (SELECT 1 FROM part JOIN al y ON y.license = part.b WHERE part.a = x.license AND y.doc_id = x.doc_id)
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
 t AS (SELECT d.doc_id, dir, name, license, score FROM d LEFT JOIN own USING (doc_id)),
 h AS (SELECT dir AS origin, license AS l, score AS sc FROM t WHERE license IS NOT NULL AND starts_with(name, 'LICENSE-')
