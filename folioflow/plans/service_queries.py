@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import services as sv
 from ..sources import archives as ar
+from ..sources import documents as dc
 from ..sources import tables as tb
 from ..sources.tables import table
 from . import fixtures as fx
@@ -343,3 +344,24 @@ def s4_chunks_up_to_page(spark, d):
 @query("s5_sub_chunks_up_to_page", f"WITH {fx.CHUNKS} SELECT document_id::VARCHAR AS document_name, chunk_id FROM chunks WHERE seq <= 2 AND document_id % 7 > 0")
 def s5_sub_chunks_up_to_page(spark, d):
     return tb.sub_chunks_up_to_page(_processed(spark, d), 3).select("document_name", F.col("sub_chunk.chunk_id").alias("chunk_id"))
+
+
+def _folder_of_documents(spark, d):
+    """The readable ones of those documents, each a file of its own."""
+    folder = new_path(spark, "documents")
+    dc.write_each(_processed(spark, d).where("chunks is not null"), folder)
+    return folder
+
+
+@query("s2_paged_scan", f"WITH {fx.CHUNKS} SELECT document_id::VARCHAR AS document_name, chunk_id, seq::INT AS first_page FROM chunks WHERE document_id % 7 > 0")
+def s2_paged_scan(spark, d):
+    """All files of the folder, fifty to a task, chunk by chunk."""
+    return dc.read_chunks(spark, _folder_of_documents(spark, d), page_size=50).select("document_name", "chunk_id", "first_page")
+
+
+@query("s3_pushed_pages", f"WITH {fx.CHUNKS}, k AS (SELECT DISTINCT document_id FROM chunks WHERE document_id BETWEEN 0 AND 20) SELECT document_id::VARCHAR AS document_name, chunk_id, NULL::VARCHAR AS error FROM chunks WHERE seq <= 1 AND document_id % 7 > 0 AND document_id IN (SELECT * FROM k) UNION ALL SELECT document_id::VARCHAR, NULL, 'not found' FROM k WHERE document_id % 7 = 0 UNION ALL SELECT 'none', NULL, 'not found'")
+def s3_pushed_pages(spark, d):
+    """Named documents up to a page: both filters reach the reader; documents that are not there are rows with an error."""
+    known = [r[0] for r in table(spark, d, "conversations").where("conv_id between 0 and 20").select(F.col("conv_id").cast("string")).distinct().collect()]
+    chunks = dc.read_chunks(spark, _folder_of_documents(spark, d))
+    return chunks.where(F.col("document_name").isin(*known, "none") & (F.col("first_page") <= 1)).select("document_name", "chunk_id", "error")

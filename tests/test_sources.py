@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from folioflow.sources import archives
+from folioflow.sources import archives, documents
 
 
 @pytest.fixture
@@ -78,3 +78,35 @@ def test_digests_of_files(spark, tmp_path):
     paths = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in "fe-"], "path string")
     found = {name(r): (r["sha256"], r["size"], r["error"] is None) for r in archives.file_digests(paths).collect()}
     assert found == {"f": (hashlib.sha256(b"x" * 3_000_000).hexdigest(), 3_000_000, True), "e": (hashlib.sha256(b"").hexdigest(), 0, True), "-": (None, None, False)}
+
+
+def test_filters_reach_the_reader(spark, tmp_path):
+    import json
+
+    for d in range(30):
+        chunks = [{"chunk_id": f"{d}-{i}", "page_content": "é" * i, "page_numbers": [i, i + 2], "sub_chunks": [{"chunk_id": "s", "page_content": "t", "page_numbers": None}]} for i in range(5)]
+        (tmp_path / f"d{d}.json").write_text(json.dumps({"chunks": [*chunks, {"chunk_id": "bare"}]}))
+    (tmp_path / "broken.json").write_text("{")
+    (tmp_path / "d99.json.part").write_text("{}")
+    rows = documents.read_chunks(spark, f"file://{tmp_path}", page_size=7)
+    assert rows.rdd.getNumPartitions() == 5 and rows.count() == 30 * 6 + 1
+    one = rows.where("document_name = 'd3' and first_page <= 2 and page_content <> 'x'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    # what the reader holds is no filter of Spark's any more
+    left = next(x for x in plan.split("\n") if "Filter" in x)
+    assert "page_content" in left and "first_page" not in left and "document_name" not in left
+    assert sorted(r["seq"] for r in one.collect()) == [0, 1, 2]
+    assert one.rdd.getNumPartitions() == 1
+    told = rows.where("document_name in ('d1', 'nowhere', 'broken') and first_page < 1").collect()
+    assert sorted((r["document_name"], r["seq"] if r["seq"] is not None else -1, r["error"] is not None) for r in told) == [("broken", -1, True), ("d1", 0, False), ("nowhere", -1, True)]
+    assert {r["error"] for r in told if r["document_name"] == "nowhere"} == {"not found"}
+    assert documents.read_chunks(spark, f"file://{tmp_path}", names=["d2", "gone"]).count() == 7
+    assert documents.read_chunks(spark, f"file://{tmp_path}/nothing").count() == 0
+
+
+def test_documents_round_trip(spark, tmp_path):
+    chunk = ("c", "text", [2, 3], [("s", "x", [2])])
+    docs = spark.createDataFrame([("a", [chunk]), ("b", [])], "document_name string, chunks array<struct<chunk_id:string,page_content:string,page_numbers:array<int>,sub_chunks:array<struct<chunk_id:string,page_content:string,page_numbers:array<int>>>>>")
+    documents.write_each(docs, f"file://{tmp_path}/out")
+    found = documents.read_chunks(spark, f"file://{tmp_path}/out").collect()
+    assert [(r["document_name"], r["seq"], r["first_page"], r["sub_chunks"][0]["page_numbers"]) for r in found] == [("a", 0, 2, [2])]
