@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
+
 
 def list_projects(projects: DataFrame, types: DataFrame, statuses: DataFrame, applicants: DataFrame, name: str | None = None) -> DataFrame:
     """Projects with their type and status (both must exist) and applicant (may be missing)."""
@@ -50,35 +53,79 @@ def document_extractions(documents: DataFrame, extractions: DataFrame) -> DataFr
     return documents.withColumn("path", F.concat(stem, F.lit("/"), base, F.lit("_processed.json"))).join(last, "path")
 
 
+#: Values that a confidence can have once it is rounded: hundredths from 0 to 1.
+HUNDREDTHS = 101
+
+
+def steps_table(factors: Iterable[float]) -> list[int]:
+    """What a run of factors makes of each hundredth, rounded after every step as Python rounds.
+
+    Steps keep the order of values, so equal results stay equal and are carried once: long runs soon carry one.
+    """
+    values, at = [k / 100 for k in range(HUNDREDTHS)], list(range(HUNDREDTHS))
+    for x in factors:
+        made = [round(v * x, 2) for v in values]
+        if len(set(made)) < len(made):
+            places = {v: n for n, v in enumerate(dict.fromkeys(made))}
+            at = [places[made[n]] for n in at]
+            made = list(places)
+        values = made
+    return [round(values[n] * 100) for n in at]
+
+
 def type_confidence(matches: DataFrame) -> DataFrame:
     """type_id, confidence: products in result order, rounded to two places after every step, as Python rounds.
 
-    The fold has no shorter way, so a type's matches pass through one task, sorted, a batch at a time.
+    After the first step a value is one of 101 hundredths, so a run of steps is a table of 101 results, and tables of
+    neighbouring runs make one table.  Matches are range partitioned by type and order; a partition makes one table for
+    each of its types, and a type's tables, at most one for each partition, are applied in their order.  So a type of any
+    size is many tasks.  Types with a factor outside 0 to 1 have no such table: their matches pass through one task
+    each, in order, a batch at a time.
     """
-    rows = matches.where(F.col("confidence").isNotNull()).select("type_id", F.col("confidence").cast("double").alias("confidence"), "ord")
-    rows = rows.repartition("type_id").sortWithinPartitions("type_id", "ord", "confidence")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, last, value = None, None, None
-
-        def done(found: list[tuple]) -> pa.RecordBatch:
-            ids, values = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(values, pa.float64())], names=["type_id", "confidence"])
-
-        for batch in batches:
-            kind, found = batch.column(0).type, []
-            for type_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if value is None or type_id != last:
-                    if value is not None:
-                        found.append((last, value))
-                    last, value = type_id, round(x, 2)
-                else:
-                    value = round(value * x, 2)
-            yield done(found)
-        if value is not None:
-            yield done([(last, value)])
-
-    return rows.mapInArrow(run, f"type_id {matches.schema['type_id'].dataType.simpleString()}, confidence double")
+    value = F.col("confidence").cast("double")
+    rows = matches.where(F.col("confidence").isNotNull()).select("type_id", value.alias("confidence"), "ord")
+    kind = matches.schema["type_id"].dataType.simpleString()
+    outside = rows.where(~F.col("confidence").between(0.0, 1.0) | F.isnan("confidence")).select("type_id").distinct()
+    outside = stage(outside, "outside")
+    on = F.col("type_id").eqNullSafe(F.col("__t"))
+    wild = outside.withColumnRenamed("type_id", "__t")
+    keys = ["type_id", "ord", "confidence"]
+    ranged = rows.join(wild, on, "left_anti").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    tables = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_tables, f"type_id {kind}, part int, results array<smallint>")
+    listed = tables.groupBy("type_id").agg(F.array_sort(F.collect_list(F.struct("part", "results"))).alias("runs"))
+    last = F.aggregate("runs", F.lit(HUNDREDTHS - 1).cast("smallint"), lambda k, r: F.element_at(r["results"], k + 1))
+    exact = listed.select("type_id", (last / F.lit(100.0)).alias("confidence"))
+    single = rows.join(wild, on, "left_semi").repartition("type_id").sortWithinPartitions(*keys)
+    return exact.unionByName(single.mapInArrow(_folded, f"type_id {kind}, confidence double"))
+
+
+def _type_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[float]]]:
+    """Types of a sorted partition with their factors in order."""
+    columns = (zip(b.column("type_id").to_pylist(), b.column("confidence").to_pylist(), strict=True) for b in batches)
+    for type_id, rows in groupby(chain.from_iterable(columns), key=lambda r: r[0]):
+        yield type_id, (x for _, x in rows)
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = next(batches, None)
+    if first is None or not first.num_rows and (first := next((b for b in batches if b.num_rows), None)) is None:
+        return
+    kind, part = first.schema.field("type_id").type, first.column("part")[0].as_py()
+    for type_id, factors in _type_runs(chain([first], batches)):
+        columns = [pa.array([type_id], kind), pa.array([part], pa.int32()), pa.array([steps_table(factors)], pa.list_(pa.int16()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["type_id", "part", "results"])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = next(batches, None)
+    if first is None:
+        return
+    kind = first.schema.field("type_id").type
+    for type_id, factors in _type_runs(chain([first], batches)):
+        value = 1.0
+        for x in factors:
+            value = round(value * x, 2)
+        yield pa.RecordBatch.from_arrays([pa.array([type_id], kind), pa.array([value], pa.float64())], names=["type_id", "confidence"])
 
 
 def counters(types: DataFrame, documents: DataFrame) -> DataFrame:

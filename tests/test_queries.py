@@ -1,5 +1,6 @@
 """Every query with a SQL twin gives DuckDB's rows; the others are held against plain Python."""
 
+import random
 import re
 from difflib import SequenceMatcher
 
@@ -91,6 +92,27 @@ def test_confidence_rounds_as_python(spark):
     assert found == {1: round(round(round(0.285, 2) * 0.91, 2) * 0.55, 2), 2: 2.67}
 
 
+def test_confidence_of_a_hot_type_is_many_tables(spark):
+    """Tables of runs give the fold's result bit by bit; types with factors outside 0 to 1 are folded in one task."""
+    rng = random.Random(3)
+    rows = [(0, i, rng.uniform(0.99, 1.0)) for i in range(4000)] + [(None, i, rng.random()) for i in range(3)]
+    rows += [(t, i, rng.choice([rng.random(), 1.0, 0.995, 0.5, 0.0 if rng.random() < 0.02 else 0.97])) for t in range(1, 60) for i in range(rng.randint(1, 12))]
+    rows += [(t, i, rng.uniform(-2, 3)) for t in range(60, 70) for i in range(9)] + [(70, 0, float("inf")), (71, 0, None)]
+    df = spark.createDataFrame(rows, "type_id int, ord int, confidence double").repartition(5)
+    expected = {}
+    for t, _, x in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        expected[t] = round(expected[t] * x, 2) if t in expected else round(x, 2)
+    found = {r["type_id"]: r["confidence"] for r in completeness.type_confidence(df).collect()}
+    assert found == expected and len(found) == 72
+    factors = [rng.random() ** 0.1 for _ in range(30)]
+    table = completeness.steps_table(factors)
+    for k in range(101):
+        v = k / 100
+        for x in factors:
+            v = round(v * x, 2)
+        assert table[k] / 100 == v
+
+
 def test_patch_tells_absent_from_null(spark):
     t = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, "c", 7)], "id int, name string, n int")
     c = spark.createDataFrame([(1, {"name": None}), (2, {"n": "9"})], "id int, fields map<string,string>")
