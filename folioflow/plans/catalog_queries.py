@@ -8,6 +8,7 @@ from ..operators import catalog as ca
 from ..operators import completeness as co
 from ..operators import jobs as jo
 from ..sources.tables import replace_partition, table
+from ..streaming import jobs as sj
 from . import fixtures as fx
 from .registry import query
 
@@ -318,3 +319,22 @@ def s16_split_plan(spark, d):
 @query("s27_log_records", """SELECT event_id, '{' || array_to_string(list_filter(['"event_type":' || to_json(event_type)::VARCHAR, '"user_id":' || to_json(user_id)::VARCHAR, '"props":' || to_json(props)::VARCHAR], lambda x: x IS NOT NULL), ',') || '}' AS record FROM events""")
 def s27_log_records(spark, d):
     return table(spark, d, "events").select("event_id", jo.log_record(["event_type", "user_id", "props"]).alias("record"))
+
+
+def _events_stream(spark, d):
+    return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query("r4_approvals_stream", """WITH j AS (SELECT user_id AS workflow_id, min(ts) AS started FROM events GROUP BY user_id), s AS (SELECT user_id AS workflow_id, ts, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' END AS signal FROM events WHERE event_type IN ('purchase', 'error')),
+  f AS (SELECT workflow_id, arg_min(signal, struct_pack(t := ts, s := signal)) AS signal FROM s JOIN j USING (workflow_id) WHERE ts <= started + INTERVAL 1 DAY GROUP BY workflow_id)
+  SELECT workflow_id, CASE WHEN signal = 'approve' THEN 'APPROVED' WHEN signal = 'reject' THEN 'REJECTED' WHEN started + INTERVAL 1 DAY < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR THEN 'REJECTED' ELSE 'PENDING' END AS state FROM j LEFT JOIN f USING (workflow_id)""")
+def r4_approvals_stream(spark, d):
+    """The events as a stream, timed out by the watermark; at its end the batch result as of that time."""
+    signal = F.when(F.col("event_type") == "purchase", "approve").when(F.col("event_type") == "error", "reject")
+    events = _events_stream(spark, d).select(F.col("user_id").alias("workflow_id"), "ts", signal.alias("signal"))
+    return sj.latest(sj.approvals_stream(events, days=1), ["workflow_id"])
+
+
+@query("r2_overrides_stream", f"WITH {_FOLD}, own AS (SELECT workflow_id AS ref, status AS s FROM fold WHERE ref = '0') SELECT f.workflow_id, f.ref, coalesce(s, f.status) AS status FROM fold f LEFT JOIN own o ON f.ref = o.ref")
+def r2_overrides_stream(spark, d):
+    return sj.latest(sj.child_overrides_stream(fx.job_events(_events_stream(spark, d)), "0"), ["workflow_id", "ref"])
