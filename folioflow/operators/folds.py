@@ -101,30 +101,6 @@ def oversized_parts(most: int):
     return pieces
 
 
-def leaders(hashes: list[int], most: int) -> list[int]:
-    """Index of the leader that each 64-bit hash joins: the first within ``most`` bits, else itself."""
-    found: list[int] = []
-    out = []
-    for i, h in enumerate(hashes):
-        own = next((j for j in found if ((h ^ hashes[j]) & (2**64 - 1)).bit_count() <= most), i)
-        if own == i:
-            found.append(i)
-        out.append(own)
-    return out
-
-
-def image_leaders(images: DataFrame, most: int = 8) -> DataFrame:
-    """doc_id, item, leader: images of a document joined, in scan order, to the first leader that is near enough."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("item")
-        own = leaders([int(h) for h in group["phash"]], most)
-        return pd.DataFrame({"doc_id": group["doc_id"], "item": group["item"], "leader": group["item"].to_numpy()[own]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in images.schema}
-    return images.select("doc_id", "item", "phash").groupBy("doc_id").applyInPandas(run, f"doc_id {kinds['doc_id']}, item {kinds['item']}, leader {kinds['item']}")
-
-
 def ordered_matches(before: list[tuple], after: list[tuple], window: int = 10) -> list[int]:
     """For each (toc_path, pages) of ``after`` the index of the best of the next ``window`` of ``before``; -1 if that is empty.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import digit_free, strip
+from ..plans.staging import stage
 
 #: Labels of furniture and the zones of a page, as shares of its height.
 FURNITURE = ["page_header", "page_footer", "page-header", "page-footer"]
@@ -83,3 +84,34 @@ def near_image_pairs(images: DataFrame, most: int = 8, bands: int = 9) -> DataFr
     other = cut.select("doc_id", F.col("item").alias("other"), F.col("phash").alias("o"), "band", "value")
     pairs = cut.join(other, ["doc_id", "band", "value"]).where(F.col("item") < F.col("other"))
     return pairs.where(F.bit_count(F.col("phash").bitwiseXOR(F.col("o"))) <= most).select("doc_id", "item", "other").distinct()
+
+
+def image_leaders(images: DataFrame, most: int = 8) -> DataFrame:
+    """doc_id, item, leader: images of a document joined, in the order of ``item``, to the first leader that is near enough.
+
+    An image leads if no earlier leader is within ``most`` bits.  Equal hashes share their first one's leader, so each
+    distinct hash counts once.  Rounds decide all images at once: those without an undecided earlier near one lead, those
+    near to them follow; a round is joins over the near pairs, so a document of any size is many tasks.  Rounds grow with
+    the longest chain of near images, not with their number.  An image without a hash or a document leads itself alone.
+    """
+    known = images.where(F.col("phash").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "item", F.col("phash").cast("long").alias("phash"))
+    firsts = stage(known.groupBy("doc_id", "phash").agg(F.min("item").alias("item")), "hashes")
+    edges = stage(near_image_pairs(firsts, most, most + 1).select("doc_id", F.col("item").alias("early"), F.col("other").alias("late")), "near")
+    live = edges
+    open_ = stage(edges.select("doc_id", F.col("late").alias("item")).distinct(), "open")
+    leads = stage(firsts.select("doc_id", "item").join(open_, ["doc_id", "item"], "left_anti"), "leads")
+    found = leads
+    while not open_.isEmpty():
+        follow = live.join(leads.withColumnRenamed("item", "early"), ["doc_id", "early"], "left_semi").select("doc_id", F.col("late").alias("item")).distinct()
+        open_ = stage(open_.join(follow, ["doc_id", "item"], "left_anti"), "open")
+        # an edge counts while both its ends are open
+        live = live.join(open_.withColumnRenamed("item", "early"), ["doc_id", "early"], "left_semi")
+        live = stage(live.join(open_.withColumnRenamed("item", "late"), ["doc_id", "late"], "left_semi").select("doc_id", "early", "late"), "near")
+        leads = stage(open_.join(live.select("doc_id", F.col("late").alias("item")).distinct(), ["doc_id", "item"], "left_anti"), "leads")
+        open_ = stage(open_.join(leads, ["doc_id", "item"], "left_anti"), "open")
+        found = found.unionByName(leads)
+    joined = edges.join(found.withColumnRenamed("item", "early"), ["doc_id", "early"], "left_semi").groupBy("doc_id", "late").agg(F.min("early").alias("__first"))
+    # a leader has no leader before it, so only followers have a first one
+    led = firsts.join(joined.withColumnRenamed("late", "item"), ["doc_id", "item"], "left").select("doc_id", "phash", F.coalesce("__first", "item").alias("leader"))
+    told = known.join(led, ["doc_id", "phash"]).select("doc_id", "item", "leader")
+    return told.unionByName(images.where("phash is null or doc_id is null").select("doc_id", "item", F.col("item").alias("leader")))

@@ -10,6 +10,7 @@ from ..functions.vector import bit_signature
 from ..operators import chunks as ch
 from ..operators import enrich as en
 from ..operators import folds
+from ..operators import layout as la
 from ..sources.tables import table
 from . import fixtures as fx
 from .registry import query
@@ -134,7 +135,7 @@ def a2_image_leaders(spark, d):
     hashes = table(spark, d, "embeddings").select(F.col("label").alias("doc_id"), k, bit_signature(F.col("embedding")).alias("h"))
     copy = F.struct((k * 2 + 1).alias("item"), F.col("h").bitwiseXOR(F.expr("shiftleft(1L, int(vec_id % 13)) - 1")).alias("phash"))
     images = hashes.select("doc_id", F.explode(F.array(F.struct((k * 2).alias("item"), F.col("h").alias("phash")), copy)).alias("i"))
-    return folds.image_leaders(images.select("doc_id", "i.item", "i.phash"))
+    return la.image_leaders(images.select("doc_id", "i.item", "i.phash"))
 
 
 @query("j15_match_enrichment")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions import models
-from folioflow.operators import enrich, folds
+from folioflow.operators import enrich, folds, layout
 
 
 @settings(max_examples=300, deadline=None)
@@ -47,8 +47,31 @@ def test_oversized_parts_end_with_the_separator():
     assert folds.split_oversized("aaa\nbbb ccc", 6) == ["aaa\n", "bbb cc", "c"] and folds.split_oversized("a\n\nbbbbbbbb", 8) == ["a\n\nbbbbb", "bbb"]
 
 
-def test_leaders_join_the_first_near_one():
-    assert folds.leaders([0, 1, 3, 0b1111, -1, -2], 1) == [0, 0, 2, 3, 4, 4]
+def plain_leaders(hashes, most):
+    found, out = [], []
+    for i, h in enumerate(hashes):
+        own = next((j for j in found if ((h ^ hashes[j]) & (2**64 - 1)).bit_count() <= most), i)
+        if own == i:
+            found.append(i)
+        out.append(own)
+    return out
+
+
+def test_leaders_join_the_first_near_one(spark):
+    """Rounds over all images give what one scan gives: chains, many equal hashes, random near ones, several documents."""
+    import random
+
+    rng = random.Random(1)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    chain = [signed((1 << i) - 1) for i in range(40)]
+    base = [rng.getrandbits(64) for _ in range(12)]
+    near = [signed(rng.choice(base) ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 7))) % 2**64) for _ in range(250)]
+    lists = {1: [0, 1, 3, 0b1111, -1, -2], 2: chain, 3: chain[::-1], 4: near, 5: [0] * 60 + [1] * 60 + [7] * 5, 6: []}
+    images = spark.createDataFrame([(d, i, h) for d, hs in lists.items() for i, h in enumerate(hs)] + [(7, 0, None), (7, 1, None), (None, 3, 5)], "doc_id int, item int, phash long")
+    for most in (1, 8):
+        found = {(r["doc_id"], r["item"]): r["leader"] for r in layout.image_leaders(images.repartition(5), most).collect()}
+        expected = {(d, i): own for d, hs in lists.items() for i, own in enumerate(plain_leaders(hs, most))} | {(7, 0): 0, (7, 1): 1, (None, 3): 3}
+        assert found == expected
 
 
 def test_ordered_matches_never_move_back():
@@ -64,7 +87,7 @@ def test_match_and_leaders_as_tables(spark):
     found = {r["seq"]: r["matched_seq"] for r in folds.match_enrichment(c, c.where("seq > 1")).collect()}
     assert found == {2: 2, 3: 3, 4: 4}
     images = spark.createDataFrame([(1, 0, 0), (1, 1, 255), (1, 2, 1)], "doc_id int, item int, phash long")
-    assert {r["item"]: r["leader"] for r in folds.image_leaders(images).collect()} == {0: 0, 1: 0, 2: 0}
+    assert {r["item"]: r["leader"] for r in layout.image_leaders(images).collect()} == {0: 0, 1: 0, 2: 0}
 
 
 def test_batches_fall_back_one_by_one():
