@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
-_to_delete: list[tuple[SparkSession, str]] = []
+_to_delete: list[tuple[SparkSession, str, int]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; deleted when the driver's process ends."""
     path = f"{shared_dir(spark)}/folioflow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _to_delete.append((spark, path))
+    _to_delete.append((spark, path, threading.get_ident()))
     return path
 
 
@@ -44,7 +45,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _to_delete:
+    for spark, path, _ in _to_delete:
         try:
             if spark.sparkContext._jsc is None:
                 return
@@ -54,8 +55,8 @@ def _clean() -> None:
 
 
 def made() -> list[str]:
-    """Paths handed out so far, in order."""
-    return [path for _, path in _to_delete]
+    """Paths handed out so far to this thread, in order."""
+    return [path for _, path, thread in _to_delete if thread == threading.get_ident()]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
