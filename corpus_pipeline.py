@@ -7,6 +7,7 @@ Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
 from __future__ import annotations
 
 import functools
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from folioflow.llm.queries import WORD_TOKENIZER, repository, tokenizer_path
 from folioflow.plans import staging
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
+#: What the last stage of each thread staged for itself: pipelines in several threads leave each other's tables alone.
+_left = threading.local()
 
 
 def _frees(function: Stage) -> Stage:
@@ -29,14 +31,14 @@ def _frees(function: Stage) -> Stage:
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _left:
+        left = getattr(_left, "paths", [])
+        if left:
             read = docs.inputFiles()
-            for path in [p for p in _left if not any(p.split(":", 1)[-1].lstrip("/") in f for f in read)]:
+            for path in [p for p in left if not any(p.split(":", 1)[-1].lstrip("/") in f for f in read)]:
                 staging.delete(spark, path)
-        _left.clear()
         before = len(staging.made())
         out = function(spark, docs, sf_dir)
-        _left.extend(staging.made()[before:])
+        _left.paths = staging.made()[before:]
         return out
 
     return run

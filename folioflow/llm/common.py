@@ -135,9 +135,17 @@ def value_of(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def bounded(small: DataFrame, most_rows: int = 250_000) -> DataFrame:
-    """``small`` (keys and ids) with a broadcast hint if it has at most ``most_rows`` rows; else it is shuffled."""
-    return F.broadcast(small) if small.count() <= most_rows else small.hint("merge")
+def bounded(small: DataFrame, most_rows: int = 250_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """A staged table (keys and ids) with a broadcast hint if it has at most ``most_rows`` rows in files of ``most_bytes``; else it is shuffled.
+
+    What is not staged yet is staged first, so that it is not computed once for the count and again for the join.
+    """
+    if not getattr(small, "_staged_at", None):
+        small = stage(small, "bounded")
+    path = small.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(small._staged_at)
+    system = path.getFileSystem(small.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    fits = system.getContentSummary(path).getLength() <= most_bytes and small.count() <= most_rows
+    return F.broadcast(small) if fits else small.hint("merge")
 
 
 def lowest(rows: DataFrame, mark: Column, n: int) -> DataFrame:

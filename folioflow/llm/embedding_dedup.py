@@ -27,10 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, lowest, map_arrow, runs, stage
+from .common import bounded, connected_components, lowest, map_arrow, runs, stage
 from .ngram_join import class_node, local_roots, spanning
 
 
+#: Equal vectors from which on their rows meet their verdict by broadcast.
+FREQUENT = 1000
+
+
 def multi_sequence(first: np.ndarray, second: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
     """Index pairs of two ascending lists in ascending order of their sums, up to ``limit``."""
     heap = [(float(first[0] + second[0]), 0, 0)]
@@ -200,6 +204,7 @@ def near_duplicates(
     threshold: float = 0.98,
     target_recall: float = 0.9995,
     sample_rows: int = 16_384,
+    sample_bytes: int = 128 << 20,
     cell_rows: int = 256,
     most_centres: int = 256,
     block: int = 1024,
@@ -207,7 +212,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, label, embedding): vec_id, n_links, component_id, kept.
 
-    Codebooks are fit on at most ``sample_rows`` classes (lowest hashes), for each length of vector in it;
+    Codebooks are fit on at most ``sample_rows`` classes (lowest hashes), fewer where the longest vectors would take more
+    than ``sample_bytes`` (64 at least), for each length of vector in it;
     lengths that the sample lacks are so rare that one cell holds them.  Every vector is indexed.  A cell of
     a label holds about ``cell_rows`` vectors until a half has ``most_centres`` centres; fuller cells are cut
     into blocks of about ``block`` rows, each pair of which is a group of its own.
@@ -226,13 +232,16 @@ def near_duplicates(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
     )
     mark = F.xxhash64("key", F.lit(seed))
-    sample = [r[0] for r in lowest(classes, mark, sample_rows).orderBy(mark, "key").limit(sample_rows).select("vector").collect()]
-    if not sample:
+    longest = classes.agg(F.max(F.size("vector"))).first()[0]
+    if longest is None:
         return none
+    rows = max(64, min(sample_rows, sample_bytes // (8 * longest)))
+    sample = lowest(classes, mark, rows).orderBy(mark, "key").limit(rows).select("vector").toArrow().column("vector").combine_chunks()
     fullest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     grids = {}
-    for length in sorted({len(v) for v in sample}):
-        m = matrix(pa.array([[float(c) for c in v] for v in sample if len(v) == length], pa.list_(pa.float64())))
+    lengths = pc.list_value_length(sample)
+    for length in sorted(pc.unique(lengths).to_pylist()):
+        m = matrix(sample.filter(pc.equal(lengths, length)))
         centres = int(min(most_centres, max(1, math.ceil(math.sqrt(fullest * len(m) / len(sample) / cell_rows)))))
         grids[length] = fit_grid(m / np.linalg.norm(m, axis=1)[:, None], centres, threshold, target_recall, seed)
 
@@ -255,6 +264,13 @@ def near_duplicates(
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     joined = classes.select("key", "least", "copies").join(counts, "key", "left").join(components, "key", "left")
     component = F.when(F.col("linked"), F.col("root_least")).otherwise(F.col("least")).alias("component_id")
-    verdicts = joined.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), component)
-    out = good.select("vec_id", "key").join(verdicts, "key").select("vec_id", "n_links", "component_id")
+    verdicts = joined.select("key", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), component)
+    # rows of a key with many copies meet its verdict by broadcast; the others are shuffled, none of them a hot key
+    verdicts = stage(verdicts.withColumnRenamed("copies", "__copies"), "verdicts")
+    frequent = verdicts.where(F.col("__copies") >= FREQUENT).select("key", "n_links", "component_id")
+    frequent = bounded(stage(frequent, "frequent"))
+    ids = stage(good.select("vec_id", "key"), "ids")
+    hot = ids.join(frequent, "key")
+    cold = ids.join(frequent.select("key"), "key", "left_anti").join(verdicts.drop("__copies"), "key")
+    out = hot.unionByName(cold).select("vec_id", "n_links", "component_id")
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).unionByName(none)

@@ -14,7 +14,8 @@ or shape of more than ``LONG`` bytes is known by its hash.
 Nothing but ``text`` enters a score.  Cases: null and empty texts have the single feature "empty" and get the
 share of good labels among texts like them, or the overall share.  A null label is no label; labels that
 contradict each other are averaged.  Without labels every score is 0.5.  Rows with a null ``doc_id`` are
-scored, never learned from.  Extra columns are not read.
+scored, never learned from.  Of labelled texts at one cosine, where not all can vote, those of the lowest
+``doc_id`` do.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_utf8, map_arrow, stage
+from .common import crc32_utf8, lowest, map_arrow, stage
 
 #: Longer words and shapes are kept as 128-bit hashes, so that memory does not grow with their length.
 LONG = 64
@@ -139,6 +140,10 @@ class LatentVotes:
                 cosines[np.arange(len(block)), at + np.arange(len(block))] = -2
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
             value = np.take_along_axis(cosines, near, 1)
+            # where more cosines than fit are equal to the last, the labelled rows of the lowest doc_id vote
+            tied = np.flatnonzero((cosines >= value.min(1)[:, None]).sum(1) > k)
+            near[tied] = np.argsort(-cosines[tied], axis=1, kind="stable")[:, :k]
+            value[tied] = np.take_along_axis(cosines[tied], near[tied], 1)
             weight = np.where(value > 0, np.exp(self.sharpness * (value - 1)), 0).astype(np.float64)
             total = weight.sum(1)
             some = total > 0
@@ -236,8 +241,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, seed: in
     """doc_id, quality, text of at most ``sample_rows`` labelled texts outside the held-out fifth, half of each label where there are enough."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    mark = [F.xxhash64("doc_id", F.lit(seed)), "doc_id"]
-    chosen = [usable.where(c).orderBy(*mark).limit(sample_rows // 2) for c in ("quality < 0.5", "quality >= 0.5")]
+    mark = F.xxhash64("doc_id", F.lit(seed))
+    usable = stage(usable, "usable-labels")
+    chosen = [lowest(usable.where(c), mark, sample_rows // 2).orderBy(mark, "doc_id").limit(sample_rows // 2) for c in ("quality < 0.5", "quality >= 0.5")]
     picked = chosen[0].unionByName(chosen[1])
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     return found.groupBy("doc_id").agg(F.any_value("quality").alias("quality"), F.min("text").alias("text"))

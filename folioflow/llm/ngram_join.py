@@ -228,8 +228,9 @@ def block_pairs(classes: DataFrame, *, block: int, block_bytes: int) -> DataFram
     large = bounded(stage(sizes.select("cluster", blocks.alias("blocks")).where("blocks > 1"), "large"))
     small = members.join(large, "cluster", "left_anti").withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
     cut = members.join(large, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    owns = shared.select("id", "value").join(bounded(cut.select("id", "own")), "id")
-    held = bounded(owns.groupBy("value").agg(F.sort_array(F.collect_set("own")).alias("others")))
+    cut = stage(cut, "cut")
+    owns = stage(shared.select("id", "value").join(bounded(stage(cut.select("id", "own"), "own")), "id"), "owns")
+    held = bounded(stage(owns.groupBy("value").agg(F.sort_array(F.collect_set("own")).alias("others")), "held"))
     mates = owns.join(held, "value").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
     spread = small.unionByName(cut.join(mates, "id").withColumn("other", F.explode("others")).drop("others"))
     return spread.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other", "id", "bytes")
@@ -241,7 +242,7 @@ def verify(docs: DataFrame, placed: DataFrame, *, n: int, threshold: float) -> D
     ``placed``: see :func:`block_pairs`; doc_id is that of one row that holds the text.
     """
     texts = docs.select(text_key().alias("key"), "doc_id", "text")
-    holders = bounded(placed.select("key", F.col("doc_id").alias("__id")).distinct())
+    holders = bounded(stage(placed.select("key", F.col("doc_id").alias("__id")).distinct(), "holders"))
     texts = texts.join(holders, "key").where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("key", "text")
     # block pairs of one cluster go to partitions one after the other, so none takes several of them
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -161,7 +161,7 @@ def judged(found: DataFrame, max_owners: int, max_repositories: int, salts: int
     spans = stage(text_spans(found), "spans")
     examples = ownership(found, spans).where((F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories))
     parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    known = bounded(stage(examples.select("hash"), "examples").select("hash", parts, F.lit(True).alias("example")))
+    known = bounded(stage(examples.select("hash", parts, F.lit(True).alias("example")), "examples"))
     salted = spans.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
     told = salted.join(known, ["hash", "salt"], "left").withColumn("live", F.col("example").isNull())
     return told.where((F.col("rank") < BASE_KINDS) | F.col("live")).select("key", "start", "rank", "end", "hash", "live")

@@ -377,6 +377,17 @@ def test_votes_match_brute_force(spark):
         assert abs(score - np.interp(vote, model.bins, model.values)) < 1e-4
 
 
+def test_equal_cosines_go_to_the_lowest_ids():
+    vectors = np.zeros((40, 3), np.float32)
+    vectors[:30, 0], vectors[30:, 1] = 1, 1
+    labels = np.array([0.0] * 5 + [1.0] * 25 + [0.5] * 10)
+    votes = knn_quality.LatentVotes(vocabulary={}, projection=np.eye(3, dtype=np.float32), vectors=vectors, labels=labels, share=0.5, neighbours=10, sharpness=1.0, bins=np.array([0.0, 1.0]), values=np.array([0.0, 1.0]))
+    unit = np.array([[1, 0, 0], [0, 1, 0]], np.float32)
+    assert votes.vote(unit).tolist() == [0.5, 0.5]
+    labels[:10] = 1.0
+    assert votes.vote(unit).tolist() == [1.0, 0.5]
+
+
 def test_features_read_whole_words():
     features = knn_quality.Features()
     long = "x" * 5000
@@ -396,5 +407,5 @@ def test_classifier_edges(spark):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
