@@ -62,18 +62,33 @@ def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def renames(staged: DataFrame, catalog: DataFrame, *, least: float = 0.65, same_folder: bool = True) -> DataFrame:
+def _letters(name: Column) -> Column:
+    """The letters of a lower-case name, each with the number of its occurrence: what two names share is their common letters."""
+    letters = F.split(F.lower(name), "")
+    return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
+def renames(staged: DataFrame, catalog: DataFrame, *, least: float = 0.65, same_folder: bool = True, block: int = 1000) -> DataFrame:
     """old_name, filename, sha of pairs with one content and similar names; each unordered pair once.
 
-    The equi-join on the hash leaves few pairs for the name comparison, which is not symmetric: the staged name
-    comes first.  Of two files that swap their names the one whose staged name sorts first stays.
+    Files meet by content and folder; of a content that many files have (empty ones) the old names are dealt into blocks
+    of about ``block``, each joined by itself.  Lengths and common letters bound the ratio from above, in Spark; only names
+    that these let through are compared by Python, one by one.  The comparison is not symmetric: the staged name comes
+    first.  Of two files that swap their names the one whose staged name sorts first stays.
     """
     old = catalog.select(F.col("filename").alias("old_name"), F.col("sha256").alias("sha")).distinct()
     new = staged.select("filename", F.col("sha256").alias("sha")).distinct()
-    folder = lambda c: F.regexp_replace(c, r"/?[^/]*$", "")
-    pairs = new.join(old, "sha").where(F.col("old_name") != F.col("filename"))
-    if same_folder:
-        pairs = pairs.where(folder(F.col("old_name")) == folder(F.col("filename")))
+    folder = lambda c: F.regexp_replace(c, r"/?[^/]*$", "") if same_folder else F.lit("")
+    old = old.withColumn("folder", folder(F.col("old_name"))).withColumn("__old", _letters(F.col("old_name")))
+    new = new.withColumn("folder", folder(F.col("filename"))).withColumn("__new", _letters(F.col("filename")))
+    keys = ["sha", "folder"]
+    blocks = old.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    old = old.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("old_name"), F.col("blocks")).cast("int")).drop("blocks")
+    new = new.join(blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    pairs = new.join(old, [*keys, "block"]).where(F.col("old_name") != F.col("filename"))
+    both = F.size("__new") + F.size("__old")
+    pairs = pairs.where(2.0 * F.least(F.size("__new"), F.size("__old")) >= (least - 1e-9) * both)
+    pairs = pairs.where(2.0 * F.size(F.array_intersect("__new", "__old")) >= (least - 1e-9) * both).select("old_name", "filename", "sha")
     pairs = pairs.where(name_similarity("filename", "old_name") >= least)
     once = Window.partitionBy(F.least("old_name", "filename"), F.greatest("old_name", "filename")).orderBy("filename", "sha")
     return pairs.withColumn("rn", F.row_number().over(once)).where("rn = 1").select("old_name", "filename", "sha")

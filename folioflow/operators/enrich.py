@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.patterns import automaton
 from ..functions.text import page_numbers, strip
 from ..plans.staging import stage
 
@@ -53,14 +57,15 @@ def upsert_summary(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def join_in_blocks(parts: DataFrame, *, size: int = 4, most: int = 10_000, most_rounds: int = 32) -> DataFrame:
+def join_in_blocks(parts: DataFrame, *, size: int = 4, most: int = 10_000, condense: Callable[[Column], Column] | None = None) -> DataFrame:
     """document_id, text: a document's parts joined four by four until they fit ``most`` characters or are one.
 
     Each round is one grouping of all documents that are not done; a document leaves with the round it fits.
+    ``condense`` is applied to every block that a round joins (a model's summary of it).
     """
     now = parts.select("document_id", "pos", "text")
     done = None
-    for _ in range(most_rounds):
+    while True:
         w = Window.partitionBy("document_id")
         sized = now.withColumn("n", F.count("*").over(w)).withColumn("size", F.sum(F.length("text")).over(w))
         sized = stage(sized, "summary-round")
@@ -70,6 +75,8 @@ def join_in_blocks(parts: DataFrame, *, size: int = 4, most: int = 10_000, most_
         if rest.isEmpty():
             break
         now = _joined(rest.withColumn("block", F.floor(F.col("pos") / size)), "document_id", "block").withColumnRenamed("block", "pos")
+        if condense is not None:
+            now = now.withColumn("text", condense(F.col("text")))
     return _joined(done, "document_id")
 
 
@@ -79,11 +86,26 @@ def _joined(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def furniture_tables(cells: DataFrame, furniture: DataFrame, share: float = 0.5) -> DataFrame:
-    """doc_id, table_id of tables most non-empty cells of which are part of a furniture text of the document."""
+    """doc_id, table_id of tables most non-empty cells of which are part of a furniture text of the document.
+
+    A document's distinct cells are looked for in its distinct furniture texts all at once, one pass over each text;
+    documents without furniture texts are left out before.
+    """
     texts = furniture.where(F.col("text") != "").groupBy("doc_id").agg(F.collect_set("text").alias("texts"))
-    full = cells.where(strip(F.coalesce("cell", F.lit(""))) != "").join(texts, "doc_id")
-    inside = F.exists("texts", lambda t: F.contains(t, F.col("cell")))
-    return full.groupBy("doc_id", "table_id").agg(F.avg(inside.cast("int")).alias("r")).where(F.col("r") > share).select("doc_id", "table_id")
+    full = cells.where(strip(F.coalesce("cell", F.lit(""))) != "").select("doc_id", "table_id", "cell")
+    distinct = full.groupBy("doc_id").agg(F.collect_set("cell").alias("cells")).join(texts, "doc_id")
+
+    @F.pandas_udf("array<string>")
+    def inside(lists: pd.Series, held: pd.Series) -> pd.Series:
+        def one(strings, texts) -> list[str]:
+            search = automaton(strings)
+            return sorted({s for t in texts for _, s in search.iter(t)}) if search else []
+
+        return pd.Series([one(a, b) for a, b in zip(lists, held, strict=True)])
+
+    known = distinct.select("doc_id", F.explode(inside("cells", "texts")).alias("cell"), F.lit(1.0).alias("__in"))
+    rated = full.join(texts.select("doc_id"), "doc_id", "left_semi").join(known, ["doc_id", "cell"], "left")
+    return rated.groupBy("doc_id", "table_id").agg(F.avg(F.coalesce("__in", F.lit(0.0))).alias("r")).where(F.col("r") > share).select("doc_id", "table_id")
 
 
 def escape_html(text: Column) -> Column:

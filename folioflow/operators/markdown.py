@@ -7,6 +7,7 @@ only where a regular expression must move on from its last match.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.html import parsed
+from ..functions.patterns import leftmost_longest, places
 from ..functions.text import fix_mojibake, strip, without_numbering
 from ..plans.staging import stage
 from .folds import split_column, split_text
@@ -275,35 +277,70 @@ def chunk_documents(docs: DataFrame, items: DataFrame | None = None, *, size: in
 
 
 def _anchor(kind: str, text: str | None, table: str | None, image: str | None) -> str | None:
-    """A pattern for an element's place in markdown; white space may differ."""
-    words = lambda t: r"\s+".join(map(re.escape, t.split()))
-    picture = rf"!\[.*?\]\({re.escape('images/' + image.strip().removeprefix('images/'))}\)" if image and image.strip() else None
+    """What marks an element's place: words with single spaces between them, or the end of a link to an image."""
     if kind in ("text", "title"):
-        return words(text) if text and text.strip() else None
+        return " ".join((text or "").split()) or None
     if kind == "table" and table:
-        return words(table.strip()[:150])
-    return picture if kind in ("table", "image", "equation") else None
+        return " ".join(table.strip()[:150].split()) or None
+    if kind in ("table", "image", "equation") and image and image.strip():
+        return f"](images/{image.strip().removeprefix('images/')})"
+    return None
+
+
+class _Places:
+    """Where the anchors stand in a text whose blanks are single spaces, found once for all of them."""
+
+    def __init__(self, markdown: str, anchors: set[str]):
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", markdown)]
+        self.text, self.starts, self.flat = markdown, [a for a, _ in words], []
+        at = 0
+        for a, b in words:
+            self.flat.append(at)
+            at += b - a + 1
+        joined = " ".join(markdown[a:b] for a, b in words)
+        self.found = places(joined, {a for a in anchors if not a.startswith("](images/")})
+        self.links = places(markdown, {a for a in anchors if a.startswith("](images/")})
+
+    def _outer(self, flat: int) -> int:
+        """The place in the text of one in the text with single spaces; never that of a blank."""
+        word = bisect_right(self.flat, flat) - 1
+        return self.starts[word] + flat - self.flat[word]
+
+    def after(self, anchor: str, at: int) -> tuple[int, int] | None:
+        """Begin and end of the anchor's first occurrence from ``at`` on."""
+        if anchor in self.links:
+            for place in self.links[anchor][bisect_left(self.links[anchor], at) :]:
+                line = max(self.text.rfind("\n", 0, place) + 1, at)
+                opened = self.text.find("![", line, place)
+                if opened >= 0:
+                    return opened, place + len(anchor)
+            return None
+        known = self.found.get(anchor, [])
+        first = bisect_left(known, at, key=self._outer)
+        return (self._outer(known[first]), self._outer(known[first] + len(anchor) - 1) + 1) if first < len(known) else None
 
 
 def place_pages(markdown: str, items: list[tuple]) -> str:
     """``markdown`` with a mark before the first element found of each page; ``items``: (page index, kind, text, table, image) in order.
 
-    The search never moves back.  An element inside a heading has its mark before the line.  Page 1 leads the text.
+    The search never moves back; blanks may differ.  An element inside a heading has its mark before the line.  Page 1
+    leads the text.  All elements are looked for in one pass over the text.
     """
+    anchors = [(page, _anchor(*element)) for page, *element in items]
+    known = _Places(markdown, {a for _, a in anchors if a})
     at, first = 0, {}
-    for page, *element in items:
-        pattern = _anchor(*element)
-        found = re.compile(pattern).search(markdown, at) if pattern else None
+    for page, anchor in anchors:
+        found = known.after(anchor, at) if anchor else None
         if found:
-            first.setdefault(page, found.start())
-            at = found.end()
+            first.setdefault(page, found[0])
+            at = found[1]
     out, end = [], len(markdown)
     if not items:
         return markdown
     for page in sorted((p for p in first if p != 0), reverse=True):
         cut = first[page]
         start = markdown.rfind("\n", 0, cut) + 1
-        if markdown[start:].lstrip().startswith("#"):
+        if markdown[start:cut + 1].lstrip().startswith("#"):
             cut = start
         cut = min(cut, end)
         out.append(f'<seite nummer="{page + 1}" />\n\n{markdown[cut:end]}')
@@ -406,15 +443,14 @@ def replace_once(markdown: str, blocks: dict[str, str], growth: int = 10, least_
     if not blocks:
         return markdown
     limit, size = max(len(markdown) * growth, least_limit), len(markdown)
-    pattern = re.compile("|".join(map(re.escape, sorted(blocks, key=len, reverse=True))))
     out, end, done = [], 0, set()
-    for m in pattern.finditer(markdown):
-        if m[0] in done:
+    for start, key in leftmost_longest(markdown, blocks):
+        if key in done:
             continue
-        done.add(m[0])
-        out += [markdown[end : m.start()], blocks[m[0]]]
-        end = m.end()
-        size += len(blocks[m[0]]) - len(m[0])
+        done.add(key)
+        out += [markdown[end:start], blocks[key]]
+        end = start + len(key)
+        size += len(blocks[key]) - len(key)
         if size > limit:
             break
     return "".join([*out, markdown[end:]])

@@ -54,11 +54,20 @@ def s21_upsert_summary(spark, d):
     return en.upsert_summary(side("old", 7).where("pos % 3 < 2"), side("new", 5).where("pos % 3 > 0"))
 
 
-@query("a12_join_in_blocks", "SELECT doc_id AS document_id, text FROM documents")
+#: The rounds in SQL: fours are joined while a text of more than one part is over the limit.
+_ROUNDS = """WITH RECURSIVE p AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+  s AS (SELECT doc_id, pos, left(line, 40) || '~' AS text FROM p),
+  r AS (SELECT doc_id, 0 AS round, list(text ORDER BY pos) AS parts FROM s GROUP BY doc_id
+    UNION ALL SELECT doc_id, round + 1, list_transform(range(0, (len(parts) + 3) // 4), lambda i: '[' || array_to_string(parts[i * 4 + 1:i * 4 + 4], chr(10)) || ']') FROM r
+    WHERE len(parts) > 1 AND list_sum(list_transform(parts, lambda x: length(x))) > 300)"""
+
+
+@query("a12_join_in_blocks", f"{_ROUNDS} SELECT doc_id AS document_id, array_to_string(arg_max(parts, round), chr(10)) AS text FROM r GROUP BY doc_id")
 def a12_join_in_blocks(spark, d):
-    """Joining a text's lines in rounds gives the text."""
-    lines = fx.lines(spark, d).select(F.col("doc_id").alias("document_id"), F.col("pos").cast("long").alias("pos"), F.col("line").alias("text"))
-    return en.join_in_blocks(lines, most=3000)
+    """Every line is cut and marked by its summary; every block of four that a round joins is in brackets, which shows the rounds."""
+    said = F.concat(F.substring("line", 1, 40), F.lit("~"))
+    lines = fx.lines(spark, d).select(F.col("doc_id").alias("document_id"), F.col("pos").cast("long").alias("pos"), said.alias("text"))
+    return en.join_in_blocks(lines, most=300, condense=lambda t: F.concat(F.lit("["), t, F.lit("]")))
 
 
 @query("j21_furniture_tables", f"""WITH {fx.LINES}, f AS (SELECT doc_id, line FROM lines WHERE pos % 3 = 0 AND line <> ''), c AS (SELECT doc_id, pos // 4 AS table_id, line || CASE WHEN pos % 2 = 0 THEN '' ELSE ' #' END AS cell FROM lines)

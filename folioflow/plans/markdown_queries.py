@@ -221,6 +221,15 @@ def c37_layout_markdown(spark, d):
     return lj.to_markdown(lj.walk(body, items), none)
 
 
+@query("s19_resolved_references", """WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)
+  SELECT a.doc_id, a.pos::INT AS item, b.line AS text FROM l a LEFT JOIN l b ON b.doc_id = a.doc_id AND b.pos = a.pos + 7 AND b.pos % 6 NOT IN (2, 4)""")
+def s19_resolved_references(spark, d):
+    """Each element refers to the text seven lines below, which may be none, or none that is a text."""
+    items = _layout(spark, d)[1]
+    wanted = items.select("doc_id", "item", F.concat(F.lit("#/texts/"), (F.col("item") + 7).cast("string")).alias("ref"))
+    return lj.resolved(wanted, items.select("doc_id", "ref", "text")).select("doc_id", "item", "text")
+
+
 @query("c38_content_list", """WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
   i AS (SELECT *, CASE pos % 6 WHEN 2 THEN 'table' WHEN 4 THEN 'image' ELSE 'text' END AS type, pos % 5 > 0 AS meta FROM l)
   SELECT doc_id, type, CASE WHEN type = 'text' THEN line END AS text, CASE WHEN type = 'text' AND pos % 9 IN (0, 3) THEN 1 END AS text_level, (pos // 4)::INT AS page, CASE WHEN type = 'table' THEN CASE WHEN meta THEN '<table>' || line || '</table>' ELSE '' END END AS table_body,
@@ -262,12 +271,11 @@ def f26_inject_images(spark, d):
     return md.inject_page_images(docs, pages.withColumn("filename", F.format_string("p%d.png", "page_no")))
 
 
-@query("c42_apply_replacements", """SELECT doc_id, 'one TWO and ' || CASE WHEN doc_id % 2 = 0 THEN '[two]' ELSE 'TWO' END || ' ' || coalesce(text, '') AS markdown FROM documents WHERE NOT contains(coalesce(text, ''), 'TWO')""")
+@query("c42_apply_replacements", """SELECT doc_id, 'one TWO and ' || CASE WHEN doc_id % 2 = 0 THEN '[two]' ELSE 'TWO' END || ' ' || coalesce(text, '') AS markdown FROM documents""")
 def c42_apply_replacements(spark, d):
-    """A key and a longer one that holds it; each is replaced where it first stands."""
-    docs = table(spark, d, "documents").where(~F.coalesce(F.col("text").contains("TWO"), F.lit(False)))
+    """A key and a longer one that holds it; each is replaced where it first stands, before the text."""
     k = F.col("doc_id")
-    docs = docs.select("doc_id", F.concat(F.lit("ONE TWO and TWO "), F.coalesce("text", F.lit(""))).alias("markdown"))
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("ONE TWO and TWO "), F.coalesce("text", F.lit(""))).alias("markdown"))
     block = lambda n, a, b, when: docs.where(when).select("doc_id", F.lit(n).alias("ord"), F.lit(a).alias("original"), F.lit(b).alias("block"))
     blocks = block(0, "ONE TWO", "one TWO", F.lit(True)).unionByName(block(1, "TWO", "[two]", k % 2 == 0)).unionByName(block(2, "ONE TWO", "late", F.lit(True)))
     return md.apply_replacements(docs, blocks)
