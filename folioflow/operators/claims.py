@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import chunk_text
+from ..plans.staging import stage
 
 
 @dataclass(frozen=True)
@@ -26,22 +27,38 @@ class Spec:
 SPECS = (Spec(4, priority_only=True, skip_local=True), Spec(1, same_document=True), Spec(15, same_document=True, skip_local=True))
 
 
-def neighbours(claims: DataFrame, *, specs: tuple[Spec, ...] = SPECS, lower: float = 0.5, upper: float = 0.95, block: int = 1024) -> DataFrame:
+def neighbours(claims: DataFrame, *, specs: tuple[Spec, ...] = SPECS, lower: float = 0.5, upper: float = 0.95, block: int = 2048, most_pivots: int = 256) -> DataFrame:
     """Nearest claims of each claim by kind: claim_id, spec, rank, other_id, score (cosine, double precision).
 
-    ``claims``: claim_id, project_id, document_id, seq (of its chunk), priority, vector.  Exact: the claims of a
-    project are cut into blocks of about ``block``; every pair of blocks is one matrix product, which
-    leaves the best of each claim and kind only, and those of all blocks are ranked.  A claim travels once a
-    block of its project; pairs never become rows.  ``upper`` applies after the limit, so a kind may yield fewer.
-    Vectors of no length, or of another length than a block's first, have cosine 0.
+    ``claims``: claim_id, project_id, document_id, seq (of its chunk), priority, vector.  Exact: the claims of a project are
+    cut into blocks of about ``block``; a pair of blocks is one matrix product, which leaves the best of each claim and
+    kind only, and those of all blocks are ranked; pairs never become rows.  In a project of several blocks a block holds
+    the claims nearest to one of at most ``most_pivots`` claims, its pivot, and two blocks meet only if the angle of their
+    pivots, less both radii, may give a score of ``lower`` and of the lowest last place that a claim has inside its own
+    block (:func:`block_pairs`).  ``upper`` applies after the limit, so a kind may yield fewer.  Vectors of no length, or
+    of another length than a block's first, have cosine 0.
     """
-    keys = ["project_id", "bi", "bj"]
-    sizes = claims.groupBy("project_id").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    rows = claims.select("claim_id", "project_id", "document_id", "seq", "priority", "vector").join(sizes, "project_id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("claim_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("blocks", "other")
-    kind = claims.schema["claim_id"].dataType.simpleString()
+    rows = claims.select("claim_id", "project_id", "document_id", "seq", "priority", "vector")
+    sizes = stage(rows.groupBy("project_id").agg(F.count("*").alias("n")), "project-sizes")
+    if sizes.where(F.col("n") > block).isEmpty():
+        found = _best(rows.withColumn("own", F.lit(0)).withColumn("bi", F.lit(0)).withColumn("bj", F.lit(0)), specs, lower)
+    else:
+        placed = stage(placed_in_blocks(rows, sizes, block, most_pivots), "blocks")
+        inner = placed.withColumn("own", F.col("block")).withColumn("bi", F.col("block")).withColumn("bj", F.col("block"))
+        inside = stage(_best(inner, specs, lower), "inside")
+        pairs = stage(block_pairs(placed, inside, specs, lower), "block-pairs")
+        sides = pairs.select("project_id", "bi", "bj", F.explode(F.array("bi", "bj")).alias("block"))
+        meeting = placed.join(sides, ["project_id", "block"]).withColumnRenamed("block", "own")
+        found = inside.unionByName(_best(meeting, specs, lower))
+    order = Window.partitionBy("claim_id", "spec").orderBy(F.desc("score"), "other_id")
+    limits = F.element_at(F.array(*[F.lit(s.limit) for s in specs]), F.col("spec"))
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limits)
+    return ranked.where(F.col("score") <= upper).select("claim_id", "spec", "rank", "other_id", "score")
+
+
+def _best(rows: DataFrame, specs: tuple[Spec, ...], lower: float) -> DataFrame:
+    """claim_id, spec, other_id, score: the best of each claim and kind in each pair (bi, bj) of blocks of a project."""
+    kind = rows.schema["claim_id"].dataType.simpleString()
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> list[pd.DataFrame]:
         scores = _unit(left["vector"], right) @ _unit(right["vector"], right).T
@@ -57,8 +74,8 @@ def neighbours(claims: DataFrame, *, specs: tuple[Spec, ...] = SPECS, lower: flo
             # right is sorted by claim_id, and the sort is stable: equals go to the smaller id
             top = np.argsort(-value, axis=1, kind="stable")[:, : spec.limit]
             row, col = np.repeat(np.arange(len(left)), top.shape[1]), top.ravel()
-            found = ok[row, col]
-            row, col = row[found], col[found]
+            held = ok[row, col]
+            row, col = row[held], col[held]
             out.append(
                 pd.DataFrame(
                     {"claim_id": left["claim_id"].to_numpy()[row], "spec": number, "other_id": right["claim_id"].to_numpy()[col], "score": scores[row, col]}
@@ -71,11 +88,83 @@ def neighbours(claims: DataFrame, *, specs: tuple[Spec, ...] = SPECS, lower: flo
         a, b = group[group["own"] == key[1]], group[group["own"] == key[2]]
         return pd.concat(best(a, a) if key[1] == key[2] else best(a, b) + best(b, a))
 
-    candidates = rows.groupBy(*keys).applyInPandas(run, f"claim_id {kind}, spec int, other_id {kind}, score double")
-    order = Window.partitionBy("claim_id", "spec").orderBy(F.desc("score"), "other_id")
+    columns = ["claim_id", "document_id", "seq", "priority", "vector", "own"]
+    keyed = rows.select("project_id", "bi", "bj", *columns)
+    return keyed.groupBy("project_id", "bi", "bj").applyInPandas(run, f"claim_id {kind}, spec int, other_id {kind}, score double")
+
+
+def placed_in_blocks(rows: DataFrame, sizes: DataFrame, block: int, most_pivots: int) -> DataFrame:
+    """``rows`` with block, pivot (its vector, null where the block has none) and angle to it.
+
+    Pivots are claims of the lowest hashes.  A project is read in slices, each with the project's pivots beside it; what a
+    pivot draws beyond ``block`` claims is cut by hash.  A vector of no length, or of another length than the pivots',
+    lies in a block without a pivot.
+    """
+    mark = F.xxhash64("claim_id", F.lit(7))
+    sized = rows.join(sizes, "project_id").withColumn("__p", F.least(F.lit(most_pivots), F.ceil(F.col("n") / F.lit(block))).cast("int"))
+    some = sized.where(F.pmod(mark, F.greatest(F.lit(1), F.floor(F.col("n") / (8 * F.col("__p"))))) == 0)
+    rank = F.row_number().over(Window.partitionBy("project_id").orderBy(mark, "claim_id"))
+    pivots = some.select("project_id", "vector", "__p", "n", (rank - 1).alias("pivot")).where(F.col("pivot") < F.col("__p"))
+    slices = F.ceil(F.col("n") / F.lit(4 * block)).cast("int")
+    pivots = stage(pivots.select("project_id", "pivot", "vector", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice")), "pivots")
+    sliced = sized.select(*rows.columns, F.pmod(F.xxhash64("claim_id", F.lit(8)), slices).cast("int").alias("slice"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def nearest(claims: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        centres = centres.sort_values("pivot")
+        if not len(claims) or not len(centres):
+            return claims.assign(pivot=-1, centre=None, angle=None)[[*kinds, "pivot", "centre", "angle"]]
+        c = _unit(centres["vector"], centres)
+        x = _unit(claims["vector"], centres)
+        cosines = np.clip(x @ c.T, -1, 1)
+        near, usable = cosines.argmax(1), (x != 0).any(1)
+        angle = np.arccos(cosines[np.arange(len(x)), near])
+        stacked = list(c)
+        return claims.assign(
+            pivot=np.where(usable, near, -1), centre=[stacked[k] if ok else None for k, ok in zip(near, usable, strict=True)], angle=np.where(usable, angle, np.nan)
+        )[[*kinds, "pivot", "centre", "angle"]]
+
+    shape = ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", pivot int, centre array<double>, angle double"
+    drawn = sliced.groupBy("project_id", "slice").cogroup(pivots.groupBy("project_id", "slice")).applyInPandas(nearest, shape)
+    drawn = stage(drawn.withColumn("angle", F.nanvl("angle", F.lit(None).cast("double"))), "drawn")
+    parts = drawn.groupBy("project_id", "pivot").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("__parts"))
+    first = F.coalesce(F.sum("__parts").over(Window.partitionBy("project_id").orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = parts.withColumn("__first", first.cast("int"))
+    out = drawn.join(numbered, ["project_id", "pivot"])
+    return out.select(*rows.columns, (F.col("__first") + F.pmod(F.xxhash64("claim_id", F.lit(9)), F.col("__parts"))).cast("int").alias("block"), "centre", "angle")
+
+
+def block_pairs(placed: DataFrame, inside: DataFrame, specs: tuple[Spec, ...], lower: float) -> DataFrame:
+    """project_id, bi, bj (bi < bj) of the blocks that may hold a neighbour of each other.
+
+    No claim of one block is nearer to one of the other than the angle of their pivots less both radii.  A side wants the
+    other if that angle's cosine reaches the lowest last place of its claims: for each kind the score at the limit among
+    the neighbours inside the block, ``lower`` where there are fewer; kinds of priority claims only count where the other
+    side has any.  Blocks without a pivot meet all others.
+    """
     limits = F.element_at(F.array(*[F.lit(s.limit) for s in specs]), F.col("spec"))
-    ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limits)
-    return ranked.where(F.col("score") <= upper).select("claim_id", "spec", "rank", "other_id", "score")
+    order = Window.partitionBy("claim_id", "spec").orderBy(F.desc("score"))
+    last = inside.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == limits).groupBy("claim_id").pivot("spec", list(range(1, len(specs) + 1))).agg(F.first("score"))
+    held = placed.select("project_id", "block", "claim_id", "priority", "centre", "angle").join(last, "claim_id", "left")
+    places = [F.min(F.coalesce(F.col(str(k)), F.lit(lower))).alias(f"s{k}") for k in range(1, len(specs) + 1)]
+    blocks = held.groupBy("project_id", "block").agg(F.max("angle").alias("radius"), F.any_value("centre").alias("centre"), F.bool_or("priority").alias("priority"), *places)
+    blocks = stage(blocks, "block-bounds")
+    a, b = (blocks.select("project_id", *[F.col(c).alias(f"{c}_{x}") for c in blocks.columns[1:]]) for x in "ab")
+    pairs = a.join(b, "project_id").where(F.col("block_a") < F.col("block_b"))
+    cosine = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) - F.col("radius_a") - F.col("radius_b")
+    bound = F.when(apart <= 0, 1.0).otherwise(F.cos(apart)) + 1e-7
+
+    def wants(x: str, y: str):
+        ok = F.lit(False)
+        for k, spec in enumerate(specs, 1):
+            reached = bound >= F.col(f"s{k}_{x}")
+            ok = ok | (reached & F.col(f"priority_{y}") if spec.priority_only else reached)
+        return ok
+
+    free = F.col("centre_a").isNull() | F.col("centre_b").isNull() | (F.lit(lower) <= 0)
+    met = pairs.where(free | wants("a", "b") | wants("b", "a"))
+    return met.select("project_id", F.col("block_a").alias("bi"), F.col("block_b").alias("bj"))
 
 
 def _unit(vectors: pd.Series, like: pd.DataFrame) -> np.ndarray:

@@ -134,6 +134,43 @@ def test_neighbours_do_not_depend_on_blocks(spark, sf):
     assert len(one) > 100 and sorted(map(key, one)) == sorted(map(key, many))
 
 
+def test_blocks_that_cannot_reach_each_other_do_not_meet(spark):
+    """On clustered claims most pairs of blocks are left out, and the neighbours are those of a plain ranking."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    rows = []
+    for i in range(600):
+        vector = centres[i % 12] + rng.normal(size=12) * (0.03 if i % 3 else 0.06)
+        rows.append((i, i % 2, f"d{rng.integers(0, 20)}", int(rng.integers(0, 9)), bool(rng.random() < 0.3), [float(x) for x in vector]))
+    rows += [(1000, 0, "d1", 1, True, [0.0] * 12), (1001, 0, "d1", 1, True, None), (1002, 1, "d2", 3, False, [1.0, 2.0]), (1003, 5, "d9", 1, True, [1.0] * 12)]
+    c = spark.createDataFrame(rows, "claim_id int, project_id int, document_id string, seq int, priority boolean, vector array<double>")
+    specs = (claims.Spec(3), claims.Spec(2, priority_only=True, skip_local=True), claims.Spec(2, same_document=True))
+    for lower, upper in ((0.5, 0.98), (0.8, 2.0)):
+        found = sorted((r["claim_id"], r["spec"], r["rank"], r["other_id"], round(r["score"], 9)) for r in claims.neighbours(c, specs=specs, lower=lower, upper=upper, block=15).collect())
+        expected = []
+        for i, p, d, q, _, v in rows:
+            for number, spec in enumerate(specs, 1):
+                near = []
+                for j, p2, d2, q2, first, w in rows:
+                    if j == i or p2 != p or v is None or w is None or len(v) != 12 or len(w) != 12 or not any(v) or not any(w):
+                        continue
+                    if (spec.same_document and d != d2) or (spec.skip_local and d == d2 and abs(q - q2) <= 1) or (spec.priority_only and not first):
+                        continue
+                    score = float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))
+                    if score >= lower:
+                        near.append((-score, j))
+                expected += [(i, number, k, j, round(-s, 9)) for k, (s, j) in enumerate(sorted(near)[: spec.limit], 1) if -s <= upper]
+        assert found == sorted(expected) and len(found) > 300
+    sizes = c.groupBy("project_id").agg(F.count("*").alias("n"))
+    placed = claims.placed_in_blocks(c, sizes, 15, 256)
+    inside = claims._best(placed.withColumn("own", F.col("block")).withColumn("bi", F.col("block")).withColumn("bj", F.col("block")), specs, 0.8)
+    n = placed.groupBy("project_id").agg(F.countDistinct("block").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0]
+    met = claims.block_pairs(placed, inside, specs, 0.8).count()
+    assert 0 < met < n * 0.5
+
+
 def test_neighbour_kinds_and_bounds(spark):
     rows = [(1, 0, "a", 1, False, [1.0, 0.0]), (2, 0, "a", 2, False, [1.0, 0.01]), (3, 0, "a", 5, False, [1.0, 0.5]), (4, 0, "b", 1, True, [1.0, 0.6]), (5, 9, "b", 1, True, [1.0, 0.0]), (6, 0, "a", 7, False, [0.0, 0.0])]
     c = spark.createDataFrame(rows, "claim_id int, project_id int, document_id string, seq int, priority boolean, vector array<double>")
