@@ -383,6 +383,22 @@ def joined_parts(parts: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(text.alias("markdown"))
 
 
+def assembled_parts(parts: DataFrame, again: DataFrame) -> DataFrame:
+    """doc_id, markdown, n_parts, error of documents read in parts, after the failed parts were read again.
+
+    ``parts``: document_id, part, page_offset, action (see ``jobs.part_actions``), markdown; ``again``: document_id, part,
+    markdown of what came of a second reading, null where that failed too.  Parts stand in the order of their pages; one
+    that is lost leaves a gap, and a document without any is an error.
+    """
+    second = again.select("document_id", "part", F.col("markdown").alias("__again"))
+    rows = parts.join(second, ["document_id", "part"], "left")
+    text = F.when(F.col("action") == "keep", F.col("markdown")).when(F.col("action") == "rasterize", F.col("__again"))
+    rows = rows.withColumn("markdown", text).withColumn("doc_id", F.col("document_id"))
+    whole = joined_parts(rows.where("markdown is not null").select("doc_id", F.col("page_offset").alias("part"), "page_offset", "markdown"))
+    counts = rows.groupBy("doc_id").agg(F.count("markdown").alias("n_parts"))
+    return counts.join(whole, "doc_id", "left").withColumn("error", F.when(F.col("n_parts") == 0, "no part could be read"))
+
+
 # Removals, injections and replacements
 
 

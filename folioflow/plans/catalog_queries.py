@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog as ca
 from ..operators import completeness as co
 from ..operators import jobs as jo
+from ..operators import markdown as md
 from ..sources.tables import replace_partition, table
 from ..streaming import jobs as sj
 from . import fixtures as fx
@@ -284,6 +285,21 @@ def s29_part_actions(spark, d):
     return jo.part_actions(parts).select("document_id", "page_offset", "pos", "action", "error")
 
 
+@query("s29_assembled_parts", """WITH p AS (SELECT o_custkey AS doc_id, o_orderkey AS page_offset, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 4 > 0 THEN 'a' || o_orderkey WHEN o_orderkey % 5 = 0 OR o_totalprice > 100000 OR o_custkey % 4 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'b' || o_orderkey END AS said FROM orders),
+  m AS (SELECT *, count(said) OVER (PARTITION BY doc_id) AS n FROM p)
+  SELECT doc_id, count(said) AS n_parts, string_agg('<seite nummer="' || (CASE WHEN n > 1 THEN 1 + page_offset ELSE 1 END) || '" />' || said, '' ORDER BY page_offset) FILTER (said IS NOT NULL) AS markdown, CASE WHEN count(said) = 0 THEN 'no part could be read' END AS error FROM m GROUP BY doc_id""")
+def s29_assembled_parts(spark, d):
+    """Kept parts and those that a second reading brought, which fails for odd ones, joined in the order of their pages."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 4
+    said = lambda x: F.concat(F.lit('<seite nummer="1" />' + x), k.cast("string"))
+    orders = table(spark, d, "orders")
+    parts = orders.select(
+        F.col("o_custkey").alias("document_id"), k.alias("part"), k.alias("page_offset"), ((k % 3 == 0) & (c > 0)).alias("ok"), ((k % 5 == 0) | (c == 0)).alias("timed_out"), (F.col("o_totalprice") / 4000).alias("size_mb"), said("a").alias("markdown")
+    )
+    again = orders.select(F.col("o_custkey").alias("document_id"), k.alias("part"), F.when(k % 2 == 0, said("b")).alias("markdown"))
+    return md.assembled_parts(jo.part_actions(parts), again).select("doc_id", "n_parts", "markdown", "error")
+
+
 @query("r5_backoff", "SELECT l_orderkey, l_linenumber, least(30 * 2 ** (l_linenumber - 1), 300)::INT AS seconds FROM lineitem")
 def r5_backoff(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", jo.backoff_seconds(F.col("l_linenumber")).alias("seconds"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import models
 from ..operators import services as sv
 from ..sources import archives as ar
+from ..sources import bucketed as bk
 from ..sources import documents as dc
 from ..sources import tables as tb
 from ..sources.tables import table
@@ -365,3 +368,20 @@ def s3_pushed_pages(spark, d):
     known = [r[0] for r in table(spark, d, "conversations").where("conv_id between 0 and 20").select(F.col("conv_id").cast("string")).distinct().collect()]
     chunks = dc.read_chunks(spark, _folder_of_documents(spark, d))
     return chunks.where(F.col("document_name").isin(*known, "none") & (F.col("first_page") <= 1)).select("document_name", "chunk_id", "error")
+
+
+def _stored_claims(spark, d, condition, version):
+    rows = fx.chunks(spark, d).where(condition)
+    return rows.select((F.col("document_id") % 3).alias("project_id"), "document_id", F.col("chunk_id").alias("claim_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(version).alias("version"))
+
+
+@query("s23_upsert_claims", f"""WITH {fx.CHUNKS}, old AS (SELECT document_id, chunk_id, 'old' AS version FROM chunks WHERE document_id % 4 > 0), new AS (SELECT document_id, chunk_id, 'new' AS version FROM chunks WHERE document_id % 5 = 0 AND seq % 2 = 0)
+  SELECT document_id % 3 AS project_id, document_id, chunk_id AS claim_id, version, 8 AS dimensions FROM (SELECT * FROM old WHERE document_id NOT IN (SELECT document_id FROM new) UNION ALL SELECT * FROM new)""")
+def s23_upsert_claims(spark, d):
+    """Claims of some documents are stored, then those of others and of some of the same: the later ones take their documents' place."""
+    path = new_path(spark, "claims")
+    embed = models.model_column(lambda: models.hashed_embedding(8), T.ArrayType(T.DoubleType()), size=50)
+    first = _stored_claims(spark, d, "document_id % 4 > 0", "old").withColumn("vector", embed(F.col("text")))
+    bk.write_buckets(first, path, ["project_id", "document_id"], 16)
+    bk.upsert_claims(path, _stored_claims(spark, d, "document_id % 5 = 0 and seq % 2 = 0", "new"), embed, 16)
+    return bk.read_buckets(spark, path).select("project_id", "document_id", "claim_id", "version", F.size("vector").alias("dimensions"))

@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from folioflow.sources import archives, documents
+from folioflow.sources import archives, bucketed, documents
 
 
 @pytest.fixture
@@ -110,3 +110,23 @@ def test_documents_round_trip(spark, tmp_path):
     documents.write_each(docs, f"file://{tmp_path}/out")
     found = documents.read_chunks(spark, f"file://{tmp_path}/out").collect()
     assert [(r["document_name"], r["seq"], r["first_page"], r["sub_chunks"][0]["page_numbers"]) for r in found] == [("a", 0, 2, [2])]
+
+
+def test_upserts_write_only_what_they_touch(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    rows = [(i % 40, i, "old") for i in range(400)] + [(None, 1, "old")]
+    bucketed.write_buckets(spark.createDataFrame(rows, "doc int, claim int, v string"), path, ["doc"], 16)
+    files = lambda: {str(f.relative_to(tmp_path)): f.read_bytes() for f in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(3, 9000, "new"), (3, 9001, "new"), (77, 1, "new"), (None, 2, "new")], "doc int, claim int, v string")
+    touched = bucketed.replace_groups(path, new, ["doc"], 16)
+    after = files()
+    kept = {f: b for f, b in before.items() if int(f.split("bucket=")[1].split("/")[0]) not in touched}
+    assert 0 < len(touched) <= 3 and kept.items() <= after.items() and len(kept) > 8
+    expected = sorted([str(r) for r in rows if r[0] not in (3, None)] + [str(tuple(r)) for r in new.collect()])
+    assert sorted(str(tuple(r)) for r in bucketed.read_buckets(spark, path).collect()) == expected
+    assert bucketed.replace_groups(path, new.limit(0), ["doc"], 16) == [] and files() == after
+    # the same by a shuffle of both sides
+    monkeypatch.setattr(bucketed, "MOST_KEYS", 0)
+    bucketed.replace_groups(path, new, ["doc"], 16)
+    assert sorted(str(tuple(r)) for r in bucketed.read_buckets(spark, path).collect()) == expected
