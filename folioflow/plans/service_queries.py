@@ -303,7 +303,7 @@ def _staged_files(spark, d):
     folder = new_path(spark, "archives")
     name = F.concat(F.lit("./d//"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".exe").otherwise(".pdf"))
     content = F.encode(F.concat(F.lit("%PDF-1.7 "), F.coalesce("text", F.lit(""))), "UTF-8")
-    archives = stage(ar.write_archives(table(spark, d, "documents").select(name.alias("name"), content.alias("content")), f"{folder}/in"), "archive-paths")
+    archives = stage(ar.write_archives(table(spark, d, "documents").select(name.alias("name"), content.alias("content")), f"{folder}/in", packed=False), "archive-paths")
     return ar.stage_archives(archives, f"{folder}/out", {".pdf": "application/pdf"}, ["application/pdf"], range_bytes=1 << 20)
 
 

@@ -248,10 +248,10 @@ def file_digests(files: DataFrame) -> DataFrame:
     return files.select("path").mapInArrow(run, "path string, sha256 string, size long, error string")
 
 
-def write_archives(files: DataFrame, folder: str, entries: int = 1000) -> DataFrame:
+def write_archives(files: DataFrame, folder: str, entries: int = 1000, packed: bool = True) -> DataFrame:
     """``files`` (name, content: binary) as ZIP archives of ``folder``, at most ``entries`` in each; returns their paths.
 
-    Each task writes archives of its own and moves them to their names when they are whole.
+    Contents that pack better than ``MOST_RATIO`` are refused when they are read; not ``packed`` they pass.  Each task writes archives of its own and moves them to their names when they are whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def write_archives(files: DataFrame, folder: str, entries: int = 1000) -> DataFr
         for batch in batches:
             for start in range(0, batch.num_rows, entries):
                 name = f"{uuid.uuid4().hex}.zip"
-                with fs.open_output_stream(f"{base}/{name}.part") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                with fs.open_output_stream(f"{base}/{name}.part") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if packed else zipfile.ZIP_STORED) as z:
                     for row in batch.slice(start, entries).to_pylist():
                         z.writestr(row["name"], row["content"] or b"")
                 fs.move(f"{base}/{name}.part", f"{base}/{name}")
