@@ -121,18 +121,18 @@ def first_positive(rows: DataFrame, flag: str) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _full_runs(lengths: pd.Series, least: pd.Series) -> pd.Series:
-    """How many items each run holds: a run ends where its sum reaches ``least``; what is left over joins the last run."""
+    """Where each run of items starts: a run ends where its sum reaches ``least``; what is left over joins the last run."""
 
     def one(sizes, least: int) -> list[int]:
-        out, held, total = [], 0, 0
-        for n in sizes:
-            held, total = held + 1, total + n
+        starts, total = [0] if len(sizes) else [], 0
+        for i, n in enumerate(sizes):
+            total += n
             if total >= least:
-                out.append(held)
-                held, total = 0, 0
-        if held and out:
-            out[-1] += held
-        return out or ([held] if held else [])
+                starts.append(i + 1)
+                total = 0
+        if len(starts) > 1:
+            starts.pop()  # the end of the last full run: nothing, or a rest, follows it
+        return starts
 
     return pd.Series([one(s, k) for s, k in zip(lengths, least, strict=True)])
 
@@ -140,15 +140,18 @@ def _full_runs(lengths: pd.Series, least: pd.Series) -> pd.Series:
 def merge_small(chunks: DataFrame, least: int = 800) -> DataFrame:
     """document_id, part, text, n_chunks: chunks joined in order until ``least`` characters; the rest joins the last.
 
-    The sum starts anew at every cut, so the lengths of a document's chunks (not the texts) go through a fold.
+    The sum starts anew at every cut, so the lengths of a document's chunks (not the texts) go through a fold.  A run is
+    joined before runs become rows: each text is copied once, however many runs its document has.  Null texts add
+    nothing to a run but count as chunks of it.
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     rows = chunks.groupBy("document_id").agg(ordered.alias("texts"))
     sizes = F.transform("texts", lambda t: F.coalesce(F.length(t), F.lit(0)))
-    rows = rows.withColumn("runs", _full_runs(sizes, F.lit(least)))
-    out = rows.select("document_id", "texts", "runs", F.posexplode("runs").alias("part", "n_chunks"))
-    start = F.aggregate(F.slice("runs", F.lit(1), F.col("part")), F.lit(0), lambda s, n: s + n)
-    return out.select("document_id", "part", F.array_join(F.slice("texts", start + 1, F.col("n_chunks")), "\n").alias("text"), "n_chunks")
+    rows = rows.withColumn("starts", _full_runs(sizes, F.lit(least)))
+    size = lambda start, i: F.coalesce(F.get("starts", i + 1), F.size("texts")) - start
+    joined = F.transform("starts", lambda start, i: F.struct(F.array_join(F.slice("texts", start + 1, size(start, i)), "\n").alias("text"), size(start, i).alias("n_chunks")))
+    out = rows.select("document_id", F.posexplode(joined).alias("part", "run"))
+    return out.select("document_id", "part", "run.text", "run.n_chunks")
 
 
 def around(lines: DataFrame, anchor: DataFrame, n: int = 10) -> DataFrame:

@@ -1,5 +1,7 @@
 """Folds, plug-ins and enrichment on hand-made cases."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import types as T
 
 from folioflow.functions import models
 from folioflow.operators import enrich, folds, layout
+from folioflow.operators.chunks import merge_small
 
 
 @settings(max_examples=300, deadline=None)
@@ -119,3 +122,25 @@ def test_summary_keeps_places(spark):
     new = spark.createDataFrame([("c", "3", 1, 0), ("a", "4", 1, 1)], "document_name string, summary string, duration int, pos int")
     rows = enrich.upsert_summary(old, new).orderBy("pos").collect()
     assert [tuple(r) for r in rows] == [("a", "4", 6, 0), ("b", "2", 5, 1), ("c", "3", 1, 2)]
+
+
+def test_small_chunks_join_in_order(spark):
+    """Against a plain loop: nulls, empty texts, repeated rows of one length, a rest after the last cut, one long text."""
+    generator = random.Random(5)
+    texts = {k: [generator.choice([None, "", "ab", "abcde", "x" * 30]) for _ in range(generator.randrange(1, 25))] for k in range(60)}
+    rows = [(k, i, t) for k, held in texts.items() for i, t in enumerate(held)]
+    generator.shuffle(rows)
+    expected = []
+    for k, held in texts.items():
+        runs, run = [], []
+        for text in held:
+            run.append(text)
+            if sum(len(t or "") for t in run) >= 12:
+                runs.append(run)
+                run = []
+        if run:
+            runs = [*runs[:-1], runs[-1] + run] if runs else [run]
+        expected += [(k, i, "\n".join(t for t in r if t is not None), len(r)) for i, r in enumerate(runs)]
+    chunks = spark.createDataFrame(rows, "document_id int, seq int, text string")
+    assert sorted(map(tuple, merge_small(chunks, 12).collect())) == expected
+    assert merge_small(chunks.limit(0)).count() == 0
