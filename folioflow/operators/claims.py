@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,70 +29,205 @@ class Spec:
 SPECS = (Spec(4, priority_only=True, skip_local=True), Spec(1, same_document=True), Spec(15, same_document=True, skip_local=True))
 
 
+#: A side of one product of blocks holds at most so many bytes of vectors in double precision; tiles inside it have so many rows.
+SIDE_BYTES, TILE = 32 << 20, 2048
+
+
 def neighbours(claims: DataFrame, *, specs: tuple[Spec, ...] = SPECS, lower: float = 0.5, upper: float = 0.95, block: int = 2048, most_pivots: int = 256) -> DataFrame:
     """Nearest claims of each claim by kind: claim_id, spec, rank, other_id, score (cosine, double precision).
 
-    ``claims``: claim_id, project_id, document_id, seq (of its chunk), priority, vector.  Exact: the claims of a project are
-    cut into blocks of about ``block``; a pair of blocks is one matrix product, which leaves the best of each claim and
-    kind only, and those of all blocks are ranked; pairs never become rows.  In a project of several blocks a block holds
-    the claims nearest to one of at most ``most_pivots`` claims, its pivot, and two blocks meet only if the angle of their
-    pivots, less both radii, may give a score of ``lower`` and of the lowest last place that a claim has inside its own
-    block (:func:`block_pairs`).  ``upper`` applies after the limit, so a kind may yield fewer.  Vectors of no length, or
-    of another length than a block's first, have cosine 0.
+    ``claims``: claim_id, project_id, document_id, seq (of its chunk), priority, vector.  Exact.  Kinds of the same
+    document compare the claims of a document only, all others those of a project, and where all of them want priority
+    claims only these are compared with.  The claims of a group are cut into blocks of about ``block``; many blocks meet in
+    one task (:func:`_between`), which leaves the best of each claim and kind only, and those of all tasks are ranked; pairs
+    never become rows.  In a group of several blocks a block holds the claims nearest to one of at most ``most_pivots``
+    claims, its pivot, and two blocks meet only if the angle of their pivots, less both radii, may give a score of ``lower``
+    and of the lowest last place that a claim has inside its own block (:func:`block_pairs`).  ``upper`` applies after the
+    limit, so a kind may yield fewer.  Vectors of no length, or shorter than the longest they meet, have cosine 0.
     """
     rows = claims.select("claim_id", "project_id", "document_id", "seq", "priority", "vector")
-    sizes = stage(rows.groupBy("project_id").agg(F.count("*").alias("n")), "project-sizes")
-    if sizes.where(F.col("n") > block).isEmpty():
-        found = _best(rows.withColumn("own", F.lit(0)).withColumn("bi", F.lit(0)).withColumn("bj", F.lit(0)), specs, lower)
-    else:
-        placed = stage(placed_in_blocks(rows, sizes, block, most_pivots), "blocks")
-        inner = placed.withColumn("own", F.col("block")).withColumn("bi", F.col("block")).withColumn("bj", F.col("block"))
-        inside = stage(_best(inner, specs, lower), "inside")
-        pairs = stage(block_pairs(placed, inside, specs, lower), "block-pairs")
-        sides = pairs.select("project_id", "bi", "bj", F.explode(F.array("bi", "bj")).alias("block"))
-        meeting = placed.join(sides, ["project_id", "block"]).withColumnRenamed("block", "own")
-        found = inside.unionByName(_best(meeting, specs, lower))
+    found = None
+    for same in (False, True):
+        numbers = [n for n, s in enumerate(specs, 1) if s.same_document == same]
+        if not numbers:
+            continue
+        best = _group_best(_by_document(rows, block) if same else rows, tuple(specs[n - 1] for n in numbers), lower, block, most_pivots)
+        best = best.withColumn("spec", F.element_at(F.array(*[F.lit(n) for n in numbers]), F.col("spec")))
+        found = best if found is None else found.unionByName(best)
     order = Window.partitionBy("claim_id", "spec").orderBy(F.desc("score"), "other_id")
     limits = F.element_at(F.array(*[F.lit(s.limit) for s in specs]), F.col("spec"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limits)
     return ranked.where(F.col("score") <= upper).select("claim_id", "spec", "rank", "other_id", "score")
 
 
+def _by_document(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` with the groups in which claims of one document meet in place of projects: a long document, or several short ones."""
+    project = F.coalesce(F.col("project_id").cast("string"), F.lit(""))
+    keyed = rows.where("document_id is not null").withColumn("document_id", F.concat(F.length(project).cast("string"), F.lit(":"), project, F.col("document_id").cast("string")))
+    sizes = stage(keyed.groupBy("document_id").agg(F.count("*").alias("__n")), "document-sizes")
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    few = F.concat(F.lit("#"), F.pmod(F.xxhash64("document_id"), F.lit(total // block + 1)).cast("string"))
+    return keyed.join(sizes, "document_id").withColumn("project_id", F.when(F.col("__n") > block, F.col("document_id")).otherwise(few)).drop("__n")
+
+
+def _group_best(rows: DataFrame, specs: tuple[Spec, ...], lower: float, block: int, most_pivots: int) -> DataFrame:
+    """claim_id, spec (place in ``specs``), other_id, score: no fewer than the best of each claim and kind among the claims of its ``project_id``."""
+    sizes = stage(rows.groupBy("project_id").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("length")), "group-sizes")
+    if sizes.where(F.col("n") > block).isEmpty():
+        return _best(rows.withColumn("own", F.lit(0)).withColumn("bi", F.lit(0)).withColumn("bj", F.lit(0)), specs, lower)
+    placed = stage(placed_in_blocks(rows, sizes, block, most_pivots), "blocks")
+    inside = stage(_best(placed.withColumn("own", F.col("block")).withColumn("bi", F.col("block")).withColumn("bj", F.col("block")), specs, lower), "inside")
+    pairs = stage(block_pairs(placed, inside, specs, lower), "block-pairs")
+    return inside.unionByName(_between(placed, pairs, sizes.select("project_id", "length"), specs, lower))
+
+
+def _between(placed: DataFrame, pairs: DataFrame, lengths: DataFrame, specs: tuple[Spec, ...], lower: float) -> DataFrame:
+    """What :func:`_best` gives for ``pairs`` of blocks, many in one task.
+
+    Blocks of a group are dealt to a few left and right sides; a claim travels once for each side that its block meets,
+    not once for each block.  Where all kinds want priority claims, only these are on right sides.
+    """
+    wanted = F.col("priority") if all(s.priority_only for s in specs) else F.lit(True)
+    groups = placed.groupBy("project_id").agg((F.max("block") + 1).alias("nb"), F.count("*").alias("n"), F.count_if(wanted).alias("m")).join(lengths, "project_id")
+    most = F.greatest(F.lit(1), F.lit(SIDE_BYTES) / (8 * F.greatest("length", F.lit(1))))
+    left = F.least("nb", F.greatest(F.lit(8), F.ceil(F.col("n") / most)))
+    right = F.least("nb", F.greatest(F.lit(1), F.ceil(F.col("m") / most * 2)))
+    groups = groups.select("project_id", F.ceil(F.col("nb") / left).alias("__l"), F.ceil(F.col("nb") / right).alias("__r"))
+    both = pairs.unionByName(pairs.select("project_id", F.col("bj").alias("bi"), F.col("bi").alias("bj"))).join(groups, "project_id")
+    both = both.select("project_id", F.floor(F.col("bi") / F.col("__l")).cast("int").alias("side"), F.floor(F.col("bj") / F.col("__r")).cast("int").alias("other"), "bi", "bj")
+    lefts = stage(both.groupBy("project_id", "side", "other", F.col("bi").alias("block")).agg(F.sort_array(F.collect_list("bj")).alias("meets")), "left-sides")
+    rights = stage(both.select("project_id", "side", "other", F.col("bj").alias("block")).distinct(), "right-sides")
+    if pairs.count() <= 1_000_000:
+        few_lefts, few_rights = F.broadcast(lefts), F.broadcast(rights)
+    else:
+        few_lefts, few_rights = lefts, rights
+    rows = placed.join(few_lefts, ["project_id", "block"]).withColumn("right", F.lit(False))
+    rows = rows.unionByName(placed.where(wanted).join(few_rights, ["project_id", "block"]).withColumn("right", F.lit(True)), allowMissingColumns=True)
+    rows = rows.withColumnsRenamed({"block": "own", "side": "bi", "other": "bj"})
+    return _met(rows, specs, lower, lefts.select("project_id", "side", "other").distinct().count())
+
+
 def _best(rows: DataFrame, specs: tuple[Spec, ...], lower: float) -> DataFrame:
     """claim_id, spec, other_id, score: the best of each claim and kind in each pair (bi, bj) of blocks of a project."""
+    return _met(rows.withColumn("meets", F.array(F.when(F.col("own") == F.col("bi"), F.col("bj")).otherwise(F.col("bi")))).withColumn("right", F.lit(True)), specs, lower)
+
+
+def _met(rows: DataFrame, specs: tuple[Spec, ...], lower: float, tasks: int = 0) -> DataFrame:
+    """claim_id, spec, other_id, score: in each group (project_id, bi, bj) the best of each claim with ``meets`` among the ``right`` claims of those blocks."""
     kind = rows.schema["claim_id"].dataType.simpleString()
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> list[pd.DataFrame]:
-        scores = _unit(left["vector"], right) @ _unit(right["vector"], right).T
-        same = left["document_id"].to_numpy()[:, None] == right["document_id"].to_numpy()[None, :]
-        local = same & (np.abs(left["seq"].to_numpy()[:, None] - right["seq"].to_numpy()[None, :]) <= 1)
-        open_pairs = (left["claim_id"].to_numpy()[:, None] != right["claim_id"].to_numpy()[None, :]) & (scores >= lower)
-        out = []
-        for number, spec in enumerate(specs, 1):
-            ok = open_pairs & (same | (not spec.same_document)) & ~(local & spec.skip_local)
-            if spec.priority_only:
-                ok = ok & right["priority"].to_numpy(bool)[None, :]
-            value = np.where(ok, scores, -np.inf)
-            # right is sorted by claim_id, and the sort is stable: equals go to the smaller id
-            top = np.argsort(-value, axis=1, kind="stable")[:, : spec.limit]
-            row, col = np.repeat(np.arange(len(left)), top.shape[1]), top.ravel()
-            held = ok[row, col]
-            row, col = row[held], col[held]
-            out.append(
-                pd.DataFrame(
-                    {"claim_id": left["claim_id"].to_numpy()[row], "spec": number, "other_id": right["claim_id"].to_numpy()[col], "score": scores[row, col]}
-                )
-            )
-        return out
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("claim_id", kind="stable")
-        a, b = group[group["own"] == key[1]], group[group["own"] == key[2]]
-        return pd.concat(best(a, a) if key[1] == key[2] else best(a, b) + best(b, a))
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group["claim_id"]))  # equals go to the smaller id
+        ids, own, right = group["claim_id"], group["own"].to_numpy(), group["right"].to_numpy()
+        code = np.concatenate([[0], np.cumsum(pc.not_equal(ids[1:], ids[:-1]).to_numpy())]) if len(ids) > 1 else np.zeros(len(ids), int)
+        facts = {
+            "code": code,
+            "document": pd.factorize(group["document_id"].to_pandas())[0],
+            "seq": group["seq"].to_numpy(),
+            "priority": group["priority"].fill_null(False).to_numpy(),
+            "unit": _units(group["vector"]),
+        }
+        waiting: dict[tuple, list[int]] = {}
+        blocks, first = np.unique(np.where(group["meets"].is_valid().to_numpy(), own, -1), return_index=True)
+        for b, at in zip(blocks, first, strict=True):
+            if b >= 0:
+                waiting.setdefault(tuple(group["meets"][int(at)].as_py()), []).append(b)
+        is_left = group["meets"].is_valid().to_numpy()
+        found: list[tuple] = []
+        for meets, mine in waiting.items():
+            found += _nearest(facts, np.flatnonzero(is_left & np.isin(own, mine)), np.flatnonzero(right & np.isin(own, meets)), specs, lower)
+        claim, spec, other, score = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate((int, np.int32, int, float)))
+        return pa.table({"claim_id": ids.take(pa.array(claim)), "spec": pa.array(spec, pa.int32()), "other_id": ids.take(pa.array(other)), "score": pa.array(score, pa.float64())})
+
+    keys = ["project_id", "bi", "bj"]
+    dealt = rows.select(*keys, "claim_id", "document_id", "seq", "priority", "vector", "own", "right", "meets")
+    if tasks:  # so many partitions that few groups share one, however few bytes they are
+        dealt = dealt.repartition(min(4000, 3 * tasks), *keys)
+    return dealt.groupBy(*keys).applyInArrow(run, f"claim_id {kind}, spec int, other_id {kind}, score double")
+
+
+def _nearest(facts: dict, left: np.ndarray, right: np.ndarray, specs: tuple[Spec, ...], lower: float) -> list[tuple]:
+    """(claims, kind, others, scores) by kind and tile: the best of ``left`` among ``right``, both numbers of rows in order of their ids.
 
-    columns = ["claim_id", "document_id", "seq", "priority", "vector", "own"]
-    keyed = rows.select("project_id", "bi", "bj", *columns)
-    return keyed.groupBy("project_id", "bi", "bj").applyInPandas(run, f"claim_id {kind}, spec int, other_id {kind}, score double")
+    Products in single precision find the pairs that may reach a claim's last place so far, less their error; the scores
+    that decide are in double precision.
+    """
+    code, document, seq = facts["code"], facts["document"], facts["seq"]
+    if all(s.priority_only for s in specs):
+        right = right[facts["priority"][right]]
+    unit, out = facts["unit"], []
+    other32, slack = unit[right].astype(np.float32), _slack(unit)
+    for start in range(0, len(left), TILE):
+        rows = left[start : start + TILE]
+        own32 = unit[rows].astype(np.float32)
+        floors = [np.full(len(rows), lower) for _ in specs]
+        held = [(np.zeros(0, int), np.zeros(0), np.zeros(0, int)) for _ in specs]
+        at, width = 0, TILE // 4
+        while at < len(right):
+            cut = np.minimum.reduce(floors) - slack
+            flat = np.flatnonzero(own32 @ other32[at : at + width].T >= cut.astype(np.float32)[:, None])
+            r, c = np.divmod(flat, min(width, len(right) - at))
+            c += at
+            at, width = at + width, min(2 * width, 2 * TILE)
+            i, j = rows[r], right[c]
+            scores = _exact(unit, i, j)
+            ok = (code[i] != code[j]) & (scores >= lower)
+            r, c, i, j, scores = r[ok], c[ok], i[ok], j[ok], scores[ok]
+            known = (document[i] >= 0) & (document[j] >= 0)
+            same = known & (document[i] == document[j])
+            # without a document it is not known whether a claim is local
+            local = (same | ~known) & (np.abs(seq[i] - seq[j]) <= 1)
+            for k, spec in enumerate(specs):
+                ok = scores >= floors[k][r]
+                if spec.same_document:
+                    ok &= same
+                if spec.skip_local:
+                    ok &= ~local
+                if spec.priority_only:
+                    ok &= facts["priority"][j]
+                if ok.any():
+                    held[k] = _first(*(np.concatenate(x) for x in zip(held[k], (r[ok], scores[ok], c[ok]), strict=True)), spec.limit, floors[k])
+        out += [(rows[r], np.full(len(r), k, np.int32), right[c], scores) for k, (r, scores, c) in enumerate(held, 1)]
+    return out
+
+
+def _first(r: np.ndarray, scores: np.ndarray, c: np.ndarray, limit: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``limit`` best of each row, equals by ``c``; ``floor`` rises to a full row's last score."""
+    order = np.lexsort((c, -scores, r))
+    r, scores, c = r[order], scores[order], c[order]
+    starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.append(starts, len(r))))
+    last = rank == limit - 1
+    floor[r[last]] = scores[last]
+    keep = rank < limit
+    return r[keep], scores[keep], c[keep]
+
+
+def _exact(unit: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of rows ``i`` and ``j`` in double precision, some at a time."""
+    step = max(1, (1 << 22) // max(1, unit.shape[1]))
+    parts = [np.einsum("ij,ij->i", unit[i[a : a + step]], unit[j[a : a + step]]) for a in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _slack(unit: np.ndarray) -> float:
+    """More than the error of a product of two rows in single precision."""
+    return (unit.shape[1] + 4) * 1.2e-7
+
+
+def _units(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of length one; zero where they are shorter than the longest or have no direction."""
+    lists = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else pa.array([], vectors.type)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    length = int(sizes.max(initial=0))
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    usable = sizes == length
+    m = np.zeros((len(sizes), length))
+    if length:
+        m[usable] = values[np.repeat(usable, sizes)].reshape(-1, length)
+    m = np.nan_to_num(m, nan=0.0, posinf=0.0, neginf=0.0)
+    norm = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
 def placed_in_blocks(rows: DataFrame, sizes: DataFrame, block: int, most_pivots: int) -> DataFrame:
@@ -181,6 +318,7 @@ def _unit(vectors: pd.Series, like: pd.DataFrame) -> np.ndarray:
 
 def quota_merge(near: DataFrame, *, most: int = 10) -> DataFrame:
     """claim_id, pos, other_id: kinds 1 and 2 first (with duplicates), kind 3 fills up with what they lack."""
+    near = stage(near, "neighbours")  # it is read three times
     first = near.where("spec < 3")
     rest = near.where("spec = 3").join(first.select("claim_id", "other_id").distinct(), ["claim_id", "other_id"], "left_anti")
     order = Window.partitionBy("claim_id").orderBy("spec", "rank")
