@@ -345,35 +345,48 @@ def translate_hits(hits: DataFrame, bundles: DataFrame) -> DataFrame:
 def similar_claims(claims: DataFrame, *, least: float = 0.95, block: int = 1024) -> DataFrame:
     """claim_id, other_id: links that connect all claims of a project with a cosine of at least ``least``.
 
-    Exact, in pairs of blocks as in :func:`neighbours`.  What leaves a pair of blocks is one link a claim, to the
-    first claim of its component there, so a dense group stays linear in rows.  Pass only claims that occur in pairs.
+    Exact, in pairs of blocks: eight a project, fewer where a block would have less than ``block`` claims, more where
+    its vectors would exceed ``SIDE_BYTES``.  What leaves a pair of blocks is one link a claim, to the first claim of its
+    component there, so a dense group stays linear in rows.  Pass only claims that occur in pairs.
     """
     keys = ["project_id", "bi", "bj"]
-    sizes = claims.groupBy("project_id").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    most = F.greatest(F.lit(1), F.lit(SIDE_BYTES) / (8 * F.greatest(F.max(F.size("vector")), F.lit(1))))
+    blocks = F.greatest(F.ceil(F.count("*") / most), F.least(F.lit(8), F.ceil(F.count("*") / F.lit(block)))).cast("int")
+    sizes = stage(claims.groupBy("project_id").agg(blocks.alias("blocks")), "project-blocks")
     rows = claims.select("claim_id", "project_id", "vector").join(sizes, "project_id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("claim_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("blocks", "other", "own")
+    rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("blocks", "other")
     kind = claims.schema["claim_id"].dataType.simpleString()
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("claim_id", kind="stable")
-        unit = _unit(group["vector"], group)
-        near = unit @ unit.T >= least
-        np.fill_diagonal(near, True)
-        root = np.arange(len(group))
-        while True:
-            # the least root among neighbours, then the root of that root
-            new = np.where(near, root[None, :], len(root)).min(1)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group["claim_id"]))
+        own, unit = group["own"].to_numpy(), _units(group["vector"])
+        inside = group["bi"][0].as_py() == group["bj"][0].as_py()
+        left, right = (np.flatnonzero(own == group[k][0].as_py()) for k in ("bi", "bj"))
+        root = np.arange(len(own))
+        left32, right32, cut = unit[left].astype(np.float32), unit[right].astype(np.float32), np.float32(least - _slack(unit))
+        for a in range(0, len(left), TILE):
+            for b in range(a if inside else 0, len(right), TILE):
+                i, j = np.nonzero(left32[a : a + TILE] @ right32[b : b + TILE].T >= cut)
+                i, j = left[i + a], right[j + b]
+                open_ = root[i] != root[j]
+                i, j = i[open_], j[open_]
+                near = _exact(unit, i, j) >= least
+                i, j = i[near], j[near]
+                while len(i):
+                    # the greater root points to the least it meets, then each row to the root of its root
+                    x, y = root[i], root[j]
+                    np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+                    while (root[root] != root).any():
+                        root = root[root]
+                    open_ = root[i] != root[j]
+                    i, j = i[open_], j[open_]
         moved = np.flatnonzero(root != np.arange(len(root)))
-        ids = group["claim_id"].to_numpy()
-        return pd.DataFrame({"claim_id": ids[moved], "other_id": ids[root[moved]]})
+        return pa.table({"claim_id": group["claim_id"].take(pa.array(moved)), "other_id": group["claim_id"].take(pa.array(root[moved]))})
 
-    return rows.groupBy(*keys).applyInPandas(run, f"claim_id {kind}, other_id {kind}").distinct()
+    tasks = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 0
+    return rows.repartition(int(max(1, min(4000, 3 * tasks))), *keys).groupBy(*keys).applyInArrow(run, f"claim_id {kind}, other_id {kind}").distinct()
 
 
 def pair_payloads(pairs: DataFrame, claims: DataFrame) -> DataFrame:
