@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import text_column
+
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
@@ -76,29 +78,17 @@ def split_oversized(text: str, most: int) -> list[str]:
 def split_column(size: int, overlap: int = 0):
     """:func:`split_text` as a column function."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else split_text(t, size, overlap))
-
-    return pieces
+    return text_column(lambda texts: texts.map(lambda t: None if t is None else split_text(t, size, overlap)), T.ArrayType(T.StringType()))
 
 
 def oversized_column(most: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else split_oversized(t, most))
-
-    return pieces
+    return text_column(lambda texts: texts.map(lambda t: None if t is None else split_oversized(t, most)), T.ArrayType(T.StringType()))
 
 
 def oversized_parts(most: int):
     """:func:`split_oversized` of each text of a list, in one list."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pieces(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda texts: None if texts is None else [p for t in texts for p in split_oversized(t, most)])
-
-    return pieces
+    return text_column(lambda lists: lists.map(lambda texts: None if texts is None else [p for t in texts for p in split_oversized(t, most)]), T.ArrayType(T.StringType()))
 
 
 def ordered_matches(before: list[tuple], after: list[tuple], window: int = 10) -> list[int]:

@@ -38,3 +38,33 @@ def test_tiles_give_the_best_and_the_smaller_id_of_equals(monkeypatch):
             ok = [j for j in range(150) if j != i and scores[i, j] >= 0.1 and (not spec.same_document or i % 3 == j % 3) and not (spec.skip_local and i % 3 == j % 3 and abs(i - j) <= 1) and (not spec.priority_only or j % 4 == 0)]
             expected += [(i, round(float(scores[i, j]), 9), j) for j in sorted(ok, key=lambda j: (-scores[i, j], j))[: spec.limit]]
         assert ours == sorted(expected)
+
+
+def test_similar_claims_link_whole_components_of_a_dense_group(spark):
+    """A chain of near vectors and many copies, in blocks and in one: links join all of them, no more than one a claim and pair of blocks."""
+    angles = [0.1 * i for i in range(10)] + [2.5] * 60
+    rows = [(i, 0, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)]
+    c = spark.createDataFrame(rows, "claim_id int, project_id int, vector array<float>")
+    for block, most in ((1000, 69), (7, 69 * 8)):
+        links = [(r["claim_id"], r["other_id"]) for r in claims.similar_claims(c, block=block).collect()]
+        root = list(range(70))
+        for _ in range(70):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        assert root == [0] * 10 + [10] * 60 and len(links) <= most
+    # a claim travels to eight blocks at most, however many times the least size there are
+    plan = claims.similar_claims(c, block=1)._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression" in plan and len(claims.similar_claims(c, block=1).collect()) <= 69 * 8
+
+
+def test_text_columns_take_batches_of_bounded_rows_and_bytes(spark):
+    """A batch holds whole texts: no more than 2000 rows, and few where they are long; the results are those of one batch."""
+    from pyspark.sql import functions as F
+
+    from folioflow.functions.batches import BATCH_BYTES, BATCH_ROWS, text_column
+
+    column = text_column(lambda t: t.map(lambda _: len(t)), "int")
+    small = spark.range(0, 9000, numPartitions=1).select(column(F.col("id").cast("string")).alias("n"))
+    assert small.agg(F.max("n")).first()[0] == BATCH_ROWS
+    large = spark.range(0, 40, numPartitions=1).select(column(F.repeat(F.concat(F.lit("x"), "id"), 500_000)).alias("n"))
+    assert large.agg(F.max("n")).first()[0] * 1_000_000 <= 2 * BATCH_BYTES
