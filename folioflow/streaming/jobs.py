@@ -18,6 +18,8 @@ from ..plans.staging import new_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 24 * 60 * 60 * 1000
+#: Up to so many entries of a map are read one by one, more by one pass over it; rows told at once.
+FEW, TOLD_ROWS = 1000, 10_000
 
 
 def _with_state(spark: SparkSession) -> None:
@@ -93,29 +95,38 @@ class Overrides(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         event, status = self.own.get() if self.own.exists() else (None, None)
-        before, touched = status, set()
+        before, last = status, {}
+        # the rows are folded first: state is read and written once a parent, not once an event
         for batch in rows:
-            for workflow, own, number, new in zip(batch["workflow_id"], batch["own"], batch["event_id"], batch["status"], strict=True):
+            newest = batch.sort_values("event_id", kind="stable").drop_duplicates(["own", "workflow_id"], keep="last")
+            for workflow, own, number, new in zip(newest["workflow_id"], newest["own"], newest["event_id"], newest["status"], strict=True):
                 if own:
                     if event is None or number > event:
                         event, status = int(number), new
-                    continue
-                held = self.seen.getValue((workflow,)) if self.seen.containsKey((workflow,)) else (None, None, None, 0)
-                if held[0] is None or number > held[0]:
-                    self.seen.updateValue((workflow,), (int(number), new, held[2], held[3]))
-                    touched.add(workflow)
+                elif workflow not in last or number > last[workflow][0]:
+                    last[workflow] = (int(number), new)
         if event is not None:
             self.own.update((event, status))
+        known = self.seen.exists()
+        held = {k[0]: v for k, v in self.seen.iterator()} if known and (status != before or len(last) > FEW) else {}
+        if known and not held:
+            held = {w: self.seen.getValue((w,)) for w in last if self.seen.containsKey((w,))}
         # a new own status reaches every parent, a parent's event that parent alone
         told = []
-        for (workflow,) in list(self.seen.keys()) if status != before else [(w,) for w in touched]:
-            number, saw, last, version = self.seen.getValue((workflow,))
+        for workflow in {**held, **last}:
+            number, saw, said, version = held.get(workflow, (None, None, None, 0))
+            newer = workflow in last and (number is None or last[workflow][0] > number)
+            if not newer and status == before:
+                continue
+            if newer:
+                number, saw = last[workflow]
             now = status if status is not None else saw
-            if now != last:
-                self.seen.updateValue((workflow,), (number, saw, now, version + 1))
+            if newer or now != said:
+                self.seen.updateValue((workflow,), (number, saw, now, version + (now != said)))
+            if now != said:
                 told.append((workflow, key[0], now, version + 1))
-        if told:
-            yield pd.DataFrame(told, columns=["workflow_id", "ref", "status", "version"])
+        for start in range(0, len(told), TOLD_ROWS):
+            yield pd.DataFrame(told[start : start + TOLD_ROWS], columns=["workflow_id", "ref", "status", "version"])
 
     def close(self) -> None:
         pass

@@ -55,3 +55,56 @@ def test_children_reach_their_parents_as_they_come(spark, tmp_path):
     expected = batch.child_overrides(view, view.where("ref = '0'")).select("workflow_id", "ref", "status")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
     assert ("13", "14", "completed") in {tuple(r) for r in found.collect()}
+
+
+def test_overrides_read_and_write_state_once_a_parent():
+    """A hundred events of two parents take two writes of the map, and the last event counts."""
+    import pandas as pd
+
+    from folioflow.streaming.jobs import Overrides
+
+    class Value:
+        held, writes = None, 0
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Map(Value):
+        def __init__(self):
+            self.held, self.writes = {}, 0
+
+        def exists(self):
+            return bool(self.held)
+
+        def containsKey(self, key):
+            return key in self.held
+
+        def getValue(self, key):
+            return self.held[key]
+
+        def updateValue(self, key, value):
+            self.held[key] = value
+            self.writes += 1
+
+        def keys(self):
+            return iter(list(self.held))
+
+        def iterator(self):
+            return iter(list(self.held.items()))
+
+    one = Overrides()
+    one.own, one.seen = Value(), Map()
+    batch = pd.DataFrame({"workflow_id": ["a", "b"] * 50, "own": [False] * 100, "event_id": range(100), "status": ["RUNNING"] * 98 + ["FAILED", "COMPLETED"]})
+    told = pd.concat(one.handleInputRows(("c",), iter([batch[:60], batch[60:]]), None))
+    assert sorted(told.itertuples(index=False, name=None)) == [("a", "c", "FAILED", 1), ("b", "c", "COMPLETED", 1)] and one.seen.writes == 2
+    news = pd.DataFrame({"workflow_id": ["c"], "own": [True], "event_id": [7], "status": ["FAILED"]})
+    told = pd.concat(one.handleInputRows(("c",), iter([news]), None))
+    assert list(told.itertuples(index=False, name=None)) == [("b", "c", "FAILED", 2)]
+    old = pd.DataFrame({"workflow_id": ["a"], "own": [False], "event_id": [3], "status": ["RUNNING"]})
+    assert not list(one.handleInputRows(("c",), iter([old]), None)) and one.seen.writes == 3
