@@ -45,6 +45,11 @@ EXTERNAL_MARK = "¤"
 EXTERNAL_OPEN, EXTERNAL_CLOSE = "<¤EXTERNAL_DATA¤>", "</¤EXTERNAL_DATA¤>"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, also where a lambda inside needs it for each item."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

@@ -81,6 +81,12 @@ def split_column(size: int, overlap: int = 0):
     return text_column(lambda texts: texts.map(lambda t: None if t is None else split_text(t, size, overlap)), T.ArrayType(T.StringType()))
 
 
+def split_lists(size: int, overlap: int = 0):
+    """:func:`split_text` of each text of a list; null stays."""
+
+    return text_column(lambda lists: lists.map(lambda texts: None if texts is None else [None if t is None else split_text(t, size, overlap) for t in texts]), T.ArrayType(T.ArrayType(T.StringType())))
+
+
 def oversized_column(most: int):
     return text_column(lambda texts: texts.map(lambda t: None if t is None else split_oversized(t, most)), T.ArrayType(T.StringType()))
 

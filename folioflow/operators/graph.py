@@ -96,7 +96,8 @@ def root_paths(links: DataFrame, keys: list[str], paths: list[str], *, on_cycle:
             break
         above = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("__up"), *[F.col(p).alias(f"__{p}") for p in paths])
         joined = far.join(above, [*keys, "up"]).select(*keys, *others, F.col("__up").alias("up"), *[F.concat(f"__{p}", p).alias(p) for p in paths])
-        now = stage(now.where("up is null").select(joined.columns).unionByName(joined), "paths")
+        before, now = now, stage(now.where("up is null").select(joined.columns).unionByName(joined), "paths")
+        unstage(before)
         reach *= 2
     return now.where("up is null").drop("up")
 

@@ -9,16 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import strip
+from ..functions.text import bound, strip
 from ..plans.staging import stage
 from .chunks import page_parts
 from .enrich import join_in_blocks
 from .graph import root_paths
 
-#: Marks of pages as nodes and chunks know them; a numbered heading.
+#: Marks of pages as nodes and chunks know them; a numbered heading; a line that may be one, with or without ``#``.
 NODE_PAGE = r'<seite\s+nummer="(\d+)"\s*/?>'
 NUMBERED = r"^([\d.]+)\s+(.*)"
+NUMBERED_LINE = r"(?<![^\n])(?:#+[ \t\x0B\f\r]*)?[\d.]+[ \t\x0B\f\r][^\n]*"
 ROOT = "_DOCUMENT_ROOT_"
+#: A document's contents in the order of the tree.
+TITLES = "array<struct<key:array<int>,ord:int,title:string,path:array<string>>>"
 
 
 def subtree_ends(nodes: DataFrame, levels: int = 6) -> DataFrame:
@@ -143,24 +146,51 @@ def contents_paths(parents: DataFrame) -> DataFrame:
     return root_paths(links, ["doc_id"], ["path", "key"]).select("doc_id", F.col("node").alias("title"), "ord", "path", "key")
 
 
+def contents_lists(paths: DataFrame) -> DataFrame:
+    """doc_id, titles: a document's ``paths`` (see :func:`contents_paths`) as one list in the order of the tree."""
+    listed = F.array_sort(F.collect_list(F.struct("key", "ord", "title", "path")))
+    return paths.groupBy("doc_id").agg(listed.cast(TITLES).alias("titles"))
+
+
+def latest_titles(texts: Column, titles: Column) -> Column:
+    """For each of a document's texts the place in ``titles`` of its own heading, else its predecessor's, else -1.
+
+    A text's heading is the last title (in order of the contents) that is a line of it, with or without ``#``.
+    """
+    raw = lambda line: F.regexp_replace(line, r"\s+$", "")
+    both = lambda line: F.array(F.regexp_replace(raw(line), r"^#+\s*", ""), raw(line))
+    lines = lambda text: F.flatten(F.transform(F.regexp_extract_all(text, F.lit(NUMBERED_LINE), F.lit(0)), both))
+    last = lambda named: F.array_max(F.filter(F.transform(titles, lambda t, i: F.when(F.array_contains(named, t["title"]), F.struct(t["ord"], i.alias("i")))), lambda x: x.isNotNull()))["i"]
+    own = F.transform(texts, lambda text: bound(lines(text), lambda named: F.when(F.size(named) > 0, last(named))))
+
+    def filled(own: Column) -> Column:
+        places = F.concat(F.array(F.lit(-1)), F.filter(F.transform(own, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull()))
+        run = lambda at, k, places: F.array_repeat(F.coalesce(F.get(own, at), F.lit(-1)), F.coalesce(F.get(places, k + 1), F.size(own)) - F.greatest(at, F.lit(0)))
+        return bound(places, lambda places: F.flatten(F.transform(places, lambda at, k: run(at, k, places))))
+
+    return bound(own, filled)
+
+
+def title_paths(titles: Column, place: Column) -> tuple[Column, Column]:
+    """The path of the title at a place, and the path's first title with all below it; empty for -1."""
+    none, path = F.array().cast("array<string>"), F.get(titles, place)["path"]
+    below = bound(F.get(path, F.lit(0)), lambda top: F.transform(F.filter(titles, lambda t: F.get(t["path"], F.lit(0)) == top), lambda t: t["title"]))
+    return F.coalesce(path, none), F.when(path.isNotNull(), below).otherwise(none)
+
+
 def chunk_paths(chunks: DataFrame, paths: DataFrame) -> DataFrame:
     """doc_id, chunk, toc_path, all_subchapters; a chunk without a heading has its predecessor's.
 
-    ``chunks``: doc_id, chunk, text.  A chunk's heading is the last title (in order of the contents) that is a line of it,
-    with or without ``#``; all_subchapters is the path's first title and all below it, in the order of the tree.
+    ``chunks``: doc_id, chunk, text; ``paths``: see :func:`contents_paths`, of numbered titles.  all_subchapters is the
+    path's first title and all below it, in the order of the tree.
     """
-    lines = chunks.select("doc_id", "chunk", F.explode(F.split("text", "\n")).alias("line"))
-    title = F.regexp_replace(F.regexp_replace("line", r"\s+$", ""), r"^#+\s*", "")
-    raw = F.regexp_replace("line", r"\s+$", "")
-    named = lines.select("doc_id", "chunk", F.explode(F.array_distinct(F.array(title, raw))).alias("title")).where("title <> ''").distinct()
-    hit = named.join(paths, ["doc_id", "title"]).groupBy("doc_id", "chunk").agg(F.max_by("path", "ord").alias("own"))
-    below = paths.select("doc_id", "title", "key", F.get("path", F.lit(0)).alias("top"))
-    below = below.groupBy("doc_id", "top").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "title"))), lambda x: x["title"]).alias("subs"))
-    rows = chunks.select("doc_id", "chunk").join(hit, ["doc_id", "chunk"], "left")
-    order = Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("toc_path", F.coalesce(F.last("own", ignorenulls=True).over(order), F.array().cast("array<string>")))
-    rows = rows.withColumn("top", F.get("toc_path", F.lit(0))).join(below, ["doc_id", "top"], "left")
-    return rows.select("doc_id", "chunk", "toc_path", F.coalesce("subs", F.array().cast("array<string>")).alias("all_subchapters"))
+    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("chunks"))
+    rows = rows.join(contents_lists(paths), "doc_id", "left")
+    rows = rows.withColumn("owners", latest_titles(F.transform("chunks", lambda c: c["text"]), F.col("titles")))
+    listed = F.arrays_zip(F.transform("chunks", lambda c: c["chunk"]).alias("chunk"), F.col("owners").alias("owner"))
+    each = rows.select("doc_id", "titles", F.explode(listed).alias("x")).select("doc_id", "titles", "x.*")
+    path, below = title_paths(F.col("titles"), F.col("owner"))
+    return each.select("doc_id", "chunk", path.alias("toc_path"), below.alias("all_subchapters"))
 
 
 # Nested trees

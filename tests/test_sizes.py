@@ -68,3 +68,17 @@ def test_text_columns_take_batches_of_bounded_rows_and_bytes(spark):
     assert small.agg(F.max("n")).first()[0] == BATCH_ROWS
     large = spark.range(0, 40, numPartitions=1).select(column(F.repeat(F.concat(F.lit("x"), "id"), 500_000)).alias("n"))
     assert large.agg(F.max("n")).first()[0] * 1_000_000 <= 2 * BATCH_BYTES
+
+
+def test_chunker_neither_sorts_nor_joins_texts(spark):
+    """A document is cut inside its row: its text is sent once at most, to meet its contents."""
+    from folioflow.operators import markdown
+
+    docs = spark.createDataFrame([(0, "# 1 A\nx\n## B\ny"), (1, "__SPECIAL_ELEMENT_PLACEHOLDER_99999999999__ z")], "doc_id int, markdown string")
+    items = spark.createDataFrame([(0, 0, "text", 1, "1 A")], "doc_id int, pos int, type string, text_level int, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan(markdown.chunk_documents(docs)) for step in ("Exchange", "Window", "Sort", "Join"))
+    found = markdown.chunk_documents(docs, items)
+    assert plan(found).count("Exchange") <= 2 and "Window" not in plan(found)
+    # a number that no element has is no error
+    assert [(r["doc_id"], r["chunk"], r["text"], r["toc_path"]) for r in found.orderBy("doc_id", "chunk").collect()] == [(0, 0, "# 1 A\nx", ["1 A"]), (0, 1, "## B\ny", ["1 A"]), (1, 0, " z", [])]
