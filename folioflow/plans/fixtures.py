@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import dealt_for_join, table
 
 FILES = """files AS (
   SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN 'archive' ELSE 'document' END AS type,
@@ -19,7 +19,8 @@ FILES = """files AS (
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    both = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines, orders = dealt_for_join(table(spark, d, "lineitem"), "l_orderkey", table(spark, d, "orders"), "o_orderkey")
+    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     name = F.concat(F.lit("part-"), (F.col("l_partkey") % 50).cast("string"), F.lit(".pdf"))
     project = F.col("o_custkey") % 20
     return both.select(

@@ -82,3 +82,26 @@ def test_chunker_neither_sorts_nor_joins_texts(spark):
     assert plan(found).count("Exchange") <= 2 and "Window" not in plan(found)
     # a number that no element has is no error
     assert [(r["doc_id"], r["chunk"], r["text"], r["toc_path"]) for r in found.orderBy("doc_id", "chunk").collect()] == [(0, 0, "# 1 A\nx", ["1 A"]), (0, 1, "## B\ny", ["1 A"]), (1, 0, " z", [])]
+
+
+def test_files_are_joined_in_tasks_of_bounded_rows(spark, sf, duck, monkeypatch):
+    """However few bytes the rows take; the results stay."""
+    import __spark_entry__ as entry
+    from pyspark.sql import functions as F
+
+    from folioflow.plans import fixtures
+    from folioflow.sources import tables
+
+    from .conftest import same_rows
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 500, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = fixtures.files(spark, sf).select("id", "project_id").groupBy(F.spark_partition_id()).count()
+        assert held.agg(F.max("count")).first()[0] <= 2 * 500
+        found = entry.queries()["x3_replace_project"](spark, sf)
+        # each side of both joins is dealt out once
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 4
+        same_rows(found, duck.sql(entry.oracle_sql()["x3_replace_project"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
